@@ -6,14 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augury.plans import training, training_sql
+from augury.plans import training, training_sql, venue_k, venue_k_sql, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Query name to analysis of the order-book venue.
+VENUE_K = {
+    "win_rate_by_price": venue_k.win_rate_by_price,
+    "mispricing_by_price": venue_k.mispricing_by_price,
+    "maker_vs_taker_returns": venue_k.maker_vs_taker_returns,
+    "maker_returns_by_direction": venue_k.maker_returns_by_direction,
+    "maker_win_rate_by_direction": venue_k.maker_win_rate_by_direction,
+    "maker_taker_gap_quarterly": venue_k.maker_taker_gap_over_time,
+    "returns_by_category": venue_k.maker_taker_returns_by_category,
+    "trade_size_by_role": venue_k.trade_size_by_role,
+    "win_rate_by_trade_size": venue_k.win_rate_by_trade_size,
+    "returns_by_hour": venue_k.returns_by_hour,
+    "vwap_by_hour": venue_k.vwap_by_hour,
+    "volume_over_time": venue_k.volume_over_time,
+    "longshot_volume_share": venue_k.longshot_volume_share_over_time,
+    "price_bucket_pivot": venue_k.price_bucket_pivot,
+    "yes_vs_no_by_price": venue_k.yes_vs_no_by_price,
+    "ev_yes_vs_no": venue_k.ev_yes_vs_no,
+    "calibration_deviation_weekly": venue_k.calibration_deviation_over_time,
+    "market_types": venue_k.market_types,
+    "market_types_rollup": venue_k.market_type_tree,
+    "category_top_n_other": venue_k.category_top_n,
+    "meta_stats": venue_k.meta_stats,
+}
+
+
+def _on_venue_k(analysis: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: analysis(views.k_trades(spark, d), views.k_markets(spark, d))
+
 
 def queries() -> dict[str, Query]:
-    return {n: f for n, f in vars(training).items() if n[0] == "p" and n[1:2].isdigit()}
+    found = {n: f for n, f in vars(training).items() if n[0] == "p" and n[1:2].isdigit()}
+    return found | {n: _on_venue_k(f) for n, f in VENUE_K.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(training_sql.SQL)
+    return training_sql.SQL | venue_k_sql.SQL
