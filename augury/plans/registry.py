@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from augury.plans import training, training_sql, venue_k, venue_k_sql, views
+from augury.plans import operators, operators_sql, statistics, training, training_sql, venue_k, venue_k_sql, venue_p, venue_p_sql, views
+from augury.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,14 @@ VENUE_K = {
     "market_types_rollup": venue_k.market_type_tree,
     "category_top_n_other": venue_k.category_top_n,
     "meta_stats": venue_k.meta_stats,
+    "mann_whitney_u": statistics.mann_whitney_by_price,
+    "two_proportion_z": statistics.two_proportion_z,
+    "welch_and_cohens_d": statistics.welch_by_group,
+    "pearson_spearman": statistics.size_correlations,
+    "wls_binned_regression": statistics.binned_regression,
+    "maker_direction_test": statistics.maker_direction_test,
+    "statistical_tests": statistics.statistical_tests,
+    "p_values": lambda t, m: statistics.maker_taker_p_values(venue_k.maker_vs_taker_returns(t, m)),
 }
 
 
@@ -40,10 +50,29 @@ def _on_venue_k(analysis: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, d: analysis(views.k_trades(spark, d), views.k_markets(spark, d))
 
 
+def _venue_p() -> dict[str, Query]:
+    t = lambda name: lambda s, d: table(s, d, name)
+    trades, blocks, collateral = t("p_trades"), t("p_blocks"), t("p_collateral")
+    four = lambda s, d: (trades(s, d), views.p_markets(s, d), views.p_legacy(s, d), collateral(s, d))
+    days = lambda s, d: (venue_p.daily_k(views.k_trades(s, d), views.k_markets(s, d)), venue_p.daily_p(*four(s, d)[:3], blocks(s, d), collateral(s, d)))
+    return {
+        "polymarket_win_rate_by_price": lambda s, d: venue_p.win_rate_by_price(*four(s, d)),
+        "calibration_metrics": lambda s, d: venue_p.calibration_metrics(venue_p.win_rate_by_price(*four(s, d))),
+        "polymarket_calibration_by_bucket": lambda s, d: venue_p.calibration_by_bucket(*four(s, d)),
+        "bucket_metrics": lambda s, d: venue_p.bucket_metrics(venue_p.calibration_by_bucket(*four(s, d))),
+        "polymarket_trades_over_time": lambda s, d: venue_p.trades_over_time(trades(s, d), views.p_legacy(s, d), blocks(s, d)),
+        "polymarket_volume_over_time": lambda s, d: venue_p.volume_over_time(trades(s, d), views.p_legacy(s, d), blocks(s, d), collateral(s, d)),
+        "daily_cumulative_snapshot": lambda s, d: venue_p.snapshots(*days(s, d)).drop("day_total").withColumn("day", F.date_format("day", "yyyy-MM-dd")),
+        "every_other_day": lambda s, d: venue_p.kept_days(venue_p.snapshots(*days(s, d))).withColumn("day", F.date_format("day", "yyyy-MM-dd")),
+        "win_rate_by_price_animated": lambda s, d: venue_p.win_rate_by_price_animated(*days(s, d)),
+    }
+
+
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in vars(training).items() if n[0] == "p" and n[1:2].isdigit()}
-    return found | {n: _on_venue_k(f) for n, f in VENUE_K.items()}
+    single = {n: f for n, f in vars(operators).items() if getattr(f, "__module__", "") == operators.__name__}
+    return found | {n: _on_venue_k(f) for n, f in VENUE_K.items()} | _venue_p() | single
 
 
 def oracle_sql() -> dict[str, str]:
-    return training_sql.SQL | venue_k_sql.SQL
+    return training_sql.SQL | venue_k_sql.SQL | venue_p_sql.SQL | operators_sql.SQL
