@@ -90,14 +90,21 @@ def daily(df: DataFrame, entity: str, at: str, amount: str) -> DataFrame:
     )
 
 
-def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_rising: tuple[int, int] | None = None, rows_per_group: int = 100_000) -> DataFrame:
+def entity_days(df: DataFrame, entity: Column, at: str) -> int:
+    """About how many distinct entities and days a table has: one scan of two columns, no shuffle of rows."""
+    return df.agg(F.approx_count_distinct(F.xxhash64(entity, F.to_date(at)), 0.05)).first()[0]
+
+
+def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_rising: tuple[int, int] | None = None, rows_per_group: int = 100_000, expected: int | None = None) -> DataFrame:
     """``(entity, day, n_rows, total_<w>...)`` for every day from an entity's first to its last.
 
     ``days`` comes from :func:`daily`.  Totals are exact ints.  With ``gaps_rising=(a, b)`` only days
     without activity come out on which ``total_a / a > total_b / b``.  An empty input gives no rows.
+    ``expected`` is the rough number of rows of ``days`` if the caller knows it (:func:`entity_days`);
+    it sets the number of groups only.
     """
     spark = days.sparkSession
-    n = days.agg(F.approx_count_distinct(F.xxhash64("entity", "day"), 0.05)).first()[0]
+    n = expected if expected is not None else days.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_group))
     cols = [f"total_{w}" for w in windows]
     schema = T.StructType([days.schema["entity"], T.StructField("day", T.IntegerType()), T.StructField("n_rows", T.LongType()), *(T.StructField(c, T.LongType()) for c in cols)])

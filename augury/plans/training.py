@@ -73,20 +73,22 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 # 3. Rolling totals over trailing periods
 
 
-def _ticker_days(spark: SparkSession, d: str) -> DataFrame:
-    trades = table(spark, d, "k_trades").select(id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at")
-    return rolling.daily(dedup.keep_first(trades, "id", "_fetched_at"), "ticker", "created_time", "count")
+def _ticker_totals(spark: SparkSession, d: str, gaps_rising: tuple[int, int] | None = None) -> DataFrame:
+    stored = table(spark, d, "k_trades")
+    trades = stored.select(id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at")
+    days = rolling.daily(dedup.keep_first(trades, "id", "_fetched_at"), "ticker", "created_time", "count")
+    return rolling.trailing_totals(days, (7, 30), gaps_rising, expected=rolling.entity_days(stored, ticker_key("ticker"), "created_time"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Days without a trade on which the 7-day daily average is above the 30-day one."""
-    rows = rolling.trailing_totals(_ticker_days(spark, d), (7, 30), gaps_rising=(7, 30))
+    rows = _ticker_totals(spark, d, gaps_rising=(7, 30))
     return rows.select(F.col("entity").alias("ticker"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"))
 
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     """Totals and daily averages over 7 and 30 days for every ticker and day, idle days included."""
-    rows = rolling.trailing_totals(_ticker_days(spark, d), (7, 30))
+    rows = _ticker_totals(spark, d)
     return rows.select(
         F.col("entity").alias("ticker"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"), F.col("n_rows").alias("n_trades"), "total_7", "total_30",
         F.round(F.col("total_7") / F.lit(7.0), 6).alias("avg_7"), F.round(F.col("total_30") / F.lit(30.0), 6).alias("avg_30"),
