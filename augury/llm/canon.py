@@ -190,9 +190,9 @@ def look_alike_pairs(docs: DataFrame) -> DataFrame:
 
     Exact copies are never compared: spellings of a form are paired first, documents attached after.
     """
-    keys = look_keys(docs)
+    keys = cut(look_keys(docs))  # 40 bytes a document, instead of a second pass over all texts
     varied = keys.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
-    rows = cut(keys.join(varied, "form", "left_semi"))
+    rows = keys.join(varied, "form", "left_semi")
     spellings = rows.select("form", "raw").distinct()
     pairs = spellings.withColumnRenamed("raw", "raw_a").join(spellings.withColumnRenamed("raw", "raw_b"), "form").where(F.col("raw_a") < F.col("raw_b"))
     left = rows.select("form", F.col("raw").alias("raw_a"), F.col("doc_id").alias("x"))
