@@ -220,7 +220,7 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     canon = Canon.of(spark)
-    out = spark.createDataFrame([], _MATCH)
+    out = None
     for block in _item_blocks(items, canon):
         shared = spark.sparkContext.broadcast((canon, block))
 
@@ -232,8 +232,9 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
                 if found is not None:
                     yield found
 
-        out = out.unionByName(docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, _MATCH))
-    return out
+        found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, _MATCH)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], _MATCH) if out is None else out
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
