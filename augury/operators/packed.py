@@ -144,21 +144,26 @@ class ValueModel:
         return math.log((self.values[bucket(value)] + base * 64) / (self.values.sum() + 64))
 
 
+def _decimal(atoms: list[Atom], seps: list[str], k: int) -> bool:
+    """Whether the separator after atom ``k`` may be a decimal comma: between two bare digit runs."""
+    (left, q1), (right, q2) = atoms[k], atoms[k + 1]
+    return seps[k] == "," and not q1 and not q2 and right.isdigit() and bool(_DIGITS.fullmatch(left))
+
+
 def _edges(atoms: list[Atom], seps: list[str], delimiter: str) -> list[tuple[int, int, str]]:
     """Values that the lattice of one delimiter allows: ``(first atom, after last atom, text)``.
 
-    A delimiter inside a value is allowed only as the decimal comma between two bare digit runs.
+    A value of several atoms is two digit runs with a decimal comma; any other separator is quoted.
     """
     cuts = [0, *(k + 1 for k, x in enumerate(seps) if x == delimiter), len(atoms)]
     out = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        inner = [x for pair in zip(atoms[a:b], [*seps[a : b - 1], ""], strict=True) for x in (pair[0][0], pair[1])]
-        out.append((a, b, "".join(inner).strip()))
+        if b - a == 1:
+            out.append((a, b, atoms[a][0]))
+        elif b - a == 2 and _decimal(atoms, seps, a):
+            out.append((a, b, f"{atoms[a][0]},{atoms[a + 1][0]}"))
     if delimiter == ",":
-        for k in range(len(seps)):
-            (left, q1), (right, q2) = atoms[k], atoms[k + 1]
-            if not q1 and not q2 and right.isdigit() and _DIGITS.fullmatch(left):
-                out.append((k, k + 2, f"{left},{right}"))
+        out += [(k, k + 2, f"{atoms[k][0]},{atoms[k + 1][0]}") for k in range(len(seps)) if _decimal(atoms, seps, k)]
     return out
 
 
@@ -167,11 +172,14 @@ def is_certain(atoms: list[Atom], seps: list[str]) -> bool:
         return False
     if not seps or seps[0] != ",":
         return True
-    return not any(not atoms[k][1] and not atoms[k + 1][1] and atoms[k + 1][0].isdigit() and _DIGITS.fullmatch(atoms[k][0]) for k in range(len(seps)))
+    return not any(_decimal(atoms, seps, k) for k in range(len(seps)))
 
 
 def readings(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[Reading]:
-    """Viterbi: for each number of values the best reading ``(n, log probability, values)``."""
+    """Viterbi: for each number of values the best reading ``(n, log probability, values)``.
+
+    Mixed separators that allow no reading cut everywhere.
+    """
     if is_certain(atoms, seps):
         return [(len(atoms), 0.0, [a for a, _ in atoms])]
     best: dict[int, Reading] = {}
@@ -191,7 +199,7 @@ def readings(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[Read
                     values.append(text)
                     place = before
                 best[n] = (n, score, values[::-1])
-    return sorted(best.values(), key=lambda r: (-r[1], r[0]))
+    return sorted(best.values(), key=lambda r: (-r[1], r[0])) or [(len(atoms), 0.0, [a for a, _ in atoms])]
 
 
 def expected(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[tuple[str, float]]:
@@ -211,6 +219,8 @@ def expected(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[tupl
         totals.append(ahead[-1])
         found += [(t, ahead[a] + w + back[b]) for (a, b, t), w in zip(edges, weights, strict=True)]
     total = float(np.logaddexp.reduce(totals))
+    if total == -math.inf:
+        return [(a, 1.0) for a, _ in atoms]
     return [(t, math.exp(x - total)) for t, x in found if x > -math.inf]
 
 

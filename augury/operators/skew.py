@@ -76,7 +76,8 @@ class LoadPlan:
 
 def frequent_keys(df: DataFrame, key: Column, count: int) -> list[tuple[str, int]]:
     """Keys that may hold at least 1/``count`` of the rows, with estimated rows, by a bounded sketch."""
-    tracked = max(1024, 8 * count)
+    count = min(count, 100_000)
+    tracked = min(max(1024, 8 * count), 1_000_000)  # limits of the sketch
     sketch = df.where(key.isNotNull()).select(key.alias("k")).agg(F.expr(f"approx_top_k(k, {count}, {tracked})").alias("s"))
     return [(x["item"], x["count"]) for x in (sketch.first()["s"] or [])]
 

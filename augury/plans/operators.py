@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,9 @@ from augury.functions.classify import category, classify
 from augury.functions.keys import id_key, ticker_key
 from augury.functions.numbers import r6, ratio
 from augury.operators.dedup import keep_first
-from augury.plans import statistics, venue_k, venue_p, views
-from augury.sources.tables import optional_table, table
+from augury.plans import charts, statistics, venue_k, venue_p, views
+from augury.sources.tables import optional_table, stream_table, table
+from augury.streaming.incremental import run_to_memory
 
 
 def maker_counterparty_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +64,7 @@ def counterparty_price_round(spark: SparkSession, d: str) -> DataFrame:
 
 def decile_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Takers' calibration per ten cents on the order-book venue."""
-    from augury.plans.views import traded
-
-    rows = traded(views.k_trades(spark, d), views.k_markets(spark, d)).where(F.col("taker_price").between(1, 99))
+    rows = views.traded(views.k_trades(spark, d), views.k_markets(spark, d)).where(F.col("taker_price").between(1, 99))
     low = (F.floor(F.col("taker_price") / 10.0) * 10).cast("long")
     return rows.groupBy(low.alias("bucket_low")).agg(F.count("*").alias("n"), F.sum("taker_won").alias("wins"), r6(F.avg("taker_price")).alias("mean_predicted"))
 
@@ -161,3 +162,18 @@ def fill_attributes(spark: SparkSession, d: str) -> DataFrame:
 def address_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Distinct traders per leading hex digit of their address."""
     return table(spark, d, "p_legacy").select(id_key("trader").alias("t")).where(F.col("t").startswith("0x")).groupBy(F.substring("t", 3, 1).alias("digit")).agg(F.countDistinct("t").alias("n"))
+
+
+def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Trades and contracts per price in cents, counted by a stream over the stored files."""
+    cents = stream_table(spark, d, "k_trades").where(F.col("yes_price") + F.col("no_price") == 100)
+    counts = cents.groupBy(F.col("yes_price").alias("price")).agg(F.count("*").alias("n"), F.sum("count").alias("contracts"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    name = f"augury_stream_{uuid.uuid4().hex}"
+    return run_to_memory(counts, name, checkpoint=f"{shared}/{name}" if shared else None)
+
+
+def chart_spec_json(spark: SparkSession, d: str) -> DataFrame:
+    """The chart of the calibration by price, as one JSON text."""
+    rows = [r.asDict() for r in venue_k.win_rate_by_price(views.k_trades(spark, d), views.k_markets(spark, d)).collect()]  # about 100 prices
+    return spark.createDataFrame([(charts.line(rows, "price", "win_rate", x_unit=charts.UnitType.CENTS).to_json(),)], "chart string")

@@ -73,6 +73,7 @@ QUARTER_LABELS = f"""WITH {TRADES}, q AS (SELECT year(created_time) AS y, quarte
 SELECT y || ' Q' || q AS quarter, 'Q' || q || ' ''' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS short, {_b('n', 'contracts')}, {_r('n / sum(n) OVER (PARTITION BY y)', 'year_share')} FROM q"""
 FILL_ATTRIBUTES = """WITH f AS (SELECT CASE WHEN maker_asset_id = '0' THEN 'BUY' ELSE 'SELL' END AS side, (CASE WHEN maker_asset_id = '0' THEN maker_amount ELSE taker_amount END)::DOUBLE AS u, (CASE WHEN maker_asset_id = '0' THEN taker_amount ELSE maker_amount END)::DOUBLE AS t FROM p_trades WHERE maker_amount > 0 AND taker_amount > 0)
 SELECT side, count(*) AS n, round(max(u / t), 4) AS max_price, CAST(sum(CAST(floor(t / 1e6) AS HUGEINT)) AS VARCHAR) AS tokens FROM f GROUP BY 1"""
+STREAM_EQUALS_BATCH = f"WITH {TRADES} SELECT yes_price AS price, count(*) AS n, {_b('sum(c)', 'contracts')} FROM trades GROUP BY 1"
 ADDRESS_PREFIXES = f"SELECT substr(t, 3, 1) AS digit, count(DISTINCT t) AS n FROM (SELECT {_id('trader')} AS t FROM p_legacy) WHERE t LIKE '0x%' GROUP BY 1"
 
 SQL = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in {"BASE", "BETS", "CAT", "MAKER_VS_TAKER_RETURNS", "MARKETS", "TAKER", "TRADES", "P_MARKETS", "TIMES"} and not k.startswith("_")}

@@ -27,3 +27,13 @@ def optional_table(spark: SparkSession, folder: str, name: str, schema: T.Struct
     if exists(spark, f"{folder}/{name}.parquet"):
         return table(spark, folder, name)
     return spark.createDataFrame([], schema)
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a directory of files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
