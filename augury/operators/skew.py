@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,4 +158,5 @@ def hot_keys(df: DataFrame, key: str, share: float, plan: LoadPlan | None = None
     """``(key, n_rows)`` of the keys with at least ``share`` of all rows, null keys counted in the total."""
     plan = plan or plan_loads(df, key)
     totals = balanced_totals(df.select(key), key, [F.count("*").alias("__n")], [F.sum("__n").alias("n_rows")], plan)
-    return totals.where(F.col("n_rows") >= F.lit(share) * F.lit(plan.total))
+    part = Fraction(str(share))  # compared in whole numbers, so a key at exactly the share counts
+    return totals.where(F.col("n_rows") * F.lit(part.denominator) >= F.lit(part.numerator * plan.total))

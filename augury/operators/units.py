@@ -55,10 +55,10 @@ class UnitTable:
     def named(self, note: Column) -> Column:
         """The power of the unit that a note names for its main quantity; null if it names none.
 
-        Clauses end at ``/ , ;``.  A clause that starts about another subject is not read.
+        Clauses end at ``/ , ;``.  From a word for another subject on, a clause is not read.
         """
-        others = r"(?iu)(^|[/,;])\s*[^/,;]*?\b(" + "|".join(OTHER_SUBJECTS) + r")\b[^/,;]*"
-        return self.power_of(F.lower(F.regexp_extract(F.regexp_replace(note, others, "$1"), self.pattern(), 1)), self.names)
+        others = r"(?iu)\b(" + "|".join(OTHER_SUBJECTS) + r")\b[^/,;]*"
+        return self.power_of(F.lower(F.regexp_extract(F.regexp_replace(note, others, ""), self.pattern(), 1)), self.names)
 
     def default(self, source: Column) -> Column:
         return self.power_of(source, self.defaults)

@@ -52,6 +52,8 @@ def test_skew_totals_and_join(spark):
 def test_skew_hot_and_empty(spark):
     df = keyed(spark)
     assert [r["key"] for r in skew.hot_keys(df, "key", 0.03).collect()] == ["HOT"]
+    edge = spark.createDataFrame([("a",)] * 3 + [(f"x{k}",) for k in range(97)], "key string")
+    assert [r["key"] for r in skew.hot_keys(edge, "key", 0.03).collect()] == ["a"]
     assert skew.hot_keys(df.limit(0), "key", 0.03).count() == 0
     nulls = spark.createDataFrame([(None,)] * 3, "key string")
     assert skew.hot_keys(nulls, "key", 0.03).count() == 0
@@ -167,7 +169,7 @@ def test_hex_text(spark):
 
 def test_notes(spark):
     table = units.UnitTable({"cent": 2, "cents": 2, "¢": 2, "mill": 1, "tenth of a cent": 1, "bp": 0, "usd e-6": -2}, {"rest": 2})
-    cases = {"px in Tenth of a Cent": 1, "[¢]": 2, "px:bp / fee:cent": 0, "fee in cent": None, "fee:cent / px:mill": 1, "price=USD E-6;src=x": -2, "millions": None, "": None, "ok": None, None: None, "yes/no quoted in cents": 2, "taker leg cent": None}
+    cases = {"px in Tenth of a Cent": 1, "[¢]": 2, "px:bp / fee:cent": 0, "fee in cent": None, "fee:cent / px:mill": 1, "price=USD E-6;src=x": -2, "millions": None, "": None, "ok": None, None: None, "yes/no quoted in cents": 2, "taker leg cent": None, "px in cents after fee": 2}
     df = spark.createDataFrame(list(cases.items()), "note string, want int")
     assert {r[0]: r[1] for r in df.select("note", table.named(F.col("note"))).collect()} == cases
     empty = units.UnitTable({}, {})
