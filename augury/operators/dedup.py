@@ -33,7 +33,8 @@ def _ranked(df: DataFrame, key: str, arrival: str, ties: Sequence[str] | None, p
 def keep_first(df: DataFrame, key: str, arrival: str, ties: Sequence[str] | None = None, plan: LoadPlan | None = None) -> DataFrame:
     """One row per ``key``: the earliest by ``arrival``; rows with a null key are all kept.
 
-    The rank filter lets Spark cut each task's copies of a key to one before the shuffle.
+    The rank filter lets Spark cut each task's copies of a key to one before the shuffle.  Null keys are
+    told apart by row numbers within a task, so ``df`` must come in a fixed order, as a scan does.
     """
     plan = plan or LoadPlan(1, 0)
     alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))

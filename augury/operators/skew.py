@@ -59,7 +59,11 @@ class LoadPlan:
         return F.broadcast(spark.createDataFrame(list(self.salts.items()), _HOT))
 
     def scatter(self, df: DataFrame, key: str) -> DataFrame:
-        """Adds the salt: rows of a hot key take its shards in turn, all others get 0."""
+        """Adds the salt: rows of a hot key take its shards in turn, all others get 0.
+
+        Turns are row numbers within a task, so ``df`` must come in a fixed order, as a scan does: a task
+        that runs again must deal its rows alike.  After a shuffle keep the salt that rows have.
+        """
         if not self.salts:
             return df.withColumn(SALT, F.lit(0))
         turn = F.monotonically_increasing_id() + F.spark_partition_id()
@@ -135,23 +139,27 @@ def balanced_totals(df: DataFrame, key: str, aggregates: Sequence[Column], merge
     """Per-key aggregates: ``aggregates`` per shard, then ``merges`` over the shards of a key.
 
     Rows with a null key form no group.  Partial aggregation runs before both shuffles, so a shuffle
-    moves one row per key, shard and task.  An empty table gives no rows.
+    moves one row per key, shard and task.  An empty table gives no rows.  Rows that carry a salt already
+    (from :func:`fragment_replicate_join`) keep it.
     """
-    plan = plan or plan_loads(df, key)
-    parts = plan.scatter(df.where(F.col(key).isNotNull()), key).groupBy(key, SALT).agg(*aggregates)
+    rows = df.where(F.col(key).isNotNull())
+    if SALT not in df.columns:
+        rows = (plan or plan_loads(df, key)).scatter(rows, key)
+    parts = rows.groupBy(key, SALT).agg(*aggregates)
     return parts.groupBy(key).agg(*merges)
 
 
-def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None) -> DataFrame:
+def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None, keep_salt: bool = False) -> DataFrame:
     """Joins a skewed ``left`` to ``right`` on ``key``; the shards of a hot key run as separate tasks.
 
     ``how`` is ``inner`` or ``left``.  Null keys match nothing.  ``right`` may repeat keys, with the
     usual result of a join; its columns must differ from those of ``left`` except for the key.
+    ``keep_salt`` leaves the salt in the result, for totals over the same shards without a new shuffle.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     plan = plan or plan_loads(left, key)
-    return plan.scatter(left, key).join(plan.replicate(right.where(F.col(key).isNotNull()), key), [key, SALT], how).drop(SALT)
+    return plan.scatter(left, key).join(plan.replicate(right.where(F.col(key).isNotNull()), key), [key, SALT], how) if keep_salt else fragment_replicate_join(left, right, key, how, plan, True).drop(SALT)
 
 
 def hot_keys(df: DataFrame, key: str, share: float, plan: LoadPlan | None = None) -> DataFrame:

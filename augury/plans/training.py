@@ -33,10 +33,10 @@ def p1_ticker_totals(spark: SparkSession, d: str) -> DataFrame:
     trades = _keyed(spark, d, "k_trades", "ticker").select("hot_key", "count").where(F.col("hot_key").isNotNull())
     events = table(spark, d, "k_markets").groupBy(ticker_key("ticker").alias("hot_key")).agg(F.max(ticker_key("event_ticker")).alias("event_ticker"))
     plan = skew.plan_loads(trades, "hot_key")
-    joined = skew.fragment_replicate_join(trades, events, "hot_key", "left", plan)
+    joined = skew.fragment_replicate_join(trades, events, "hot_key", "left", plan, keep_salt=True)
     parts = [F.count("*").alias("n"), F.sum("count").alias("c"), F.max("event_ticker").alias("e")]
     merges = [F.sum("n").alias("n_rows"), F.sum("c").alias("contracts"), F.max("e").alias("event_ticker")]
-    return skew.balanced_totals(joined, "hot_key", parts, merges, plan).withColumnRenamed("hot_key", "ticker")
+    return skew.balanced_totals(joined, "hot_key", parts, merges).withColumnRenamed("hot_key", "ticker")
 
 
 def p1_address_totals(spark: SparkSession, d: str) -> DataFrame:

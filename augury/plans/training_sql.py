@@ -75,8 +75,7 @@ def _note(table: str, field: str, note: str) -> str:
  WHERE u.tbl = '{table}' AND u.field_name = '{field}' AND u.source IS NULL AND regexp_matches(n.t, '(^|[^a-z0-9])' || lower(u.unit_name) || '($|[^a-z0-9])'))"""
 
 
-P4_FOUND = f"""
-WITH notes_k AS (SELECT price_note AS note, {_note('k_trades', 'yes_price', 'price_note')} AS p FROM (SELECT DISTINCT price_note FROM k_trades WHERE price_note IS NOT NULL)),
+_P4 = f"""notes_k AS (SELECT price_note AS note, {_note('k_trades', 'yes_price', 'price_note')} AS p FROM (SELECT DISTINCT price_note FROM k_trades WHERE price_note IS NOT NULL)),
 notes_p AS (SELECT amount_note AS note, {_note('p_trades', 'maker_amount', 'amount_note')} AS p FROM (SELECT DISTINCT amount_note FROM p_trades WHERE amount_note IS NOT NULL)),
 feeds AS (SELECT source, pow10 FROM unit_defs WHERE tbl = 'k_trades' AND source IS NOT NULL),
 contracts AS (SELECT source, pow10 FROM unit_defs WHERE tbl = 'p_trades' AND source IS NOT NULL),
@@ -91,11 +90,19 @@ l1 AS (SELECT rec_key, s, regexp_extract(s, '(thousand shares|18 decimals|6 deci
   WHERE NOT regexp_matches(s, '^0x') AND NOT regexp_matches(s, '^[0-9.]+e[+-]?[0-9]+$')),
 l2 AS (SELECT rec_key, u, regexp_replace(CASE WHEN u = '' THEN s ELSE replace(s, u, '') END, '[ ,:()\\[\\]]', '', 'g') AS n FROM l1),
 l AS (SELECT rec_key, n, CASE WHEN u = '' THEN 18 ELSE (SELECT max(pow10) FROM unit_defs d WHERE d.tbl = 'p_legacy' AND d.unit_name = u) END AS p FROM l2
-  WHERE regexp_matches(n, '^[0-9]+([.][0-9]+)?$') AND (u <> '' OR n LIKE '%.%'))
+  WHERE regexp_matches(n, '^[0-9]+([.][0-9]+)?$') AND (u <> '' OR n LIKE '%.%'))"""
+
+P4_FOUND = f"""WITH {_P4}
 SELECT DISTINCT 'k_trades' AS src, rec_key, CAST(CASE WHEN p >= 0 THEN CAST(v AS HUGEINT) * CAST(power(10, p) AS HUGEINT) ELSE CAST(v AS HUGEINT) // CAST(power(10, -p) AS HUGEINT) END AS VARCHAR) AS val FROM k WHERE p <> 2
 UNION ALL SELECT DISTINCT 'p_trades', rec_key, CAST(CASE WHEN p >= 0 THEN CAST(v AS HUGEINT) * CAST(power(10, p) AS HUGEINT) ELSE CAST(v AS HUGEINT) // CAST(power(10, -p) AS HUGEINT) END AS VARCHAR) FROM p WHERE p <> 0
 UNION ALL SELECT DISTINCT 'p_legacy', rec_key, ltrim(split_part(n, '.', 1) || rpad(split_part(n, '.', 2), CAST(p AS INTEGER), '0'), '0') FROM l WHERE p <> 0"""
 
+P4_UNITS = f"""WITH {_P4},
+kn AS (SELECT 'k_trades' AS src, v IS NOT NULL AS ok, p FROM k UNION ALL SELECT 'k_trades', false, NULL FROM k_trades WHERE yes_price IS NULL),
+pn AS (SELECT 'p_trades' AS src, true AS ok, p FROM p UNION ALL SELECT 'p_trades', false, NULL FROM p_trades WHERE maker_amount IS NULL),
+ln AS (SELECT 'p_legacy' AS src, true AS ok, CASE WHEN regexp_matches(s, '^0x[0-9a-f]+$') OR regexp_matches(s, '^[0-9.]+e[+-]?[0-9]+$') OR regexp_matches(s, '^[0-9]+([, ]+[0-9]+)*$') THEN 0 ELSE (SELECT max(l.p) FROM l WHERE l.rec_key = l0.rec_key) END AS p FROM l0)
+SELECT src, CAST(p AS INTEGER) AS power, false AS uncertain, count(*) AS n_rows FROM (SELECT * FROM kn UNION ALL SELECT * FROM pn UNION ALL SELECT * FROM ln) GROUP BY 1, 2"""
+
 
 def _copies(name: str, key: str) -> str:
     return f"SELECT '{name}' AS src, k AS msg_key, count(*) AS n_copies FROM (SELECT {key} AS k FROM {name}) WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1"
@@ -116,4 +123,4 @@ WITH r AS (SELECT {_id('trade_id')} AS msg_key, trade_id, "count", _fetched_at,
 SELECT msg_key, "count", _fetched_at FROM r WHERE late AND (msg_key IS NULL OR msg_key NOT IN (SELECT msg_key FROM r WHERE NOT late AND msg_key IS NOT NULL))
 QUALIFY msg_key IS NULL OR row_number() OVER (PARTITION BY msg_key ORDER BY _fetched_at NULLS LAST, trade_id) = 1"""
 
-SQL = {k.lower(): v for k, v in list(globals().items()) if k.startswith("P") and k[1].isdigit()}
+SQL = {k.lower(): v for k, v in list(globals().items()) if k[0] == "P" and k[1].isdigit()}
