@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from augury.llm.batches import slices, words_in
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the public pre-tokenizer pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,20 +103,36 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_column: str
     model = spark.sparkContext.broadcast(ByteBpe.load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, split, cache = model.value, regex.compile(PATTERN).findall, {}
-        for batch in batches:
-            words = [split(t) if t else [] for t in batch.column(1).to_pylist()]
-            fresh = list(set(chain.from_iterable(words)) - cache.keys())
+        bpe, pattern, cache = model.value, regex.compile(PATTERN), {}
+
+        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of all words in a row, and where each word ends."""
+            fresh = list(set(words) - cache.keys())
             if len(cache) + len(fresh) > CACHE_MOST:
                 cache.clear()
-                fresh = list(set(chain.from_iterable(words)))
+                fresh = list(set(words))
             if fresh:
                 cache.update(zip(fresh, bpe.encode_words(fresh), strict=True))
-            lists = [list(chain.from_iterable(map(cache.__getitem__, w))) for w in words]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(ends[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+            lists = list(map(cache.__getitem__, words))
+            ends = np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+            return np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(ends[-1]) if len(ends) else 0), ends
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            flat, sizes = [np.zeros(0, dtype=np.int32)], []
+            for a, b in slices(texts):
+                if b - a == 1:  # perhaps a very long text
+                    parts = [ids_of(w)[0] for w in words_in(pattern, texts[a] or "")]
+                    flat += parts
+                    sizes.append(sum(map(len, parts)))
+                else:
+                    words = [pattern.findall(t) if t else [] for t in texts[a:b]]
+                    ids, ends = ids_of(list(chain.from_iterable(words)))
+                    flat.append(ids)
+                    sizes += np.diff(np.r_[0, ends][np.cumsum([0, *map(len, words)])]).tolist()
+            ends = np.cumsum([0, *sizes]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")

@@ -29,10 +29,11 @@ from augury.operators.lineage import cut
 
 ASCII_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # Control characters that are tabs or line ends; format characters that have a shape;
-# ignorable marks and letters without width; a letter whose published twin (i) is not the one of its shape.
+# ignorable marks and letters without width; symbols and letters drawn as a blank; a letter whose published twin (i) is not the one of its shape.
 LINE_CONTROLS = "\t\n\v\f\r\x1c\x1d\x1e\x85"
 VISIBLE_FORMATS = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
-WIDTHLESS_MARKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+WIDTHLESS_MARKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f"
+BLANK_LETTERS = "\u2800\u3164\uffa0"
 SHAPE_FIXES = {"\u04cf": "l"}
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x1f\x7f]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
@@ -50,7 +51,7 @@ def width_table() -> dict[int, str]:
         kind = unicodedata.category(ch)
         if (kind == "Cf" and ch not in VISIBLE_FORMATS) or (kind == "Cc" and ch not in LINE_CONTROLS) or ch in WIDTHLESS_MARKS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
             out[cp] = ""
-        elif kind == "Zs":
+        elif kind == "Zs" or ch in BLANK_LETTERS:
             out[cp] = " "
         elif (parts := unicodedata.decomposition(ch)).startswith("<"):
             tag, *codes = parts.split()

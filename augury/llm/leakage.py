@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from augury.llm.batches import slices, words_in
 from augury.llm.canon import Canon
 
 WORDS = 10
@@ -130,51 +131,55 @@ class ItemIndex:
         return common / np.maximum(1, mine_w.sum(axis=1) + theirs_w.sum(axis=1) - common)
 
 
-class _Vocabulary:
-    """Codes, hashes, weights and weighted bits of the words a worker has seen."""
+class _Words:
+    """Hashes of the words a worker has seen, and their weights by hash."""
 
     def __init__(self, index: ItemIndex):
-        self.index, self.code = index, {}
-        self.hashes, self.weights, self.bits = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros((0, 64), np.int8)
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        fresh = set(words) - self.code.keys()
-        if len(self.code) + len(fresh) > VOCABULARY_MOST and self.code:
-            self.__init__(self.index)
+        self.seen: dict[str, int] = {}
+        known = np.array([(word_hash(w), n) for w, n in index.weights.items()], dtype=[("h", "<u8"), ("w", "<i4")])
+        known.sort(order="h")
+        self.known, self.top = known, index.top
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        fresh = set(words) - self.seen.keys()
+        if len(self.seen) + len(fresh) > VOCABULARY_MOST:
+            self.seen.clear()
             fresh = set(words)
-        if fresh:
-            new = list(fresh)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            h = np.fromiter(map(word_hash, new), dtype=np.uint64, count=len(new))
-            w = np.array([self.index.weights.get(x, self.index.top) for x in new], dtype=np.int32)
-            self.hashes, self.weights = np.r_[self.hashes, h], np.r_[self.weights, w]
-            self.bits = np.concatenate([self.bits, _sign_bits(h, w)])
-        return np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+        self.seen.update((w, word_hash(w)) for w in fresh)
+        return np.fromiter(map(self.seen.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(hashes), self.top, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.known["h"], hashes), len(self.known) - 1)
+        return np.where(self.known["h"][at] == hashes, self.known["w"][at], self.top).astype(np.int32)
 
 
-def _search(docs: list[tuple[int, list[str]]], vocabulary: _Vocabulary) -> pd.DataFrame | None:
+def _search(ids: list[int], texts: list[str | None], canon: Canon, index: ItemIndex, words: _Words) -> pd.DataFrame | None:
     """Verified windows of some documents against the index, joined to runs along each diagonal."""
-    index = vocabulary.index
-    docs = [(i, w) for i, w in docs if len(w) >= WORDS]
-    if not docs or not len(index.prints):
+    if not len(index.prints):
         return None
-    codes = vocabulary.codes([x for _, w in docs for x in w])
-    lengths = np.array([len(w) for _, w in docs])
+    parts, lengths = [np.zeros(0, dtype=np.uint64)], []
+    for t in texts:
+        got = [words.hashes(w) for w in words_in(_WORD, canon(t).lower())] if t else []
+        parts += got
+        lengths.append(sum(map(len, got)))
+    hashes = np.concatenate(parts)
     first = np.r_[0, np.cumsum(lengths)]
-    owner = np.repeat(np.arange(len(docs)), lengths)
+    owner = np.repeat(np.arange(len(ids)), lengths)
     hits = []
-    for a in range(0, len(codes) - WORDS + 1, CHUNK_WORDS):
-        part = codes[a : a + CHUNK_WORDS + WORDS - 1]
-        prints = simhashes(vocabulary.bits[part], WORDS)
+    for a in range(0, len(hashes) - WORDS + 1, CHUNK_WORDS):
+        part = hashes[a : a + CHUNK_WORDS + WORDS - 1]
+        weights = words.weights(part)
+        prints = simhashes(_sign_bits(part, weights), WORDS)
         inside = np.flatnonzero(owner[a : a + len(prints)] == owner[a + WORDS - 1 : a + WORDS - 1 + len(prints)])
         window, passage = index.near(prints[inside])
         window = inside[window]
         if not len(window):
             continue
-        hashes = vocabulary.hashes[part]
-        likeness = index.verify(_shingles(hashes), vocabulary.weights[part], window, passage)
+        likeness = index.verify(_shingles(part), weights, window, passage)
         span = np.arange(WORDS)
-        same = (hashes[window[:, None] + span] == index.hashes[index.starts[passage][:, None] + span]).all(axis=1)
+        same = (part[window[:, None] + span] == index.hashes[index.starts[passage][:, None] + span]).all(axis=1)
         ok = likeness >= SIMILAR
         hits.append((window[ok] + a, passage[ok], likeness[ok], same[ok]))
     if not hits:
@@ -186,7 +191,7 @@ def _search(docs: list[tuple[int, list[str]]], vocabulary: _Vocabulary) -> pd.Da
     out = out.sort_values(["doc", "item_id", "same", "diagonal", "doc_at"], kind="stable", ignore_index=True)
     step = (out[["doc", "item_id", "same", "diagonal"]].diff().fillna(1).astype(float) != 0).any(axis=1) | (out["doc_at"].diff() != 1)
     runs = out.groupby(step.cumsum()).agg(doc=("doc", "first"), item_id=("item_id", "first"), same=("same", "first"), doc_at=("doc_at", "first"), item_at=("item_at", "first"), n=("doc_at", "size"), similarity=("similarity", "max"))
-    ids = np.array([i for i, _ in docs], dtype=np.int64)
+    ids = np.array(ids, dtype=np.int64)
     n_words = np.where(runs["same"], runs["n"] + WORDS - 1, 0)
     return pd.DataFrame({"doc_id": ids[runs["doc"]], "item_id": runs["item_id"], "n_words": n_words.astype(np.int32), "doc_at": runs["doc_at"].astype(np.int32), "item_at": runs["item_at"], "similarity": runs["similarity"]})
 
@@ -226,11 +231,13 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             make, index = shared.value
-            vocabulary = _Vocabulary(index)
+            words = _Words(index)
             for pdf in frames:
-                found = _search([(i, words_of(t, make)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)], vocabulary)
-                if found is not None:
-                    yield found
+                ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+                for a, b in slices(texts):
+                    found = _search(ids[a:b], texts[a:b], make, index, words)
+                    if found is not None:
+                        yield found
 
         found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, _MATCH)
         out = found if out is None else out.unionByName(found)
