@@ -162,10 +162,15 @@ def analyses() -> dict[str, Analysis]:
 
 
 def _split(name: str, query: registry.Query) -> tuple[str, registry.Query, Drawn | None]:
-    description, draw = _DRAWN.get(name, ((query.__doc__ or name.replace("_", " ")).strip().splitlines()[0], None))
+    description, draw = _DRAWN.get(name, ((query.__doc__ or title(name)).strip().splitlines()[0], None))
     return description, query, draw
 
 
+def title(name: str) -> str:
+    """``snake_case`` as a title."""
+    return " ".join(map(str.capitalize, name.split("_")))
+
+
 def latex_macros(rows: Sequence[dict[str, Any]]) -> str:
     """Macros for the figures of ``meta_stats``."""
     by = {r["metric"]: r["formatted"] for r in rows}

@@ -64,6 +64,7 @@ def _venue_p() -> dict[str, Query]:
         "polymarket_volume_over_time": lambda s, d: venue_p.volume_over_time(trades(s, d), views.p_legacy(s, d), blocks(s, d), collateral(s, d)),
         "daily_cumulative_snapshot": lambda s, d: venue_p.snapshots(*days(s, d)).drop("day_total").withColumn("day", F.date_format("day", "yyyy-MM-dd")),
         "every_other_day": lambda s, d: venue_p.kept_days(venue_p.snapshots(*days(s, d))).withColumn("day", F.date_format("day", "yyyy-MM-dd")),
+        "animation_frames": lambda s, d: venue_p.animation_frames(*days(s, d)),
         "win_rate_by_price_animated": lambda s, d: venue_p.win_rate_by_price_animated(*days(s, d)),
     }
 

@@ -197,3 +197,22 @@ def win_rate_by_price_animated(k: DataFrame, p: DataFrame, least: int = 1000) ->
     rows = snapshots(k, p)
     last = F.broadcast(kept_days(rows, least).agg(F.max("day").alias("day")))
     return rows.join(last, "day").select("platform", "price", "total", "wins", r6(100.0 * ratio(F.col("wins"), F.col("total"))).alias("win_rate"))
+
+
+def animation_frames(k: DataFrame, p: DataFrame, least: int = 1000, pause: int = 10) -> DataFrame:
+    """``(frame, platform, price, total, wins, win_rate)``: each kept day shows every venue's latest totals.
+
+    A venue without trades on the day shows its last day before (as-of); before its first day it is
+    absent.  The last day is repeated for ``pause`` frames.
+    """
+    rows = snapshots(k, p)
+    kept = kept_days(rows, least)
+    held = rows.select("platform", "day").distinct().withColumn("seen", F.col("day"))
+    asked = kept.join(rows.select("platform").distinct(), how="cross").select("platform", "day", F.lit(None).cast("date").alias("seen"), "frame")  # two venues
+    both = held.withColumn("frame", F.lit(None).cast("long")).unionByName(asked)
+    order = Window.partitionBy("platform").orderBy("day", F.col("frame").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)  # a row per day
+    asof = both.withColumn("seen", F.last("seen", ignorenulls=True).over(order)).where(F.col("frame").isNotNull() & F.col("seen").isNotNull())
+    top = asof.withColumn("last", F.max("frame").over(Window.partitionBy()))  # a row per frame and venue
+    shown = top.withColumn("frame", F.explode(F.when(F.col("frame") == F.col("last"), F.sequence("frame", F.col("frame") + pause)).otherwise(F.array("frame"))))
+    found = shown.select("platform", F.col("seen").alias("day"), "frame").join(rows, ["platform", "day"])
+    return found.select("frame", "platform", "price", "total", "wins", r6(100.0 * ratio(F.col("wins"), F.col("total"))).alias("win_rate"))

@@ -47,5 +47,9 @@ ok AS (SELECT day, row_number() OVER (ORDER BY day) AS k FROM (SELECT day FROM (
 DAILY_CUMULATIVE_SNAPSHOT = f"{_SNAPSHOTS} SELECT platform, strftime(day, '%Y-%m-%d') AS day, price, {_b('total', 'total')}, {_b('wins', 'wins')} FROM s"
 EVERY_OTHER_DAY = f"{_SNAPSHOTS} SELECT strftime(day, '%Y-%m-%d') AS day, (k + 1) // 2 AS frame FROM ok WHERE k % 2 = 1"
 WIN_RATE_BY_PRICE_ANIMATED = f"{_SNAPSHOTS} SELECT platform, price, {_b('total', 'total')}, {_b('wins', 'wins')}, {_r('100.0 * wins / total', 'win_rate')} FROM s WHERE day = (SELECT max(day) FROM ok WHERE k % 2 = 1)"
+ANIMATION_FRAMES = f"""{_SNAPSHOTS}, fr AS (SELECT day, (k + 1) // 2 AS frame FROM ok WHERE k % 2 = 1), top AS (SELECT max(frame) AS m FROM fr),
+fx AS (SELECT day, frame FROM fr UNION ALL SELECT day, frame + i FROM fr, top, range(1, 11) r(i) WHERE frame = m),
+a AS (SELECT frame, platform, max(s.day) AS day FROM fx JOIN days s ON s.day <= fx.day GROUP BY 1, 2)
+SELECT frame, platform, price, {_b('total', 'total')}, {_b('wins', 'wins')}, {_r('100.0 * wins / total', 'win_rate')} FROM a JOIN s USING (platform, day)"""
 
 SQL = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in {"MARKETS", "POS", "TIMES", "BY_PRICE", "POSITIONS"} and not k.startswith("_")}
