@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from augury.llm import bpe, canon, leakage
+from augury.llm import batches, bpe, canon, leakage
 from augury.llm import queries as q
 
 DOCS = "doc_id long, text string"
@@ -108,7 +108,7 @@ def brute(docs, items, make):
 def test_leaks(spark, small, make, stored, monkeypatch):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/eval_items.parquet").collect()]
     word = items[0][1].split()
-    docs = stored + [(20_000, " / ".join(word[:10]).upper()), (20_001, " ".join(word[:9])), (20_002, " ".join([*word[:6], "odd", *word[6:12]])), (20_003, "filler " * 70_000 + " ".join(word[3:15]) + " filler" * 70_000), (20_004, " ".join(word[:12]).replace("o", "ο"))]
+    docs = stored + [(20_000, " / ".join(word[:10]).upper()), (20_001, " ".join(word[:9])), (20_002, " ".join([*word[:6], "odd", *word[6:12]])), (20_003, "filler " * 160_000 + " ".join(word[3:15]) + " filler" * 160_000), (20_004, " ".join(word[:12]).replace("o", "ο"))]
     df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, (900, "too short"), (901, None), (902, "")], "item_id long, text string")
     want = brute(docs, items, make)
     assert {(20_000, items[0][0]), (20_003, items[0][0]), (20_004, items[0][0])} <= want and not {(20_001, items[0][0]), (20_002, items[0][0])} & want
@@ -134,6 +134,26 @@ def test_blocks_miss_nothing_within_radius():
         assert set(passage.tolist()) == set(want.tolist()) and target in passage
 
 
+def test_slices_and_words():
+    texts = ["a" * n for n in (3, 0, 4, 20, 1, 1)] + [None]
+    for most in (1, 5, 8, 1000):
+        cut = list(batches.slices(texts, most))
+        assert [k for a, b in cut for k in range(a, b)] == list(range(7))
+        assert all(b - a == 1 or sum(len(t or "") for t in texts[a:b]) <= most for a, b in cut)
+    assert list(batches.slices([])) == []
+    long = "ab cd " * 400_000
+    parts = list(batches.words_in(leakage._WORD, long, 1000))
+    assert len(parts) == 800 and sum(parts, []) == leakage._WORD.findall(long)
+
+
+def test_very_long_text(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe.DEFAULT_VOCABULARY)
+    long = "".join(f"word{k % 977} é{k % 13}, " for k in range(200_000))
+    got = bpe.encode(spark.createDataFrame([(1, long), (2, "x"), (3, None)], DOCS)).collect()
+    assert {r["doc_id"]: len(r["ids"]) for r in got} == {1: len(t.encode(long).ids), 2: 1, 3: 0}
+
+
 def test_queries_run(spark, small):
     from augury.llm.registry import queries
 
