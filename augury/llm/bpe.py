@@ -107,7 +107,7 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_column: str
 
         def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Ids of all words in a row, and where each word ends."""
-            fresh = list(set(words) - cache.keys())
+            fresh = [w for w in set(words) if w not in cache]
             if len(cache) + len(fresh) > CACHE_MOST:
                 cache.clear()
                 fresh = list(set(words))

@@ -165,7 +165,7 @@ def forms(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def look_keys(docs: DataFrame) -> DataFrame:
     """``(doc_id, form, raw)``: 128-bit digests of the form and of the stored text.
 
-    Documents without a visible character (null, empty, blank) are left out.
+    Documents without a visible character (null, empty, blank) or without an id are left out.
     """
     spark = docs.sparkSession
     canon = spark.sparkContext.broadcast(Canon.of(spark))
@@ -183,7 +183,7 @@ def look_keys(docs: DataFrame) -> DataFrame:
                 b.append(a[-1] if form == t else digest(t))
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "form": a, "raw": b})
 
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, "doc_id long, form binary, raw binary")
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, form binary, raw binary")
 
 
 def look_alike_pairs(docs: DataFrame) -> DataFrame:

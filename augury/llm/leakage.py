@@ -141,10 +141,10 @@ class _Words:
         self.known, self.top = known, index.top
 
     def hashes(self, words: list[str]) -> np.ndarray:
-        fresh = set(words) - self.seen.keys()
+        fresh = [w for w in set(words) if w not in self.seen]
         if len(self.seen) + len(fresh) > VOCABULARY_MOST:
             self.seen.clear()
-            fresh = set(words)
+            fresh = list(set(words))
         self.seen.update((w, word_hash(w)) for w in fresh)
         return np.fromiter(map(self.seen.__getitem__, words), dtype=np.uint64, count=len(words))
 
@@ -203,7 +203,7 @@ def _item_blocks(items: DataFrame, canon: Canon) -> Iterator[ItemIndex]:
         return ItemIndex(block, Counter(x for _, w in block for x in set(w)), len(block))
 
     block, size = [], 0
-    for row in items.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id").toLocalIterator():
+    for row in items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator():
         words = words_of(row["text"], canon)
         if len(words) < WORDS:
             continue
@@ -221,7 +221,7 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``n_words`` is the length of a run of equal words (10 or more), or 0 for a window that is only
     similar (0.8 or more).  Positions count words from 0.  Null and empty texts hold nothing; items below
-    10 words can't be told from chance and have no passages.
+    10 words have no passage; rows without an id can't be reported and are left out.
     """
     spark = docs.sparkSession
     canon = Canon.of(spark)
@@ -239,7 +239,7 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
                     if found is not None:
                         yield found
 
-        found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, _MATCH)
+        found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(run, _MATCH)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], _MATCH) if out is None else out
 
