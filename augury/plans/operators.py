@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from augury.functions.blocks import interpolate, iso_z
-from augury.functions.classify import category, classify
+from augury.functions.classify import DEFAULT_RULES, category, classify
 from augury.functions.keys import id_key, ticker_key
 from augury.functions.numbers import r6, ratio
 from augury.operators.dedup import keep_first
@@ -164,6 +164,26 @@ def address_prefixes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "p_legacy").select(id_key("trader").alias("t")).where(F.col("t").startswith("0x")).groupBy(F.substring("t", 3, 1).alias("digit")).agg(F.countDistinct("t").alias("n"))
 
 
+def arg_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """The prices with the best and the worst expected value on either side; ties go to the lowest price."""
+    ev = venue_k.ev_yes_vs_no(views.k_trades(spark, d), views.k_markets(spark, d))
+    pick = lambda side, sign: F.max_by("price", F.when(F.col(f"{side}_ev").isNotNull(), F.struct(sign * F.col(f"{side}_ev"), -F.col("price"))))
+    return ev.agg(*(pick(side, sign).alias(f"{name}_{side}") for side in ("yes", "no") for name, sign in (("best", F.lit(1.0)), ("worst", F.lit(-1.0)))))
+
+
+def top_k_events(spark: SparkSession, d: str) -> DataFrame:
+    """The eight events with the largest volume; ties by name."""
+    per = views.k_markets(spark, d).where(F.col("event_ticker").isNotNull()).groupBy("event_ticker").agg(F.sum("volume").alias("volume"), F.count("*").alias("n_markets"))
+    return per.orderBy(F.col("volume").desc_nulls_last(), "event_ticker").limit(8)
+
+
+def ranks_within_group(spark: SparkSession, d: str) -> DataFrame:
+    """Position (from 0) and size of the category's group, by volume."""
+    cats = venue_k._categories(views.k_markets(spark, d), DEFAULT_RULES).select(F.col("c.group").alias("group"), "name", "total_volume")
+    order = Window.partitionBy("group").orderBy(F.col("total_volume").desc(), "name")
+    return cats.select("group", "name", (F.row_number().over(order) - 1).alias("pos"), F.count("*").over(Window.partitionBy("group")).alias("size"))
+
+
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Trades and contracts per price in cents, counted by a stream over the stored files."""
     cents = stream_table(spark, d, "k_trades").where(F.col("yes_price") + F.col("no_price") == 100)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from augury.plans.training_sql import _id, _ticker
-from augury.plans.venue_k_sql import BASE, BETS, CAT, MAKER_VS_TAKER_RETURNS, MARKETS, TAKER, TRADES, WHICH, _b, _r
+from augury.plans.venue_k_sql import BASE, BETS, CAT, EV_YES_VS_NO, MAKER_VS_TAKER_RETURNS, MARKETS, TAKER, TRADES, WHICH, _b, _r
 from augury.plans.venue_p_sql import MARKETS as P_MARKETS
 from augury.plans.venue_p_sql import TIMES
 
@@ -73,7 +73,11 @@ QUARTER_LABELS = f"""WITH {TRADES}, q AS (SELECT year(created_time) AS y, quarte
 SELECT y || ' Q' || q AS quarter, 'Q' || q || ' ''' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS short, {_b('n', 'contracts')}, {_r('n / sum(n) OVER (PARTITION BY y)', 'year_share')} FROM q"""
 FILL_ATTRIBUTES = """WITH f AS (SELECT CASE WHEN maker_asset_id = '0' THEN 'BUY' ELSE 'SELL' END AS side, (CASE WHEN maker_asset_id = '0' THEN maker_amount ELSE taker_amount END)::DOUBLE AS u, (CASE WHEN maker_asset_id = '0' THEN taker_amount ELSE maker_amount END)::DOUBLE AS t FROM p_trades WHERE maker_amount > 0 AND taker_amount > 0)
 SELECT side, count(*) AS n, round(max(u / t), 4) AS max_price, CAST(sum(CAST(floor(t / 1e6) AS HUGEINT)) AS VARCHAR) AS tokens FROM f GROUP BY 1"""
+ARG_EXTREMES = f"WITH e AS ({EV_YES_VS_NO}) SELECT {', '.join(f'(SELECT price FROM e WHERE {s}_ev IS NOT NULL ORDER BY {s}_ev {o}, price LIMIT 1) AS {n}_{s}' for s in ('yes', 'no') for n, o in (('best', 'DESC'), ('worst', 'ASC')))}"
+TOP_K_EVENTS = f"WITH {MARKETS} SELECT event_ticker, {_b('sum(volume)', 'volume')}, count(*) AS n_markets FROM markets WHERE event_ticker IS NOT NULL GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 8"
+RANKS_WITHIN_GROUP = f"""WITH {MARKETS}, c AS (SELECT {CAT} AS cat, sum(coalesce(volume, 0)) AS v FROM markets GROUP BY 1), g AS (SELECT {WHICH('group')} AS "group", cat, v FROM c)
+SELECT "group", cat AS name, CAST(row_number() OVER (PARTITION BY "group" ORDER BY v DESC, cat) - 1 AS INTEGER) AS pos, count(*) OVER (PARTITION BY "group") AS size FROM g"""
 STREAM_EQUALS_BATCH = f"WITH {TRADES} SELECT yes_price AS price, count(*) AS n, {_b('sum(c)', 'contracts')} FROM trades GROUP BY 1"
 ADDRESS_PREFIXES = f"SELECT substr(t, 3, 1) AS digit, count(DISTINCT t) AS n FROM (SELECT {_id('trader')} AS t FROM p_legacy) WHERE t LIKE '0x%' GROUP BY 1"
 
-SQL = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in {"BASE", "BETS", "CAT", "MAKER_VS_TAKER_RETURNS", "MARKETS", "TAKER", "TRADES", "P_MARKETS", "TIMES"} and not k.startswith("_")}
+SQL = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in {"BASE", "BETS", "CAT", "EV_YES_VS_NO", "MAKER_VS_TAKER_RETURNS", "MARKETS", "TAKER", "TRADES", "P_MARKETS", "TIMES"} and not k.startswith("_")}

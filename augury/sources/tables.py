@@ -29,6 +29,12 @@ def optional_table(spark: SparkSession, folder: str, name: str, schema: T.Struct
     return spark.createDataFrame([], schema)
 
 
+def prefixed(spark: SparkSession, folder: str, prefix: str, schema: T.StructType | None = None) -> DataFrame:
+    """The Parquet files of a folder whose names start with ``prefix``."""
+    reader = spark.read.option("pathGlobFilter", f"{prefix}*.parquet")
+    return (reader.schema(schema) if schema else reader).parquet(folder)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The files of a table as a stream, whether the table is one file or a directory of files."""
     path = f"{folder}/{name}.parquet"

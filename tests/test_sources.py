@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.blocks import interpolate, iso_z
 from augury.functions.distributions import incomplete_beta, normal_upper, t_two_sided
-from augury.sources import decode, paged, schemas, sinks, tables
+from augury.sources import archive, decode, paged, schemas, sinks, tables
 from augury.streaming import incremental
 
 FILLS = "block_number long, transaction_hash string, log_index long, maker_amount long, _fetched_at timestamp_ntz"
@@ -166,3 +166,14 @@ def test_streams(spark, small, tmp_path):
 def test_distributions():
     assert normal_upper(1.959963985) == pytest.approx(0.025, abs=1e-9) and t_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-6) and t_two_sided(12.7062, 1) == pytest.approx(0.05, abs=1e-6)
     assert t_two_sided(1.96, 1e7) == pytest.approx(0.05, abs=1e-4) and incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875) and incomplete_beta(1, 1, 0.3) == pytest.approx(0.3)
+
+
+def test_archive_and_prefix(spark, tmp_path):
+    src = tmp_path / "data"
+    src.mkdir()
+    for n in ("trades_0_10", "trades_10_20", "markets_0_10"):
+        spark.range(5).toPandas().to_parquet(src / f"{n}.parquet")
+    assert tables.prefixed(spark, str(src), "trades_").count() == 10 and tables.prefixed(spark, str(src), "markets_", spark.range(1).schema).count() == 5
+    for name in ("a.tar.zst", "a.tar.gz"):
+        out = archive.unpack(archive.pack(src, tmp_path / name), tmp_path / f"out_{name}")
+        assert sorted(p.name for p in (out / "data").iterdir()) == sorted(p.name for p in src.iterdir())
