@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 LEVELS = 6
 LEAVES = 1 << LEVELS
+DATES_AT_ONCE = 1_000_000
 
 
 class Forest:
@@ -109,11 +110,8 @@ def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_risi
     cols = [f"total_{w}" for w in windows]
     schema = T.StructType([days.schema["entity"], T.StructField("day", T.IntegerType()), T.StructField("n_rows", T.LongType()), *(T.StructField(c, T.LongType()) for c in cols)])
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        code, names = pd.factorize(pdf["entity"])
-        day = pdf["day"].to_numpy().astype(np.int64)
-        order = np.lexsort((day, code))
-        forest = Forest(code[order], day[order], pdf["total"].to_numpy()[order], pdf["n_rows"].to_numpy()[order])
+    def block(code: np.ndarray, day: np.ndarray, total: np.ndarray, rows: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+        forest = Forest(code, day, total, rows)
         entity, date = forest.dates()
         active = forest.active(entity, date)
         if gaps_rising:
@@ -126,6 +124,18 @@ def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_risi
             out = out[totals[a] * b > totals[b] * a]
         return out
 
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, names = pd.factorize(pdf["entity"])
+        day = pdf["day"].to_numpy().astype(np.int64)
+        order = np.lexsort((day, code))
+        code, day, total, rows = code[order], day[order], pdf["total"].to_numpy()[order], pdf["n_rows"].to_numpy()[order]
+        first = np.searchsorted(code, np.arange(len(names) + 1))
+        span = day[first[1:] - 1] - day[first[:-1]] + 1
+        part = np.cumsum(span) // DATES_AT_ONCE  # a few entities at a time, however long their courses
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(names)]
+        blocks = [block(code[first[a] : first[b]] - a, *(x[first[a] : first[b]] for x in (day, total, rows)), names[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return pd.concat(blocks, ignore_index=True) if len(blocks) != 1 else blocks[0]
+
     grouped = days.withColumn("__group", F.pmod(F.xxhash64("entity"), F.lit(groups))).groupBy("__group")
     return grouped.applyInPandas(answer, schema)
 

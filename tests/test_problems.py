@@ -139,6 +139,9 @@ def test_rolling_frames(spark):
     gaps = {(r["entity"], r["day"] - 19723) for r in rolling.trailing_totals(days, (7, 30), (7, 30)).collect()}
     assert gaps == {("A", d) for d in range(1, 7)}
     assert rolling.trailing_totals(days.limit(0)).count() == 0
+    many = spark.createDataFrame([(f"E{k}", d, k + d, 1) for k in range(40) for d in (0, 3, 60_000 + k)], "entity string, day int, total long, n_rows long")
+    whole = rolling.trailing_totals(many, (7,))  # more dates than are handled at once
+    assert whole.count() == sum(60_001 + k for k in range(40)) and whole.where("total_7 > 0").count() == 40 * 11 - 3
 
 
 def test_late_corrections(spark):
