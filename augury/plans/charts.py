@@ -10,6 +10,8 @@ from typing import Any
 
 
 class ChartType(Enum):
+    """Names of the chart format."""
+
     LINE = "line"
     BAR = "bar"
     STACKED_BAR = "stacked-bar"
@@ -23,6 +25,8 @@ class ChartType(Enum):
 
 
 class UnitType(Enum):
+    """Names of the chart format."""
+
     DOLLARS = "dollars"
     PERCENT = "percent"
     NUMBER = "number"
@@ -33,6 +37,8 @@ class UnitType(Enum):
 
 
 class ScaleType(Enum):
+    """Names of the chart format."""
+
     LINEAR = "linear"
     LOG = "log"
 

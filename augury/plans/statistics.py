@@ -13,6 +13,7 @@ from augury.functions.distributions import two_sided_normal_p, two_sided_t_p, up
 from augury.functions.numbers import r6, ratio, variance
 from augury.plans.views import maker_bets, traded
 
+# Prices and price ranges of the tests, and the least number of trades per cell.
 TEST_PRICES = (1, 2, 3, 4, 5, 10, 15, 20, 25, 50, 75, 80, 85, 90, 95, 96, 97, 98, 99)
 PRICE_RANGES = ((1, 10), (11, 25), (26, 50), (51, 75), (76, 90), (91, 99))
 LEAST = 100

@@ -11,6 +11,7 @@ from augury.plans.views import maker_bets, on, positions, traded
 
 COUNT, PRICE, WON = "count", "price", "won"
 EXCESS = "__x"  # 100 * won - price, an int
+# The price buckets in cents.
 BUCKETS = ((1, 10), (11, 20), (21, 30), (31, 40), (41, 50), (51, 60), (61, 70), (71, 80), (81, 90), (91, 99))
 
 

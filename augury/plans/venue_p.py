@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from augury.functions.numbers import r6, ratio
 from augury.plans.views import on, positions, traded
 
+# Blocks per bucket of the approximate time join; JSON that is read strictly.
 BLOCKS_PER_BUCKET = 10_800
 STRICT = {"allowSingleQuotes": "false"}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from augury.operators.dedup import admit
 from augury.sources.tables import exists
 
+# Blocks per stored part; least volume of a market whose trades are fetched.
 BLOCKS_PER_PART = 100_000
 LEAST_VOLUME = 100
 
