@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.classify import DEFAULT_RULES, Rule, category, classify
 from augury.functions.numbers import r6, ratio, variance
-from augury.plans.views import maker_bets, on, positions, traded
+from augury.plans.views import ALIKE, compact, maker_bets, on, positions, traded
 
 COUNT, PRICE, WON = "count", "price", "won"
 EXCESS = "__x"  # 100 * won - price, an int
@@ -27,9 +27,9 @@ def _excess(df: DataFrame) -> DataFrame:
 def _sums(where: Column | None = None, prefix: str = "") -> list[Column]:
     """Exact integer sums that every rate, mean, variance and volume is made of."""
     pick = (lambda c: F.when(where, c)) if where is not None else (lambda c: c)
-    x, n = F.col(EXCESS), F.col(COUNT)
+    x, n, f = F.col(EXCESS), F.col(COUNT), F.col(ALIKE)
     return [
-        F.count(pick(F.lit(1))).alias(f"{prefix}n"), F.sum(pick(F.col(WON))).alias(f"{prefix}wins"), F.sum(pick(x)).alias(f"{prefix}x"), F.sum(pick(x * x)).alias(f"{prefix}xx"),
+        F.coalesce(F.sum(pick(f)), F.lit(0)).alias(f"{prefix}n"), F.sum(pick(f * F.col(WON))).alias(f"{prefix}wins"), F.sum(pick(f * x)).alias(f"{prefix}x"), F.sum(pick(f * x * x)).alias(f"{prefix}xx"),
         F.sum(pick(n)).alias(f"{prefix}contracts"), F.sum(pick(n * F.col(PRICE))).alias(f"{prefix}cents"), F.sum(pick(n * x)).alias(f"{prefix}pnl"), F.sum(pick(n * F.col(WON))).alias(f"{prefix}won_contracts"),
     ]
 
@@ -53,17 +53,18 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def win_rate_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Calibration over both sides of each trade; no price gate."""
-    rows = positions(traded(trades, markets))
-    return _rounded(rows.groupBy(PRICE).agg(rows_().alias("total_trades"), F.sum(WON).alias("wins"), (100.0 * ratio(F.sum(WON), rows_())).alias("win_rate")).orderBy(F.col(PRICE).asc_nulls_last()))
+    rows = positions(traded(compact(trades), markets))
+    n, w = F.sum(ALIKE), F.sum(F.col(ALIKE) * F.col(WON))
+    return _rounded(rows.groupBy(PRICE).agg(n.alias("total_trades"), w.alias("wins"), (100.0 * ratio(w, n)).alias("win_rate")).orderBy(F.col(PRICE).asc_nulls_last()))
 
 
 def mispricing_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Win rates against the price for takers, makers and both; prices with both roles."""
-    rows = positions(traded(trades, markets)).where(F.col(PRICE).between(1, 99))
+    rows = positions(traded(compact(trades), markets)).where(F.col(PRICE).between(1, 99))
     role = lambda r: F.col("role") == r
     aggs = []
     for name, cond in (("taker", role("taker")), ("maker", role("maker")), ("combined", F.lit(True))):
-        n, w = F.count_if(cond), F.sum(F.when(cond, F.col(WON)))
+        n, w = F.coalesce(F.sum(F.when(cond, F.col(ALIKE))), F.lit(0)), F.sum(F.when(cond, F.col(ALIKE) * F.col(WON)))
         aggs += [n.alias(f"{name}_trades"), w.alias(f"{name}_wins"), (100.0 * ratio(w, n)).alias(f"{name}_win_rate")]
     df = rows.groupBy(PRICE).agg(*aggs).where((F.col("taker_trades") > 0) & (F.col("maker_trades") > 0))
     p = F.col(PRICE).cast("double")
@@ -76,7 +77,7 @@ def mispricing_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 def maker_vs_taker_returns(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Excess returns of both roles per price, with standard errors and z (p-values: ``plans.tests``)."""
-    rows = _excess(positions(traded(trades, markets)).where(F.col(PRICE).between(1, 99)))
+    rows = _excess(positions(traded(compact(trades), markets)).where(F.col(PRICE).between(1, 99)))
     sums = rows.groupBy(PRICE).agg(*_sums(F.col("role") == "taker", "t_"), *_sums(F.col("role") == "maker", "m_")).where((F.col("t_n") > 0) & (F.col("m_n") > 0))
     out = [F.col(PRICE)]
     for name, p in (("taker", "t_"), ("maker", "m_")):
@@ -91,7 +92,7 @@ def maker_vs_taker_returns(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def _by_direction(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    rows = _excess(maker_bets(trades, markets).where(F.col(PRICE).between(1, 99)))
+    rows = _excess(maker_bets(compact(trades), markets).where(F.col(PRICE).between(1, 99)))
     return rows.groupBy(PRICE).agg(*_sums(F.col("side") == "yes", "yes_"), *_sums(F.col("side") == "no", "no_"))
 
 
@@ -119,7 +120,7 @@ def _quarter(c: str = "created_time") -> Column:
 
 def maker_taker_gap_over_time(trades: DataFrame, markets: DataFrame, least: int = 1000) -> DataFrame:
     """Quarterly excess returns of both roles in percentage points; cells of at least ``least`` trades."""
-    rows = _excess(positions(traded(trades, markets).withColumn("quarter", _quarter()), "quarter"))
+    rows = _excess(positions(traded(compact(trades.withColumn("quarter", _quarter()), "quarter"), markets), "quarter"))
     sums = rows.groupBy("quarter").agg(*_sums(F.col("role") == "taker", "t_"), *_sums(F.col("role") == "maker", "m_"))
     sums = sums.where(F.col("quarter").isNotNull() & (F.col("t_n") >= least) & (F.col("m_n") >= least))
     t, m = _mean_excess("t_") * 100.0, _mean_excess("m_") * 100.0
@@ -128,7 +129,7 @@ def maker_taker_gap_over_time(trades: DataFrame, markets: DataFrame, least: int
 
 def maker_taker_returns_by_category(trades: DataFrame, markets: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Contract-weighted mean of the categories' excess returns per group, in percentage points."""
-    rows = _excess(positions(traded(trades, markets, True, "event_ticker"), "event_ticker"))
+    rows = _excess(positions(traded(compact(trades), markets, True, "event_ticker"), "event_ticker"))
     per_event = rows.groupBy("event_ticker").agg(*_sums(F.col("role") == "taker", "t_"), *_sums(F.col("role") == "maker", "m_"))
     keys = [c for c in per_event.columns if c != "event_ticker"]
     cats = per_event.groupBy(category("event_ticker").alias("category")).agg(*(F.sum(c).alias(c) for c in keys))
@@ -168,7 +169,7 @@ def trade_size_by_role(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 def win_rate_by_trade_size(trades: DataFrame, markets: DataFrame, least: int = 10) -> DataFrame:
     """Takers' win rate in quarter-decade bins of the trade size; bins of at least ``least`` trades."""
-    rows = traded(trades, markets).select(COUNT, F.col("taker_price").alias(PRICE), F.col("taker_won").alias(WON))
+    rows = traded(trades, markets).select(COUNT, ALIKE, F.col("taker_price").alias(PRICE), F.col("taker_won").alias(WON))
     size = F.col(COUNT) * F.col(PRICE) / 100.0
     rows = _excess(rows).withColumn("bin", F.floor(F.log10(F.greatest(size, F.lit(0.01))) * 4.0))
     s = rows.groupBy("bin").agg(*_sums(), F.sum(PRICE).alias("prices")).where(F.col("n") >= least)
@@ -180,9 +181,10 @@ def win_rate_by_trade_size(trades: DataFrame, markets: DataFrame, least: int = 1
 
 
 def _by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    rows = traded(trades, markets).select(COUNT, F.col("taker_price").alias(PRICE), F.col("taker_won").alias(WON), F.hour("created_time").cast("long").alias("hour_et"))
-    p = F.col(PRICE)
-    return _excess(rows).groupBy("hour_et").agg(*_sums(), F.sum(p).alias("prices"), F.sum(p * p).alias("prices2"))
+    hours = compact(trades.withColumn("hour_et", F.hour("created_time").cast("long")), "hour_et")
+    rows = traded(hours, markets).select(COUNT, ALIKE, "hour_et", F.col("taker_price").alias(PRICE), F.col("taker_won").alias(WON))
+    p, f = F.col(PRICE), F.col(ALIKE)
+    return _excess(rows).groupBy("hour_et").agg(*_sums(), F.sum(f * p).alias("prices"), F.sum(f * p * p).alias("prices2"))
 
 
 def returns_by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
@@ -220,8 +222,8 @@ def _bucket(p: Column) -> Column:
 
 def _taker_volume(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Cents, contracts and trades of takers per quarter and price; small after this."""
-    rows = traded(trades, markets).select(_quarter().alias("quarter"), F.col("taker_price").alias(PRICE), COUNT)
-    return rows.groupBy("quarter", PRICE).agg(F.sum(F.col(COUNT) * F.col(PRICE)).alias("cents"), F.sum(COUNT).alias("contracts"), rows_().alias("n_trades"))
+    rows = traded(compact(trades.withColumn("quarter", _quarter()), "quarter"), markets).select("quarter", F.col("taker_price").alias(PRICE), COUNT, ALIKE)
+    return rows.groupBy("quarter", PRICE).agg(F.sum(F.col(COUNT) * F.col(PRICE)).alias("cents"), F.sum(COUNT).alias("contracts"), F.sum(ALIKE).alias("n_trades"))
 
 
 def longshot_volume_share_over_time(trades: DataFrame, markets: DataFrame) -> DataFrame:
@@ -255,7 +257,7 @@ def yes_vs_no_by_price(trades: DataFrame, markets: DataFrame | None = None) -> D
 
 def ev_yes_vs_no(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Expected value of buying YES or NO at every price 1..99; a price without trades counts -100 for best."""
-    rows = trades.join(markets.where(F.col("result").isin("yes", "no")).select("ticker", "result"), "ticker")
+    rows = compact(trades).join(markets.where(F.col("result").isin("yes", "no")).select("ticker", "result"), "ticker")
     side = lambda s: F.struct(F.lit(s).alias("s"), F.col(f"{s}_price").alias(PRICE))
     rows = rows.select(COUNT, "result", F.explode(F.array(side("yes"), side("no"))).alias("e")).select(COUNT, F.col("e.price").alias(PRICE), F.col("e.s").alias("s"), on(F.col("result") == F.col("e.s"), F.col(COUNT)).alias("w"))
     sums = rows.where(F.col(PRICE).between(1, 99)).groupBy(PRICE).agg(*(F.sum(F.when(F.col("s") == s, F.col(c))).alias(f"{s}_{n}") for s in ("yes", "no") for c, n in ((COUNT, "contracts"), ("w", "w"))))

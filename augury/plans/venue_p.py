@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.functions.numbers import r6, ratio
-from augury.plans.views import on, positions, traded
+from augury.plans.views import ALIKE, compact, on, positions, traded
 
 # Blocks per bucket of the approximate time join; JSON that is read strictly.
 BLOCKS_PER_BUCKET = 10_800
@@ -156,8 +156,9 @@ def volume_over_time(trades: DataFrame, legacy: DataFrame, blocks: DataFrame, co
 
 
 def daily_k(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    rows = positions(traded(trades, markets), "created_time").where(F.col("price").between(1, 99) & F.col("created_time").isNotNull())
-    return rows.groupBy(F.to_date("created_time").alias("day"), F.col("price").cast("int").alias("price")).agg(F.count("*").alias("n"), F.sum("won").alias("w"))
+    days = compact(trades.where(F.col("created_time").isNotNull()).withColumn("day", F.to_date("created_time")), "day")
+    rows = positions(traded(days, markets), "day").where(F.col("price").between(1, 99))
+    return rows.groupBy("day", F.col("price").cast("int").alias("price")).agg(F.sum(ALIKE).alias("n"), F.sum(F.col(ALIKE) * F.col("won")).alias("w"))
 
 
 def daily_p(trades: DataFrame, markets: DataFrame, legacy: DataFrame | None, blocks: DataFrame, collateral: DataFrame | None) -> DataFrame:

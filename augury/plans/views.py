@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from augury.functions.keys import id_key, ticker_key
 from augury.sources.tables import table
 
+#: Column with the number of trades that a row stands for.
+ALIKE = "__alike"
+
 
 def latest(df: DataFrame, key: str, by: str, ties: Sequence[str]) -> DataFrame:
     """The last row of each key by time; ties go to the smallest values of ``ties``."""
@@ -52,11 +55,23 @@ def on(cond: Column, then: Column | int, other: Column | int = 0) -> Column:
     return F.when(cond, then).otherwise(other)
 
 
+def compact(trades: DataFrame, *more: str) -> DataFrame:
+    """Trades that differ in nothing an analysis by price looks at, as one row with their number in ``ALIKE``.
+
+    Done before the join to markets: a hot ticker leaves each task as some hundred rows, so the join
+    shuffles combinations of ticker and price, not trades.  ``count`` becomes the sum of contracts.
+    """
+    keys = ["ticker", "yes_price", "no_price", "taker_side", *more]
+    return trades.groupBy(*keys).agg(F.count("*").alias(ALIKE), F.sum("count").alias("count"))
+
+
 def traded(trades: DataFrame, markets: DataFrame, finalized: bool = True, *more: str) -> DataFrame:
     """Trades of resolved markets, from the taker's and the maker's side in one scan.
 
-    A side is ``yes`` or it is taken as no; a null side wins for neither.
+    A side is ``yes`` or it is taken as no; a null side wins for neither.  Each row of
+    uncompacted trades stands for one.
     """
+    trades = trades if ALIKE in trades.columns else trades.withColumn(ALIKE, F.lit(1))
     yes = F.col("taker_side") == "yes"
     rows = trades.join(resolved(markets, finalized).select("ticker", "result", *more), "ticker")
     return rows.select(
@@ -66,16 +81,17 @@ def traded(trades: DataFrame, markets: DataFrame, finalized: bool = True, *more:
 
 
 def positions(rows: DataFrame, *keep: str) -> DataFrame:
-    """Two positions per trade: ``(role, price, won, count, ...)``, unpivoted from one scan."""
+    """Two positions per trade: ``(role, price, won, count, ALIKE, ...)``, unpivoted from one scan."""
     side = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{r}_price").alias("price"), F.col(f"{r}_won").alias("won"))
-    return rows.select("count", *keep, F.explode(F.array(side("taker"), side("maker"))).alias("p")).select("p.*", "count", *keep)
+    return rows.select("count", ALIKE, *keep, F.explode(F.array(side("taker"), side("maker"))).alias("p")).select("p.*", "count", ALIKE, *keep)
 
 
 def maker_bets(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    """The maker's bet by direction: ``(side, price, won, count)``; trades without a clear side are left out."""
+    """The maker's bet by direction: ``(side, price, won, count, ALIKE)``; trades without a clear side are left out."""
+    trades = trades if ALIKE in trades.columns else trades.withColumn(ALIKE, F.lit(1))
     rows = trades.join(resolved(markets).select("ticker", "result"), "ticker").where(F.col("taker_side").isin("yes", "no"))
     bought_yes = F.col("taker_side") == "no"
     return rows.select(
         on(bought_yes, F.lit("yes"), F.lit("no")).alias("side"), on(bought_yes, F.col("yes_price"), F.col("no_price")).alias("price"),
-        on(F.col("result") == on(bought_yes, F.lit("yes"), F.lit("no")), 1).alias("won"), "count",
+        on(F.col("result") == on(bought_yes, F.lit("yes"), F.lit("no")), 1).alias("won"), "count", ALIKE,
     )
