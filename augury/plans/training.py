@@ -95,6 +95,16 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Totals per ticker and 64-day shard after the trades fetched from 2024 on corrected the trees of the earlier ones."""
+    trades = table(spark, d, "k_trades").select(id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at")
+    first = dedup.keep_first(trades, "id", "_fetched_at")
+    late = F.coalesce(F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
+    stored, corrections = (rolling.daily(first.where(c), "ticker", "created_time", "count") for c in (~late, late))
+    roots = rolling.correct_nodes(rolling.tree_nodes(stored), corrections).where(F.col("node") == 1)
+    return roots.select(F.col("entity").alias("ticker"), "shard", "total", F.col("n_rows").alias("n_trades"))
+
+
 # 4. Quantities recorded in different units
 
 

@@ -67,6 +67,8 @@ P3_FOUND = f"WITH {_DAILY} SELECT ticker, strftime(day, '%Y-%m-%d') AS trade_day
 P3_ROLLING = f"""WITH {_DAILY} SELECT ticker, strftime(day, '%Y-%m-%d') AS trade_day, n_trades, total_7, total_30,
 round(total_7 / 7.0, 6)::DOUBLE AS avg_7, round(total_30 / 30.0, 6)::DOUBLE AS avg_30 FROM rolled"""
 
+P3_CORRECTED = f"WITH {_DAILY} SELECT ticker, CAST(floor(date_diff('day', DATE '1970-01-01', day) / 64.0) AS INTEGER) AS shard, CAST(sum(total) AS BIGINT) AS total, CAST(sum(n_trades) AS BIGINT) AS n_trades FROM daily GROUP BY 1, 2"
+
 
 def _note(table: str, field: str, note: str) -> str:
     """The power of the unit that comes first in the note (at one place the longest name), fee and taker clauses cut."""
