@@ -49,7 +49,9 @@ def width_table() -> dict[int, str]:
     for cp in range(sys.maxunicode + 1):
         ch = chr(cp)
         kind = unicodedata.category(ch)
-        if (kind == "Cf" and ch not in VISIBLE_FORMATS) or (kind == "Cc" and ch not in LINE_CONTROLS) or ch in WIDTHLESS_MARKS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
+        if (
+            kind == "Cf" and ch not in VISIBLE_FORMATS
+        ) or (kind == "Cc" and ch not in LINE_CONTROLS) or ch in WIDTHLESS_MARKS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
             out[cp] = ""
         elif kind == "Zs" or ch in BLANK_LETTERS:
             out[cp] = " "
@@ -115,7 +117,9 @@ class Canon:
     @cached_property
     def _plain(self) -> re.Pattern[str]:
         """Texts of these characters only are in their form already."""
-        return re.compile("[\t-\r\x1c-\x1e -~\xa1-\xa9\xab\xac\xae-\xb4\xb7\xbb-\xff\u2010-\u2027\U0001f300-\U0001f64f\U0001f680-\U0001f6ff]*")
+        return re.compile(
+            "[\t-\r\x1c-\x1e -~\xa1-\xa9\xab\xac\xae-\xb4\xb7\xbb-\xff\u2010-\u2027\U0001f300-\U0001f64f\U0001f680-\U0001f6ff]*"
+        )
 
     def _respell(self, m: regex.Match) -> str:
         token = m[0]
@@ -183,7 +187,9 @@ def look_keys(docs: DataFrame) -> DataFrame:
                 b.append(a[-1] if form == t else digest(t))
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "form": a, "raw": b})
 
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, form binary, raw binary")
+    return docs.select("doc_id", "text").where(
+        F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    ).mapInPandas(run, "doc_id long, form binary, raw binary")
 
 
 def look_alike_pairs(docs: DataFrame) -> DataFrame:
@@ -195,7 +201,9 @@ def look_alike_pairs(docs: DataFrame) -> DataFrame:
     varied = keys.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
     rows = keys.join(varied, "form", "left_semi")
     spellings = rows.select("form", "raw").distinct()
-    pairs = spellings.withColumnRenamed("raw", "raw_a").join(spellings.withColumnRenamed("raw", "raw_b"), "form").where(F.col("raw_a") < F.col("raw_b"))
+    pairs = spellings.withColumnRenamed("raw", "raw_a").join(
+        spellings.withColumnRenamed("raw", "raw_b"), "form"
+    ).where(F.col("raw_a") < F.col("raw_b"))
     left = rows.select("form", F.col("raw").alias("raw_a"), F.col("doc_id").alias("x"))
     right = rows.select("form", F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
     both = pairs.join(left, ["form", "raw_a"]).join(right, ["form", "raw_b"])

@@ -88,7 +88,9 @@ class ItemIndex:
         self.hashes = np.array(hashes, dtype=np.uint64)
         self.word_weights = np.array(weights, dtype=np.int32)
         self.starts = np.array(starts, dtype=np.int64)
-        self.prints = simhashes(_sign_bits(self.hashes, self.word_weights), WORDS)[self.starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+        self.prints = simhashes(
+            _sign_bits(self.hashes, self.word_weights), WORDS
+        )[self.starts] if len(starts) else np.zeros(0, dtype=np.uint64)
         self.tables = []
         for k in range(BLOCKS):
             key = self.block(self.prints, k)
@@ -186,14 +188,40 @@ def _search(ids: list[int], texts: list[str | None], canon: Canon, index: ItemIn
         return None
     at, passage, likeness, same = (np.concatenate(x) for x in zip(*hits, strict=True))
     doc = owner[at]
-    out = pd.DataFrame({"doc": doc, "item_id": index.item[passage], "doc_at": at - first[doc], "item_at": index.at[passage], "similarity": likeness, "same": same})
+    out = pd.DataFrame(
+        {
+            "doc": doc,
+            "item_id": index.item[passage],
+            "doc_at": at - first[doc],
+            "item_at": index.at[passage],
+            "similarity": likeness,
+            "same": same
+        }
+    )
     out["diagonal"] = out["doc_at"] - out["item_at"]
     out = out.sort_values(["doc", "item_id", "same", "diagonal", "doc_at"], kind="stable", ignore_index=True)
     step = (out[["doc", "item_id", "same", "diagonal"]].diff().fillna(1).astype(float) != 0).any(axis=1) | (out["doc_at"].diff() != 1)
-    runs = out.groupby(step.cumsum()).agg(doc=("doc", "first"), item_id=("item_id", "first"), same=("same", "first"), doc_at=("doc_at", "first"), item_at=("item_at", "first"), n=("doc_at", "size"), similarity=("similarity", "max"))
+    runs = out.groupby(step.cumsum()).agg(
+        doc=("doc", "first"),
+        item_id=("item_id", "first"),
+        same=("same", "first"),
+        doc_at=("doc_at", "first"),
+        item_at=("item_at", "first"),
+        n=("doc_at", "size"),
+        similarity=("similarity", "max")
+    )
     ids = np.array(ids, dtype=np.int64)
     n_words = np.where(runs["same"], runs["n"] + WORDS - 1, 0)
-    return pd.DataFrame({"doc_id": ids[runs["doc"]], "item_id": runs["item_id"], "n_words": n_words.astype(np.int32), "doc_at": runs["doc_at"].astype(np.int32), "item_at": runs["item_at"], "similarity": runs["similarity"]})
+    return pd.DataFrame(
+        {
+            "doc_id": ids[runs["doc"]],
+            "item_id": runs["item_id"],
+            "n_words": n_words.astype(np.int32),
+            "doc_at": runs["doc_at"].astype(np.int32),
+            "item_at": runs["item_at"],
+            "similarity": runs["similarity"]
+        }
+    )
 
 
 def _item_blocks(items: DataFrame, canon: Canon) -> Iterator[ItemIndex]:
@@ -203,7 +231,9 @@ def _item_blocks(items: DataFrame, canon: Canon) -> Iterator[ItemIndex]:
         return ItemIndex(block, Counter(x for _, w in block for x in set(w)), len(block))
 
     block, size = [], 0
-    for row in items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator():
+    for row in items.select("item_id", "text").where(
+        F.col("text").isNotNull() & F.col("item_id").isNotNull()
+    ).orderBy("item_id").toLocalIterator():
         words = words_of(row["text"], canon)
         if len(words) < WORDS:
             continue
@@ -250,4 +280,6 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``n_words`` is the longest run of equal words; a pair that is only similar has 0.
     """
     runs = find_passages(docs, items)
-    return runs.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n_passages"), F.round(F.max("similarity"), 6).alias("similarity"))
+    return runs.groupBy("doc_id", "item_id").agg(
+        F.max("n_words").alias("n_words"), F.count("*").alias("n_passages"), F.round(F.max("similarity"), 6).alias("similarity")
+    )

@@ -18,7 +18,9 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and characters per source."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
     sizes = p7_ids(spark, d).select("doc_id", F.size("ids").alias("tokens"))
-    return docs.join(sizes, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"), F.sum("chars").alias("n_chars"))
+    return docs.join(sizes, "doc_id").groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"), F.sum("chars").alias("n_chars")
+    )
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,25 @@ from augury.llm import batches, bpe, canon, leakage
 from augury.llm import queries as q
 
 DOCS = "doc_id long, text string"
-ODD = ["", None, " ", "\n\t", "a", "aaaaaaa", "hello world  \n\n x", "l'été ’s don't we'll", "日本語のテキスト", "мир и труд", "😬🚀 mixed ١٢٣", "<|endoftext|>", "\x00\x07 x", "é​", "x" * 5000, "ab" * 3000, " " * 300 + "y"]
+ODD = [
+    "",
+    None,
+    " ",
+    "\n\t",
+    "a",
+    "aaaaaaa",
+    "hello world  \n\n x",
+    "l'été ’s don't we'll",
+    "日本語のテキスト",
+    "мир и труд",
+    "😬🚀 mixed ١٢٣",
+    "<|endoftext|>",
+    "\x00\x07 x",
+    "é​",
+    "x" * 5000,
+    "ab" * 3000,
+    " " * 300 + "y"
+]
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +66,9 @@ def test_bpe_round_trip():
     import json
 
     with open(bpe.DEFAULT_VOCABULARY, encoding="utf-8") as f:
-        byte_of = {i: bytes(letters[c] for c in token) for token, i in json.load(f)["model"]["vocab"].items() if all(c in letters for c in token)}
+        byte_of = {
+            i: bytes(letters[c] for c in token) for token, i in json.load(f)["model"]["vocab"].items() if all(c in letters for c in token)
+        }
     words = ["aaaa", "aaa", "banana", "éé", "x" * 999]
     assert [b"".join(byte_of[i] for i in ids).decode() for ids in model.encode_words(words)] == words
 
@@ -56,9 +76,15 @@ def test_bpe_round_trip():
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
-        ("thе", "the", True), ("Τhe", "The", True), ("ӏast", "last", True), ("ɑnԁ tօ", "and to", True), ("ＡＢＣ　１", "ABC 1", True), ("café", "café", True), ("ﬁle oﬃce", "file office", True), ("a​b­⁠c﻿", "abc", True),
-        ("x y z", "x y z", True), ("Åre", "Åre", True), ("рост", "pост", True), ("Ωμεγα", "Ωμεγα", True), ("が", "が", True), ("Αθήνα", "Aθήνα", True),
-        ("The", "the", False), ("cafe", "café", False), ("1", "l", False), ("0", "O", False), ("a b", "a  b", False), ("a\tb", "a b", False), ("a\r\nb", "a\nb", False), ("a-b", "a–b", False), ("ё", "е", False), ("", "x", False),
+        ("thе", "the", True), ("Τhe", "The", True), ("ӏast", "last", True), ("ɑnԁ tօ", "and to", True), ("ＡＢＣ　１", "ABC 1", True), ("café", "café", True), (
+            "ﬁle oﬃce", "file office", True
+        ), ("a​b­⁠c﻿", "abc", True),
+        (
+            "x y z", "x y z", True
+        ), ("Åre", "Åre", True), ("рост", "pост", True), ("Ωμεγα", "Ωμεγα", True), ("が", "が", True), ("Αθήνα", "Aθήνα", True),
+        ("The", "the", False), ("cafe", "café", False), ("1", "l", False), ("0", "O", False), ("a b", "a  b", False), ("a\tb", "a b", False), (
+            "a\r\nb", "a\nb", False
+        ), ("a-b", "a–b", False), ("ё", "е", False), ("", "x", False),
     ],
 )
 def test_looks(make, a, b, same):
@@ -79,7 +105,11 @@ def test_plain_texts_need_no_work(make):
 
 
 def test_pairs_brute_force(spark, make, stored):
-    extra = [(10_000 + k, t) for k, t in enumerate(["thе end", "the end", "the end", "the  end", "the end", "", None, " ", " ", "​", "ｔhe end"] + ["copy"] * 200 + ["cорy"])]
+    extra = [
+        (10_000 + k, t) for k, t in enumerate(
+            ["thе end", "the end", "the end", "the  end", "the end", "", None, " ", " ", "​", "ｔhe end"] + ["copy"] * 200 + ["cорy"]
+        )
+    ]
     rows = stored + extra
     forms = defaultdict(list)
     for i, t in rows:
@@ -102,16 +132,30 @@ def brute(docs, items, make):
         w = leakage.words_of(t, make)
         for k in range(len(w) - leakage.WORDS + 1):
             grams[tuple(w[k : k + leakage.WORDS])].add(i)
-    return {(d, i) for d, t in docs for w in [leakage.words_of(t, make)] for k in range(len(w) - leakage.WORDS + 1) for i in grams.get(tuple(w[k : k + leakage.WORDS]), ())}
+    return {
+        (d, i) for d, t in docs for w in [leakage.words_of(t, make)] for k in range(len(w) - leakage.WORDS + 1) for i in grams.get(
+            tuple(w[k : k + leakage.WORDS]), ()
+        )
+    }
 
 
 def test_leaks(spark, small, make, stored, monkeypatch):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/eval_items.parquet").collect()]
     word = items[0][1].split()
-    docs = stored + [(20_000, " / ".join(word[:10]).upper()), (20_001, " ".join(word[:9])), (20_002, " ".join([*word[:6], "odd", *word[6:12]])), (20_003, "filler " * 160_000 + " ".join(word[3:15]) + " filler" * 160_000), (20_004, " ".join(word[:12]).replace("o", "ο"))]
-    df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, (900, "too short"), (901, None), (902, "")], "item_id long, text string")
+    docs = stored + [
+        (20_000, " / ".join(word[:10]).upper()),
+        (20_001, " ".join(word[:9])),
+        (20_002, " ".join([*word[:6], "odd", *word[6:12]])),
+        (20_003, "filler " * 160_000 + " ".join(word[3:15]) + " filler" * 160_000),
+        (20_004, " ".join(word[:12]).replace("o", "ο"))
+    ]
+    df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame(
+        [*items, (900, "too short"), (901, None), (902, "")], "item_id long, text string"
+    )
     want = brute(docs, items, make)
-    assert {(20_000, items[0][0]), (20_003, items[0][0]), (20_004, items[0][0])} <= want and not {(20_001, items[0][0]), (20_002, items[0][0])} & want
+    assert {
+        (20_000, items[0][0]), (20_003, items[0][0]), (20_004, items[0][0])
+    } <= want and not {(20_001, items[0][0]), (20_002, items[0][0])} & want
     runs = {(r["doc_id"], r["item_id"]): r["n_words"] for r in leakage.leaked_items(df, it).collect()}
     assert {k for k, n in runs.items() if n >= leakage.WORDS} == want and runs[20_003, items[0][0]] >= 12
     monkeypatch.setattr(leakage, "ITEM_WINDOWS_PER_BLOCK", 900)  # several blocks of items
@@ -160,4 +204,6 @@ def test_queries_run(spark, small):
     for name, query in queries().items():
         df = query(spark, small)
         assert df.count() >= 0, name
-    assert q.p8_found(spark, small).columns == ["doc_id", "item_id"] and q.p9_found(spark, small).columns == ["doc_a", "doc_b"] and q.p7_ids(spark, small).columns == ["doc_id", "ids"]
+    assert q.p8_found(spark, small).columns == [
+        "doc_id", "item_id"
+    ] and q.p9_found(spark, small).columns == ["doc_a", "doc_b"] and q.p7_ids(spark, small).columns == ["doc_id", "ids"]
