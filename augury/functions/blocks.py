@@ -12,7 +12,9 @@ def interpolate(samples: DataFrame, block: str = "block_number", seconds: str =
     Samples are cut into slices of block numbers; the first sample of a slice also closes the slice
     before, so no window sees more than a slice.  Gaps wider than a slice are filled from their slice.
     """
-    rows = samples.select(F.col(block).alias("b"), F.col(seconds).alias("s")).where(F.col("b").isNotNull() & F.col("s").isNotNull()).groupBy("b").agg(F.min("s").alias("s"))
+    rows = samples.select(
+        F.col(block).alias("b"), F.col(seconds).alias("s")
+    ).where(F.col("b").isNotNull() & F.col("s").isNotNull()).groupBy("b").agg(F.min("s").alias("s"))
     rows = rows.withColumn("k", F.expr(f"b div {slice_blocks}"))
     heads = rows.groupBy("k").agg(F.min(F.struct("b", "s")).alias("h")).select("k", "h.*")
     order = Window.orderBy("k")  # one row per slice
@@ -20,9 +22,13 @@ def interpolate(samples: DataFrame, block: str = "block_number", seconds: str =
     ends = rows.unionByName(closing)
     w = Window.partitionBy("k").orderBy("b")
     steps = ends.withColumn("nb", F.lead("b").over(w)).withColumn("ns", F.lead("s").over(w))
-    inner = steps.where(F.col("nb").isNotNull()).select("b", "s", "nb", "ns", F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("block_number"))
+    inner = steps.where(F.col("nb").isNotNull()).select(
+        "b", "s", "nb", "ns", F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("block_number")
+    )
     at = F.col("s") + F.call_function("div", (F.col("ns") - F.col("s")) * (F.col("block_number") - F.col("b")), F.col("nb") - F.col("b"))
-    last = rows.agg(F.max(F.struct("b", "s")).alias("h")).where(F.col("h").isNotNull()).select(F.col("h.b").alias("block_number"), F.col("h.s").alias("seconds"))
+    last = rows.agg(F.max(F.struct("b", "s")).alias("h")).where(F.col("h").isNotNull()).select(
+        F.col("h.b").alias("block_number"), F.col("h.s").alias("seconds")
+    )
     return inner.select("block_number", at.alias("seconds")).unionByName(last)
 
 

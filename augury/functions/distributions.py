@@ -72,6 +72,9 @@ def two_sided_t_p(t: Column, df: Column) -> Column:
     @F.pandas_udf("double")
     def p(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in frames:
-            yield pd.Series([None if math.isnan(x) or math.isnan(n) or n <= 0 else t_two_sided(x, n) for x, n in zip(a, b, strict=True)], dtype="float64")
+            yield pd.Series(
+                [None if math.isnan(x) or math.isnan(n) or n <= 0 else t_two_sided(x, n) for x, n in zip(a, b, strict=True)],
+                dtype="float64"
+            )
 
     return p(t.cast("double"), df.cast("double"))

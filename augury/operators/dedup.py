@@ -41,7 +41,9 @@ def keep_first(df: DataFrame, key: str, arrival: str, ties: Sequence[str] | None
     rows = df.withColumn("__key", F.coalesce(F.col(f"`{key}`").cast("string"), alone))
     first = _ranked(rows, "__key", arrival, ties, plan).where(F.col(RANK) == 1)
     if plan.salts:
-        first = first.drop(RANK, SALT).withColumn(RANK, F.row_number().over(Window.partitionBy("__key").orderBy(*_order(df, arrival, ties)))).where(F.col(RANK) == 1)
+        first = first.drop(RANK, SALT).withColumn(
+            RANK, F.row_number().over(Window.partitionBy("__key").orderBy(*_order(df, arrival, ties)))
+        ).where(F.col(RANK) == 1)
     return first.drop(RANK, "__key", SALT)
 
 

@@ -114,7 +114,9 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
             if mask.any():
                 out.append(pd.DataFrame({"src": pdf["src"].iloc[0], "month": m, "ref_key": names[doubt[mask]], "kind": kind}))
     if not out:
-        return pd.DataFrame({"src": pd.Series(dtype=str), "month": pd.Series(dtype="int64"), "ref_key": pd.Series(dtype=str), "kind": pd.Series(dtype=str)})
+        return pd.DataFrame(
+            {"src": pd.Series(dtype=str), "month": pd.Series(dtype="int64"), "ref_key": pd.Series(dtype=str), "kind": pd.Series(dtype=str)}
+        )
     return pd.concat(out, ignore_index=True)
 
 
@@ -146,7 +148,9 @@ def orphan_references(children: DataFrame, parents: DataFrame, removals: DataFra
             F.coalesce(micros(F.col("lo")), never).alias("t_first"), F.coalesce(micros(F.col("hi")), never).alias("t_last"),
         )
 
-    keys = children.select("src", "ref_key").unionByName(parents.select("src", "ref_key")).agg(F.approx_count_distinct(F.xxhash64("src", "ref_key"), 0.05)).first()[0]
+    keys = children.select("src", "ref_key").unionByName(parents.select("src", "ref_key")).agg(
+        F.approx_count_distinct(F.xxhash64("src", "ref_key"), 0.05)
+    ).first()[0]
     ranges = max(1, -(-keys // keys_per_range))
     parts = reduced(children, 0, True).unionByName(reduced(parents, 1, False)).unionByName(reduced(removals, 2, False))
     parts = parts.withColumn("key_range", F.pmod(F.xxhash64("ref_key"), F.lit(ranges)).cast("int"))

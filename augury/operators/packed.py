@@ -259,7 +259,9 @@ def learn_values(df: DataFrame, fields: Sequence[str], rounds: int = 2) -> dict[
                 slot = np.flatnonzero(x)
                 yield pd.DataFrame({"f": f, "slot": slot.astype(np.int32), "w": x[slot]})
 
-        got = df.select(*fields).mapInPandas(counts, "f string, slot int, w double").groupBy("f", "slot").agg(F.sum("w").alias("w")).toPandas()
+        got = df.select(*fields).mapInPandas(
+            counts, "f string, slot int, w double"
+        ).groupBy("f", "slot").agg(F.sum("w").alias("w")).toPandas()
         models = {}
         for f in fields:
             part, x = got[got["f"] == f], np.zeros(BUCKETS + len(SHAPES))
@@ -304,10 +306,16 @@ def split_packed(df: DataFrame, key: str, fields: Sequence[str] = FIELDS, rounds
                 rows += [(record, f, n, v, score, texts[fields.index(f)]) for f, r in rest.items() for n, score, v in r]
             yield pd.DataFrame(rows, columns=["record", "field_name", "n", "items", "score", "raw"])
 
-    parts = df.select(key, *fields).mapInPandas(split, f"record {key_type}, field_name string, n int, items array<string>, score double, raw string")
+    parts = df.select(key, *fields).mapInPandas(
+        split, f"record {key_type}, field_name string, n int, items array<string>, score double, raw string"
+    )
     sure = parts.where(F.col("raw").isNull())
     seen = sure.groupBy("record").agg(F.max("n").alias("seen"))
     rest = parts.where(F.col("raw").isNotNull()).join(seen, "record", "left")
-    best = rest.groupBy("record", "field_name", "raw").agg(F.max(F.struct(F.coalesce(F.col("n") == F.col("seen"), F.lit(False)).alias("same"), "score", F.col("items"))).alias("b"))
+    best = rest.groupBy("record", "field_name", "raw").agg(
+        F.max(F.struct(F.coalesce(F.col("n") == F.col("seen"), F.lit(False)).alias("same"), "score", F.col("items"))).alias("b")
+    )
     lists = sure.select("record", "field_name", "items").unionByName(best.select("record", "field_name", F.col("b.items").alias("items")))
-    return lists.select(F.col("record").alias(key), "field_name", F.posexplode("items").alias("pos", "item")).withColumn("pos", F.col("pos").cast("long")).distinct()
+    return lists.select(
+        F.col("record").alias(key), "field_name", F.posexplode("items").alias("pos", "item")
+    ).withColumn("pos", F.col("pos").cast("long")).distinct()

@@ -96,7 +96,13 @@ def entity_days(df: DataFrame, entity: Column, at: str) -> int:
     return df.agg(F.approx_count_distinct(F.xxhash64(entity, F.to_date(at)), 0.05)).first()[0]
 
 
-def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_rising: tuple[int, int] | None = None, rows_per_group: int = 100_000, expected: int | None = None) -> DataFrame:
+def trailing_totals(
+    days: DataFrame,
+    windows: Sequence[int] = (7, 30),
+    gaps_rising: tuple[int, int] | None = None,
+    rows_per_group: int = 100_000,
+    expected: int | None = None
+) -> DataFrame:
     """``(entity, day, n_rows, total_<w>...)`` for every day from an entity's first to its last.
 
     ``days`` comes from :func:`daily`.  Totals are exact ints.  With ``gaps_rising=(a, b)`` only days
@@ -108,7 +114,14 @@ def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_risi
     n = expected if expected is not None else days.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_group))
     cols = [f"total_{w}" for w in windows]
-    schema = T.StructType([days.schema["entity"], T.StructField("day", T.IntegerType()), T.StructField("n_rows", T.LongType()), *(T.StructField(c, T.LongType()) for c in cols)])
+    schema = T.StructType(
+        [
+            days.schema["entity"],
+            T.StructField("day", T.IntegerType()),
+            T.StructField("n_rows", T.LongType()),
+            *(T.StructField(c, T.LongType()) for c in cols)
+        ]
+    )
 
     def block(code: np.ndarray, day: np.ndarray, total: np.ndarray, rows: np.ndarray, names: np.ndarray) -> pd.DataFrame:
         forest = Forest(code, day, total, rows)
@@ -118,7 +131,9 @@ def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_risi
             gap = active == 0
             entity, date, active = entity[gap], date[gap], active[gap]
         totals = {w: forest.window(entity, date, w) for w in windows}
-        out = pd.DataFrame({"entity": names[entity], "day": date.astype(np.int32), "n_rows": active, **{f"total_{w}": totals[w] for w in windows}})
+        out = pd.DataFrame(
+            {"entity": names[entity], "day": date.astype(np.int32), "n_rows": active, **{f"total_{w}": totals[w] for w in windows}}
+        )
         if gaps_rising:
             a, b = gaps_rising
             out = out[totals[a] * b > totals[b] * a]
@@ -133,7 +148,11 @@ def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), gaps_risi
         span = day[first[1:] - 1] - day[first[:-1]] + 1
         part = np.cumsum(span) // DATES_AT_ONCE  # a few entities at a time, however long their courses
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(names)]
-        blocks = [block(code[first[a] : first[b]] - a, *(x[first[a] : first[b]] for x in (day, total, rows)), names[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        blocks = [
+            block(
+                code[first[a] : first[b]] - a, *(x[first[a] : first[b]] for x in (day, total, rows)), names[a:b]
+            ) for a, b in zip(cuts, cuts[1:], strict=False) if b > a
+        ]
         return pd.concat(blocks, ignore_index=True) if len(blocks) != 1 else blocks[0]
 
     grouped = days.withColumn("__group", F.pmod(F.xxhash64("entity"), F.lit(groups))).groupBy("__group")
@@ -147,7 +166,9 @@ def _ancestors(day: str = "day") -> Column:
 
 def tree_nodes(days: DataFrame) -> DataFrame:
     """The trees as a table ``(entity, shard, node, total, n_rows)``: node 1 is the root, 64..127 the days."""
-    at = days.select("entity", F.floor(F.col("day") / LEAVES).cast("int").alias("shard"), F.explode(_ancestors()).alias("node"), "total", "n_rows")
+    at = days.select(
+        "entity", F.floor(F.col("day") / LEAVES).cast("int").alias("shard"), F.explode(_ancestors()).alias("node"), "total", "n_rows"
+    )
     return at.groupBy("entity", "shard", "node").agg(F.sum("total").alias("total"), F.sum("n_rows").alias("n_rows"))
 
 

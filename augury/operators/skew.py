@@ -103,7 +103,9 @@ def plan_loads(df: DataFrame, key: Column | str, partitions: int | None = None)
         return LoadPlan(n, total, {}, tuple(loads.tolist()))
     seeds = {
         r["k"]: (r["h"], r["p"])
-        for r in spark.createDataFrame(hot, "k string, c long").select("k", F.hash("k").alias("h"), F.pmod(F.hash("k", F.lit(0)), F.lit(n)).alias("p")).collect()
+        for r in spark.createDataFrame(hot, "k string, c long").select(
+            "k", F.hash("k").alias("h"), F.pmod(F.hash("k", F.lit(0)), F.lit(n)).alias("p")
+        ).collect()
     }
     shards: list[tuple[float, str]] = []
     for k, c in hot:
@@ -135,7 +137,9 @@ def _salts(seed: int, where: Sequence[int], n: int) -> list[int]:
     return [free[p].pop(0) for p in where]
 
 
-def balanced_totals(df: DataFrame, key: str, aggregates: Sequence[Column], merges: Sequence[Column], plan: LoadPlan | None = None) -> DataFrame:
+def balanced_totals(
+    df: DataFrame, key: str, aggregates: Sequence[Column], merges: Sequence[Column], plan: LoadPlan | None = None
+) -> DataFrame:
     """Per-key aggregates: ``aggregates`` per shard, then ``merges`` over the shards of a key.
 
     Rows with a null key form no group.  Partial aggregation runs before both shuffles, so a shuffle
@@ -149,7 +153,9 @@ def balanced_totals(df: DataFrame, key: str, aggregates: Sequence[Column], merge
     return parts.groupBy(key).agg(*merges)
 
 
-def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None, keep_salt: bool = False) -> DataFrame:
+def fragment_replicate_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None, keep_salt: bool = False
+) -> DataFrame:
     """Joins a skewed ``left`` to ``right`` on ``key``; the shards of a hot key run as separate tasks.
 
     ``how`` is ``inner`` or ``left``.  Null keys match nothing.  ``right`` may repeat keys, with the
@@ -159,7 +165,9 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: st
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     plan = plan or plan_loads(left, key)
-    return plan.scatter(left, key).join(plan.replicate(right.where(F.col(key).isNotNull()), key), [key, SALT], how) if keep_salt else fragment_replicate_join(left, right, key, how, plan, True).drop(SALT)
+    return plan.scatter(left, key).join(
+        plan.replicate(right.where(F.col(key).isNotNull()), key), [key, SALT], how
+    ) if keep_salt else fragment_replicate_join(left, right, key, how, plan, True).drop(SALT)
 
 
 def hot_keys(df: DataFrame, key: str, share: float, plan: LoadPlan | None = None) -> DataFrame:

@@ -33,7 +33,9 @@ class UnitTable:
     @classmethod
     def load(cls, defs: DataFrame, table: str, field: str) -> UnitTable:
         """Reads the fixed table ``unit_defs``; its size is checked before it comes to the driver."""
-        rows = defs.where((F.col("tbl") == table) & (F.col("field_name") == field)).select("unit_name", "source", "pow10").limit(UNIT_TABLE_MOST + 1).collect()
+        rows = defs.where(
+            (F.col("tbl") == table) & (F.col("field_name") == field)
+        ).select("unit_name", "source", "pow10").limit(UNIT_TABLE_MOST + 1).collect()
         if len(rows) > UNIT_TABLE_MOST:
             raise ValueError(f"unit_defs has more than {UNIT_TABLE_MOST} rows for {table}.{field}")
         return cls({r[0].lower(): r[2] for r in rows if r[1] is None and r[0]}, {r[1]: r[2] for r in rows if r[1] is not None})
@@ -81,11 +83,17 @@ def shift_text(number: Column, power: Column) -> Column:
     )
 
     def shifted(v: Column) -> Column:
-        up = F.struct(F.concat(v["whole"], F.rpad(F.substring(v["part"], F.lit(1), v["p"]), v["p"], "0")).alias("d"), F.substring(v["part"], v["p"] + 1, F.lit(1)).alias("after"), v["sign"].alias("sign"))
+        up = F.struct(
+            F.concat(v["whole"], F.rpad(F.substring(v["part"], F.lit(1), v["p"]), v["p"], "0")).alias("d"),
+            F.substring(v["part"], v["p"] + 1, F.lit(1)).alias("after"),
+            v["sign"].alias("sign")
+        )
 
         def down(w: Column) -> Column:
             cut = F.length(w) + v["p"]
-            return F.struct(F.substring(w, F.lit(1), cut).alias("d"), F.substring(w, cut + 1, F.lit(1)).alias("after"), v["sign"].alias("sign"))
+            return F.struct(
+                F.substring(w, F.lit(1), cut).alias("d"), F.substring(w, cut + 1, F.lit(1)).alias("after"), v["sign"].alias("sign")
+            )
 
         return F.when(v["p"] >= 0, up).otherwise(let(F.lpad(v["whole"], F.greatest(F.length(v["whole"]), 1 - v["p"]), "0"), down))
 
@@ -100,7 +108,12 @@ def shift_text(number: Column, power: Column) -> Column:
 def _plus_one(digits: Column) -> Column:
     def add(v: Column) -> Column:
         head = F.substring(v["d"], F.lit(1), F.length(v["d"]) - v["nines"])
-        last = let(head, lambda h: F.when(h == "", "1").otherwise(F.concat(F.substring(h, F.lit(1), F.length(h) - 1), (F.right(h, F.lit(1)).cast("int") + 1).cast("string"))))
+        last = let(
+            head,
+            lambda h: F.when(h == "", "1").otherwise(
+                F.concat(F.substring(h, F.lit(1), F.length(h) - 1), (F.right(h, F.lit(1)).cast("int") + 1).cast("string"))
+            )
+        )
         return F.concat(last, F.repeat(F.lit("0"), v["nines"]))
 
     return let(F.struct(digits.alias("d"), F.length(F.regexp_extract(digits, r"(9*)$", 1)).alias("nines")), add)
@@ -138,7 +151,15 @@ class Mixture:
     width: float
 
     @classmethod
-    def fit(cls, histogram: Sequence[tuple[float, int]], powers: Sequence[int], centre: float, width: float = 0.3, rounds: int = 60, least_width: float = 0.02) -> Mixture:
+    def fit(
+        cls,
+        histogram: Sequence[tuple[float, int]],
+        powers: Sequence[int],
+        centre: float,
+        width: float = 0.3,
+        rounds: int = 60,
+        least_width: float = 0.02
+    ) -> Mixture:
         """EM from ``(log10 value, rows)``; an empty histogram gives equal weights."""
         x = np.array([h[0] for h in histogram], dtype=float)
         n = np.array([h[1] for h in histogram], dtype=float)
@@ -159,7 +180,13 @@ class Mixture:
 
         def logs(v: Column) -> Column:
             z = lambda p: (v - F.lit(self.centre - p)) / F.lit(self.width)
-            return F.array(*(F.struct((F.lit(math.log(w)) - z(p) * z(p) * 0.5).alias("v"), F.lit(p).alias("p")) for p, w in zip(self.powers, self.weights, strict=True)))
+            return F.array(
+                *(
+                    F.struct(
+                        (F.lit(math.log(w)) - z(p) * z(p) * 0.5).alias("v"), F.lit(p).alias("p")
+                    ) for p, w in zip(self.powers, self.weights, strict=True)
+                )
+            )
 
         def best(all_: Column) -> Column:
             total = lambda top: F.aggregate(all_, F.lit(0.0), lambda acc, y: acc + F.exp(y["v"] - top["v"]))

@@ -56,7 +56,9 @@ class Analysis:
         yield
         log.info("%s: %s took %.1f s", self.name, what, time.monotonic() - began)
 
-    def save(self, spark: SparkSession, folder: str, out: str | Path, formats: Sequence[str] = DEFAULT_FORMATS, dpi: int = 300) -> dict[str, Path]:
+    def save(
+        self, spark: SparkSession, folder: str, out: str | Path, formats: Sequence[str] = DEFAULT_FORMATS, dpi: int = 300
+    ) -> dict[str, Path]:
         """Writes ``<out>/<name>.<format>``; formats that do not fit the result are skipped.
 
         csv and json come from the collected aggregate, parquet is written by Spark.  Figures need
@@ -127,32 +129,71 @@ _PRICE = {"x_label": "Price (cents)", "x_unit": charts.UnitType.CENTS}
 _USD = {"y_unit": charts.UnitType.DOLLARS}
 _PCT = {"y_unit": charts.UnitType.PERCENT}
 _DRAWN: dict[str, tuple[str, Drawn | None]] = {
-    "win_rate_by_price": ("Win rate against price", lambda r: charts.line([x for x in r if x["price"] and 1 <= x["price"] <= 99], "price", "win_rate", **_PRICE, **_PCT)),
-    "mispricing_by_price": ("Mispricing against price", lambda r: charts.line(r, "price", ("taker_mispricing_pp", "maker_mispricing_pp", "combined_mispricing_pp"), **_PRICE, **_PCT)),
-    "maker_vs_taker_returns": ("Excess returns of makers and takers by price", lambda r: charts.line(r, "price", ("taker_excess", "maker_excess"), **_PRICE)),
-    "maker_returns_by_direction": ("Makers' excess returns on YES and NO", lambda r: charts.line(_fill(r), "price", ("yes_excess", "no_excess"), **_PRICE)),
-    "maker_win_rate_by_direction": ("Makers' win rates on YES and NO", lambda r: charts.line(_fill(r), "price", ("yes_win_rate", "no_win_rate", "implied_prob"), **_PRICE)),
-    "maker_taker_gap_quarterly": ("Returns of makers and takers by quarter", lambda r: charts.line(r, "quarter", ("taker_return", "maker_return"), **_PCT)),
+    "win_rate_by_price": (
+        "Win rate against price",
+        lambda r: charts.line([x for x in r if x["price"] and 1 <= x["price"] <= 99], "price", "win_rate", **_PRICE, **_PCT)
+    ),
+    "mispricing_by_price": (
+        "Mispricing against price",
+        lambda r: charts.line(r, "price", ("taker_mispricing_pp", "maker_mispricing_pp", "combined_mispricing_pp"), **_PRICE, **_PCT)
+    ),
+    "maker_vs_taker_returns": (
+        "Excess returns of makers and takers by price", lambda r: charts.line(r, "price", ("taker_excess", "maker_excess"), **_PRICE)
+    ),
+    "maker_returns_by_direction": (
+        "Makers' excess returns on YES and NO", lambda r: charts.line(_fill(r), "price", ("yes_excess", "no_excess"), **_PRICE)
+    ),
+    "maker_win_rate_by_direction": (
+        "Makers' win rates on YES and NO",
+        lambda r: charts.line(_fill(r), "price", ("yes_win_rate", "no_win_rate", "implied_prob"), **_PRICE)
+    ),
+    "maker_taker_gap_quarterly": (
+        "Returns of makers and takers by quarter", lambda r: charts.line(r, "quarter", ("taker_return", "maker_return"), **_PCT)
+    ),
     "returns_by_category": ("Returns by category", lambda r: charts.bar(r[:8], "group", ("taker_excess", "maker_excess"), **_PCT)),
-    "trade_size_by_role": ("Trade size of makers and takers", lambda r: charts.bar(r, "role", ("mean_trade_size", "median_trade_size"), **_USD)),
-    "win_rate_by_trade_size": ("Win rate by trade size", lambda r: charts.line(r, "trade_size_bin", "excess_win_rate", x_scale=charts.ScaleType.LOG)),
+    "trade_size_by_role": (
+        "Trade size of makers and takers", lambda r: charts.bar(r, "role", ("mean_trade_size", "median_trade_size"), **_USD)
+    ),
+    "win_rate_by_trade_size": (
+        "Win rate by trade size", lambda r: charts.line(r, "trade_size_bin", "excess_win_rate", x_scale=charts.ScaleType.LOG)
+    ),
     "returns_by_hour": ("Returns by hour", lambda r: charts.line([x for x in r if x["hour_et"] is not None], "hour_et", "excess_return")),
     "vwap_by_hour": ("Volume-weighted price by hour", lambda r: charts.line([x for x in r if x["hour_et"] is not None], "hour_et", "vwap")),
     "volume_over_time": ("Volume by quarter", lambda r: charts.bar(r, "quarter", "volume_usd", **_USD)),
     "longshot_volume_share": ("Share of volume in longshots", lambda r: charts.line(r, "quarter", "longshot_share", **_PCT)),
-    "price_bucket_pivot": ("Volume by price bucket", lambda r: charts.area(r, "quarter", [k for k in (r[0] if r else ()) if k != "quarter"], share=True)),
-    "yes_vs_no_by_price": ("YES and NO contracts by price", lambda r: charts.bar(r, "price", ("taker_yes_pct", "taker_no_pct", "maker_yes_pct", "maker_no_pct"), share=True, **_PRICE)),
+    "price_bucket_pivot": (
+        "Volume by price bucket", lambda r: charts.area(r, "quarter", [k for k in (r[0] if r else ()) if k != "quarter"], share=True)
+    ),
+    "yes_vs_no_by_price": (
+        "YES and NO contracts by price",
+        lambda r: charts.bar(r, "price", ("taker_yes_pct", "taker_no_pct", "maker_yes_pct", "maker_no_pct"), share=True, **_PRICE)
+    ),
     "ev_yes_vs_no": ("Expected value of YES and NO", lambda r: charts.line(_dense(r), "price", ("yes_ev", "no_ev"), **_PRICE)),
-    "calibration_deviation_weekly": ("Calibration deviation over time", lambda r: charts.line(r, "date", "mean_absolute_deviation", **_PCT)),
+    "calibration_deviation_weekly": (
+        "Calibration deviation over time", lambda r: charts.line(r, "date", "mean_absolute_deviation", **_PCT)
+    ),
     "market_types": ("Volume by type of market", lambda r: charts.pie(r, "group", "total_volume")),
     "market_types_rollup": ("Volume by type of market, three levels", lambda r: charts.treemap(charts.tree_of(r))),
     "meta_stats": ("Size of the data", None),
     "statistical_tests": ("Statistical tests", None),
-    "polymarket_win_rate_by_price": ("Win rate against price, on-chain venue", lambda r: charts.line(r, "price", "win_rate", **_PRICE, **_PCT)),
-    "polymarket_calibration_by_bucket": ("Calibration by ten cents", lambda r: charts.bar(r, "bucket_low", ("mean_predicted", "actual_rate"), **_PCT)),
+    "polymarket_win_rate_by_price": (
+        "Win rate against price, on-chain venue", lambda r: charts.line(r, "price", "win_rate", **_PRICE, **_PCT)
+    ),
+    "polymarket_calibration_by_bucket": (
+        "Calibration by ten cents", lambda r: charts.bar(r, "bucket_low", ("mean_predicted", "actual_rate"), **_PCT)
+    ),
     "polymarket_trades_over_time": ("Trades per block", lambda r: charts.line(r, "datetime", "trade_count")),
     "polymarket_volume_over_time": ("Volume by quarter, on-chain venue", lambda r: charts.bar(r, "quarter", "volume_usd", **_USD)),
-    "win_rate_by_price_animated": ("Cumulative win rate of both venues", lambda r: charts.scatter(r, "price", "win_rate", series=[charts.Series(p, [x for x in r if x["platform"] == p]) for p in sorted({x["platform"] for x in r})], **_PRICE)),
+    "win_rate_by_price_animated": (
+        "Cumulative win rate of both venues",
+        lambda r: charts.scatter(
+            r,
+            "price",
+            "win_rate",
+            series=[charts.Series(p, [x for x in r if x["platform"] == p]) for p in sorted({x["platform"] for x in r})],
+            **_PRICE
+        )
+    ),
 }
 
 
@@ -174,5 +215,12 @@ def title(name: str) -> str:
 def latex_macros(rows: Sequence[dict[str, Any]]) -> str:
     """Macros for the figures of ``meta_stats``."""
     by = {r["metric"]: r["formatted"] for r in rows}
-    names = {"numTrades": "num_trades", "numTradesMillions": "num_trades_millions", "totalVolume": "total_volume", "totalVolumeBillions": "total_volume_billions", "numMarkets": "num_markets", "numEvents": "num_events"}
+    names = {
+        "numTrades": "num_trades",
+        "numTradesMillions": "num_trades_millions",
+        "totalVolume": "total_volume",
+        "totalVolumeBillions": "total_volume_billions",
+        "numMarkets": "num_markets",
+        "numEvents": "num_events"
+    }
     return "\n".join(f"\\newcommand{{\\{k}}}{{{by[v]}}}" for k, v in names.items())

@@ -135,7 +135,9 @@ def tree_of(rows: Rows) -> list[dict[str, Any]]:
         below = [r for r in rows if r["level"] == level + 1 and tuple(r[k] for k in names[:level]) == keys]
         out: dict[str, Any] = {"name": keys[-1], "value": row["volume"]}
         if len(below) > 1:
-            out["children"] = [node(level + 1, (*keys, r[names[level]]), r) for r in sorted(below, key=lambda r: (-r["volume"], str(r[names[level]])))]
+            out["children"] = [
+                node(level + 1, (*keys, r[names[level]]), r) for r in sorted(below, key=lambda r: (-r["volume"], str(r[names[level]])))
+            ]
         return out
 
     top = [r for r in rows if r["level"] == 1]

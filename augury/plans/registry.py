@@ -54,16 +54,24 @@ def _venue_p() -> dict[str, Query]:
     t = lambda name: lambda s, d: table(s, d, name)
     trades, blocks, collateral = t("p_trades"), t("p_blocks"), t("p_collateral")
     four = lambda s, d: (trades(s, d), views.p_markets(s, d), views.p_legacy(s, d), collateral(s, d))
-    days = lambda s, d: (venue_p.daily_k(views.k_trades(s, d), views.k_markets(s, d)), venue_p.daily_p(*four(s, d)[:3], blocks(s, d), collateral(s, d)))
+    days = lambda s, d: (
+        venue_p.daily_k(views.k_trades(s, d), views.k_markets(s, d)), venue_p.daily_p(*four(s, d)[:3], blocks(s, d), collateral(s, d))
+    )
     return {
         "polymarket_win_rate_by_price": lambda s, d: venue_p.win_rate_by_price(*four(s, d)),
         "calibration_metrics": lambda s, d: venue_p.calibration_metrics(venue_p.win_rate_by_price(*four(s, d))),
         "polymarket_calibration_by_bucket": lambda s, d: venue_p.calibration_by_bucket(*four(s, d)),
         "bucket_metrics": lambda s, d: venue_p.bucket_metrics(venue_p.calibration_by_bucket(*four(s, d))),
         "polymarket_trades_over_time": lambda s, d: venue_p.trades_over_time(trades(s, d), views.p_legacy(s, d), blocks(s, d)),
-        "polymarket_volume_over_time": lambda s, d: venue_p.volume_over_time(trades(s, d), views.p_legacy(s, d), blocks(s, d), collateral(s, d)),
-        "daily_cumulative_snapshot": lambda s, d: venue_p.snapshots(*days(s, d)).drop("day_total").withColumn("day", F.date_format("day", "yyyy-MM-dd")),
-        "every_other_day": lambda s, d: venue_p.kept_days(venue_p.snapshots(*days(s, d))).withColumn("day", F.date_format("day", "yyyy-MM-dd")),
+        "polymarket_volume_over_time": lambda s, d: venue_p.volume_over_time(
+            trades(s, d), views.p_legacy(s, d), blocks(s, d), collateral(s, d)
+        ),
+        "daily_cumulative_snapshot": lambda s, d: venue_p.snapshots(*days(s, d)).drop("day_total").withColumn(
+            "day", F.date_format("day", "yyyy-MM-dd")
+        ),
+        "every_other_day": lambda s, d: venue_p.kept_days(venue_p.snapshots(*days(s, d))).withColumn(
+            "day", F.date_format("day", "yyyy-MM-dd")
+        ),
         "animation_frames": lambda s, d: venue_p.animation_frames(*days(s, d)),
         "win_rate_by_price_animated": lambda s, d: venue_p.win_rate_by_price_animated(*days(s, d)),
     }

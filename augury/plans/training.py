@@ -31,7 +31,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_ticker_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows and contracts of each ticker with the event of its market, by fragment and replicate."""
     trades = _keyed(spark, d, "k_trades", "ticker").select("hot_key", "count").where(F.col("hot_key").isNotNull())
-    events = table(spark, d, "k_markets").groupBy(ticker_key("ticker").alias("hot_key")).agg(F.max(ticker_key("event_ticker")).alias("event_ticker"))
+    events = table(spark, d, "k_markets").groupBy(ticker_key("ticker").alias("hot_key")).agg(
+        F.max(ticker_key("event_ticker")).alias("event_ticker")
+    )
     plan = skew.plan_loads(trades, "hot_key")
     joined = skew.fragment_replicate_join(trades, events, "hot_key", "left", plan, keep_salt=True)
     parts = [F.count("*").alias("n"), F.sum("count").alias("c"), F.max("event_ticker").alias("e")]
@@ -41,7 +43,9 @@ def p1_ticker_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_address_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows, buys and collateral of each AMM address of the legacy trades."""
-    rows = _keyed(spark, d, "p_legacy", "fpmm_address").select("hot_key", "is_buy", F.expr("try_cast(amount AS DECIMAL(38,0))").alias("amount"))
+    rows = _keyed(spark, d, "p_legacy", "fpmm_address").select(
+        "hot_key", "is_buy", F.expr("try_cast(amount AS DECIMAL(38,0))").alias("amount")
+    )
     parts = [F.count("*").alias("n"), F.count_if("is_buy").alias("b"), F.sum("amount").alias("a")]
     merges = [F.sum("n").alias("n_rows"), F.sum("b").alias("n_buys"), F.sum("a").cast("string").alias("amount")]
     return skew.balanced_totals(rows, "hot_key", parts, merges).withColumnRenamed("hot_key", "fpmm_address")
@@ -56,12 +60,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     def part(name: str, src: str, key: Column, at: str = "_fetched_at") -> DataFrame:
         return table(spark, d, name).select(F.lit(src).alias("src"), key.alias("ref_key"), F.col(at).alias("at"))
 
-    children = part("k_trades", "k_trades", ticker_key("ticker")).unionByName(part("p_legacy", "p_legacy", id_key("fpmm_address"))).unionByName(part("p_markets", "p_markets", id_key("market_maker_address")))
-    parents = part("k_markets", "k_trades", ticker_key("ticker")).unionByName(part("p_markets", "p_legacy", id_key("market_maker_address"))).unionByName(part("p_collateral", "p_markets", id_key("fpmm_address")))
+    children = part("k_trades", "k_trades", ticker_key("ticker")).unionByName(part("p_legacy", "p_legacy", id_key("fpmm_address"))).unionByName(
+        part("p_markets", "p_markets", id_key("market_maker_address"))
+    )
+    parents = part("k_markets", "k_trades", ticker_key("ticker")).unionByName(
+        part("p_markets", "p_legacy", id_key("market_maker_address"))
+    ).unionByName(part("p_collateral", "p_markets", id_key("fpmm_address")))
     child_of = {"k_markets": "k_trades", "p_markets": "p_legacy", "p_collateral": "p_markets"}
     src = F.create_map(*(F.lit(x) for kv in child_of.items() for x in kv))[F.col("scope")]
     key = F.when(F.col("scope") == "k_markets", ticker_key("ref_key")).otherwise(id_key("ref_key"))
-    removals = table(spark, d, "removals").select(src.alias("src"), key.alias("ref_key"), F.col("removed_at").alias("at")).where(F.col("src").isNotNull())
+    removals = table(spark, d, "removals").select(
+        src.alias("src"), key.alias("ref_key"), F.col("removed_at").alias("at")
+    ).where(F.col("src").isNotNull())
     return orphans.orphan_references(children, parents, removals)
 
 
@@ -90,14 +100,18 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     """Totals and daily averages over 7 and 30 days for every ticker and day, idle days included."""
     rows = _ticker_totals(spark, d)
     return rows.select(
-        F.col("entity").alias("ticker"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"), F.col("n_rows").alias("n_trades"), "total_7", "total_30",
+        F.col("entity").alias("ticker"), F.date_format(
+            F.date_from_unix_date("day"), "yyyy-MM-dd"
+        ).alias("trade_day"), F.col("n_rows").alias("n_trades"), "total_7", "total_30",
         F.round(F.col("total_7") / F.lit(7.0), 6).alias("avg_7"), F.round(F.col("total_30") / F.lit(30.0), 6).alias("avg_30"),
     )
 
 
 def p3_corrected(spark: SparkSession, d: str) -> DataFrame:
     """Totals per ticker and 64-day shard after the trades fetched from 2024 on corrected the trees of the earlier ones."""
-    trades = table(spark, d, "k_trades").select(id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at")
+    trades = table(spark, d, "k_trades").select(
+        id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at"
+    )
     first = dedup.keep_first(trades, "id", "_fetched_at")
     late = F.coalesce(F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
     stored, corrections = (rolling.daily(first.where(c), "ticker", "created_time", "count") for c in (~late, late))
@@ -119,8 +133,12 @@ def _price_units(spark: SparkSession, d: str) -> DataFrame:
     single = units.fit_units(untold.where(F.col("no_price").isNull()), yes, powers, 3.6)
     log = lambda c: F.log10(F.greatest(c, F.lit(1)).cast("double"))
     dollars = F.create_map(*(F.lit(x) for p in powers for x in (p, 10 ** (4 - p))))  # a dollar in each unit
-    by_pair = units.let(pair.posterior(log(both)), lambda g: F.struct(g["power"].alias("power"), (F.abs(both - dollars[g["power"]]) <= 1).alias("sure")))
-    by_price = units.let(single.posterior(log(yes)), lambda g: F.struct(g["power"].alias("power"), (g["probability"] >= SURE).alias("sure")))
+    by_pair = units.let(
+        pair.posterior(log(both)), lambda g: F.struct(g["power"].alias("power"), (F.abs(both - dollars[g["power"]]) <= 1).alias("sure"))
+    )
+    by_price = units.let(
+        single.posterior(log(yes)), lambda g: F.struct(g["power"].alias("power"), (g["probability"] >= SURE).alias("sure"))
+    )
     told = F.struct(F.col("told").alias("power"), F.lit(True).alias("sure"))
     unit = F.when(F.col("told").isNotNull(), told).when(both.isNotNull(), by_pair).when(yes.isNotNull(), by_price)
     return rows.withColumn("unit", unit)
@@ -135,7 +153,9 @@ def _amount_units(spark: SparkSession, d: str) -> DataFrame:
     ratio = F.log10(F.col("maker_amount").cast("double") / F.col("taker_amount")) + paid
     mixture = units.fit_units(rows.where(F.col("told").isNull() & readable), F.pow(F.lit(10.0), ratio), defs.powers or [0], 0.0)
     guess = units.let(mixture.posterior(ratio), lambda g: F.struct(g["power"].alias("power"), (g["probability"] >= SURE).alias("sure")))
-    return rows.withColumn("unit", F.when(F.col("told").isNotNull(), F.struct(F.col("told").alias("power"), F.lit(True).alias("sure"))).when(readable, guess))
+    return rows.withColumn(
+        "unit", F.when(F.col("told").isNotNull(), F.struct(F.col("told").alias("power"), F.lit(True).alias("sure"))).when(readable, guess)
+    )
 
 
 def _token_units(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +184,15 @@ def _in_one_unit(spark: SparkSession, d: str) -> DataFrame:
     """``(src, rec_key, number, power, sure, usual, at)`` of all rows; null number or power: can't be read."""
 
     def part(rows: DataFrame, src: str, key: Column, number: Column, power: Column, sure: Column, usual: int) -> DataFrame:
-        return rows.select(F.lit(src).alias("src"), key.alias("rec_key"), number.cast("string").alias("number"), power.alias("power"), F.coalesce(sure, F.lit(False)).alias("sure"), F.lit(usual).alias("usual"), F.col("_fetched_at").alias("at"))
+        return rows.select(
+            F.lit(src).alias("src"),
+            key.alias("rec_key"),
+            number.cast("string").alias("number"),
+            power.alias("power"),
+            F.coalesce(sure, F.lit(False)).alias("sure"),
+            F.lit(usual).alias("usual"),
+            F.col("_fetched_at").alias("at")
+        )
 
     fill = fill_key("transaction_hash", "log_index")
     k = part(_price_units(spark, d), "k_trades", id_key("trade_id"), F.col("yes_price"), F.col("unit.power"), F.col("unit.sure"), 2)
@@ -199,7 +227,11 @@ def _messages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of trades and fills with more than one stored row."""
-    k, p = (dedup.copy_counts(df, "msg_key", "_fetched_at", ties=[]).select(F.lit(src).alias("src"), "msg_key", "n_copies") for src, df in _messages(spark, d))
+    k, p = (
+        dedup.copy_counts(df, "msg_key", "_fetched_at", ties=[]).select(
+            F.lit(src).alias("src"), "msg_key", "n_copies"
+        ) for src, df in _messages(spark, d)
+    )
     return k.unionByName(p)
 
 
@@ -214,14 +246,18 @@ def p5_fills(spark: SparkSession, d: str) -> DataFrame:
     """Fills, exactly one row per transaction hash and log index: the first that arrived."""
     rows = table(spark, d, "p_trades").withColumn("msg_key", fill_key("transaction_hash", "log_index"))
     kept = dedup.keep_first(rows, "msg_key", "_fetched_at", ties=["transaction_hash"])
-    return kept.select("msg_key", "block_number", hash_key("order_hash").alias("order_hash"), "maker_amount", "taker_amount", "fee", "_fetched_at")
+    return kept.select(
+        "msg_key", "block_number", hash_key("order_hash").alias("order_hash"), "maker_amount", "taker_amount", "fee", "_fetched_at"
+    )
 
 
 def p5_admitted(spark: SparkSession, d: str) -> DataFrame:
     """What the batches from 2024 on add to the trades stored before: new identifiers only."""
     rows = table(spark, d, "k_trades").select(id_key("trade_id").alias("msg_key"), "trade_id", "count", "_fetched_at")
     late = F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz")
-    return dedup.admit(rows.where(~late), rows.where(late), "msg_key", "_fetched_at", ties=["trade_id"]).select("msg_key", "count", "_fetched_at")
+    return dedup.admit(
+        rows.where(~late), rows.where(late), "msg_key", "_fetched_at", ties=["trade_id"]
+    ).select("msg_key", "count", "_fetched_at")
 
 
 # 6. Several values packed in one field

@@ -27,21 +27,35 @@ def latest(df: DataFrame, key: str, by: str, ties: Sequence[str]) -> DataFrame:
 
 def k_trades(spark: SparkSession, d: str) -> DataFrame:
     cents = F.col("yes_price") + F.col("no_price") == 100
-    return table(spark, d, "k_trades").where(cents).select(ticker_key("ticker").alias("ticker"), "count", "yes_price", "no_price", "taker_side", "created_time")
+    return table(spark, d, "k_trades").where(cents).select(
+        ticker_key("ticker").alias("ticker"), "count", "yes_price", "no_price", "taker_side", "created_time"
+    )
 
 
 def k_markets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "k_markets").select(ticker_key("ticker").alias("ticker"), "status", "result", "event_ticker", "volume", "_fetched_at").where(F.col("ticker").isNotNull())
+    rows = table(spark, d, "k_markets").select(
+        ticker_key("ticker").alias("ticker"), "status", "result", "event_ticker", "volume", "_fetched_at"
+    ).where(F.col("ticker").isNotNull())
     return latest(rows, "ticker", "_fetched_at", ["status", "result", "event_ticker", "volume"])
 
 
 def p_markets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "p_markets").select("id", "outcomes", "outcome_prices", "clob_token_ids", id_key("market_maker_address").alias("market_maker_address"), "closed", "_fetched_at")
+    rows = table(spark, d, "p_markets").select(
+        "id",
+        "outcomes",
+        "outcome_prices",
+        "clob_token_ids",
+        id_key("market_maker_address").alias("market_maker_address"),
+        "closed",
+        "_fetched_at"
+    )
     return latest(rows, "id", "_fetched_at", ["outcome_prices", "clob_token_ids", "market_maker_address"])
 
 
 def p_legacy(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "p_legacy").select("block_number", id_key("fpmm_address").alias("fpmm_address"), "amount", "outcome_index", "outcome_tokens")
+    return table(spark, d, "p_legacy").select(
+        "block_number", id_key("fpmm_address").alias("fpmm_address"), "amount", "outcome_index", "outcome_tokens"
+    )
 
 
 def resolved(markets: DataFrame, finalized: bool = True) -> DataFrame:
@@ -75,7 +89,9 @@ def traded(trades: DataFrame, markets: DataFrame, finalized: bool = True, *more:
     yes = F.col("taker_side") == "yes"
     rows = trades.join(resolved(markets, finalized).select("ticker", "result", *more), "ticker")
     return rows.select(
-        "*", on(yes, F.col("yes_price"), F.col("no_price")).alias("taker_price"), on(yes, F.col("no_price"), F.col("yes_price")).alias("maker_price"),
+        "*", on(
+            yes, F.col("yes_price"), F.col("no_price")
+        ).alias("taker_price"), on(yes, F.col("no_price"), F.col("yes_price")).alias("maker_price"),
         on(F.col("taker_side") == F.col("result"), 1).alias("taker_won"), on(F.col("taker_side") != F.col("result"), 1).alias("maker_won"),
     )
 
@@ -83,7 +99,9 @@ def traded(trades: DataFrame, markets: DataFrame, finalized: bool = True, *more:
 def positions(rows: DataFrame, *keep: str) -> DataFrame:
     """Two positions per trade: ``(role, price, won, count, ALIKE, ...)``, unpivoted from one scan."""
     side = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{r}_price").alias("price"), F.col(f"{r}_won").alias("won"))
-    return rows.select("count", ALIKE, *keep, F.explode(F.array(side("taker"), side("maker"))).alias("p")).select("p.*", "count", ALIKE, *keep)
+    return rows.select(
+        "count", ALIKE, *keep, F.explode(F.array(side("taker"), side("maker"))).alias("p")
+    ).select("p.*", "count", ALIKE, *keep)
 
 
 def maker_bets(trades: DataFrame, markets: DataFrame) -> DataFrame:

@@ -11,8 +11,12 @@ def session(name: str = "augury", cores: int | str | None = None, partitions: in
     """A local session in UTC; settings that a running session has stay as they are."""
     cores = cores or os.environ.get("BENCH_CPUS", "*")
     spark = (
-        SparkSession.builder.master(f"local[{cores}]").appName(name).config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        SparkSession.builder.master(f"local[{cores}]").appName(name).config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
+        .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(
+            "spark.sql.execution.arrow.pyspark.enabled", "true"
+        )
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -47,7 +47,15 @@ def _count(name: str) -> Column:
 def k_trades(raw: DataFrame, column: str = "payload") -> DataFrame:
     """Trades from JSON payloads; a missing side is blank, a missing count is 0."""
     j = raw.select(F.from_json(column, K_TRADE_JSON).alias("j")).where(F.col("j").isNotNull())
-    return j.select("j.trade_id", "j.ticker", F.coalesce(_count("count"), F.lit(0)).alias("count"), _price("yes_price"), _price("no_price"), F.coalesce("j.taker_side", F.lit("")).alias("taker_side"), moment(F.col("j.created_time")).alias("created_time"))
+    return j.select(
+        "j.trade_id",
+        "j.ticker",
+        F.coalesce(_count("count"), F.lit(0)).alias("count"),
+        _price("yes_price"),
+        _price("no_price"),
+        F.coalesce("j.taker_side", F.lit("")).alias("taker_side"),
+        moment(F.col("j.created_time")).alias("created_time")
+    )
 
 
 def k_markets(raw: DataFrame, column: str = "payload") -> DataFrame:
@@ -56,8 +64,12 @@ def k_markets(raw: DataFrame, column: str = "payload") -> DataFrame:
     text = ["ticker", "event_ticker", "market_type", "title", "yes_sub_title", "no_sub_title", "status"]
     quotes = ["yes_bid", "yes_ask", "no_bid", "no_ask", "last_price"]
     return j.select(
-        *(F.col(f"j.{c}") for c in text), *map(_price, quotes), *(F.coalesce(_count(c), F.lit(0)).alias(c) for c in ("volume", "volume_24h", "open_interest")),
-        F.coalesce("j.result", F.lit("")).alias("result"), *(moment(F.col(f"j.{c}")).alias(c) for c in ("created_time", "open_time", "close_time")),
+        *(F.col(f"j.{c}") for c in text), *map(_price, quotes), *(
+            F.coalesce(_count(c), F.lit(0)).alias(c) for c in ("volume", "volume_24h", "open_interest")
+        ),
+        F.coalesce("j.result", F.lit("")).alias("result"), *(
+            moment(F.col(f"j.{c}")).alias(c) for c in ("created_time", "open_time", "close_time")
+        ),
     )
 
 
@@ -67,7 +79,9 @@ def p_markets(raw: DataFrame, column: str = "payload") -> DataFrame:
     number = lambda c: F.coalesce(F.col(f"j.{c}").try_cast("double"), F.lit(0.0)).alias(c)
     return j.select(
         "j.id", F.col("j.conditionId").alias("condition_id"), "j.question", "j.slug", "j.outcomes", F.col("j.outcomePrices").alias("outcome_prices"), F.col("j.clobTokenIds").alias("clob_token_ids"), number("volume"), number("liquidity"),
-        "j.active", "j.closed", moment(F.col("j.endDate")).alias("end_date"), moment(F.col("j.createdAt")).alias("created_at"), F.col("j.marketMakerAddress").alias("market_maker_address"),
+        "j.active", "j.closed", moment(F.col("j.endDate")).alias("end_date"), moment(F.col("j.createdAt")).alias("created_at"), F.col(
+            "j.marketMakerAddress"
+        ).alias("market_maker_address"),
     )
 
 
@@ -82,8 +96,35 @@ def address(topic: str) -> str:
     return "0x" + topic.removeprefix("0x").lower()[-40:]
 
 
-LOG = T.StructType([T.StructField(n, k) for n, k in (("block_number", T.LongType()), ("transaction_hash", T.StringType()), ("log_index", T.LongType()), ("address", T.StringType()), ("topics", T.ArrayType(T.StringType())), ("data", T.StringType()))])
-FILL = T.StructType([T.StructField(n, T.LongType() if n in ("block_number", "log_index") else T.StringType()) for n in ("block_number", "transaction_hash", "log_index", "order_hash", "maker", "taker", "maker_asset_id", "taker_asset_id", "maker_amount", "taker_amount", "fee")])
+LOG = T.StructType(
+    [
+        T.StructField(n, k) for n, k in (
+            ("block_number", T.LongType()),
+            ("transaction_hash", T.StringType()),
+            ("log_index", T.LongType()),
+            ("address", T.StringType()),
+            ("topics", T.ArrayType(T.StringType())),
+            ("data", T.StringType())
+        )
+    ]
+)
+FILL = T.StructType(
+    [
+        T.StructField(n, T.LongType() if n in ("block_number", "log_index") else T.StringType()) for n in (
+            "block_number",
+            "transaction_hash",
+            "log_index",
+            "order_hash",
+            "maker",
+            "taker",
+            "maker_asset_id",
+            "taker_asset_id",
+            "maker_amount",
+            "taker_amount",
+            "fee"
+        )
+    ]
+)
 
 
 def fill_of(topics: Sequence[str], data: str) -> tuple[str, str, str, str, str, str, str, str]:
@@ -108,7 +149,9 @@ def fills(logs: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             out = []
-            for b, h, i, t, x in zip(pdf["block_number"], pdf["transaction_hash"], pdf["log_index"], pdf["topics"], pdf["data"], strict=True):
+            for b, h, i, t, x in zip(
+                pdf["block_number"], pdf["transaction_hash"], pdf["log_index"], pdf["topics"], pdf["data"], strict=True
+            ):
                 try:
                     out.append((b, h, i, *fill_of(list(t), x)))
                 except (IndexError, ValueError, TypeError, AttributeError):

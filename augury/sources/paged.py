@@ -31,7 +31,9 @@ class TooLarge(Exception):
     """A range holds more events than the endpoint gives at once."""
 
 
-def with_retries(call: Callable[[], Any], attempts: int = 5, first: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Any:
+def with_retries(
+    call: Callable[[], Any], attempts: int = 5, first: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep
+) -> Any:
     """Calls again after ``Retry`` with doubled waits; other statuses and the last failure are raised."""
     for n in range(attempts):
         try:
@@ -92,7 +94,9 @@ def logs_between(fetch: Callable[[int, int], Sequence[tuple]], low: int, high: i
         yield from logs_between(fetch, middle + 1, high)
 
 
-def register_logs(spark: SparkSession, name: str, schema: str, fetch: Callable[[int, int], Sequence[tuple]], head: Callable[[], int]) -> None:
+def register_logs(
+    spark: SparkSession, name: str, schema: str, fetch: Callable[[int, int], Sequence[tuple]], head: Callable[[], int]
+) -> None:
     """Registers an event-log source: ``spark.read`` and ``spark.readStream`` with format ``name``.
 
     Options: ``from``, ``to`` (batch; the head by default), ``blocks_per_range``.  Stream offsets are
@@ -146,7 +150,9 @@ def register_logs(spark: SparkSession, name: str, schema: str, fetch: Callable[[
     spark.dataSource.register(Logs)
 
 
-def register_keyed(spark: SparkSession, name: str, schema: str, keys: Sequence[str], page: Callable[[str, str | None], tuple[Sequence[tuple], str | None]]) -> None:
+def register_keyed(
+    spark: SparkSession, name: str, schema: str, keys: Sequence[str], page: Callable[[str, str | None], tuple[Sequence[tuple], str | None]]
+) -> None:
     """Registers a cursor-paged source with one partition per key (a ticker, or one key for all rows)."""
 
     class Reader(DataSourceReader):
@@ -171,7 +177,15 @@ def register_keyed(spark: SparkSession, name: str, schema: str, keys: Sequence[s
     spark.dataSource.register(Keyed)
 
 
-def register_offsets(spark: SparkSession, name: str, schema: str, page: Callable[[int, int], Sequence[tuple]], size: int = 500, pages_per_part: int = 20, total: int | None = None) -> None:
+def register_offsets(
+    spark: SparkSession,
+    name: str,
+    schema: str,
+    page: Callable[[int, int], Sequence[tuple]],
+    size: int = 500,
+    pages_per_part: int = 20,
+    total: int | None = None
+) -> None:
     """Registers an offset-paged source.
 
     With a known ``total`` its ranges are read in parallel; otherwise one partition reads to the end.

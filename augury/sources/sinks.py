@@ -15,7 +15,9 @@ BLOCKS_PER_PART = 100_000
 LEAST_VOLUME = 100
 
 
-def append_new(batch: DataFrame, path: str, key: str, arrival: str = "_fetched_at", ties: Sequence[str] | None = None, rows_per_file: int | None = None) -> None:
+def append_new(
+    batch: DataFrame, path: str, key: str, arrival: str = "_fetched_at", ties: Sequence[str] | None = None, rows_per_file: int | None = None
+) -> None:
     """Appends the rows whose key the table does not have; the first copy wins and is never changed.
 
     ``rows_per_file`` splits files for readers that need small ones; by default Spark decides.

@@ -18,7 +18,9 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
 
 def append_stream(stream: DataFrame, path: str, key: str, checkpoint: str, arrival: str = "_fetched_at") -> StreamingQuery:
     """Appends each batch's new keys to a table.  A batch that runs again after a failure adds nothing twice."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key, arrival)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(
+        lambda batch, _: append_new(batch, path, key, arrival)
+    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_volume(stream: DataFrame, time: str, amount: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:

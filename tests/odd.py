@@ -23,7 +23,9 @@ def write(spark: SparkSession, source: str, out: Path, kind: str) -> str:
         elif kind == "nulls":
             key = {"unit_defs": df.columns}.get(path.stem, [])
             blank = lambda c, i: F.when((F.xxhash64(*df.columns) + i) % 3 != 0, F.col(f"`{c}`")).alias(c)  # noqa: B023, E731
-            df = df.select(*(F.col(c) if c in key else blank(c, i) for i, c in enumerate(df.columns))).unionByName(df.limit(1).select(*(F.lit(None).cast(t).alias(c) if c not in key else F.col(c) for c, t in df.dtypes)))
+            df = df.select(*(F.col(c) if c in key else blank(c, i) for i, c in enumerate(df.columns))).unionByName(
+                df.limit(1).select(*(F.lit(None).cast(t).alias(c) if c not in key else F.col(c) for c, t in df.dtypes))
+            )
         elif kind == "clash":
             taken = {c.lower() for c in df.columns}
             df = df.select("*", *(F.lit("zz").alias(c) for c in CLASHING if c.lower() not in taken))

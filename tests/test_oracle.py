@@ -41,7 +41,9 @@ def test_same_rows(spark, small, db, name):
     mine, theirs = rows_of(df.columns, df.collect()), rows_of(columns, cursor.fetchall())
     assert len(mine) == len(theirs)
     for a, b in zip(mine, theirs, strict=True):
-        assert a == pytest.approx(b, abs=2e-6) if all(isinstance(x, float) for x in (*a, *b)) else all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6) for x, y in zip(a, b, strict=True)), (a, b)
+        assert a == pytest.approx(b, abs=2e-6) if all(isinstance(x, float) for x in (*a, *b)) else all(
+            x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6) for x, y in zip(a, b, strict=True)
+        ), (a, b)
 
 
 def test_names_match():

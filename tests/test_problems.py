@@ -28,14 +28,18 @@ def test_skew_plan_places_shards(spark):
     plan = skew.plan_loads(df, "key", 8)
     assert plan.total == 3320 and list(plan.salts) == ["HOT"] and len(plan.salts["HOT"]) >= 7
     assert max(plan.loads) < 2 * plan.total / 8
-    salted = plan.scatter(df.where("key IS NOT NULL"), "key").groupBy(F.pmod(F.hash("key", skew.SALT), F.lit(8)).alias("p")).count().collect()
+    salted = plan.scatter(df.where("key IS NOT NULL"), "key").groupBy(
+        F.pmod(F.hash("key", skew.SALT), F.lit(8)).alias("p")
+    ).count().collect()
     assert max(r["count"] for r in salted) < 2 * 3320 / 8  # Spark's own partitioner spreads the hot key
 
 
 def test_skew_totals_and_join(spark):
     df = keyed(spark)
     plan = skew.plan_loads(df, "key", 8)
-    got = skew.balanced_totals(df, "key", [F.count("*").alias("n"), F.sum("v").alias("s")], [F.sum("n").alias("n"), F.sum("s").alias("s")], plan)
+    got = skew.balanced_totals(
+        df, "key", [F.count("*").alias("n"), F.sum("v").alias("s")], [F.sum("n").alias("n"), F.sum("s").alias("s")], plan
+    )
     want = defaultdict(lambda: [0, 0])
     for r in df.where("key IS NOT NULL").collect():
         want[r["key"]][0] += 1
@@ -132,14 +136,18 @@ def test_forest_brute_force():
 
 
 def test_rolling_frames(spark):
-    rows = [("A", T0, 5), ("A", T0 + timedelta(hours=3), None), ("A", T0 + timedelta(days=9), 7), (None, T0, 9), ("B", None, 4), ("C", T0, None)]
+    rows = [
+        ("A", T0, 5), ("A", T0 + timedelta(hours=3), None), ("A", T0 + timedelta(days=9), 7), (None, T0, 9), ("B", None, 4), ("C", T0, None)
+    ]
     days = rolling.daily(spark.createDataFrame(rows, "e string, t timestamp_ntz, n long"), "e", "t", "n")
     got = {(r["entity"], r["day"] - 19723): (r["n_rows"], r["total_7"], r["total_30"]) for r in rolling.trailing_totals(days).collect()}
     assert got[("A", 0)] == (2, 5, 5) and got[("A", 6)] == (0, 5, 5) and got[("A", 7)] == (0, 0, 5) and got[("A", 9)] == (1, 7, 12) and got[("C", 0)] == (1, 0, 0) and len(got) == 11
     gaps = {(r["entity"], r["day"] - 19723) for r in rolling.trailing_totals(days, (7, 30), (7, 30)).collect()}
     assert gaps == {("A", d) for d in range(1, 7)}
     assert rolling.trailing_totals(days.limit(0)).count() == 0
-    many = spark.createDataFrame([(f"E{k}", d, k + d, 1) for k in range(40) for d in (0, 3, 60_000 + k)], "entity string, day int, total long, n_rows long")
+    many = spark.createDataFrame(
+        [(f"E{k}", d, k + d, 1) for k in range(40) for d in (0, 3, 60_000 + k)], "entity string, day int, total long, n_rows long"
+    )
     whole = rolling.trailing_totals(many, (7,))  # more dates than are handled at once
     assert whole.count() == sum(60_001 + k for k in range(40)) and whole.where("total_7 > 0").count() == 40 * 11 - 3
 
@@ -150,14 +158,35 @@ def test_late_corrections(spark):
     late = spark.createDataFrame([("A", 3, -4, 0), ("B", 200, 9, 1)], schema)
     key = lambda df: {(r["entity"], r["shard"], r["node"]): (r["total"], r["n_rows"]) for r in df.collect()}
     before, after = key(rolling.tree_nodes(base)), key(rolling.correct_nodes(rolling.tree_nodes(base), late))
-    assert after == key(rolling.tree_nodes(base.unionByName(late).groupBy("entity", "day").agg(F.sum("total").alias("total"), F.sum("n_rows").alias("n_rows"))))
+    assert after == key(
+        rolling.tree_nodes(
+            base.unionByName(late).groupBy("entity", "day").agg(F.sum("total").alias("total"), F.sum("n_rows").alias("n_rows"))
+        )
+    )
     assert sum(before.get(k) != v for k, v in after.items()) == 14  # two corrections, seven nodes each
 
 
 # units
 
 
-@pytest.mark.parametrize(("number", "power", "want"), [("12", 2, "1200"), ("1.25", 1, "13"), ("1.24", 1, "12"), ("0.00001", 18, "10000000000000"), ("994000", -2, "9940"), ("99", -2, "1"), ("49", -2, "0"), ("0", 5, "0"), ("-150", -2, "-2"), ("9" * 60, 3, "9" * 60 + "000"), ("999.9", 0, "1000"), ("007", 0, "7"), (None, 1, None)])
+@pytest.mark.parametrize(
+    ("number", "power", "want"),
+    [
+        ("12", 2, "1200"),
+        ("1.25", 1, "13"),
+        ("1.24", 1, "12"),
+        ("0.00001", 18, "10000000000000"),
+        ("994000", -2, "9940"),
+        ("99", -2, "1"),
+        ("49", -2, "0"),
+        ("0", 5, "0"),
+        ("-150", -2, "-2"),
+        ("9" * 60, 3, "9" * 60 + "000"),
+        ("999.9", 0, "1000"),
+        ("007", 0, "7"),
+        (None, 1, None)
+    ]
+)
 def test_shift_text(spark, number, power, want):
     df = spark.createDataFrame([(number, power)], "n string, p int")
     assert df.select(units.shift_text(F.col("n"), F.col("p"))).first()[0] == want
@@ -172,7 +201,21 @@ def test_hex_text(spark):
 
 def test_notes(spark):
     table = units.UnitTable({"cent": 2, "cents": 2, "¢": 2, "mill": 1, "tenth of a cent": 1, "bp": 0, "usd e-6": -2}, {"rest": 2})
-    cases = {"px in Tenth of a Cent": 1, "[¢]": 2, "px:bp / fee:cent": 0, "fee in cent": None, "fee:cent / px:mill": 1, "price=USD E-6;src=x": -2, "millions": None, "": None, "ok": None, None: None, "yes/no quoted in cents": 2, "taker leg cent": None, "px in cents after fee": 2}
+    cases = {
+        "px in Tenth of a Cent": 1,
+        "[¢]": 2,
+        "px:bp / fee:cent": 0,
+        "fee in cent": None,
+        "fee:cent / px:mill": 1,
+        "price=USD E-6;src=x": -2,
+        "millions": None,
+        "": None,
+        "ok": None,
+        None: None,
+        "yes/no quoted in cents": 2,
+        "taker leg cent": None,
+        "px in cents after fee": 2
+    }
     df = spark.createDataFrame(list(cases.items()), "note string, want int")
     assert {r[0]: r[1] for r in df.select("note", table.named(F.col("note"))).collect()} == cases
     empty = units.UnitTable({}, {})
@@ -199,7 +242,13 @@ def test_mixture(spark):
 
 def test_dedup(spark):
     rng = random.Random(4)
-    rows = [(None if rng.random() < 0.05 else f"m{rng.randrange(80)}", None if rng.random() < 0.05 else T0 + timedelta(hours=rng.randrange(20)), rng.randrange(5)) for _ in range(900)]
+    rows = [
+        (
+            None if rng.random() < 0.05 else f"m{rng.randrange(80)}",
+            None if rng.random() < 0.05 else T0 + timedelta(hours=rng.randrange(20)),
+            rng.randrange(5)
+        ) for _ in range(900)
+    ]
     rows += [("hot", T0 + timedelta(minutes=k % 300), k % 3) for k in range(700)]
     df = spark.createDataFrame(rows, "id string, at timestamp_ntz, v int")
     groups = defaultdict(list)
@@ -212,7 +261,9 @@ def test_dedup(spark):
     for p in (None, plan):
         kept = dedup.keep_first(df, "id", "at", plan=p)
         assert kept.columns == df.columns and Counter(map(tuple, kept.collect())) == want
-        assert {r["id"]: r["n_copies"] for r in dedup.copy_counts(df, "id", "at", plan=p).collect()} == {k: len(g) for k, g in groups.items() if k is not None and len(g) > 1}
+        assert {
+            r["id"]: r["n_copies"] for r in dedup.copy_counts(df, "id", "at", plan=p).collect()
+        } == {k: len(g) for k, g in groups.items() if k is not None and len(g) > 1}
     stored, batch = df.where("v < 2"), df.where("v >= 2")
     known = {r["id"] for r in stored.collect()} - {None}
     new = dedup.admit(stored, batch, "id", "at")
@@ -227,9 +278,15 @@ def test_dedup(spark):
 @pytest.mark.parametrize(
     ("text", "values"),
     [
-        ('["Yes", "No"]', ["Yes", "No"]), ("['Yes','No']", ["Yes", "No"]), ("('a', '')", ["a", ""]), ("{Will open,Won't open}", ["Will open", "Won't open"]), ('["Ha\'penny", \'Groat\']', ["Ha'penny", "Groat"]),
-        ('"[\\"S\\\\u00ec\\", \\"No\\"]"', ["Sì", "No"]), ('["\\"Old\\" x", "y"]', ['"Old" x', "y"]), ('"""Old"" x"; y', ['"Old" x', "y"]), ('{"a\\"b",c}', ['a"b', "c"]), ('Tie, Not a tie, ""', ["Tie", "Not a tie", ""]), ("Yes|No|", ["Yes", "No"]),
-        (" Up ;Down ", ["Up", "Down"]), ("Over\tUnder", ["Over", "Under"]), ("a\n\"b, c\"\n", ["a", "b, c"]), ("[0.50, 1]", ["0.50", "1"]), ("[]", []), ("", []), ("   ", []), (None, []), ('""', [""]), ('["\\ud83d\\ude80"]', ["🚀"]), ("{'x', 'it''s'}", ["x", "it's"]),
+        ('["Yes", "No"]', ["Yes", "No"]), ("['Yes','No']", ["Yes", "No"]), ("('a', '')", ["a", ""]), (
+            "{Will open,Won't open}", ["Will open", "Won't open"]
+        ), ('["Ha\'penny", \'Groat\']', ["Ha'penny", "Groat"]),
+        (
+            '"[\\"S\\\\u00ec\\", \\"No\\"]"', ["Sì", "No"]
+        ), ('["\\"Old\\" x", "y"]', ['"Old" x', "y"]), ('"""Old"" x"; y', ['"Old" x', "y"]), ('{"a\\"b",c}', ['a"b', "c"]), ('Tie, Not a tie, ""', ["Tie", "Not a tie", ""]), ("Yes|No|", ["Yes", "No"]),
+        (" Up ;Down ", ["Up", "Down"]), (
+            "Over\tUnder", ["Over", "Under"]
+        ), ("a\n\"b, c\"\n", ["a", "b, c"]), ("[0.50, 1]", ["0.50", "1"]), ("[]", []), ("", []), ("   ", []), (None, []), ('""', [""]), ('["\\ud83d\\ude80"]', ["🚀"]), ("{'x', 'it''s'}", ["x", "it's"]),
     ],
 )
 def test_read_atoms(text, values):
@@ -239,16 +296,28 @@ def test_read_atoms(text, values):
 
 
 def test_packed_ambiguous(spark):
-    rows = [("m1", '["a","b"]', "0,5;0,5", None), ("m2", '["a","b","c","d"]', "0,1,0,0", None), ("m3", "a|b", "1,0", "x;y"), ("m4", None, "1,0,0,0", None), ("m4", '["a","b"]', None, None), ("m5", None, "0,25 | 0,75", ""), ("m6", None, "1,0", None)]
+    rows = [
+        ("m1", '["a","b"]', "0,5;0,5", None),
+        ("m2", '["a","b","c","d"]', "0,1,0,0", None),
+        ("m3", "a|b", "1,0", "x;y"),
+        ("m4", None, "1,0,0,0", None),
+        ("m4", '["a","b"]', None, None),
+        ("m5", None, "0,25 | 0,75", ""),
+        ("m6", None, "1,0", None)
+    ]
     rows += [(f"p{k}", '["Yes","No"]', '["1","0"]', None) for k in range(30)] + [(None, "a,b", None, None)]
     df = spark.createDataFrame(rows, "id string, outcomes string, outcome_prices string, clob_token_ids string")
     got = defaultdict(dict)
     for r in packed.split_packed(df, "id").collect():
         got[r["id"], r["field_name"]][r["pos"]] = r["item"]
     value = lambda *k: [v for _, v in sorted(got[k].items())]
-    assert value("m1", "outcome_prices") == ["0,5", "0,5"] and value("m2", "outcome_prices") == ["0", "1", "0", "0"] and value("m3", "outcome_prices") == ["1", "0"]
+    assert value(
+        "m1", "outcome_prices"
+    ) == ["0,5", "0,5"] and value("m2", "outcome_prices") == ["0", "1", "0", "0"] and value("m3", "outcome_prices") == ["1", "0"]
     assert value("m4", "outcome_prices") == ["1,0", "0,0"]  # the record's other fetch has two values
-    assert value("m5", "outcome_prices") == ["0,25", "0,75"] and value("m6", "outcome_prices") == ["1", "0"] and value(None, "outcomes") == ["a", "b"]
+    assert value(
+        "m5", "outcome_prices"
+    ) == ["0,25", "0,75"] and value("m6", "outcome_prices") == ["1", "0"] and value(None, "outcomes") == ["a", "b"]
     assert packed.split_packed(df.limit(0), "id").count() == 0
 
 
@@ -256,7 +325,13 @@ def test_packed_round_trip():
     rng = random.Random(9)
     import json
 
-    writers = [json.dumps, lambda v: json.dumps(v, separators=(",", ":")), lambda v: json.dumps(json.dumps(v)), lambda v: ";".join('"' + x.replace('"', '""') + '"' for x in v), lambda v: "{" + ",".join('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in v) + "}"]
+    writers = [
+        json.dumps,
+        lambda v: json.dumps(v, separators=(",", ":")),
+        lambda v: json.dumps(json.dumps(v)),
+        lambda v: ";".join('"' + x.replace('"', '""') + '"' for x in v),
+        lambda v: "{" + ",".join('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in v) + "}"
+    ]
     alphabet = "ab ,;|~'\"()é0.🚀"
     for _ in range(400):
         values = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 8))).strip() for _ in range(rng.randrange(2, 7))]

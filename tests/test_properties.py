@@ -49,7 +49,11 @@ def test_salts_lead_to_their_partitions(seed, where):
 def test_both_sides_of_a_trade(spark, small):
     trades, markets = views.k_trades(spark, small), views.k_markets(spark, small)
     rows = views.traded(trades, markets)
-    by = {r["role"]: r for r in views.positions(rows).groupBy("role").agg(F.count("*").alias("n"), F.sum("count").alias("c"), F.sum("won").alias("w")).collect()}
+    by = {
+        r["role"]: r for r in views.positions(rows).groupBy("role").agg(
+            F.count("*").alias("n"), F.sum("count").alias("c"), F.sum("won").alias("w")
+        ).collect()
+    }
     assert by["taker"]["n"] == by["maker"]["n"] and by["taker"]["c"] == by["maker"]["c"]
     clear = rows.where(F.col("taker_side").isNotNull())
     assert clear.where(F.col("taker_won") + F.col("maker_won") != 1).count() == 0
@@ -59,18 +63,32 @@ def test_both_sides_of_a_trade(spark, small):
 
 def test_one_scan_equals_union(spark, small):
     rows = views.traded(views.k_trades(spark, small), views.k_markets(spark, small))
-    union = rows.select(F.lit("taker").alias("role"), F.col("taker_price").alias("price"), F.col("taker_won").alias("won"), "count", views.ALIKE).unionByName(rows.select(F.lit("maker").alias("role"), F.col("maker_price").alias("price"), F.col("maker_won").alias("won"), "count", views.ALIKE))
+    union = rows.select(F.lit("taker").alias("role"), F.col("taker_price").alias("price"), F.col("taker_won").alias("won"), "count", views.ALIKE).unionByName(
+        rows.select(
+            F.lit("maker").alias("role"), F.col("maker_price").alias("price"), F.col("maker_won").alias("won"), "count", views.ALIKE
+        )
+    )
     assert union.exceptAll(views.positions(rows)).count() == 0 and views.positions(rows).exceptAll(union).count() == 0
 
 
 def test_compact_changes_nothing(spark, small):
     """Sums over compacted trades are those over trades."""
     trades, markets = views.k_trades(spark, small), views.k_markets(spark, small)
-    sums = lambda t: sorted(map(tuple, views.positions(views.traded(t, markets)).groupBy("role", "price").agg(F.sum(views.ALIKE), F.sum(F.col(views.ALIKE) * F.col("won")), F.sum("count")).collect()), key=str)
+    sums = lambda t: sorted(
+        map(
+            tuple,
+            views.positions(views.traded(t, markets)).groupBy("role", "price").agg(
+                F.sum(views.ALIKE), F.sum(F.col(views.ALIKE) * F.col("won")), F.sum("count")
+            ).collect()
+        ),
+        key=str
+    )
     assert sums(views.compact(trades)) == sums(trades)
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
-    plan = venue_k.win_rate_by_price(views.k_trades(spark, small), views.k_markets(spark, small))._jdf.queryExecution().executedPlan().toString()
+    plan = venue_k.win_rate_by_price(
+        views.k_trades(spark, small), views.k_markets(spark, small)
+    )._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.splitlines() if "FileScan" in x]
     assert len(scans) == 2 and not any("trade_id" in x or "title" in x for x in scans)

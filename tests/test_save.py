@@ -11,7 +11,9 @@ from augury.plans.analysis import analyses, latex_macros
 
 def test_chart_json():
     c = charts.bar([{"x": 1, "y": None}], "x", ("y", "z"), stacked=True, title="t", y_unit=charts.UnitType.DOLLARS)
-    assert json.loads(c.to_json()) == {"type": "stacked-bar", "data": [{"x": 1, "y": None}], "xKey": "x", "yKeys": ["y", "z"], "title": "t", "yUnit": "dollars"}
+    assert json.loads(c.to_json()) == {
+        "type": "stacked-bar", "data": [{"x": 1, "y": None}], "xKey": "x", "yKeys": ["y", "z"], "title": "t", "yUnit": "dollars"
+    }
     assert list(c.to_dict()) == ["type", "data", "xKey", "yKeys", "title", "yUnit"]
     assert charts.pie([], "n", "v").to_dict() == {"type": "pie", "data": [], "nameKey": "n", "valueKey": "v"}
     assert charts.scatter([], "x", "y", series=[charts.Series("s", [])]).to_dict()["series"] == [{"name": "s", "data": []}]
@@ -19,8 +21,17 @@ def test_chart_json():
 
 def test_tree():
     row = lambda level, g, c, s, v: {"level": level, "group": g, "category": c, "subcategory": s, "volume": v}
-    rows = [row(1, "A", None, None, 10), row(1, "B", None, None, 20), row(2, "A", "x", None, 6), row(2, "A", "y", None, 4), row(2, "B", "z", None, 20), row(3, "A", "x", "k", 6)]
-    assert charts.tree_of(rows) == [{"name": "B", "value": 20}, {"name": "A", "value": 10, "children": [{"name": "x", "value": 6}, {"name": "y", "value": 4}]}]
+    rows = [
+        row(1, "A", None, None, 10),
+        row(1, "B", None, None, 20),
+        row(2, "A", "x", None, 6),
+        row(2, "A", "y", None, 4),
+        row(2, "B", "z", None, 20),
+        row(3, "A", "x", "k", 6)
+    ]
+    assert charts.tree_of(rows) == [
+        {"name": "B", "value": 20}, {"name": "A", "value": 10, "children": [{"name": "x", "value": 6}, {"name": "y", "value": 4}]}
+    ]
 
 
 def test_save(spark, small, tmp_path):

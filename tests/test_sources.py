@@ -77,7 +77,9 @@ def test_log_source_batch_and_stream(spark, tmp_path):
     stream = spark.readStream.format("fake_logs").option("from", "1000").load()
     out = str(tmp_path / "fills")
     for _ in range(2):  # the second run starts from the checkpoint and adds nothing
-        incremental.append_stream(stream.withColumn("key", F.concat_ws(":", "transaction_hash", "log_index")), out, "key", str(tmp_path / "cp")).awaitTermination()
+        incremental.append_stream(
+            stream.withColumn("key", F.concat_ws(":", "transaction_hash", "log_index")), out, "key", str(tmp_path / "cp")
+        ).awaitTermination()
         assert spark.read.parquet(out).count() == 41
 
 
@@ -91,15 +93,31 @@ def test_keyed_and_offset_sources(spark):
 
 
 def test_decoders(spark):
-    raw = [{"trade_id": "t", "ticker": "A", "count_fp": "3.00", "yes_price_dollars": "0.2900", "no_price_dollars": "0.7100", "created_time": "2024-01-01T05:00:00Z"}, {"trade_id": "u", "ticker": "B", "count": 2, "yes_price": 57, "no_price": 43, "taker_side": "yes", "created_time": "bad"}]
+    raw = [
+        {
+            "trade_id": "t",
+            "ticker": "A",
+            "count_fp": "3.00",
+            "yes_price_dollars": "0.2900",
+            "no_price_dollars": "0.7100",
+            "created_time": "2024-01-01T05:00:00Z"
+        },
+        {"trade_id": "u", "ticker": "B", "count": 2, "yes_price": 57, "no_price": 43, "taker_side": "yes", "created_time": "bad"}
+    ]
     got = decode.k_trades(spark.createDataFrame([(json.dumps(r),) for r in raw] + [(None,)], "payload string")).collect()
     assert [tuple(r)[:6] for r in got] == [("t", "A", 3, 29, 71, ""), ("u", "B", 2, 57, 43, "yes")]
     assert got[0]["created_time"] == datetime(2024, 1, 1, 5) and got[1]["created_time"] is None
     dollars = spark.createDataFrame([(f"{c / 100:.2f}", c) for c in range(100)], "d string, c int")
     assert dollars.where(decode.cents(F.col("d")) != F.col("c")).count() == 0
-    m = decode.k_markets(spark.createDataFrame([(json.dumps({"ticker": "A", "status": "open", "yes_bid": 5, "volume": 7}),)], "payload string")).first()
+    m = decode.k_markets(
+        spark.createDataFrame([(json.dumps({"ticker": "A", "status": "open", "yes_bid": 5, "volume": 7}),)], "payload string")
+    ).first()
     assert (m["yes_bid"], m["volume"], m["result"], m["close_time"]) == (5, 7, "", None)
-    p = decode.p_markets(spark.createDataFrame([(json.dumps({"id": "1", "outcomePrices": '["1","0"]', "volume": "2.5", "closed": True, "endDate": ""}),)], "payload string")).first()
+    p = decode.p_markets(
+        spark.createDataFrame(
+            [(json.dumps({"id": "1", "outcomePrices": '["1","0"]', "volume": "2.5", "closed": True, "endDate": ""}),)], "payload string"
+        )
+    ).first()
     assert (p["outcome_prices"], p["volume"], p["closed"], p["end_date"]) == ('["1","0"]', 2.5, True, None)
 
 
@@ -109,7 +127,9 @@ def test_log_decoders(spark):
     data = "0x" + "".join(map(word, (0, 2**255, 5, 7, 1)))
     logs = spark.createDataFrame([(1, "0xt", 2, "0xc", topics, data), (2, "0xt", 3, "0xc", topics[:2], "0x")], decode.LOG)
     [row] = decode.fills(logs).collect()
-    assert (row["order_hash"], row["maker"], row["taker_asset_id"], row["maker_amount"], row["fee"]) == ("0xhash", "0x" + f"{0xAB:040x}", str(2**255), "5", "1")
+    assert (
+        row["order_hash"], row["maker"], row["taker_asset_id"], row["maker_amount"], row["fee"]
+    ) == ("0xhash", "0x" + f"{0xAB:040x}", str(2**255), "5", "1")
     buy = decode.amm_trade_of(["0xs", "0x" + word(9), "0x" + word(1)], "0x" + "".join(map(word, (10, 2, 30))), True)
     assert buy == ("0x" + f"{9:040x}", "10", "2", 1, "30", True)
     assert decode.asset_hex("255") == word(255) and decode.asset_hex("x") is None and decode.asset_hex(str(2**256)) is None
@@ -124,7 +144,9 @@ def test_sinks(spark, tmp_path):
     blocks = str(tmp_path / "blocks")
     assert sinks.next_block(spark, blocks, 7) == 7
     sinks.write_blocks(spark.range(99_990, 100_010).select(F.col("id").alias("block_number"), F.lit("x").alias("timestamp")), blocks)
-    assert sinks.next_block(spark, blocks) == 100_010 and {r["part"] for r in spark.read.parquet(blocks).select("part").distinct().collect()} == {0, 1}
+    assert sinks.next_block(spark, blocks) == 100_010 and {
+        r["part"] for r in spark.read.parquet(blocks).select("part").distinct().collect()
+    } == {0, 1}
     lookup = tmp_path / "lookup.json"
     lookup.write_text(json.dumps({"0xA": {"collateral_symbol": "USDC", "collateral_decimals": 6}, "0xB": {}}))
     assert sorted(map(tuple, sinks.read_lookup(spark, str(lookup)).collect())) == [("0xA", "USDC", 6), ("0xB", None, None)]
@@ -144,7 +166,9 @@ def test_conform_and_optional(spark, tmp_path):
 def test_interpolation(spark):
     samples = [(0, 1000), (100, 1250), (100, 1250), (135, 1300), (4000, 9000)]
     for size in (50, 1000, 10_000_000):
-        got = {r[0]: r[1] for r in interpolate(spark.createDataFrame(samples, "block_number long, seconds long"), slice_blocks=size).collect()}
+        got = {
+            r[0]: r[1] for r in interpolate(spark.createDataFrame(samples, "block_number long, seconds long"), slice_blocks=size).collect()
+        }
         assert len(got) == 4001 and got[0] == 1000 and got[1] == 1002 and got[99] == 1247 and got[135] == 1300 and got[4000] == 9000
     assert spark.createDataFrame([(1704067200,)], "s long").select(iso_z("s")).first()[0] == "2024-01-01T00:00:00Z"
     assert interpolate(spark.createDataFrame([], "block_number long, seconds long")).count() == 0
@@ -156,10 +180,14 @@ def test_streams(spark, small, tmp_path):
     got = incremental.run_to_memory(daily, "days", checkpoint=str(tmp_path / "c1"))
     want = spark.read.parquet(f"{small}/events.parquet").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    once = incremental.drop_repeats(tables.stream_table(spark, small, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "60 days")
+    once = incremental.drop_repeats(
+        tables.stream_table(spark, small, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "60 days"
+    )
     kept = incremental.run_to_memory(once.select("event_id"), "once", "append", str(tmp_path / "c2"))
     assert kept.count() == spark.read.parquet(f"{small}/events.parquet").select("event_id").distinct().count()
-    volume = incremental.windowed_volume(tables.stream_table(spark, small, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_id")
+    volume = incremental.windowed_volume(
+        tables.stream_table(spark, small, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_id"
+    )
     assert incremental.run_to_memory(volume, "volume").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
 
 
@@ -173,7 +201,9 @@ def test_archive_and_prefix(spark, tmp_path):
     src.mkdir()
     for n in ("trades_0_10", "trades_10_20", "markets_0_10"):
         spark.range(5).toPandas().to_parquet(src / f"{n}.parquet")
-    assert tables.prefixed(spark, str(src), "trades_").count() == 10 and tables.prefixed(spark, str(src), "markets_", spark.range(1).schema).count() == 5
+    assert tables.prefixed(spark, str(src), "trades_").count() == 10 and tables.prefixed(
+        spark, str(src), "markets_", spark.range(1).schema
+    ).count() == 5
     for name in ("a.tar.zst", "a.tar.gz"):
         out = archive.unpack(archive.pack(src, tmp_path / name), tmp_path / f"out_{name}")
         assert sorted(p.name for p in (out / "data").iterdir()) == sorted(p.name for p in src.iterdir())
