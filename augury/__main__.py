@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from augury.plans.analysis import DEFAULT_FORMATS, analyses
+from augury.plans.analysis import ALIASES, DEFAULT_FORMATS, analyses
 from augury.session import session
 
 
@@ -18,7 +18,7 @@ def main(args: list[str]) -> int:
         print(__doc__)
         return 2
     spark, failed = session("augury"), 0
-    for a in known.values() if args[1] == "all" else [known[args[1]]]:
+    for a in [a for n, a in known.items() if n not in ALIASES] if args[1] == "all" else [known[args[1]]]:
         try:
             saved = a.save(spark, args[2], args[3], args[4:] or (*DEFAULT_FORMATS, "json"))
             print(f"{a.name}: {', '.join(map(str, saved.values()))}")

@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
@@ -18,6 +18,15 @@ log = logging.getLogger(__name__)
 TABLES, CHARTS, FIGURES = ("csv", "parquet"), ("json",), ("png", "pdf", "svg")
 DEFAULT_FORMATS = ("png", "pdf", "csv")
 MOST_ROWS = 1_000_000
+#: Analyses with summary figures, and the query that has them in one row.
+METRICS = {"polymarket_win_rate_by_price": "calibration_metrics", "polymarket_calibration_by_bucket": "bucket_metrics"}
+#: Other names that an analysis answers to.
+ALIASES = {
+    "maker_taker_gap_over_time": "maker_taker_gap_quarterly",
+    "maker_taker_returns_by_category": "returns_by_category",
+    "longshot_volume_share_over_time": "longshot_volume_share",
+    "kalshi_calibration_deviation_over_time": "calibration_deviation_weekly",
+}
 Drawn = Callable[[list[dict[str, Any]]], charts.Chart]
 
 
@@ -27,7 +36,6 @@ class Result:
 
     data: DataFrame
     chart: Drawn | None = None
-    metadata: dict[str, Any] = field(default_factory=dict)
 
     def rows(self) -> list[dict[str, Any]]:
         """The table's rows, which must be few: results are aggregates.  Larger ones raise."""
@@ -49,6 +57,14 @@ class Analysis:
     def run(self, spark: SparkSession, folder: str) -> Result:
         return Result(self.build(spark, folder), self.draw)
 
+    def metrics(self, spark: SparkSession, folder: str) -> dict[str, Any]:
+        """Summary figures beside the table; empty where the analysis has none."""
+        if self.name == "win_rate_by_price_animated":
+            return {"total_weeks": registry.queries()["every_other_day"](spark, folder).count()}
+        if self.name not in METRICS:
+            return {}
+        return registry.queries()[METRICS[self.name]](spark, folder).first().asDict()
+
     @contextmanager
     def progress(self, what: str) -> Iterator[None]:
         began = time.monotonic()
@@ -198,8 +214,10 @@ _DRAWN: dict[str, tuple[str, Drawn | None]] = {
 
 
 def analyses() -> dict[str, Analysis]:
-    """Every analysis by name; queries without a chart of their own are analyses with a table only."""
-    return {n: Analysis(n, *_split(n, q)) for n, q in registry.queries().items()}
+    """Every analysis by name and other name; queries without a chart of their own have a table only."""
+    known = registry.queries()
+    names = {n: n for n in known} | ALIASES
+    return {n: Analysis(n, *_split(of, known[of])) for n, of in names.items()}
 
 
 def _split(name: str, query: registry.Query) -> tuple[str, registry.Query, Drawn | None]:

@@ -61,3 +61,11 @@ def test_charts_of_all(spark, small):
     for a in analyses().values():
         if a.draw is not None:
             assert json.loads(a.draw(a.run(spark, small).rows()).to_json())["type"], a.name
+
+
+def test_other_names_and_metrics(spark, small):
+    found = analyses()
+    a, b = found["longshot_volume_share_over_time"], found["longshot_volume_share"]
+    assert a.run(spark, small).rows() == b.run(spark, small).rows() and a.name == "longshot_volume_share_over_time"
+    assert set(found["polymarket_win_rate_by_price"].metrics(spark, small)) == {"brier_score", "log_loss", "ece", "total_trades"}
+    assert found["win_rate_by_price_animated"].metrics(spark, small)["total_weeks"] >= 0 and b.metrics(spark, small) == {}
