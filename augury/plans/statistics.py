@@ -82,12 +82,15 @@ def mann_whitney_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
     z = F.try_divide(F.col("u_statistic") - n * n / 2.0 - 0.5, spread)
     label = F.concat(((F.col("price_bin") - 1) * 10 + 1).cast("string"), F.lit("-"), (F.col("price_bin") * 10).cast("string"), F.lit("c"))
     return df.select(
-        label.alias("price_bin"), r6(F.col("t") / n / 100.0).alias("taker_mean"), r6(F.col("m") / n / 100.0).alias("maker_mean"), r6(
-            ratio(F.col("m"), F.col("t"))
-        ).alias("ratio"),
-        F.col("u_statistic"), r6(z).alias("z"), r6(
-            1.0 - 2.0 * F.col("u_statistic") / (n * n)
-        ).alias("effect_size_r"), F.col("n").alias("n_trades"), (F.col("m") > F.col("t")).alias("maker_larger"),
+        label.alias("price_bin"),
+        r6(F.col("t") / n / 100.0).alias("taker_mean"),
+        r6(F.col("m") / n / 100.0).alias("maker_mean"),
+        r6(ratio(F.col("m"), F.col("t"))).alias("ratio"),
+        F.col("u_statistic"),
+        r6(z).alias("z"),
+        r6(1.0 - 2.0 * F.col("u_statistic") / (n * n)).alias("effect_size_r"),
+        F.col("n").alias("n_trades"),
+        (F.col("m") > F.col("t")).alias("maker_larger"),
     )
 
 
@@ -109,7 +112,13 @@ def two_proportion_z(trades: DataFrame, markets: DataFrame) -> DataFrame:
     se = F.sqrt(pooled * (1.0 - pooled) * (F.try_divide(F.lit(1.0), F.col("yes_n")) + F.try_divide(F.lit(1.0), F.col("no_n"))))
     ev = lambda r: (r * 100.0 - F.col("price")) / F.col("price") * 100.0
     return df.select(
-        "price", r6(y).alias("yes_win_rate"), r6(n).alias("no_win_rate"), r6((n - y) * 100.0).alias("diff_pp"), r6(ev(y)).alias("yes_ev"), r6(ev(n)).alias("no_ev"), r6(ev(n) - ev(y)).alias("ev_diff"),
+        "price",
+        r6(y).alias("yes_win_rate"),
+        r6(n).alias("no_win_rate"),
+        r6((n - y) * 100.0).alias("diff_pp"),
+        r6(ev(y)).alias("yes_ev"),
+        r6(ev(n)).alias("no_ev"),
+        r6(ev(n) - ev(y)).alias("ev_diff"),
         r6(F.when(se > 0, (n - y) / se).otherwise(0.0)).alias("z_statistic"), "yes_n", "no_n", (n > y).alias("no_better"),
     )
 
@@ -143,9 +152,11 @@ def welch_by_group(trades: DataFrame, markets: DataFrame, rules: tuple[Rule, ...
     df = _welch(other.crossJoin(F.broadcast(one)), "a_", "b_")  # one row beside a row per group
     a, b = ratio(F.col("a_x"), F.col("a_n")), ratio(F.col("b_x"), F.col("b_n"))
     return df.select(
-        F.concat(
-            F.lit(f"{base} vs "), F.col("group")
-        ).alias("comparison"), r6(a).alias("finance_mean"), r6(b).alias("other_mean"), r6(a - b).alias("diff_pp"), r6("t_statistic").alias("t_statistic"),
+        F.concat(F.lit(f"{base} vs "), F.col("group")).alias("comparison"),
+        r6(a).alias("finance_mean"),
+        r6(b).alias("other_mean"),
+        r6(a - b).alias("diff_pp"),
+        r6("t_statistic").alias("t_statistic"),
         r6("df").alias("df"), r6("cohens_d").alias("cohens_d"), F.col("a_n").alias("finance_n"), F.col("b_n").alias("other_n"),
     )
 
@@ -243,7 +254,13 @@ def maker_direction_test(trades: DataFrame, markets: DataFrame) -> DataFrame:
     )
     y, n = ratio(F.col("yes_cx"), F.col("yes_c")), ratio(F.col("no_cx"), F.col("no_c"))
     return _welch(df, "no_", "yes_").select(
-        names[F.col("low")].alias("price_range"), r6(y).alias("yes_excess_pp"), r6(n).alias("no_excess_pp"), r6(n - y).alias("diff_pp"), r6("t_statistic").alias("t_statistic"), r6("df").alias("df"), r6("cohens_d").alias("cohens_d"),
+        names[F.col("low")].alias("price_range"),
+        r6(y).alias("yes_excess_pp"),
+        r6(n).alias("no_excess_pp"),
+        r6(n - y).alias("diff_pp"),
+        r6("t_statistic").alias("t_statistic"),
+        r6("df").alias("df"),
+        r6("cohens_d").alias("cohens_d"),
         F.col("yes_t").alias("yes_n"), F.col("no_t").alias("no_n"), (n > y).alias("no_better"),
     )
 

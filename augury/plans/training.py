@@ -100,9 +100,11 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     """Totals and daily averages over 7 and 30 days for every ticker and day, idle days included."""
     rows = _ticker_totals(spark, d)
     return rows.select(
-        F.col("entity").alias("ticker"), F.date_format(
-            F.date_from_unix_date("day"), "yyyy-MM-dd"
-        ).alias("trade_day"), F.col("n_rows").alias("n_trades"), "total_7", "total_30",
+        F.col("entity").alias("ticker"),
+        F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"),
+        F.col("n_rows").alias("n_trades"),
+        "total_7",
+        "total_30",
         F.round(F.col("total_7") / F.lit(7.0), 6).alias("avg_7"), F.round(F.col("total_30") / F.lit(30.0), 6).alias("avg_30"),
     )
 

@@ -29,12 +29,14 @@ def _sums(where: Column | None = None, prefix: str = "") -> list[Column]:
     pick = (lambda c: F.when(where, c)) if where is not None else (lambda c: c)
     x, n, f = F.col(EXCESS), F.col(COUNT), F.col(ALIKE)
     return [
-        F.coalesce(
-            F.sum(pick(f)), F.lit(0)
-        ).alias(f"{prefix}n"), F.sum(pick(f * F.col(WON))).alias(f"{prefix}wins"), F.sum(pick(f * x)).alias(f"{prefix}x"), F.sum(pick(f * x * x)).alias(f"{prefix}xx"),
-        F.sum(pick(n)).alias(f"{prefix}contracts"), F.sum(pick(n * F.col(PRICE))).alias(f"{prefix}cents"), F.sum(pick(n * x)).alias(f"{prefix}pnl"), F.sum(pick(n * F.col(WON))).alias(
-            f"{prefix}won_contracts"
-        ),
+        F.coalesce(F.sum(pick(f)), F.lit(0)).alias(f"{prefix}n"),
+        F.sum(pick(f * F.col(WON))).alias(f"{prefix}wins"),
+        F.sum(pick(f * x)).alias(f"{prefix}x"),
+        F.sum(pick(f * x * x)).alias(f"{prefix}xx"),
+        F.sum(pick(n)).alias(f"{prefix}contracts"),
+        F.sum(pick(n * F.col(PRICE))).alias(f"{prefix}cents"),
+        F.sum(pick(n * x)).alias(f"{prefix}pnl"),
+        F.sum(pick(n * F.col(WON))).alias(f"{prefix}won_contracts"),
     ]
 
 
@@ -84,7 +86,7 @@ def mispricing_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def maker_vs_taker_returns(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    """Excess returns of both roles per price, with standard errors and z (p-values: ``plans.tests``)."""
+    """Excess returns of both roles per price, with standard errors and z (p-values: ``plans.statistics``)."""
     rows = _excess(positions(traded(compact(trades), markets)).where(F.col(PRICE).between(1, 99)))
     sums = rows.groupBy(PRICE).agg(
         *_sums(F.col("role") == "taker", "t_"), *_sums(F.col("role") == "maker", "m_")
@@ -92,12 +94,13 @@ def maker_vs_taker_returns(trades: DataFrame, markets: DataFrame) -> DataFrame:
     out = [F.col(PRICE)]
     for name, p in (("taker", "t_"), ("maker", "m_")):
         out += [
-            ratio(
-                F.col(f"{p}wins"), F.col(f"{p}n")
-            ).alias(f"{name}_win_rate"), (F.col(PRICE) / 100.0).alias(f"{name}_expected"), _mean_excess(p).alias(f"{name}_excess"), _var_excess(p).alias(f"{name}_var"),
-            F.col(f"{p}n").alias(f"{name}_n"), (
-                F.col(f"{p}cents") / 100.0
-            ).alias(f"{name}_volume"), (F.col(f"{p}pnl") / 100.0).alias(f"{name}_pnl"),
+            ratio(F.col(f"{p}wins"), F.col(f"{p}n")).alias(f"{name}_win_rate"),
+            (F.col(PRICE) / 100.0).alias(f"{name}_expected"),
+            _mean_excess(p).alias(f"{name}_excess"),
+            _var_excess(p).alias(f"{name}_var"),
+            F.col(f"{p}n").alias(f"{name}_n"),
+            (F.col(f"{p}cents") / 100.0).alias(f"{name}_volume"),
+            (F.col(f"{p}pnl") / 100.0).alias(f"{name}_pnl"),
         ]
     df = sums.select(*out)
     for name in ("taker", "maker"):
@@ -179,10 +182,16 @@ def maker_taker_returns_by_category(trades: DataFrame, markets: DataFrame, rules
     groups = cats.groupBy("group").agg(*aggs)
     t, m = 100.0 * ratio(F.col("t_w"), F.col("t_contracts")), 100.0 * ratio(F.col("m_w"), F.col("m_contracts"))
     out = groups.select(
-        "group", t.alias("taker_excess"), m.alias("maker_excess"), (m - t).alias("gap"), F.col("t_n").alias("taker_n"), F.col("m_n").alias("maker_n"),
-        (
-            F.col("t_cents") / 100.0
-        ).alias("taker_volume"), (F.col("m_cents") / 100.0).alias("maker_volume"), (F.col("t_pnl") / 100.0).alias("taker_pnl"), (F.col("m_pnl") / 100.0).alias("maker_pnl"),
+        "group",
+        t.alias("taker_excess"),
+        m.alias("maker_excess"),
+        (m - t).alias("gap"),
+        F.col("t_n").alias("taker_n"),
+        F.col("m_n").alias("maker_n"),
+        (F.col("t_cents") / 100.0).alias("taker_volume"),
+        (F.col("m_cents") / 100.0).alias("maker_volume"),
+        (F.col("t_pnl") / 100.0).alias("taker_pnl"),
+        (F.col("m_pnl") / 100.0).alias("maker_pnl"),
     )
     return _rounded(out.orderBy(F.col("taker_volume").desc_nulls_last(), "group"))
 
@@ -203,15 +212,17 @@ def trade_size_by_role(trades: DataFrame, markets: DataFrame) -> DataFrame:
     counted = F.sum(F.when(F.col("cents").isNotNull(), F.col("f")))
     usd = lambda c, name: (c / 100.0).alias(name)
     df = sizes.groupBy("role").agg(
-        usd(ratio(total, counted), "mean_trade_size"), usd(q("cents", 0.5), "median_trade_size"), usd(
-            F.sqrt(variance(squares, total, counted, 0)), "std_trade_size"
-        ),
-        usd(
-            q("cents", 0.25), "p25_trade_size"
-        ), usd(q("cents", 0.75), "p75_trade_size"), usd(q("cents", 0.9), "p90_trade_size"), usd(q("cents", 0.95), "p95_trade_size"),
-        ratio(
-            F.sum(F.col(COUNT) * F.col("f")), counted
-        ).alias("mean_contracts"), q("count", 0.5).alias("median_contracts"), n.alias("n_trades"), usd(total, "total_volume"),
+        usd(ratio(total, counted), "mean_trade_size"),
+        usd(q("cents", 0.5), "median_trade_size"),
+        usd(F.sqrt(variance(squares, total, counted, 0)), "std_trade_size"),
+        usd(q("cents", 0.25), "p25_trade_size"),
+        usd(q("cents", 0.75), "p75_trade_size"),
+        usd(q("cents", 0.9), "p90_trade_size"),
+        usd(q("cents", 0.95), "p95_trade_size"),
+        ratio(F.sum(F.col(COUNT) * F.col("f")), counted).alias("mean_contracts"),
+        q("count", 0.5).alias("median_contracts"),
+        n.alias("n_trades"),
+        usd(total, "total_volume"),
     )
     return _rounded(df)
 
@@ -223,12 +234,13 @@ def win_rate_by_trade_size(trades: DataFrame, markets: DataFrame, least: int = 1
     rows = _excess(rows).withColumn("bin", F.floor(F.log10(F.greatest(size, F.lit(0.01))) * 4.0))
     s = rows.groupBy("bin").agg(*_sums(), F.sum(PRICE).alias("prices")).where(F.col("n") >= least)
     df = s.select(
-        F.pow(F.lit(10.0), F.col("bin") / 4.0).alias("trade_size_bin"), ratio(F.col("wins"), F.col("n")).alias("win_rate"), (
-            ratio(F.col("prices"), F.col("n")) / 100.0
-        ).alias("expected_win_rate"),
-        _mean_excess().alias("excess_win_rate"), _var_excess(ddof=1).alias("var_excess"), F.col("n").alias("n_trades"), (
-            F.col("cents") / 100.0
-        ).alias("total_volume"),
+        F.pow(F.lit(10.0), F.col("bin") / 4.0).alias("trade_size_bin"),
+        ratio(F.col("wins"), F.col("n")).alias("win_rate"),
+        (ratio(F.col("prices"), F.col("n")) / 100.0).alias("expected_win_rate"),
+        _mean_excess().alias("excess_win_rate"),
+        _var_excess(ddof=1).alias("var_excess"),
+        F.col("n").alias("n_trades"),
+        (F.col("cents") / 100.0).alias("total_volume"),
     )
     return _rounded(_interval(df, "excess_win_rate", F.sqrt(ratio(F.col("var_excess"), F.col("n_trades")))).orderBy("trade_size_bin"))
 
@@ -244,9 +256,11 @@ def returns_by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Takers' excess return by hour of the stored clock."""
     n = F.col("n")
     df = _by_hour(trades, markets).select(
-        "hour_et", ratio(F.col("wins"), n).alias("win_rate"), (
-            ratio(F.col("prices"), n) / 100.0
-        ).alias("avg_implied_prob"), _mean_excess().alias("excess_return"), _var_excess(ddof=1).alias("var_excess"),
+        "hour_et",
+        ratio(F.col("wins"), n).alias("win_rate"),
+        (ratio(F.col("prices"), n) / 100.0).alias("avg_implied_prob"),
+        _mean_excess().alias("excess_return"),
+        _var_excess(ddof=1).alias("var_excess"),
         F.col("contracts").alias("total_contracts"), (F.col("cents") / 100.0).alias("total_volume_usd"), n.alias("n_trades"),
     )
     return _rounded(
@@ -258,9 +272,11 @@ def vwap_by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Volume-weighted average taker price by hour of the stored clock."""
     n = F.col("n")
     df = _by_hour(trades, markets).select(
-        "hour_et", ratio(
-            F.col("cents"), F.col("contracts")
-        ).alias("vwap"), F.col("contracts").alias("total_contracts"), (F.col("cents") / 100.0).alias("total_volume_usd"), n.alias("n_trades"),
+        "hour_et",
+        ratio(F.col("cents"), F.col("contracts")).alias("vwap"),
+        F.col("contracts").alias("total_contracts"),
+        (F.col("cents") / 100.0).alias("total_volume_usd"),
+        n.alias("n_trades"),
         ratio(F.col("prices"), n).alias("avg_price"), F.sqrt(variance(F.col("prices2"), F.col("prices"), n, 1)).alias("std_price"),
     )
     return _rounded(
@@ -457,9 +473,10 @@ def meta_stats(trades: DataFrame, markets: DataFrame) -> DataFrame:
         F.format_string(f"%.{digits}f", F.col(c) / float(by)).alias("formatted")
     )
     rows = F.array(
-        whole("num_trades", "num_trades"), part("num_trades_millions", "num_trades", 10**6, 1), whole("total_volume", "total_volume"), part(
-            "total_volume_billions", "total_volume", 10**9, 2
-        ),
+        whole("num_trades", "num_trades"),
+        part("num_trades_millions", "num_trades", 10**6, 1),
+        whole("total_volume", "total_volume"),
+        part("total_volume_billions", "total_volume", 10**9, 2),
         whole("num_markets", "num_markets"), whole("num_events", "num_events"), whole("num_tickers_from_trades", "num_tickers"),
     )
     return _rounded(both.select(F.explode(rows).alias("r")).select("r.*"))

@@ -144,9 +144,9 @@ def bucket_metrics(by_bucket: DataFrame) -> DataFrame:
     brier = F.sum(F.col("wins") * (p - 1.0) * (p - 1.0) + (F.col("total_trades") - F.col("wins")) * p * p) / n
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return by_bucket.agg(
-        zero(
-            F.round(F.sum(gap * F.col("total_trades")) / n, 2)
-        ).alias("ece"), zero(F.round(F.max(gap), 2)).alias("mce"), F.round(brier, 4).alias("brier_score"),
+        zero(F.round(F.sum(gap * F.col("total_trades")) / n, 2)).alias("ece"),
+        zero(F.round(F.max(gap), 2)).alias("mce"),
+        F.round(brier, 4).alias("brier_score"),
         F.coalesce(F.sum("total_trades"), F.lit(0)).alias("total_trades"), F.count("*").alias("num_buckets"),
     )
 

@@ -89,9 +89,9 @@ def traded(trades: DataFrame, markets: DataFrame, finalized: bool = True, *more:
     yes = F.col("taker_side") == "yes"
     rows = trades.join(resolved(markets, finalized).select("ticker", "result", *more), "ticker")
     return rows.select(
-        "*", on(
-            yes, F.col("yes_price"), F.col("no_price")
-        ).alias("taker_price"), on(yes, F.col("no_price"), F.col("yes_price")).alias("maker_price"),
+        "*",
+        on(yes, F.col("yes_price"), F.col("no_price")).alias("taker_price"),
+        on(yes, F.col("no_price"), F.col("yes_price")).alias("maker_price"),
         on(F.col("taker_side") == F.col("result"), 1).alias("taker_won"), on(F.col("taker_side") != F.col("result"), 1).alias("maker_won"),
     )
 

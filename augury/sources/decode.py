@@ -64,12 +64,11 @@ def k_markets(raw: DataFrame, column: str = "payload") -> DataFrame:
     text = ["ticker", "event_ticker", "market_type", "title", "yes_sub_title", "no_sub_title", "status"]
     quotes = ["yes_bid", "yes_ask", "no_bid", "no_ask", "last_price"]
     return j.select(
-        *(F.col(f"j.{c}") for c in text), *map(_price, quotes), *(
-            F.coalesce(_count(c), F.lit(0)).alias(c) for c in ("volume", "volume_24h", "open_interest")
-        ),
-        F.coalesce("j.result", F.lit("")).alias("result"), *(
-            moment(F.col(f"j.{c}")).alias(c) for c in ("created_time", "open_time", "close_time")
-        ),
+        *(F.col(f"j.{c}") for c in text),
+        *map(_price, quotes),
+        *(F.coalesce(_count(c), F.lit(0)).alias(c) for c in ("volume", "volume_24h", "open_interest")),
+        F.coalesce("j.result", F.lit("")).alias("result"),
+        *(moment(F.col(f"j.{c}")).alias(c) for c in ("created_time", "open_time", "close_time")),
     )
 
 
@@ -78,10 +77,20 @@ def p_markets(raw: DataFrame, column: str = "payload") -> DataFrame:
     j = raw.select(F.from_json(column, P_MARKET_JSON).alias("j")).where(F.col("j").isNotNull())
     number = lambda c: F.coalesce(F.col(f"j.{c}").try_cast("double"), F.lit(0.0)).alias(c)
     return j.select(
-        "j.id", F.col("j.conditionId").alias("condition_id"), "j.question", "j.slug", "j.outcomes", F.col("j.outcomePrices").alias("outcome_prices"), F.col("j.clobTokenIds").alias("clob_token_ids"), number("volume"), number("liquidity"),
-        "j.active", "j.closed", moment(F.col("j.endDate")).alias("end_date"), moment(F.col("j.createdAt")).alias("created_at"), F.col(
-            "j.marketMakerAddress"
-        ).alias("market_maker_address"),
+        "j.id",
+        F.col("j.conditionId").alias("condition_id"),
+        "j.question",
+        "j.slug",
+        "j.outcomes",
+        F.col("j.outcomePrices").alias("outcome_prices"),
+        F.col("j.clobTokenIds").alias("clob_token_ids"),
+        number("volume"),
+        number("liquidity"),
+        "j.active",
+        "j.closed",
+        moment(F.col("j.endDate")).alias("end_date"),
+        moment(F.col("j.createdAt")).alias("created_at"),
+        F.col("j.marketMakerAddress").alias("market_maker_address"),
     )
 
 

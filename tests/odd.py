@@ -9,8 +9,50 @@ from pyspark.sql import functions as F
 
 # Names that operators use for columns of their own.
 CLASHING = (
-    "hot_key", "msg_key", "src", "unit", "told", "read", "power", "number", "sure", "pos", "item", "items", "record", "role", "month", "entity", "day", "total", "n", "n_rows", "form", "raw", "ids", "key", "k", "val", "rec_key",
-    "at", "seen", "__rank", "__salt", "__key", "__group", "key_range", "price", "won", "side", "cents", "bucket", "quarter", "doc_a", "item_id", "market_id", "row",
+    "hot_key",
+    "msg_key",
+    "src",
+    "unit",
+    "told",
+    "read",
+    "power",
+    "number",
+    "sure",
+    "pos",
+    "item",
+    "items",
+    "record",
+    "role",
+    "month",
+    "entity",
+    "day",
+    "total",
+    "n",
+    "n_rows",
+    "form",
+    "raw",
+    "ids",
+    "key",
+    "k",
+    "val",
+    "rec_key",
+    "at",
+    "seen",
+    "__rank",
+    "__salt",
+    "__key",
+    "__group",
+    "key_range",
+    "price",
+    "won",
+    "side",
+    "cents",
+    "bucket",
+    "quarter",
+    "doc_a",
+    "item_id",
+    "market_id",
+    "row",
 )
 
 

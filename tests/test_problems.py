@@ -278,15 +278,28 @@ def test_dedup(spark):
 @pytest.mark.parametrize(
     ("text", "values"),
     [
-        ('["Yes", "No"]', ["Yes", "No"]), ("['Yes','No']", ["Yes", "No"]), ("('a', '')", ["a", ""]), (
-            "{Will open,Won't open}", ["Will open", "Won't open"]
-        ), ('["Ha\'penny", \'Groat\']', ["Ha'penny", "Groat"]),
-        (
-            '"[\\"S\\\\u00ec\\", \\"No\\"]"', ["Sì", "No"]
-        ), ('["\\"Old\\" x", "y"]', ['"Old" x', "y"]), ('"""Old"" x"; y', ['"Old" x', "y"]), ('{"a\\"b",c}', ['a"b', "c"]), ('Tie, Not a tie, ""', ["Tie", "Not a tie", ""]), ("Yes|No|", ["Yes", "No"]),
-        (" Up ;Down ", ["Up", "Down"]), (
-            "Over\tUnder", ["Over", "Under"]
-        ), ("a\n\"b, c\"\n", ["a", "b, c"]), ("[0.50, 1]", ["0.50", "1"]), ("[]", []), ("", []), ("   ", []), (None, []), ('""', [""]), ('["\\ud83d\\ude80"]', ["🚀"]), ("{'x', 'it''s'}", ["x", "it's"]),
+        ('["Yes", "No"]', ["Yes", "No"]),
+        ("['Yes','No']", ["Yes", "No"]),
+        ("('a', '')", ["a", ""]),
+        ("{Will open,Won't open}", ["Will open", "Won't open"]),
+        ('["Ha\'penny", \'Groat\']', ["Ha'penny", "Groat"]),
+        ('"[\\"S\\\\u00ec\\", \\"No\\"]"', ["Sì", "No"]),
+        ('["\\"Old\\" x", "y"]', ['"Old" x', "y"]),
+        ('"""Old"" x"; y', ['"Old" x', "y"]),
+        ('{"a\\"b",c}', ['a"b', "c"]),
+        ('Tie, Not a tie, ""', ["Tie", "Not a tie", ""]),
+        ("Yes|No|", ["Yes", "No"]),
+        (" Up ;Down ", ["Up", "Down"]),
+        ("Over\tUnder", ["Over", "Under"]),
+        ("a\n\"b, c\"\n", ["a", "b, c"]),
+        ("[0.50, 1]", ["0.50", "1"]),
+        ("[]", []),
+        ("", []),
+        ("   ", []),
+        (None, []),
+        ('""', [""]),
+        ('["\\ud83d\\ude80"]', ["🚀"]),
+        ("{'x', 'it''s'}", ["x", "it's"]),
     ],
 )
 def test_read_atoms(text, values):
