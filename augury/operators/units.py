@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say that a clause of a note is about something else than the price or maker amount.
-OTHER_SUBJECTS = ("fee", "fees", "taker", "volume", "size", "spread", "gas")
+OTHER_SUBJECTS = ("fee", "taker", "volume", "size", "spread", "gas")
 UNIT_TABLE_MOST = 100_000
 
 
@@ -59,7 +59,7 @@ class UnitTable:
 
         Clauses end at ``/ , ;``.  From a word for another subject on, a clause is not read.
         """
-        others = r"(?iu)\b(" + "|".join(OTHER_SUBJECTS) + r")\b[^/,;]*"
+        others = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(OTHER_SUBJECTS) + r")[^/,;]*"
         return self.power_of(F.lower(F.regexp_extract(F.regexp_replace(note, others, ""), self.pattern(), 1)), self.names)
 
     def default(self, source: Column) -> Column:

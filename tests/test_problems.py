@@ -214,7 +214,7 @@ def test_notes(spark):
         None: None,
         "yes/no quoted in cents": 2,
         "taker leg cent": None,
-        "px in cents after fee": 2
+        "px in cents after fee": 2, "taker_amount in cents": None, "fees: mill; px: bp": 0
     }
     df = spark.createDataFrame(list(cases.items()), "note string, want int")
     assert {r[0]: r[1] for r in df.select("note", table.named(F.col("note"))).collect()} == cases
