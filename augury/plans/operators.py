@@ -14,6 +14,7 @@ from augury.functions.keys import id_key, ticker_key
 from augury.functions.numbers import r6, ratio
 from augury.operators.dedup import keep_first
 from augury.plans import charts, statistics, venue_k, venue_p, views
+from augury.plans.training import price_unit
 from augury.sources.tables import optional_table, stream_table, table
 from augury.streaming.incremental import run_to_memory
 
@@ -172,7 +173,7 @@ def distinct_union_prices(spark: SparkSession, d: str) -> DataFrame:
 
 def quarter_labels(spark: SparkSession, d: str) -> DataFrame:
     """Contracts per labelled quarter, with the share of the year's contracts."""
-    t = views.k_trades(spark, d).where(F.col("created_time").isNotNull())
+    t = views.k_contracts(spark, d).where(F.col("created_time").isNotNull())
     per = t.groupBy(F.year("created_time").alias("y"), F.quarter("created_time").alias("q")).agg(F.sum("count").alias("contracts"))
     share = r6(ratio(F.col("contracts"), F.sum("contracts").over(Window.partitionBy("y"))))
     return per.select(
@@ -240,8 +241,8 @@ def ranks_within_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Trades and contracts per price in cents, counted by a stream over the stored files."""
-    cents = stream_table(spark, d, "k_trades").where(F.col("yes_price") + F.col("no_price") == 100)
+    """Trades and contracts per price in whole cents, counted by a stream over the stored files; no row is left out."""
+    cents = price_unit(spark, d)(stream_table(spark, d, "k_trades")).select(views.in_cents("yes_price"), "count")
     counts = cents.groupBy(F.col("yes_price").alias("price")).agg(F.count("*").alias("n"), F.sum("count").alias("contracts"))
     shared = spark.conf.get("spark.checkpoint.dir", None)
     name = f"augury_stream_{uuid.uuid4().hex}"
@@ -250,5 +251,6 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def chart_spec_json(spark: SparkSession, d: str) -> DataFrame:
     """The chart of the calibration by price, as one JSON text."""
-    rows = [r.asDict() for r in venue_k.win_rate_by_price(views.k_trades(spark, d), views.k_markets(spark, d)).collect()]  # about 100 prices
+    by_price = venue_k.win_rate_by_price(views.k_trades(spark, d), views.k_markets(spark, d)).where(F.col("price").isNotNull())
+    rows = [r.asDict() for r in by_price.collect()]  # about 100 prices
     return spark.createDataFrame([(charts.line(rows, "price", "win_rate", x_unit=charts.UnitType.CENTS).to_json(),)], "chart string")

@@ -45,9 +45,12 @@ VENUE_K = {
     "p_values": lambda t, m: statistics.maker_taker_p_values(venue_k.maker_vs_taker_returns(t, m)),
 }
 
+#: Analyses that look at no price of a trade.
+UNPRICED = {"volume_over_time", "market_types", "market_types_rollup", "category_top_n_other", "meta_stats"}
 
-def _on_venue_k(analysis: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: analysis(views.k_trades(spark, d), views.k_markets(spark, d))
+
+def _on_venue_k(analysis: Callable[[DataFrame, DataFrame], DataFrame], trades: Query = views.k_trades) -> Query:
+    return lambda spark, d: analysis(trades(spark, d), views.k_markets(spark, d))
 
 
 def _venue_p() -> dict[str, Query]:
@@ -80,7 +83,9 @@ def _venue_p() -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in vars(training).items() if n[0] == "p" and n[1:2].isdigit()}
     single = {n: f for n, f in vars(operators).items() if getattr(f, "__module__", "") == operators.__name__}
-    return found | {n: _on_venue_k(f) for n, f in VENUE_K.items()} | _venue_p() | single
+    return found | {
+        n: _on_venue_k(f, views.k_contracts if n in UNPRICED else views.k_trades) for n, f in VENUE_K.items()
+    } | _venue_p() | single
 
 
 def oracle_sql() -> dict[str, str]:

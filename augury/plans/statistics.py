@@ -140,7 +140,7 @@ def welch_by_group(trades: DataFrame, markets: DataFrame, rules: tuple[Rule, ...
     """Takers' excess return of one group against each other group with at least 100 trades."""
     x = F.col("taker_won") * 100 - F.col("taker_price")
     cats = traded(trades, markets, True, "event_ticker").groupBy(category("event_ticker").alias("name")).agg(
-        F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx")
+        F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx")
     )
     groups = cats.withColumn(
         "group", classify(F.col("name"), rules)["group"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,10 +126,14 @@ def p3_corrected(spark: SparkSession, d: str) -> DataFrame:
 # 4. Quantities recorded in different units
 
 
-def _price_units(spark: SparkSession, d: str) -> DataFrame:
-    """Trades with ``unit``: ``power`` of their price (to hundredths of a cent) and whether it is sure."""
+def price_unit(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``unit`` to trades, stored or streamed: ``power`` of their price (to hundredths of a cent) and whether it is sure.
+
+    The mixtures are fitted on the stored trades.
+    """
     defs = units.UnitTable.load(table(spark, d, "unit_defs"), "k_trades", "yes_price")
-    rows = table(spark, d, "k_trades").withColumn("told", F.coalesce(defs.named(F.col("price_note")), defs.default(F.col("feed"))))
+    tell = lambda df: df.withColumn("told", F.coalesce(defs.named(F.col("price_note")), defs.default(F.col("feed"))))
+    rows = tell(table(spark, d, "k_trades"))
     yes, both = F.col("yes_price"), F.col("yes_price").cast("long") + F.col("no_price")
     untold = rows.where(F.col("told").isNull() & yes.isNotNull())
     powers = defs.powers or [2]
@@ -143,7 +149,11 @@ def _price_units(spark: SparkSession, d: str) -> DataFrame:
     )
     told = F.struct(F.col("told").alias("power"), F.lit(True).alias("sure"))
     unit = F.when(F.col("told").isNotNull(), told).when(both.isNotNull(), by_pair).when(yes.isNotNull(), by_price)
-    return rows.withColumn("unit", unit)
+    return lambda df: tell(df).withColumn("unit", unit)
+
+
+def _price_units(spark: SparkSession, d: str) -> DataFrame:
+    return price_unit(spark, d)(table(spark, d, "k_trades"))
 
 
 def _amount_units(spark: SparkSession, d: str) -> DataFrame:

@@ -25,12 +25,17 @@ def _excess(df: DataFrame) -> DataFrame:
 
 
 def _sums(where: Column | None = None, prefix: str = "") -> list[Column]:
-    """Exact integer sums that every rate, mean, variance and volume is made of."""
+    """Exact integer sums that every rate, mean, variance and volume is made of.
+
+    ``priced`` and ``priced_contracts`` leave out trades without a price, which have no excess.
+    """
     pick = (lambda c: F.when(where, c)) if where is not None else (lambda c: c)
     x, n, f = F.col(EXCESS), F.col(COUNT), F.col(ALIKE)
     return [
         F.coalesce(F.sum(pick(f)), F.lit(0)).alias(f"{prefix}n"),
         F.sum(pick(f * F.col(WON))).alias(f"{prefix}wins"),
+        F.coalesce(F.sum(pick(F.when(x.isNotNull(), f))), F.lit(0)).alias(f"{prefix}priced"),
+        F.sum(pick(F.when(x.isNotNull(), n))).alias(f"{prefix}priced_contracts"),
         F.sum(pick(f * x)).alias(f"{prefix}x"),
         F.sum(pick(f * x * x)).alias(f"{prefix}xx"),
         F.sum(pick(n)).alias(f"{prefix}contracts"),
@@ -41,11 +46,11 @@ def _sums(where: Column | None = None, prefix: str = "") -> list[Column]:
 
 
 def _mean_excess(p: str = "") -> Column:
-    return ratio(F.col(f"{p}x"), F.col(f"{p}n")) / 100.0
+    return ratio(F.col(f"{p}x"), F.col(f"{p}priced")) / 100.0
 
 
 def _var_excess(p: str = "", ddof: int = 0) -> Column:
-    return variance(F.col(f"{p}xx"), F.col(f"{p}x"), F.col(f"{p}n"), ddof) / 10_000.0
+    return variance(F.col(f"{p}xx"), F.col(f"{p}x"), F.col(f"{p}priced"), ddof) / 10_000.0
 
 
 def _interval(df: DataFrame, mean: str, spread: Column) -> DataFrame:
@@ -219,7 +224,7 @@ def trade_size_by_role(trades: DataFrame, markets: DataFrame) -> DataFrame:
         usd(q("cents", 0.75), "p75_trade_size"),
         usd(q("cents", 0.9), "p90_trade_size"),
         usd(q("cents", 0.95), "p95_trade_size"),
-        ratio(F.sum(F.col(COUNT) * F.col("f")), counted).alias("mean_contracts"),
+        ratio(F.sum(F.col(COUNT) * F.col("f")), F.sum(F.when(F.col(COUNT).isNotNull(), F.col("f")))).alias("mean_contracts"),
         q("count", 0.5).alias("median_contracts"),
         n.alias("n_trades"),
         usd(total, "total_volume"),
@@ -236,7 +241,7 @@ def win_rate_by_trade_size(trades: DataFrame, markets: DataFrame, least: int = 1
     df = s.select(
         F.pow(F.lit(10.0), F.col("bin") / 4.0).alias("trade_size_bin"),
         ratio(F.col("wins"), F.col("n")).alias("win_rate"),
-        (ratio(F.col("prices"), F.col("n")) / 100.0).alias("expected_win_rate"),
+        (ratio(F.col("prices"), F.col("priced")) / 100.0).alias("expected_win_rate"),
         _mean_excess().alias("excess_win_rate"),
         _var_excess(ddof=1).alias("var_excess"),
         F.col("n").alias("n_trades"),
@@ -258,7 +263,7 @@ def returns_by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
     df = _by_hour(trades, markets).select(
         "hour_et",
         ratio(F.col("wins"), n).alias("win_rate"),
-        (ratio(F.col("prices"), n) / 100.0).alias("avg_implied_prob"),
+        (ratio(F.col("prices"), F.col("priced")) / 100.0).alias("avg_implied_prob"),
         _mean_excess().alias("excess_return"),
         _var_excess(ddof=1).alias("var_excess"),
         F.col("contracts").alias("total_contracts"), (F.col("cents") / 100.0).alias("total_volume_usd"), n.alias("n_trades"),
@@ -269,15 +274,16 @@ def returns_by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def vwap_by_hour(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    """Volume-weighted average taker price by hour of the stored clock."""
+    """Volume-weighted average taker price by hour of the stored clock; contracts without a price weigh nothing."""
     n = F.col("n")
     df = _by_hour(trades, markets).select(
         "hour_et",
-        ratio(F.col("cents"), F.col("contracts")).alias("vwap"),
+        ratio(F.col("cents"), F.col("priced_contracts")).alias("vwap"),
         F.col("contracts").alias("total_contracts"),
         (F.col("cents") / 100.0).alias("total_volume_usd"),
         n.alias("n_trades"),
-        ratio(F.col("prices"), n).alias("avg_price"), F.sqrt(variance(F.col("prices2"), F.col("prices"), n, 1)).alias("std_price"),
+        ratio(F.col("prices"), F.col("priced")).alias("avg_price"),
+        F.sqrt(variance(F.col("prices2"), F.col("prices"), F.col("priced"), 1)).alias("std_price"),
     )
     return _rounded(
         _interval(df, "vwap", F.col("std_price") / F.sqrt(F.col("n_trades").cast("double"))).orderBy(F.col("hour_et").asc_nulls_last())

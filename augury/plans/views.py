@@ -1,7 +1,7 @@
 """The relations that the analyses read, over the stored tables.
 
 Stored tables hold several spellings of a key, several fetches of a market and prices in several units.
-``k_trades`` here keeps rows whose two prices make a hundred cents, and ``k_markets`` / ``p_markets`` the
+``k_trades`` here gives every row with its prices in whole cents, and ``k_markets`` / ``p_markets`` the
 latest fetch of each key.  The analyses take any relations with these columns.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augury.functions.keys import id_key, ticker_key
+from augury.plans.training import price_unit
 from augury.sources.tables import table
 
 #: Column with the number of trades that a row stands for.
@@ -25,10 +26,20 @@ def latest(df: DataFrame, key: str, by: str, ties: Sequence[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") == 1).drop("__n")
 
 
+def k_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """All trades without their prices."""
+    return table(spark, d, "k_trades").select(ticker_key("ticker").alias("ticker"), "count", "taker_side", "created_time")
+
+
+def in_cents(price: str) -> Column:
+    """A price in whole cents by the row's ``unit``, halves up; null where the price or its unit is unknown."""
+    return F.round(F.col(price) / F.pow(F.lit(10.0), 2 - F.col("unit.power")), 0).cast("int").alias(price)
+
+
 def k_trades(spark: SparkSession, d: str) -> DataFrame:
-    cents = F.col("yes_price") + F.col("no_price") == 100
-    return table(spark, d, "k_trades").where(cents).select(
-        ticker_key("ticker").alias("ticker"), "count", "yes_price", "no_price", "taker_side", "created_time"
+    """All trades, each price in whole cents by the unit of problem 4 and rounded on its own."""
+    return price_unit(spark, d)(table(spark, d, "k_trades")).select(
+        ticker_key("ticker").alias("ticker"), "count", in_cents("yes_price"), in_cents("no_price"), "taker_side", "created_time"
     )
 
 
