@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augury.functions.keys import id_key, ticker_key
-from augury.plans.training import price_unit
+from augury.operators.units import shift_text
+from augury.plans.training import _amount_units, _token_units, price_unit
 from augury.sources.tables import table
 
 #: Column with the number of trades that a row stands for.
@@ -69,6 +70,25 @@ def p_legacy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p_fills(spark: SparkSession, d: str) -> DataFrame:
+    """Fills with both amounts in millionths, the maker's by the unit of problem 4."""
+    power = F.col("unit.power")
+    scaled = F.when(power < 0, F.col("maker_amount") / F.pow(F.lit(10.0), -power)).otherwise(
+        F.col("maker_amount") * F.pow(F.lit(10.0), power)
+    )
+    return _amount_units(spark, d).select(
+        "block_number", "maker_asset_id", "taker_asset_id", scaled.alias("maker_amount"), "taker_amount"
+    )
+
+
+def p_amm(spark: SparkSession, d: str) -> DataFrame:
+    """AMM trades with amount and outcome tokens in millionths, the tokens by the unit of problem 4; null if unreadable."""
+    tokens = shift_text(F.col("read.number"), F.col("read.power")).cast("double") / 1e12
+    return _token_units(spark, d).select(
+        "block_number", id_key("fpmm_address").alias("fpmm_address"), "amount", "outcome_index", tokens.alias("outcome_tokens")
+    )
+
+
 def resolved(markets: DataFrame, finalized: bool = True) -> DataFrame:
     """Markets with a result, finalised ones only unless told otherwise."""
     keep = F.col("result").isin("yes", "no")

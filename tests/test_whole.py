@@ -59,3 +59,25 @@ def test_volumes_are_whole(spark, small):
     total = lambda name, c: queries()[name](spark, small).agg(F.sum(c)).first()[0]
     assert total("volume_over_time", "volume_usd") == contracts and total("quarter_labels", "contracts") == dated
     assert (total("stream_equals_batch", "n"), total("stream_equals_batch", "contracts")) == (n, contracts)
+
+
+def test_fills_and_amm_trades_in_millionths(spark, small, tmp_path):
+    fills = [("CTF Exchange", 400_000), ("NegRisk Sandbox", 40), ("CTF Exchange v0", 400_000_000)]
+    spark.createDataFrame(
+        [(k, "0", "t", a, 1_000_000, None, c) for k, (c, a) in enumerate(fills)],
+        "block_number long, maker_asset_id string, taker_asset_id string, maker_amount long, taker_amount long, amount_note string, _contract string"
+    ).write.parquet(f"{tmp_path}/p_trades.parquet")
+    tokens = ["1000000000000000000", "0xde0b6b3a7640000", "1e18", "1.0", "1,000 [milli]", "micro: 1 000 000", "shares: 1", "junk"]
+    spark.createDataFrame(
+        [(k, "0xA", "400000", 0, t) for k, t in enumerate(tokens)],
+        "block_number long, fpmm_address string, amount string, outcome_index long, outcome_tokens string"
+    ).write.parquet(f"{tmp_path}/p_legacy.parquet")
+    spark.read.parquet(f"{small}/unit_defs.parquet").write.parquet(f"{tmp_path}/unit_defs.parquet")
+    assert [r[0] for r in views.p_fills(spark, str(tmp_path)).orderBy("block_number").select("maker_amount").collect()] == [400_000.0] * 3
+    got = [r[0] for r in views.p_amm(spark, str(tmp_path)).orderBy("block_number").select("outcome_tokens").collect()]
+    assert got == [1_000_000.0] * 7 + [None]
+
+
+def test_amm_trades_reach_the_price_gate(spark, small):
+    rows = views.p_amm(spark, small).where(F.expr("100 * try_cast(amount AS DOUBLE) / outcome_tokens BETWEEN 1 AND 99"))
+    assert rows.count() > 0.9 * views.p_amm(spark, small).where("outcome_tokens > 0").count()
