@@ -264,9 +264,12 @@ def p5_fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_admitted(spark: SparkSession, d: str) -> DataFrame:
-    """What the batches from 2024 on add to the trades stored before: new identifiers only."""
+    """What the batches from 2024 on add to the trades stored before: new identifiers only.
+
+    A row without a fetch time counts as stored before, as in :func:`p3_corrected`.
+    """
     rows = table(spark, d, "k_trades").select(id_key("trade_id").alias("msg_key"), "trade_id", "count", "_fetched_at")
-    late = F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz")
+    late = F.coalesce(F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
     return dedup.admit(
         rows.where(~late), rows.where(late), "msg_key", "_fetched_at", ties=["trade_id"]
     ).select("msg_key", "count", "_fetched_at")

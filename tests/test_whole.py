@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,10 @@ def test_fills_and_amm_trades_in_millionths(spark, small, tmp_path):
 def test_amm_trades_reach_the_price_gate(spark, small):
     rows = views.p_amm(spark, small).where(F.expr("100 * try_cast(amount AS DOUBLE) / outcome_tokens BETWEEN 1 AND 99"))
     assert rows.count() > 0.9 * views.p_amm(spark, small).where("outcome_tokens > 0").count()
+
+
+def test_admitted_knows_trades_without_a_fetch_time(spark, tmp_path):
+    day = datetime(2024, 2, 1)
+    rows = [("a", 1, None), ("a", 2, day), ("b", 3, day)]
+    spark.createDataFrame(rows, "trade_id string, count bigint, _fetched_at timestamp_ntz").write.parquet(f"{tmp_path}/k_trades.parquet")
+    assert [r["msg_key"] for r in queries()["p5_admitted"](spark, str(tmp_path)).collect()] == ["b"]
