@@ -68,7 +68,8 @@ def shape_table(spark: SparkSession) -> dict[int, str]:
     """Letters of any script to the Latin letter of the same shape.
 
     Built from the published confusable data that Spark's own JVM carries (ICU): a letter maps to the
-    ASCII letter with the same skeleton; where two share a skeleton, case decides.
+    ASCII letter with the same skeleton, else to the first undecomposable Latin letter with it; where two
+    share a skeleton, case decides.
     """
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     letters = [chr(c) for c in range(0x41, 0x1F000) if chr(c).isalpha() and not (0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xD7A3)]
@@ -76,11 +77,16 @@ def shape_table(spark: SparkSession) -> dict[int, str]:
     twins: dict[str, list[str]] = {}
     for a in ASCII_LETTERS:
         twins.setdefault(skeleton[a], []).append(a)
+    ascii_shapes = set(twins)
+    for a in letters:
+        if skeleton[a] not in ascii_shapes and _script(a) == "LATIN" and not unicodedata.decomposition(a):
+            twins.setdefault(skeleton[a], []).append(a)
     out = {}
     for ch, s in skeleton.items():
         if s in twins and ch not in ASCII_LETTERS:
             same_case = [a for a in twins[s] if a.isupper() == ch.isupper()]
-            out[ord(ch)] = (same_case or twins[s])[0]
+            if (twin := (same_case or twins[s])[0]) != ch:
+                out[ord(ch)] = twin
     return out | {ord(k): v for k, v in SHAPE_FIXES.items()}
 
 
@@ -110,6 +116,11 @@ class Canon:
                 out.setdefault(s, {}).setdefault(latin, chr(cp))
         return out
 
+    @cached_property
+    def _latin(self) -> set[str]:
+        """Latin letters that another script may spell."""
+        return {*ASCII_LETTERS, *self.shapes.values()}
+
     @cached_property
     def _respelled(self) -> dict[str, str]:
         return {}
@@ -131,7 +142,7 @@ class Canon:
         letters = [c for c in apart if unicodedata.category(c)[0] == "L"]
         scripts: set[str] | None = None
         for c in letters:
-            can = {"LATIN", *(s for s, spell in self.spellings.items() if c in spell)} if c in ASCII_LETTERS else {_script(c)}
+            can = {"LATIN", *(s for s, spell in self.spellings.items() if c in spell)} if c in self._latin else {_script(c)}
             scripts = can if scripts is None else scripts & can
         out = token
         if scripts and "LATIN" not in scripts:

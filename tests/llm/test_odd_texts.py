@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from augury.llm.canon import Canon
 from augury.llm.registry import queries
 from tests import odd
 
@@ -26,3 +27,10 @@ def test_runs(spark, folders, name, kind):
 def test_extra_columns(spark, small, folders, name):
     rows = lambda d: sorted(map(str, QUERIES[name](spark, d).collect()))
     assert rows(folders["clash"]) == rows(small)
+
+
+def test_twins_of_other_latin_letters(spark):
+    """Letters of other scripts that look like a Latin letter outside ASCII."""
+    canon = Canon.of(spark)
+    for other, latin in ("әə", "ӘƏ", "ӕæ", "өɵ", "ϸþ", "βß"):
+        assert canon(f"x{other}z") == canon(f"x{latin}z")
