@@ -66,7 +66,7 @@ def lower_key_join(spark: SparkSession, d: str) -> DataFrame:
 
 def counterparty_price_round(spark: SparkSession, d: str) -> DataFrame:
     """Rounded price and separately rounded complement of fills."""
-    rows = table(spark, d, "p_trades").where((F.col("maker_amount") > 0) & (F.col("taker_amount") > 0) & (F.col("maker_asset_id") == "0"))
+    rows = views.p_fills(spark, d).where((F.col("maker_amount") > 0) & (F.col("taker_amount") > 0) & (F.col("maker_asset_id") == "0"))
     cents = 100.0 * F.col("maker_amount").cast("double") / F.col("taker_amount").cast("double")
     return rows.groupBy(
         F.round(cents, 0).alias("price"), F.round(100.0 - cents, 0).alias("complement")
@@ -187,7 +187,7 @@ def quarter_labels(spark: SparkSession, d: str) -> DataFrame:
 def fill_attributes(spark: SparkSession, d: str) -> DataFrame:
     """Derived attributes of fills: who buys, price, size and dollars, summed per side."""
     buys = F.col("maker_asset_id") == "0"
-    rows = table(spark, d, "p_trades").where((F.col("maker_amount") > 0) & (F.col("taker_amount") > 0))
+    rows = views.p_fills(spark, d).where((F.col("maker_amount") > 0) & (F.col("taker_amount") > 0))
     usdc, tokens = F.when(
         buys, F.col("maker_amount")
     ).otherwise(F.col("taker_amount")).cast("double"), F.when(buys, F.col("taker_amount")).otherwise(F.col("maker_amount")).cast("double")

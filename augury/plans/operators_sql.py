@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from augury.plans.training_sql import _id, _ticker
-from augury.plans.venue_k_sql import BASE, BETS, CAT, EV_YES_VS_NO, MAKER_VS_TAKER_RETURNS, MARKETS, TAKER, TRADES, WHICH, _b, _r
+from augury.plans.venue_k_sql import (
+    BASE, BETS, CAT, EV_YES_VS_NO, MAKER_PRICE, MAKER_VS_TAKER_RETURNS, MARKETS, TAKER, TRADES, WHICH, _b, _r, priced_trades
+)
 from augury.plans.venue_p_sql import MARKETS as P_MARKETS
-from augury.plans.venue_p_sql import TIMES
+from augury.plans.venue_p_sql import FILLS, TIMES
 
 _TK = f"{BASE}, {TAKER}"
 _RANGE = lambda x, k: f"CASE WHEN hi > lo THEN least(greatest(ceil(({x} - lo) / ((hi - lo) / {k}.0::DOUBLE)), 1), {k}) ELSE {(k + 1) // 2} END"
 
-MANN_WHITNEY_U = f"""{_TK}, s AS (SELECT price, c * price AS t, c * (100 - price) AS m FROM taker WHERE price IS NOT NULL AND c IS NOT NULL), r AS (SELECT min(price)::DOUBLE AS lo, max(price)::DOUBLE AS hi FROM s),
+MANN_WHITNEY_U = f"""{_TK}, s AS (SELECT price, c * price AS t, c * ({MAKER_PRICE}) AS m FROM taker WHERE yes_price IS NOT NULL AND no_price IS NOT NULL AND c IS NOT NULL), r AS (SELECT min(price)::DOUBLE AS lo, max(price)::DOUBLE AS hi FROM s),
 b AS (SELECT CAST({_RANGE('price', 10)} AS INTEGER) AS bin, t, m FROM s, r), v AS (SELECT bin, 0 AS g, t AS v FROM b UNION ALL SELECT bin, 1, m FROM b),
 k AS (SELECT bin, g, v, rank() OVER (PARTITION BY bin ORDER BY v) + (count(*) OVER (PARTITION BY bin, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY bin, v) AS ties FROM v),
 u AS (SELECT bin, sum(rk) FILTER (g = 1)::DOUBLE AS r1, count(*) FILTER (g = 1) AS n, sum(ties::DOUBLE * ties - 1) AS tie, avg(v) FILTER (g = 0) AS ta, avg(v) FILTER (g = 1) AS ma FROM k GROUP BY 1 HAVING count(*) FILTER (g = 1) >= 100),
@@ -54,7 +56,7 @@ CLASSIFIER_FIRST_MATCH = f"""WITH {MARKETS}, c AS (SELECT DISTINCT {CAT} AS cat
 JSON_RESOLUTION = f"WITH {P_MARKETS} SELECT token_id, won FROM tok"
 COMPUTED_KEY_JOIN = f"WITH {P_MARKETS} SELECT won, count(*) AS n, count(DISTINCT token_id) AS n_tokens FROM p_trades JOIN tok ON CASE WHEN maker_asset_id = '0' THEN taker_asset_id ELSE maker_asset_id END = token_id GROUP BY 1"
 LOWER_KEY_JOIN = f"WITH {P_MARKETS}, a AS (SELECT address, arg_max(winner, id) AS winner FROM res WHERE winner IS NOT NULL AND address IS NOT NULL GROUP BY 1) SELECT winner, outcome_index, count(*) AS n FROM p_legacy JOIN a ON {_id('fpmm_address')} = address GROUP BY 1, 2"
-COUNTERPARTY_PRICE_ROUND = "WITH c AS (SELECT 100.0::DOUBLE * maker_amount::DOUBLE / taker_amount::DOUBLE AS c FROM p_trades WHERE maker_amount > 0 AND taker_amount > 0 AND maker_asset_id = '0') SELECT round(c) AS price, round(100.0::DOUBLE - c) AS complement, count(*) AS n FROM c WHERE round(c) BETWEEN 0 AND 100 GROUP BY 1, 2"
+COUNTERPARTY_PRICE_ROUND = f"WITH {FILLS}, c AS (SELECT 100.0::DOUBLE * maker_amount::DOUBLE / taker_amount::DOUBLE AS c FROM fills WHERE maker_amount > 0 AND taker_amount > 0 AND maker_asset_id = '0') SELECT round(c) AS price, round(100.0::DOUBLE - c) AS complement, count(*) AS n FROM c WHERE round(c) BETWEEN 0 AND 100 GROUP BY 1, 2"
 DECILE_CALIBRATION = f"{_TK} SELECT CAST(floor(price / 10) * 10 AS BIGINT) AS bucket_low, count(*) AS n, {_b('sum(won)', 'wins')}, {_r('avg(price)', 'mean_predicted')} FROM taker WHERE price BETWEEN 1 AND 99 GROUP BY 1"
 TIME_BUCKET_JOIN = f"WITH {TIMES} SELECT strftime(seen, '%Y-%m') AS month, count(*) AS n FROM p_trades JOIN bt ON block_number // 10800 = bucket GROUP BY 1"
 EVENTS_PER_BLOCK_UNION = "SELECT block_number, count(*) AS n FROM (SELECT block_number FROM p_trades UNION ALL SELECT block_number FROM p_legacy) GROUP BY 1"
@@ -71,13 +73,13 @@ JSON_MAP_LOOKUP = "SELECT key, value, count(*) AS n FROM (SELECT k AS key, json_
 DISTINCT_UNION_PRICES = f"WITH {TRADES} SELECT price FROM (SELECT yes_price AS price FROM trades UNION SELECT no_price FROM trades) WHERE price BETWEEN 1 AND 99"
 QUARTER_LABELS = f"""WITH {TRADES}, q AS (SELECT year(created_time) AS y, quarter(created_time) AS q, sum(c) AS n FROM trades WHERE created_time IS NOT NULL GROUP BY 1, 2)
 SELECT y || ' Q' || q AS quarter, 'Q' || q || ' ''' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS short, {_b('n', 'contracts')}, {_r('n / sum(n) OVER (PARTITION BY y)', 'year_share')} FROM q"""
-FILL_ATTRIBUTES = """WITH f AS (SELECT CASE WHEN maker_asset_id = '0' THEN 'BUY' ELSE 'SELL' END AS side, (CASE WHEN maker_asset_id = '0' THEN maker_amount ELSE taker_amount END)::DOUBLE AS u, (CASE WHEN maker_asset_id = '0' THEN taker_amount ELSE maker_amount END)::DOUBLE AS t FROM p_trades WHERE maker_amount > 0 AND taker_amount > 0)
+FILL_ATTRIBUTES = f"""WITH {FILLS}, f AS (SELECT CASE WHEN maker_asset_id = '0' THEN 'BUY' ELSE 'SELL' END AS side, (CASE WHEN maker_asset_id = '0' THEN maker_amount ELSE taker_amount END)::DOUBLE AS u, (CASE WHEN maker_asset_id = '0' THEN taker_amount ELSE maker_amount END)::DOUBLE AS t FROM fills WHERE maker_amount > 0 AND taker_amount > 0)
 SELECT side, count(*) AS n, round(max(u / t), 4) AS max_price, CAST(sum(CAST(floor(t / 1e6) AS HUGEINT)) AS VARCHAR) AS tokens FROM f GROUP BY 1"""
 ARG_EXTREMES = f"WITH e AS ({EV_YES_VS_NO}) SELECT {', '.join(f'(SELECT price FROM e WHERE {s}_ev IS NOT NULL ORDER BY {s}_ev {o}, price LIMIT 1) AS {n}_{s}' for s in ('yes', 'no') for n, o in (('best', 'DESC'), ('worst', 'ASC')))}"
 TOP_K_EVENTS = f"WITH {MARKETS} SELECT event_ticker, {_b('sum(volume)', 'volume')}, count(*) AS n_markets FROM markets WHERE event_ticker IS NOT NULL GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 8"
 RANKS_WITHIN_GROUP = f"""WITH {MARKETS}, c AS (SELECT {CAT} AS cat, sum(coalesce(volume, 0)) AS v FROM markets GROUP BY 1), g AS (SELECT {WHICH('group')} AS "group", cat, v FROM c)
 SELECT "group", cat AS name, CAST(row_number() OVER (PARTITION BY "group" ORDER BY v DESC, cat) - 1 AS INTEGER) AS pos, count(*) OVER (PARTITION BY "group") AS size FROM g"""
-STREAM_EQUALS_BATCH = f"WITH {TRADES} SELECT yes_price AS price, count(*) AS n, {_b('sum(c)', 'contracts')} FROM trades GROUP BY 1"
+STREAM_EQUALS_BATCH = f"WITH {priced_trades('trades', 'SELECT * FROM k_trades')} SELECT yes_price AS price, count(*) AS n, {_b('sum(c)', 'contracts')} FROM trades GROUP BY 1"
 ADDRESS_PREFIXES = f"SELECT substr(t, 3, 1) AS digit, count(DISTINCT t) AS n FROM (SELECT {_id('trader')} AS t FROM p_legacy) WHERE t LIKE '0x%' GROUP BY 1"
 
-SQL = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in {"BASE", "BETS", "CAT", "EV_YES_VS_NO", "MAKER_VS_TAKER_RETURNS", "MARKETS", "TAKER", "TRADES", "P_MARKETS", "TIMES"} and not k.startswith("_")}
+SQL = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in {"BASE", "BETS", "CAT", "EV_YES_VS_NO", "MAKER_VS_TAKER_RETURNS", "MARKETS", "TAKER", "TRADES", "P_MARKETS", "TIMES", "FILLS", "MAKER_PRICE"} and not k.startswith("_")}

@@ -55,7 +55,7 @@ def _on_venue_k(analysis: Callable[[DataFrame, DataFrame], DataFrame], trades: Q
 
 def _venue_p() -> dict[str, Query]:
     t = lambda name: lambda s, d: table(s, d, name)
-    trades, blocks, collateral = t("p_trades"), t("p_blocks"), t("p_collateral")
+    trades, blocks, collateral = views.p_fills, t("p_blocks"), t("p_collateral")
     four = lambda s, d: (views.p_fills(s, d), views.p_markets(s, d), views.p_amm(s, d), collateral(s, d))
     days = lambda s, d: (
         venue_p.daily_k(views.k_trades(s, d), views.k_markets(s, d)), venue_p.daily_p(*four(s, d)[:3], blocks(s, d), collateral(s, d))

@@ -156,10 +156,10 @@ def _price_units(spark: SparkSession, d: str) -> DataFrame:
     return price_unit(spark, d)(table(spark, d, "k_trades"))
 
 
-def _amount_units(spark: SparkSession, d: str) -> DataFrame:
-    """Fills with ``unit``: ``power`` of their maker amount (to millionths) and whether it is sure."""
+def amount_unit(spark: SparkSession, d: str, fills: DataFrame | None = None) -> DataFrame:
+    """Fills, stored ones unless given, with ``unit``: ``power`` of their maker amount (to millionths) and whether it is sure."""
     defs = units.UnitTable.load(table(spark, d, "unit_defs"), "p_trades", "maker_amount")
-    rows = table(spark, d, "p_trades").withColumn("told", F.coalesce(defs.named(F.col("amount_note")), defs.default(F.col("_contract"))))
+    rows = (table(spark, d, "p_trades") if fills is None else fills).withColumn("told", F.coalesce(defs.named(F.col("amount_note")), defs.default(F.col("_contract"))))
     readable = (F.col("maker_amount") > 0) & (F.col("taker_amount") > 0)
     paid = F.when(F.col("maker_asset_id") == "0", 0.35).otherwise(-0.35)  # a share costs less than a dollar
     ratio = F.log10(F.col("maker_amount").cast("double") / F.col("taker_amount")) + paid
@@ -170,7 +170,7 @@ def _amount_units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _token_units(spark: SparkSession, d: str) -> DataFrame:
+def token_unit(spark: SparkSession, d: str) -> DataFrame:
     """Legacy trades with the ``number`` of their token text and its ``power`` (to 1e-18 tokens)."""
     defs = units.UnitTable.load(table(spark, d, "unit_defs"), "p_legacy", "outcome_tokens")
     text = F.btrim("outcome_tokens", F.lit(" \t"))
@@ -208,8 +208,8 @@ def _in_one_unit(spark: SparkSession, d: str) -> DataFrame:
 
     fill = fill_key("transaction_hash", "log_index")
     k = part(_price_units(spark, d), "k_trades", id_key("trade_id"), F.col("yes_price"), F.col("unit.power"), F.col("unit.sure"), 2)
-    p = part(_amount_units(spark, d), "p_trades", fill, F.col("maker_amount"), F.col("unit.power"), F.col("unit.sure"), 0)
-    t = part(_token_units(spark, d), "p_legacy", fill, F.col("read.number"), F.col("read.power"), F.col("read.power").isNotNull(), 0)
+    p = part(amount_unit(spark, d), "p_trades", fill, F.col("maker_amount"), F.col("unit.power"), F.col("unit.sure"), 0)
+    t = part(token_unit(spark, d), "p_legacy", fill, F.col("read.number"), F.col("read.power"), F.col("read.power").isNotNull(), 0)
     return k.unionByName(p).unionByName(t)
 
 
@@ -217,7 +217,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records in another scale than the documented one, in the target unit, copies once."""
     cases = _in_one_unit(spark, d).where(F.col("number").isNotNull() & F.col("sure") & (F.col("power") != F.col("usual")))
     cases = cases.withColumn("row", F.coalesce("rec_key", F.monotonically_increasing_id().cast("string")))
-    first = cases.groupBy("src", "row").agg(F.min(F.struct("at", "number", "power", "rec_key")).alias("r"))
+    first = cases.groupBy("src", "row").agg(F.min(F.struct(F.col("at").isNull(), "at", "number", "power", "rec_key")).alias("r"))
     return first.select("src", "r.rec_key", units.shift_text(F.col("r.number"), F.col("r.power")).alias("val"))
 
 
@@ -240,25 +240,33 @@ def _messages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of trades and fills with more than one stored row."""
     k, p = (
-        dedup.copy_counts(df, "msg_key", "_fetched_at", ties=[]).select(
+        dedup.copy_counts(df, "msg_key", "_fetched_at").select(
             F.lit(src).alias("src"), "msg_key", "n_copies"
         ) for src, df in _messages(spark, d)
     )
     return k.unionByName(p)
 
 
+def first_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Stored trades with their ``msg_key``, exactly one row per identifier: the first that arrived."""
+    return dedup.keep_first(table(spark, d, "k_trades").withColumn("msg_key", id_key("trade_id")), "msg_key", "_fetched_at")
+
+
+def first_fills(spark: SparkSession, d: str) -> DataFrame:
+    """Stored fills with their ``msg_key``, exactly one row per identifier: the first that arrived."""
+    rows = table(spark, d, "p_trades").withColumn("msg_key", fill_key("transaction_hash", "log_index"))
+    return dedup.keep_first(rows, "msg_key", "_fetched_at")
+
+
 def p5_trades(spark: SparkSession, d: str) -> DataFrame:
     """Trades, exactly one row per identifier: the first that arrived."""
-    rows = table(spark, d, "k_trades").withColumn("msg_key", id_key("trade_id"))
-    kept = dedup.keep_first(rows, "msg_key", "_fetched_at", ties=["trade_id"])
+    kept = first_trades(spark, d)
     return kept.select("msg_key", ticker_key("ticker").alias("ticker"), "count", "yes_price", "no_price", "created_time", "_fetched_at")
 
 
 def p5_fills(spark: SparkSession, d: str) -> DataFrame:
     """Fills, exactly one row per transaction hash and log index: the first that arrived."""
-    rows = table(spark, d, "p_trades").withColumn("msg_key", fill_key("transaction_hash", "log_index"))
-    kept = dedup.keep_first(rows, "msg_key", "_fetched_at", ties=["transaction_hash"])
-    return kept.select(
+    return first_fills(spark, d).select(
         "msg_key", "block_number", hash_key("order_hash").alias("order_hash"), "maker_amount", "taker_amount", "fee", "_fetched_at"
     )
 
@@ -270,9 +278,7 @@ def p5_admitted(spark: SparkSession, d: str) -> DataFrame:
     """
     rows = table(spark, d, "k_trades").select(id_key("trade_id").alias("msg_key"), "trade_id", "count", "_fetched_at")
     late = F.coalesce(F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
-    return dedup.admit(
-        rows.where(~late), rows.where(late), "msg_key", "_fetched_at", ties=["trade_id"]
-    ).select("msg_key", "count", "_fetched_at")
+    return dedup.admit(rows.where(~late), rows.where(late), "msg_key", "_fetched_at").select("msg_key", "count", "_fetched_at")
 
 
 # 6. Several values packed in one field

@@ -114,15 +114,15 @@ P5_FOUND = f"{_copies('k_trades', _id('trade_id'))} UNION ALL {_copies('p_trades
 
 P5_TRADES = f"""
 SELECT {_id('trade_id')} AS msg_key, {_ticker('ticker')} AS ticker, "count", yes_price, no_price, created_time, _fetched_at FROM k_trades
-QUALIFY {_id('trade_id')} IS NULL OR row_number() OVER (PARTITION BY {_id('trade_id')} ORDER BY _fetched_at NULLS LAST, trade_id) = 1"""
+QUALIFY {_id('trade_id')} IS NULL OR row_number() OVER (PARTITION BY {_id('trade_id')} ORDER BY _fetched_at NULLS LAST, "count" NULLS LAST, created_time NULLS LAST, feed NULLS LAST, no_price NULLS LAST, price_note NULLS LAST, taker_side NULLS LAST, k_trades.ticker NULLS LAST, trade_id NULLS LAST, yes_price NULLS LAST) = 1"""
 
 P5_FILLS = f"""
 SELECT {FILL} AS msg_key, block_number, {_hash('order_hash')} AS order_hash, maker_amount, taker_amount, fee, _fetched_at FROM p_trades
-QUALIFY {FILL} IS NULL OR row_number() OVER (PARTITION BY {FILL} ORDER BY _fetched_at NULLS LAST, transaction_hash) = 1"""
+QUALIFY {FILL} IS NULL OR row_number() OVER (PARTITION BY {FILL} ORDER BY _fetched_at NULLS LAST, _contract NULLS LAST, amount_note NULLS LAST, block_number NULLS LAST, fee NULLS LAST, log_index NULLS LAST, maker NULLS LAST, maker_amount NULLS LAST, maker_asset_id NULLS LAST, p_trades.order_hash NULLS LAST, taker NULLS LAST, taker_amount NULLS LAST, taker_asset_id NULLS LAST, transaction_hash NULLS LAST) = 1"""
 
 P5_ADMITTED = f"""
-WITH r AS (SELECT {_id('trade_id')} AS msg_key, trade_id, "count", _fetched_at, _fetched_at >= TIMESTAMP '2024-01-01' AS late FROM k_trades)
+WITH r AS (SELECT {_id('trade_id')} AS msg_key, trade_id, "count", _fetched_at, coalesce(_fetched_at >= TIMESTAMP '2024-01-01', false) AS late FROM k_trades)
 SELECT msg_key, "count", _fetched_at FROM r WHERE late AND (msg_key IS NULL OR msg_key NOT IN (SELECT msg_key FROM r WHERE NOT late AND msg_key IS NOT NULL))
-QUALIFY msg_key IS NULL OR row_number() OVER (PARTITION BY msg_key ORDER BY _fetched_at NULLS LAST, trade_id) = 1"""
+QUALIFY msg_key IS NULL OR row_number() OVER (PARTITION BY msg_key ORDER BY _fetched_at NULLS LAST, "count" NULLS LAST, trade_id NULLS LAST) = 1"""
 
 SQL = {k.lower(): v for k, v in list(globals().items()) if k[0] == "P" and k[1].isdigit()}

@@ -3,9 +3,32 @@
 from __future__ import annotations
 
 from augury.functions.classify import DEFAULT_RULES
-from augury.plans.training_sql import _ticker
+from augury.plans.training_sql import _id, _note, _ticker
 
-TRADES = f"""trades AS (SELECT {_ticker('ticker')} AS ticker, "count" AS c, yes_price, no_price, taker_side, created_time FROM k_trades WHERE yes_price + no_price = 100)"""
+K_COLUMNS = ("count", "created_time", "feed", "no_price", "price_note", "taker_side", "ticker", "trade_id", "yes_price")
+
+
+def first_rows(table: str, key: str, columns: tuple[str, ...]) -> str:
+    """All rows of a stored table but later copies of a key; ties go by all columns in name order."""
+    order = ", ".join(f'{table}."{c}" NULLS LAST' for c in columns)
+    return f"""SELECT * FROM {table} QUALIFY {key} IS NULL OR row_number() OVER (PARTITION BY {key} ORDER BY {table}._fetched_at NULLS LAST, {order}) = 1"""
+
+
+def _cents(price: str) -> str:
+    step = "CAST(power(10, 2 - p) AS BIGINT)"
+    return f"CAST(({price} + {step} // 2) // {step} AS INTEGER) AS {price}"
+
+
+def priced_trades(name: str, rows: str) -> str:
+    """Stored trades with both prices in whole cents: unit by note, else by feed, else by the dollar both prices make."""
+    dollar = " ".join(f"WHEN abs(yes_price + no_price - {10 ** (4 - p)}) <= 1 THEN {p}" for p in (2, 1, 0, -2))
+    return f"""notes_k AS (SELECT price_note AS note, {_note('k_trades', 'yes_price', 'price_note')} AS named FROM (SELECT DISTINCT price_note FROM k_trades WHERE price_note IS NOT NULL)),
+feeds AS (SELECT source, pow10 FROM unit_defs WHERE tbl = 'k_trades' AND source IS NOT NULL), {name}_rows AS ({rows}),
+{name}_units AS (SELECT r.*, coalesce(named, pow10, CASE {dollar} END) AS p FROM {name}_rows r LEFT JOIN notes_k ON price_note = note LEFT JOIN feeds ON feed = source),
+{name} AS (SELECT {_ticker('ticker')} AS ticker, "count" AS c, {_cents('yes_price')}, {_cents('no_price')}, taker_side, created_time FROM {name}_units)"""
+
+
+TRADES = priced_trades("trades", first_rows("k_trades", _id("trade_id"), K_COLUMNS))
 MARKETS = f"""markets AS (SELECT {_ticker('ticker')} AS ticker, status, result, event_ticker, volume FROM k_markets WHERE {_ticker('ticker')} IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY {_ticker('ticker')} ORDER BY _fetched_at DESC NULLS LAST, status NULLS LAST, result NULLS LAST, event_ticker NULLS LAST, volume NULLS LAST) = 1)"""
 RESOLVED = "resolved AS (SELECT ticker, event_ticker, result FROM markets WHERE status = 'finalized' AND result IN ('yes', 'no'))"
@@ -65,7 +88,7 @@ SELECT {_r('b', 'trade_size_bin')}, {_r('wr', 'win_rate')}, {_r('ex', 'expected_
 RETURNS_BY_HOUR = f"""{POSITIONS}, g AS (SELECT extract(hour FROM created_time) AS h, avg(won) AS wr, avg(price / 100.0) AS p, avg(won - price / 100.0) AS x, var_samp(won - price / 100.0) AS v, sum(c) AS c, sum(c * price / 100.0) AS vol, count(*) AS n FROM taker GROUP BY 1)
 SELECT h AS hour_et, {_r('wr', 'win_rate')}, {_r('p', 'avg_implied_prob')}, {_r('x', 'excess_return')}, {_r('v', 'var_excess')}, {_b('c', 'total_contracts')}, {_r('vol', 'total_volume_usd')}, n AS n_trades, {_r('sqrt(v / n)', 'se')}, {_r('x - 1.96 * sqrt(v / n)', 'ci_lower')}, {_r('x + 1.96 * sqrt(v / n)', 'ci_upper')} FROM g"""
 
-VWAP_BY_HOUR = f"""{POSITIONS}, g AS (SELECT extract(hour FROM created_time) AS h, sum(price * c) / sum(c) AS w, sum(c) AS c, sum(c * price / 100.0) AS vol, count(*) AS n, avg(price) AS p, stddev_samp(price) AS s FROM taker GROUP BY 1)
+VWAP_BY_HOUR = f"""{POSITIONS}, g AS (SELECT extract(hour FROM created_time) AS h, sum(price * c) / sum(c) FILTER (price IS NOT NULL) AS w, sum(c) AS c, sum(c * price / 100.0) AS vol, count(*) AS n, avg(price) AS p, stddev_samp(price) AS s FROM taker GROUP BY 1)
 SELECT h AS hour_et, {_r('w', 'vwap')}, {_b('c', 'total_contracts')}, {_r('vol', 'total_volume_usd')}, n AS n_trades, {_r('p', 'avg_price')}, {_r('s', 'std_price')}, {_r('s / sqrt(n)', 'se')}, {_r('w - 1.96 * s / sqrt(n)', 'ci_lower')}, {_r('w + 1.96 * s / sqrt(n)', 'ci_upper')} FROM g"""
 
 VOLUME_OVER_TIME = f"WITH {TRADES} SELECT CAST(date_trunc('quarter', created_time) AS TIMESTAMP) AS quarter, {_b('sum(c)', 'volume_usd')} FROM trades GROUP BY 1"

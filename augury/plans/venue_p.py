@@ -179,15 +179,11 @@ def bucket_times(blocks: DataFrame) -> DataFrame:
     ).select("bucket", utc("t").alias("at"))
 
 
-def _timed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.expr(f"block_number div {BLOCKS_PER_BUCKET}")).join(bucket_times(blocks), "bucket")
-
-
 def volume_over_time(trades: DataFrame, legacy: DataFrame, blocks: DataFrame, collateral: DataFrame) -> DataFrame:
     """Quarterly outcome tokens of fills with a USDC leg plus collateral of USDC AMM trades."""
     maker, taker = F.col("maker_asset_id") == "0", F.col("taker_asset_id") == "0"
     fills = trades.where(maker | taker).select(
-        "block_number", on(maker, F.col("taker_amount"), F.col("maker_amount")).cast("decimal(38,0)").alias("v")
+        "block_number", F.round(on(maker, F.col("taker_amount"), F.col("maker_amount")), 0).cast("decimal(38,0)").alias("v")
     )
     amm = legacy.join(usdc_addresses(collateral), "fpmm_address", "left_semi").select(
         "block_number", F.expr("try_cast(amount AS DECIMAL(38,0))").alias("v")

@@ -1,8 +1,9 @@
 """The relations that the analyses read, over the stored tables.
 
 Stored tables hold several spellings of a key, several fetches of a market and prices in several units.
-``k_trades`` here gives every row with its prices in whole cents, and ``k_markets`` / ``p_markets`` the
-latest fetch of each key.  The analyses take any relations with these columns.
+``k_trades`` here gives every trade once, by the identifier of problem 5, with its prices in whole cents,
+``p_fills`` every fill once with both amounts in millionths, and ``k_markets`` / ``p_markets`` the latest
+fetch of each key.  The analyses take any relations with these columns.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.keys import id_key, ticker_key
 from augury.operators.units import shift_text
-from augury.plans.training import _amount_units, _token_units, price_unit
+from augury.plans.training import amount_unit, first_fills, first_trades, price_unit, token_unit
 from augury.sources.tables import table
 
 #: Column with the number of trades that a row stands for.
@@ -28,8 +29,8 @@ def latest(df: DataFrame, key: str, by: str, ties: Sequence[str]) -> DataFrame:
 
 
 def k_contracts(spark: SparkSession, d: str) -> DataFrame:
-    """All trades without their prices."""
-    return table(spark, d, "k_trades").select(ticker_key("ticker").alias("ticker"), "count", "taker_side", "created_time")
+    """All trades without their prices, each delivered once."""
+    return first_trades(spark, d).select(ticker_key("ticker").alias("ticker"), "count", "taker_side", "created_time")
 
 
 def in_cents(price: str) -> Column:
@@ -38,8 +39,8 @@ def in_cents(price: str) -> Column:
 
 
 def k_trades(spark: SparkSession, d: str) -> DataFrame:
-    """All trades, each price in whole cents by the unit of problem 4 and rounded on its own."""
-    return price_unit(spark, d)(table(spark, d, "k_trades")).select(
+    """All trades, each delivered once, each price in whole cents by the unit of problem 4 and rounded on its own."""
+    return price_unit(spark, d)(first_trades(spark, d)).select(
         ticker_key("ticker").alias("ticker"), "count", in_cents("yes_price"), in_cents("no_price"), "taker_side", "created_time"
     )
 
@@ -71,12 +72,12 @@ def p_legacy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p_fills(spark: SparkSession, d: str) -> DataFrame:
-    """Fills with both amounts in millionths, the maker's by the unit of problem 4."""
+    """Fills, each delivered once, with both amounts in millionths, the maker's by the unit of problem 4."""
     power = F.col("unit.power")
     scaled = F.when(power < 0, F.col("maker_amount") / F.pow(F.lit(10.0), -power)).otherwise(
         F.col("maker_amount") * F.pow(F.lit(10.0), power)
     )
-    return _amount_units(spark, d).select(
+    return amount_unit(spark, d, first_fills(spark, d)).select(
         "block_number", "maker_asset_id", "taker_asset_id", scaled.alias("maker_amount"), "taker_amount"
     )
 
@@ -84,7 +85,7 @@ def p_fills(spark: SparkSession, d: str) -> DataFrame:
 def p_amm(spark: SparkSession, d: str) -> DataFrame:
     """AMM trades with amount and outcome tokens in millionths, the tokens by the unit of problem 4; null if unreadable."""
     tokens = shift_text(F.col("read.number"), F.col("read.power")).cast("double") / 1e12
-    return _token_units(spark, d).select(
+    return token_unit(spark, d).select(
         "block_number", id_key("fpmm_address").alias("fpmm_address"), "amount", "outcome_index", tokens.alias("outcome_tokens")
     )
 
