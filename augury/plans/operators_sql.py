@@ -33,7 +33,7 @@ def _welch(a: str, b: str) -> str:
     return f"{_r(t, 't_statistic')}, {_r(df, 'df')}, {_r(d, 'cohens_d')}"
 
 
-WELCH_AND_COHENS_D = f"""{_TK}, e AS (SELECT {CAT} AS cat, won - price / 100.0 AS x FROM taker), g AS (SELECT {WHICH('group')} AS g, count(*)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS v FROM e GROUP BY 1),
+WELCH_AND_COHENS_D = f"""{_TK}, e AS (SELECT {CAT} AS cat, won - price / 100.0 AS x FROM taker), g AS (SELECT {WHICH('group')} AS g, count(x)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS v FROM e GROUP BY 1),
 p AS (SELECT b.g, a.n AS an, a.m AS am, a.v AS av, b.n AS bn, b.m AS bm, b.v AS bv FROM g b, g a WHERE a.g = 'Finance' AND b.g <> 'Finance' AND b.n >= 100)
 SELECT 'Finance vs ' || g AS comparison, {_r('am * 100', 'finance_mean')}, {_r('bm * 100', 'other_mean')}, {_r('(am - bm) * 100', 'diff_pp')}, {_welch('a', 'b')}, {_b('an', 'finance_n')}, {_b('bn', 'other_n')} FROM p"""
 
