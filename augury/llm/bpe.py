@@ -8,7 +8,7 @@ everywhere in the word (left to right) and compacts the array; words without a m
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from augury.llm.batches import slices, words_in
 
@@ -92,8 +93,14 @@ class ByteBpe:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(<id>, ids)`` of every document; empty and null texts give the empty list.
+def encode(
+    docs: DataFrame,
+    vocabulary: str = DEFAULT_VOCABULARY,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``(<id>, <keep>..., ids)`` of every document; empty and null texts give the empty list.
 
     The vocabulary is read once on the driver and broadcast (its size is that of the file's 50,000
     merges).  Rows stay in place: there is no shuffle.  No special tokens are produced; their strings in
@@ -118,22 +125,20 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_column: str
             return np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(ends[-1]) if len(ends) else 0), ends
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            flat, sizes = [np.zeros(0, dtype=np.int32)], []
+            texts = batch.column("__text").to_pylist()
+            rest = batch.select([c for c in batch.schema.names if c != "__text"])
             for a, b in slices(texts):
                 if b - a == 1:  # perhaps a very long text
                     parts = [ids_of(w)[0] for w in words_in(pattern, texts[a] or "")]
-                    flat += parts
-                    sizes.append(sum(map(len, parts)))
+                    flat, sizes = np.concatenate([np.zeros(0, dtype=np.int32), *parts]), [sum(map(len, parts))]
                 else:
                     words = [pattern.findall(t) if t else [] for t in texts[a:b]]
-                    ids, ends = ids_of(list(chain.from_iterable(words)))
-                    flat.append(ids)
-                    sizes += np.diff(np.r_[0, ends][np.cumsum([0, *map(len, words)])]).tolist()
-            ends = np.cumsum([0, *sizes]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
-    return rows.withColumnRenamed("id", id_column)
+                    flat, ends = ids_of(list(chain.from_iterable(words)))
+                    sizes = np.diff(np.r_[0, ends][np.cumsum([0, *map(len, words)])])
+                offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))  # of one slice
+                lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, lists], names=[*rest.schema.names, "ids"])
+
+    rows = docs.select(F.col(id_column), *(F.col(c) for c in keep), F.col(text_column).alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema)

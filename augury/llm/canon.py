@@ -1,14 +1,17 @@
 """One consistent form for texts that look the same.
 
 Steps per text: characters without width go, blanks become one blank, full-width and joined letters
-become normal and separate ones, accents are split off, every letter gets its Latin twin of the same
-shape if it has one, accents are joined again.  Then each token is respelled in one script: the sets of
-scripts that could write each of its letters are intersected; if Latin is in the intersection the token
-stays Latin (whole-script confusable), else it is written in the script that can write all of it, and a
-token that no single script can write keeps the Latin twins.  The respelling depends on the twin
-spelling alone, so two texts get one form exactly if their twin spellings agree.
-
-Letter case, accents, digits, marks, line ends, tabs and the number of blanks stay as they are.
+become normal and separate ones, accents are split off.  Then each token is written in one script.  The
+scripts of each stored letter (script extensions, with the combined writing systems of Japanese, Korean
+and Chinese) are intersected to the token's resolved set, and the scripts that own a letter of the same
+shape are intersected to the set of scripts that could write the whole token.  A token with an empty
+resolved set mixes scripts; one that another script could write as well is a whole-script confusable.
+The spelling selected is the Latin one if Latin could write the token, else that of the script that
+could, and a token that no single script can write takes the Latin letter of every shape that has one.
+The selected spelling is the form: nothing maps letters outside this choice.  Accents are joined again.
+
+Since the second set depends on shapes alone, two tokens of one look get one spelling.  Letter case,
+accents, digits, marks, line ends, tabs and the number of blanks stay as they are.
 """
 
 from __future__ import annotations
@@ -17,15 +20,17 @@ import hashlib
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augury.operators.lineage import cut
+from augury.operators.skew import fragment_replicate_join, plan_loads
 
 ASCII_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # Control characters that are tabs or line ends; format characters that have a shape;
@@ -37,6 +42,15 @@ BLANK_LETTERS = "\u2800\u3164\uffa0"
 SHAPE_FIXES = {"\u04cf": "l"}
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x1f\x7f]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_latin = regex.compile(r"\p{Script=Latin}")
+LATIN = "Latin"
+# Writing systems of several scripts, as script names of the security standard (UTS 39).
+SYSTEMS = {
+    "Han": ("Hanb", "Jpan", "Kore"), "Hiragana": ("Jpan",), "Katakana": ("Jpan",), "Hangul": ("Kore",), "Bopomofo": ("Hanb",)
+}
+SCRIPT_CODES = 200
+CACHED_CHUNKS = 200_000
+CACHED_CHARS = 64
 _FORMS = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>")
 
 
@@ -68,8 +82,8 @@ def shape_table(spark: SparkSession) -> dict[int, str]:
     """Letters of any script to the Latin letter of the same shape.
 
     Built from the published confusable data that Spark's own JVM carries (ICU): a letter maps to the
-    ASCII letter with the same skeleton, else to the first undecomposable Latin letter with it; where two
-    share a skeleton, case decides.
+    ASCII letter with the same skeleton, else to the first undecomposable Latin letter of its case with it; where
+    two ASCII letters share a skeleton, case decides.
     """
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     letters = [chr(c) for c in range(0x41, 0x1F000) if chr(c).isalpha() and not (0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xD7A3)]
@@ -79,87 +93,164 @@ def shape_table(spark: SparkSession) -> dict[int, str]:
         twins.setdefault(skeleton[a], []).append(a)
     ascii_shapes = set(twins)
     for a in letters:
-        if skeleton[a] not in ascii_shapes and _script(a) == "LATIN" and not unicodedata.decomposition(a):
+        if skeleton[a] not in ascii_shapes and _latin.match(a) and not unicodedata.decomposition(a):
             twins.setdefault(skeleton[a], []).append(a)
     out = {}
     for ch, s in skeleton.items():
         if s in twins and ch not in ASCII_LETTERS:
             same_case = [a for a in twins[s] if a.isupper() == ch.isupper()]
-            if (twin := (same_case or twins[s])[0]) != ch:
+            twin = (same_case or twins[s])[0]
+            if twin != ch and (same_case or twin in ASCII_LETTERS):
                 out[ord(ch)] = twin
     return out | {ord(k): v for k, v in SHAPE_FIXES.items()}
 
 
-def _script(ch: str) -> str:
-    return unicodedata.name(ch, "UNKNOWN").split()[0]
+def script_names(spark: SparkSession) -> tuple[str, ...]:
+    """Names of all scripts of the character database (from the ICU that Spark's JVM carries) that ``regex`` knows."""
+    scripts = spark._jvm.com.ibm.icu.lang.UScript
+    found = []
+    for name in {scripts.getName(k) for k in range(SCRIPT_CODES)}:
+        try:
+            regex.compile(rf"\p{{scx={name}}}")
+            found.append(name)
+        except regex.error:
+            continue
+    return tuple(sorted(found))
+
+
+class _Chunks(dict):
+    """Forms of the pieces between blanks that a worker has seen; long pieces are not kept."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str):
+        made = self.make(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHED_CHUNKS:
+                self.clear()
+            self[chunk] = made
+        return made
 
 
 class Canon:
     """Brings texts to the consistent form; cheap to pickle, builds its indexes on first use."""
 
-    def __init__(self, widths: dict[int, str], shapes: dict[int, str]):
-        self.widths, self.shapes = widths, shapes
+    def __init__(self, widths: dict[int, str], shapes: dict[int, str], scripts: tuple[str, ...], by_script: bool = True):
+        """``by_script=False`` leaves every token in its stored letters: the remaining steps alone."""
+        self.widths, self.shapes, self.scripts, self.by_script = widths, shapes, scripts, by_script
 
     @classmethod
-    def of(cls, spark: SparkSession) -> Canon:
-        return cls(width_table(), shape_table(spark))
+    def of(cls, spark: SparkSession, by_script: bool = True) -> Canon:
+        return cls(width_table(), shape_table(spark), script_names(spark), by_script)
 
     def __getstate__(self) -> dict:
-        return {"widths": self.widths, "shapes": self.shapes}
+        return {"widths": self.widths, "shapes": self.shapes, "scripts": self.scripts, "by_script": self.by_script}
+
+    @cached_property
+    def _patterns(self) -> list[tuple[str, regex.Pattern]]:
+        return [(s, regex.compile(rf"\p{{scx={s}}}")) for s in self.scripts]
+
+    @cached_property
+    def _known(self) -> dict[str, frozenset[str] | None]:
+        return {}
+
+    def scripts_of(self, ch: str) -> frozenset[str] | None:
+        """Scripts that a character belongs to, writing systems included; None where it goes with any script."""
+        if ch not in self._known:
+            own = {s for s, p in self._patterns if p.match(ch)}
+            for script, systems in SYSTEMS.items():
+                if script in own:
+                    own.update(systems)
+            self._known[ch] = None if not own or own & {"Common", "Inherited", "Unknown"} else frozenset(own)
+        return self._known[ch]
 
     @cached_property
     def spellings(self) -> dict[str, dict[str, str]]:
-        """Per script: Latin letter to the script's letter of that shape (the first in code order)."""
+        """Per script other than Latin: Latin letter to the script's letter of that shape (the first in code order)."""
         out: dict[str, dict[str, str]] = {}
         for cp, latin in sorted(self.shapes.items()):
-            if (s := _script(chr(cp))) != "LATIN":
+            for s in (self.scripts_of(chr(cp)) or frozenset()) - {LATIN}:
                 out.setdefault(s, {}).setdefault(latin, chr(cp))
         return out
 
     @cached_property
-    def _latin(self) -> set[str]:
-        """Latin letters that another script may spell."""
-        return {*ASCII_LETTERS, *self.shapes.values()}
-
-    @cached_property
-    def _respelled(self) -> dict[str, str]:
-        return {}
-
-    @cached_property
-    def _plain(self) -> re.Pattern[str]:
-        """Texts of these characters only are in their form already."""
-        return re.compile(
-            "[\t-\r\x1c-\x1e -~\xa1-\xa9\xab\xac\xae-\xb4\xb7\xbb-\xff\u2010-\u2027\U0001f300-\U0001f64f\U0001f680-\U0001f6ff]*"
-        )
-
-    def _respell(self, m: regex.Match) -> str:
+    def _writers(self) -> dict[str, frozenset[str]]:
+        out: dict[str, set[str]] = {a: {LATIN} for a in ASCII_LETTERS}
+        for latin in self.shapes.values():
+            out.setdefault(latin, {LATIN})
+        for s, spell in self.spellings.items():
+            for latin in spell:
+                out[latin].add(s)
+        return {k: frozenset(v) for k, v in out.items()}
+
+    def look(self, ch: str) -> str:
+        """The letter that stands for all letters of one shape: the Latin one, or the letter itself."""
+        return self.shapes.get(ord(ch), ch)
+
+    def writers(self, ch: str) -> frozenset[str] | None:
+        """Scripts with a letter of this shape; None: any."""
+        twin = self.look(ch)
+        return self._writers.get(twin) or self.scripts_of(twin)
+
+    def resolve(self, token: str) -> tuple[str, str | None]:
+        """``(kind, script)`` of a decomposed token: its confusable kind and the script selected for it (None: no single one).
+
+        Kinds: ``single`` (one script and no other could write it), ``whole`` (one script, but another
+        could write it too), ``mixed`` (several scripts, but one could write it), ``no script`` (several
+        scripts and none could write it all).
+        """
+        resolved: frozenset[str] | None = None
+        able: frozenset[str] | None = None
+        for ch in {c for c in token if unicodedata.category(c)[0] == "L"}:
+            if (own := self.scripts_of(ch)) is not None:
+                resolved = own if resolved is None else resolved & own
+            if (can := self.writers(ch)) is not None:
+                able = can if able is None else able & can
+        selected = LATIN if able is None or LATIN in able else min(able, default=None)
+        if resolved is None or (resolved and selected is None):
+            return "single", selected
+        if resolved:
+            return ("whole" if able and able - resolved else "single"), selected
+        return ("mixed" if selected else "no script"), selected
+
+    def spell(self, token: str, script: str | None) -> str:
+        """A decomposed token in the letters of the selected script."""
+        letters = self.spellings.get(script, {}) if script not in (None, LATIN) else {}
+        return "".join(letters.get(twin, twin) for twin in map(self.look, token))
+
+    def _token(self, m: regex.Match) -> str:
         token = m[0]
-        if token.isascii():
+        if token.isascii() or not self.by_script:
             return token
-        if (known := self._respelled.get(token)) is not None:
-            return known
         apart = unicodedata.normalize("NFD", token)
-        letters = [c for c in apart if unicodedata.category(c)[0] == "L"]
-        scripts: set[str] | None = None
-        for c in letters:
-            can = {"LATIN", *(s for s, spell in self.spellings.items() if c in spell)} if c in self._latin else {_script(c)}
-            scripts = can if scripts is None else scripts & can
-        out = token
-        if scripts and "LATIN" not in scripts:
-            spell = self.spellings.get(min(scripts), {})
-            out = unicodedata.normalize("NFC", "".join(spell.get(c, c) for c in apart))
-        if len(self._respelled) > 200_000:
-            self._respelled.clear()
-        self._respelled[token] = out
-        return out
+        return unicodedata.normalize("NFC", self.spell(apart, self.resolve(apart)[1]))
+
+    def chunk(self, text: str) -> str:
+        """The form of a text, piece by piece; pieces between blanks never touch each other."""
+        if text.isascii():
+            return _CONTROL.sub("", text)
+        return _TOKEN.sub(self._token, unicodedata.normalize("NFC", text.translate(self.widths)))
+
+    @cached_property
+    def _forms(self) -> _Chunks:
+        return _Chunks(self.chunk)
 
     def __call__(self, text: str) -> str:
         if text.isascii():
             return _CONTROL.sub("", text)
-        if self._plain.fullmatch(text):
-            return text
-        text = unicodedata.normalize("NFD", text.translate(self.widths)).translate(self.shapes)
-        return _TOKEN.sub(self._respell, unicodedata.normalize("NFC", text))
+        return " ".join(map(self._forms.__getitem__, text.split(" ")))
+
+    def kinds(self, text: str) -> Counter[str]:
+        """How many tokens with a letter outside ASCII are of each kind."""
+        found: Counter[str] = Counter()
+        for token in _TOKEN.findall(unicodedata.normalize("NFC", text.translate(self.widths))):
+            if not token.isascii():
+                apart = unicodedata.normalize("NFD", token)
+                kind, script = self.resolve(apart)
+                found["respelled" if kind == "single" and self.spell(apart, script) != apart else kind] += 1
+        return found
 
 
 def forms(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -187,7 +278,7 @@ def look_keys(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = canon.value
-        digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         for pdf in frames:
             ids, a, b = [], [], []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -200,33 +291,68 @@ def look_keys(docs: DataFrame) -> DataFrame:
 
     return docs.select("doc_id", "text").where(
         F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    ).mapInPandas(run, "doc_id long, form binary, raw binary")
+    ).mapInPandas(run, "doc_id long, form string, raw string")
+
+
+def script_report(docs: DataFrame) -> DataFrame:
+    """``(kind, n_tokens, n_docs)`` over all tokens with a letter outside ASCII; see :meth:`Canon.resolve`.
+
+    ``respelled`` are tokens of one script that still hold letters of another block of it.
+    """
+    spark = docs.sparkSession
+    canon = spark.sparkContext.broadcast(Canon.of(spark))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make, tokens, owners = canon.value, Counter(), Counter()
+        for pdf in frames:
+            for t in pdf["text"]:
+                if t is not None and not t.isascii():
+                    found = make.kinds(t)
+                    tokens.update(found)
+                    owners.update(found.keys())
+        yield pd.DataFrame([(k, n, owners[k]) for k, n in tokens.items()], columns=["kind", "t", "d"])
+
+    sums = docs.select("text").mapInPandas(run, "kind string, t long, d long")
+    return sums.groupBy("kind").agg(F.sum("t").alias("n_tokens"), F.sum("d").alias("n_docs"))
 
 
 def look_alike_pairs(docs: DataFrame) -> DataFrame:
     """``(doc_a, doc_b)``, doc_a < doc_b: different stored texts of one form.
 
-    Exact copies are never compared: spellings of a form are paired first, documents attached after.
+    Exact copies are never compared: the distinct spellings of a form are paired first, and documents are
+    attached to both sides after.  A spelling may hold a third of all documents, so its documents are
+    dealt to shards and its pairs repeated for those shards only.
     """
-    keys = cut(look_keys(docs))  # 40 bytes a document, instead of a second pass over all texts
-    varied = keys.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
-    rows = keys.join(varied, "form", "left_semi")
-    spellings = rows.select("form", "raw").distinct()
-    pairs = spellings.withColumnRenamed("raw", "raw_a").join(
-        spellings.withColumnRenamed("raw", "raw_b"), "form"
-    ).where(F.col("raw_a") < F.col("raw_b"))
-    left = rows.select("form", F.col("raw").alias("raw_a"), F.col("doc_id").alias("x"))
-    right = rows.select("form", F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
-    both = pairs.join(left, ["form", "raw_a"]).join(right, ["form", "raw_b"])
+    keys = cut(look_keys(docs))  # two digests a document, instead of a second pass over all texts
+    spellings = keys.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    several = spellings.withColumn("m", F.count("*").over(Window.partitionBy("form"))).where(F.col("m") > 1).select("form", "raw")
+    pairs = several.select("form", F.col("raw").alias("raw_a")).join(
+        several.select("form", F.col("raw").alias("raw_b")), "form"
+    ).where(F.col("raw_a") < F.col("raw_b")).select("raw_a", "raw_b")
+    rows = keys.select("doc_id", "raw")
+    plan = plan_loads(rows, "raw")
+    side = lambda pairs, key, name: fragment_replicate_join(
+        rows.select(F.col("raw").alias(key), F.col("doc_id").alias(name)), pairs, key, "inner", plan
+    )
+    both = side(side(pairs, "raw_a", "x").select("raw_b", "x"), "raw_b", "y")
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def look_alike_classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, class_id, n_docs, n_spellings)`` of every document with a visible character.
+    """``(doc_id, class_id, n_docs, n_spellings, n_links)`` of every document with a visible character.
 
-    The class is the smallest doc_id of its form; copies are not expanded to pairs.
+    The class is the smallest doc_id of its form; ``n_links`` counts the documents of the class that are
+    spelled otherwise.  Copies are not expanded to pairs.
     """
     keys = cut(look_keys(docs))
     spellings = keys.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    classes = spellings.groupBy("form").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_spellings"))
-    return keys.join(classes, "form").select("doc_id", "class_id", "n_docs", "n_spellings")
+    form = Window.partitionBy("form")  # a row per spelling
+    classes = spellings.select(
+        "raw",
+        F.min("least").over(form).alias("class_id"),
+        F.sum("n").over(form).alias("n_docs"),
+        F.count("*").over(form).alias("n_spellings"),
+        (F.sum("n").over(form) - F.col("n")).alias("n_links"),
+    )
+    found = fragment_replicate_join(keys.select("doc_id", "raw"), classes, "raw", "inner")
+    return found.select("doc_id", "class_id", "n_docs", "n_spellings", "n_links")

@@ -1,41 +1,50 @@
 """Evaluation texts inside training texts: SimHash windows, multi-index blocks, shingle check.
 
-The unit of a leak is a passage of ``WORDS`` words.  Every item is cut into all its passages, and a window
-of the same size slides over every whole document.  Both get a 64-bit SimHash of their words, weighted by
-how rare a word is among the items.  The fingerprints of the items are indexed by each of four 16-bit
-blocks: two fingerprints that differ in at most three bits agree in one block, so no pair within the
-radius is missed.  Candidates within the radius are verified by the weighted Jaccard similarity of their
-five-word shingles; equal passages of neighbouring windows are joined to runs.
-
-The items are the query set: they are read in blocks of bounded size, each broadcast and run against all
-documents.  Documents never move, and there is no join.
+Windows slide over every whole document in the sizes of a ladder (10, 20, 28, 40, 56, ... words, each about
+1.4 times the last).  An item is searched by windows of the largest size it fills and, for partial leaks, by
+those of all smaller sizes: at 10 words, the smallest leak that counts, every passage of the item, above
+it passages at every half window and at the end.  Each window has a 64-bit SimHash of its words, weighted
+by how rare a word is among all items.
+
+The fingerprints of the passages of one size are indexed by four 16-bit blocks.  Two fingerprints within
+the radius differ in at most a fourth of it in some block, so a passage is entered under all keys that far
+away and no pair within the radius is missed.  Candidates are verified by the weighted Jaccard similarity
+of their five-word shingles; the longest run of equal words on the diagonal of each is the last, exact step.
+
+The items are the query set.  They are read in blocks of bounded size, of which several are broadcast and
+run in one scan of all documents.  Documents never move, and there is no join.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cached_property
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.batches import slices, words_in
-from augury.llm.canon import Canon
+from augury.llm.batches import SLICE_CHARS, slices, words_in
+from augury.llm.canon import Canon, _Chunks
 
 WORDS = 10
+LONGEST = 1280
 SHINGLE = 5
 SIMILAR = 0.8
-RADIUS = 3
+#: Radius at the smallest size, where only equal windows reach ``SIMILAR``, and above (recall: see the tests).
+RADIUS, WIDE_RADIUS = 3, 11
 BLOCKS = 4
-ITEM_WINDOWS_PER_BLOCK = 100_000
-CHUNK_WORDS = 1 << 16
-VOCABULARY_MOST = 500_000
+RARITY_SLOTS = 1 << 16
+ITEM_WORDS_PER_BLOCK = 100_000
+BLOCKS_PER_SCAN = 8
+CHUNK_WORDS = 1 << 15
+HITS_AT_ONCE = 2048
 _WORD = re.compile(r"[^\W_]+")
-_MATCH = "doc_id long, item_id long, n_words int, doc_at int, item_at int, similarity double"
+_MATCH = "doc_id long, item_id long, n_words int, doc_at int, item_at int, size int, similarity double"
 
 
 def words_of(text: str | None, canon: Canon) -> list[str]:
@@ -47,16 +56,62 @@ def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _sign_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
-    return (2 * bits - 1) * weights.astype(np.int8)[:, None]
+class Hasher:
+    """Word hashes of whole texts; pieces between blanks are looked up, so a repeated piece is read once."""
 
+    def __init__(self, canon: Canon):
+        self.canon = canon
+        self.pieces = _Chunks(lambda piece: tuple(map(word_hash, _WORD.findall(canon.chunk(piece).lower()))))
 
-def simhashes(bits: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every window of ``size`` rows of weighted bits."""
-    sums = np.zeros((len(bits) + 1, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
-    return np.packbits(sums[size:] > sums[:-size], axis=1, bitorder="little").view("<u8").ravel()
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype=np.uint64)
+        if len(text) > SLICE_CHARS:
+            return np.concatenate([np.zeros(0, dtype=np.uint64), *map(self._look_up, words_in(_PIECE, text))])
+        return self._look_up(text.split(" "))
+
+    def _look_up(self, pieces: list[str]) -> np.ndarray:
+        return np.array(list(chain.from_iterable(map(self.pieces.__getitem__, pieces))), dtype=np.uint64)
+
+
+_PIECE = re.compile("[^ ]+")
+
+
+def ladder(longest: int) -> list[int]:
+    """Window sizes up to ``longest`` words: 10, 20, 28, 40, 56, 80, ..."""
+    sizes = [WORDS] + [k * (1 << n) for n in range(1, 8) for k in (WORDS, WORDS + 4)]
+    return [s for s in sizes if s <= min(longest, LONGEST)]
+
+
+def window_sums(bits: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(size, sums)`` of the weighted bits of every window, size by size; each comes from two smaller ones."""
+
+    def add(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+        n = max(0, len(b) - shift)
+        return a[:n] + b[shift : shift + n]
+
+    two = add(bits, bits, 1)
+    four = add(two, two, 2)
+    main = add(add(four, four, 4), two, 8)
+    side = add(main, four, 10)
+    for size in ladder(longest):
+        if size == WORDS:
+            yield size, main
+        elif size % 20 == 0 and size // 10 & (size // 10 - 1) == 0:
+            main = add(main, main, size // 2)
+            yield size, main
+        else:
+            side = add(side, side, size // 2)
+            yield size, side
+
+
+def sign_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
+    return (2 * bits - 1) * weights.astype(np.int16)[:, None]
+
+
+def simhashes(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -69,38 +124,49 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-class ItemIndex:
-    """All passages of a block of items, indexed by the blocks of their fingerprints."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], rarity: Counter[str], n_items: int):
-        self.weights = {w: self._weight(n, n_items) for w, n in rarity.items()}
-        self.top = self._weight(0, n_items)
-        item, at, hashes, weights, starts = [], [], [], [], []
-        for i, words in items:
-            base = len(hashes)
-            hashes += map(word_hash, words)
-            weights += [self.weights.get(w, self.top) for w in words]
-            n = max(0, len(words) - WORDS + 1)
-            item += [i] * n
-            at += range(n)
-            starts += range(base, base + n)
-        self.item, self.at = np.array(item, dtype=np.int64), np.array(at, dtype=np.int32)
-        self.hashes = np.array(hashes, dtype=np.uint64)
-        self.word_weights = np.array(weights, dtype=np.int32)
-        self.starts = np.array(starts, dtype=np.int64)
-        self.prints = simhashes(
-            _sign_bits(self.hashes, self.word_weights), WORDS
-        )[self.starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+def longest_runs(same: np.ndarray) -> np.ndarray:
+    """The longest run of true cells in each row."""
+    best = run = np.zeros(len(same), dtype=np.int32)
+    for k in range(same.shape[1]):
+        run = (run + 1) * same[:, k]
+        best = np.maximum(best, run)
+    return best
+
+
+class Rarity:
+    """Weights of words by how few items hold them; counts per hash slot, of fixed size whatever the items."""
+
+    def __init__(self, counts: np.ndarray, n_items: int):
+        self.weight = (1 + np.log2((1 + n_items) / (1 + np.minimum(counts, n_items)))).astype(np.int16)
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Rarity:
+        """From one pass over the hashed words of all items (at most ``RARITY_SLOTS`` rows come to the driver)."""
+        slots = words.select(F.explode(F.array_distinct("words")).alias("h")).groupBy(F.expr(f"h & {RARITY_SLOTS - 1}").alias("slot")).count()
+        counts = np.zeros(RARITY_SLOTS, dtype=np.int64)
+        for r in slots.collect():
+            counts[r["slot"]] = r["count"]
+        return cls(counts, words.count())
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.weight[(hashes & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)]
+
+
+class SizeIndex:
+    """Passages of one size, entered under every key within a fourth of the radius in each 16-bit block."""
+
+    def __init__(self, size: int, starts: np.ndarray, prints: np.ndarray):
+        self.size, self.starts, self.prints = size, starts, prints
+        self.radius = RADIUS if size == WORDS else WIDE_RADIUS
+        flips = [0]
+        for n in range(1, self.radius // BLOCKS + 1):
+            flips += [sum(1 << b for b in bits) for bits in combinations(range(16), n)]
         self.tables = []
         for k in range(BLOCKS):
-            key = self.block(self.prints, k)
+            key = (self.block(prints, k)[:, None] ^ np.array(flips)).ravel()
             order = np.argsort(key, kind="stable")
-            self.tables.append((np.searchsorted(key[order], np.arange((1 << 16) + 1)), order))
-        self.shingles = _shingles(self.hashes)
-
-    @staticmethod
-    def _weight(n: int, n_items: int) -> int:
-        return 1 + int(np.log2((1 + n_items) / (1 + n)))
+            ends = np.searchsorted(key[order], np.arange((1 << 16) + 1)).astype(np.int32)
+            self.tables.append((ends, (order // len(flips)).astype(np.int32)))
 
     @staticmethod
     def block(prints: np.ndarray, k: int) -> np.ndarray:
@@ -108,178 +174,218 @@ class ItemIndex:
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(window, passage)`` of all pairs within the radius, each once."""
-        found = []
-        for k, (ends, order) in enumerate(self.tables):
+        found = [np.zeros(0, dtype=np.int64)]
+        for k, (ends, passages) in enumerate(self.tables):
             key = self.block(prints, k)
             n = ends[key + 1] - ends[key]
             has = np.flatnonzero(n)
             n = n[has]
             window = np.repeat(has, n)
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            passage = order[np.repeat(ends[key[has]], n) + offset]
-            ok = np.bitwise_count(prints[window] ^ self.prints[passage]) <= RADIUS
+            passage = passages[np.repeat(ends[key[has]], n) + offset]
+            ok = np.bitwise_count(prints[window] ^ self.prints[passage]) <= self.radius
             found.append(window[ok] * len(self.prints) + passage[ok])
         pairs = np.unique(np.concatenate(found))
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
-    def verify(self, shingles: np.ndarray, weights: np.ndarray, window: np.ndarray, passage: np.ndarray) -> np.ndarray:
+
+class ItemIndex:
+    """A block of items as ``(id, word hashes)``; its indexes are built where they are used."""
+
+    def __init__(self, items: Sequence[tuple[int, np.ndarray]], rarity: Rarity):
+        self.rarity = rarity
+        self.ids = np.array([i for i, _ in items], dtype=np.int64)
+        self.lengths = np.array([len(w) for _, w in items], dtype=np.int64)
+        self.hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(w for _, w in items)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("rarity", "ids", "lengths", "hashes")}
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Where each item begins among the words of the block."""
+        return np.r_[0, np.cumsum(self.lengths)]
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        return self.rarity(self.hashes)
+
+    @cached_property
+    def shingles(self) -> np.ndarray:
+        return _shingles(self.hashes)
+
+    @cached_property
+    def sizes(self) -> list[SizeIndex]:
+        if not len(self.hashes):
+            return []
+        out = []
+        for size, sums in window_sums(sign_bits(self.hashes, self.weights), int(self.lengths.max())):
+            step = 1 if size == WORDS else size // 2
+            places = [
+                a + np.unique(np.r_[np.arange(0, n - size + 1, step), n - size])
+                for a, n in zip(self.first, self.lengths, strict=False) if n >= size
+            ]
+            if places:
+                at = np.concatenate(places)
+                out.append(SizeIndex(size, at, simhashes(sums[at])))
+        return out
+
+    def owner(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, starts, side="right") - 1
+
+    def verify(
+        self, size: int, shingles: np.ndarray, weights: np.ndarray, window: np.ndarray, start: np.ndarray
+    ) -> np.ndarray:
         """Weighted Jaccard similarity of the shingles of windows and passages."""
-        span = np.arange(WORDS - SHINGLE + 1)
-        mine, theirs = shingles[window[:, None] + span], self.shingles[self.starts[passage][:, None] + span]
-        cum = lambda w: np.r_[0, np.cumsum(w)]
-        mine_w = (c := cum(weights))[window[:, None] + span + SHINGLE] - c[window[:, None] + span]
-        theirs_w = (c := cum(self.word_weights))[self.starts[passage][:, None] + span + SHINGLE] - c[self.starts[passage][:, None] + span]
-        common = (mine_w * (mine[:, :, None] == theirs[:, None, :]).any(axis=2)).sum(axis=1)
-        return common / np.maximum(1, mine_w.sum(axis=1) + theirs_w.sum(axis=1) - common)
-
-
-class _Words:
-    """Hashes of the words a worker has seen, and their weights by hash."""
-
-    def __init__(self, index: ItemIndex):
-        self.seen: dict[str, int] = {}
-        known = np.array([(word_hash(w), n) for w, n in index.weights.items()], dtype=[("h", "<u8"), ("w", "<i4")])
-        known.sort(order="h")
-        self.known, self.top = known, index.top
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        fresh = [w for w in set(words) if w not in self.seen]
-        if len(self.seen) + len(fresh) > VOCABULARY_MOST:
-            self.seen.clear()
-            fresh = list(set(words))
-        self.seen.update((w, word_hash(w)) for w in fresh)
-        return np.fromiter(map(self.seen.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    def weights(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(hashes), self.top, dtype=np.int32)
-        at = np.minimum(np.searchsorted(self.known["h"], hashes), len(self.known) - 1)
-        return np.where(self.known["h"][at] == hashes, self.known["w"][at], self.top).astype(np.int32)
-
-
-def _search(ids: list[int], texts: list[str | None], canon: Canon, index: ItemIndex, words: _Words) -> pd.DataFrame | None:
-    """Verified windows of some documents against the index, joined to runs along each diagonal."""
-    if not len(index.prints):
-        return None
-    parts, lengths = [np.zeros(0, dtype=np.uint64)], []
-    for t in texts:
-        got = [words.hashes(w) for w in words_in(_WORD, canon(t).lower())] if t else []
-        parts += got
-        lengths.append(sum(map(len, got)))
-    hashes = np.concatenate(parts)
-    first = np.r_[0, np.cumsum(lengths)]
-    owner = np.repeat(np.arange(len(ids)), lengths)
-    hits = []
-    for a in range(0, len(hashes) - WORDS + 1, CHUNK_WORDS):
-        part = hashes[a : a + CHUNK_WORDS + WORDS - 1]
-        weights = words.weights(part)
-        prints = simhashes(_sign_bits(part, weights), WORDS)
-        inside = np.flatnonzero(owner[a : a + len(prints)] == owner[a + WORDS - 1 : a + WORDS - 1 + len(prints)])
-        window, passage = index.near(prints[inside])
-        window = inside[window]
-        if not len(window):
-            continue
-        likeness = index.verify(_shingles(part), weights, window, passage)
-        span = np.arange(WORDS)
-        same = (part[window[:, None] + span] == index.hashes[index.starts[passage][:, None] + span]).all(axis=1)
-        ok = likeness >= SIMILAR
-        hits.append((window[ok] + a, passage[ok], likeness[ok], same[ok]))
-    if not hits:
+        span = np.arange(size - SHINGLE + 1)
+        cum = lambda w: np.r_[0, np.cumsum(w, dtype=np.int64)]
+        mine_c, theirs_c = cum(weights), cum(self.weights)
+        out = np.zeros(len(window))
+        for a in range(0, len(window), HITS_AT_ONCE):
+            x, y = window[a : a + HITS_AT_ONCE, None] + span, start[a : a + HITS_AT_ONCE, None] + span
+            mine, theirs = shingles[x], self.shingles[y]
+            mine_w, theirs_w = mine_c[x + SHINGLE] - mine_c[x], theirs_c[y + SHINGLE] - theirs_c[y]
+            common = np.zeros(len(x), dtype=np.int64)
+            for k in range(len(span)):
+                common += mine_w[:, k] * (mine[:, k, None] == theirs).any(axis=1)
+            out[a : a + HITS_AT_ONCE] = common / np.maximum(1, mine_w.sum(axis=1) + theirs_w.sum(axis=1) - common)
+        return out
+
+    def search(self, hashes: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
+        """Verified windows over the words of some documents; ``owner`` rises and names the document of each word."""
+        found = []
+        longest = max((x.size for x in self.sizes), default=0)
+        by_size = {x.size: x for x in self.sizes}
+        for a in range(0, len(hashes) - WORDS + 1, CHUNK_WORDS) if longest else ():
+            part = hashes[a : a + CHUNK_WORDS + longest - 1]
+            whose = owner[a : a + len(part)]
+            weights = self.rarity(part)
+            shingles = None
+            for size, sums in window_sums(sign_bits(part, weights), longest):
+                if size not in by_size:
+                    continue
+                n = min(CHUNK_WORDS, len(sums))
+                inside = np.flatnonzero(whose[:n] == whose[size - 1 : size - 1 + n])
+                index = by_size[size]
+                window, passage = index.near(simhashes(sums[:n])[inside])
+                if not len(window):
+                    continue
+                window, start = inside[window], index.starts[passage]
+                shingles = _shingles(part) if shingles is None else shingles
+                likeness = self.verify(size, shingles, weights, window, start)
+                ok = likeness >= SIMILAR
+                window, start, likeness = window[ok], start[ok], likeness[ok]
+                span = np.arange(size)
+                runs = longest_runs(part[window[:, None] + span] == self.hashes[start[:, None] + span])
+                found.append(pd.DataFrame({"at": window + a, "start": start, "similarity": likeness, "run": runs, "size": size}))
+        if not found:
+            return pd.DataFrame({"at": [], "start": [], "similarity": [], "run": [], "size": []})
+        return pd.concat(found, ignore_index=True)
+
+
+def _search(ids: Sequence[int], texts: Sequence[str | None], hasher: Hasher, index: ItemIndex) -> pd.DataFrame | None:
+    """Leaked passages of some documents: equal windows joined to runs along each diagonal, similar ones at their best place."""
+    parts = [hasher(t) for t in texts]
+    lengths = [len(p) for p in parts]
+    first = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+    hits = index.search(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), np.repeat(np.arange(len(ids)), lengths))
+    if not len(hits):
         return None
-    at, passage, likeness, same = (np.concatenate(x) for x in zip(*hits, strict=True))
-    doc = owner[at]
-    out = pd.DataFrame(
-        {
-            "doc": doc,
-            "item_id": index.item[passage],
-            "doc_at": at - first[doc],
-            "item_at": index.at[passage],
-            "similarity": likeness,
-            "same": same
-        }
-    )
-    out["diagonal"] = out["doc_at"] - out["item_at"]
-    out = out.sort_values(["doc", "item_id", "same", "diagonal", "doc_at"], kind="stable", ignore_index=True)
-    step = (out[["doc", "item_id", "same", "diagonal"]].diff().fillna(1).astype(float) != 0).any(axis=1) | (out["doc_at"].diff() != 1)
-    runs = out.groupby(step.cumsum()).agg(
-        doc=("doc", "first"),
-        item_id=("item_id", "first"),
-        same=("same", "first"),
-        doc_at=("doc_at", "first"),
-        item_at=("item_at", "first"),
-        n=("doc_at", "size"),
-        similarity=("similarity", "max")
-    )
-    ids = np.array(ids, dtype=np.int64)
-    n_words = np.where(runs["same"], runs["n"] + WORDS - 1, 0)
+    hits = hits.astype({"at": np.int64, "start": np.int64, "size": np.int64, "run": np.int64})
+    doc, item = np.searchsorted(first, hits["at"].to_numpy(), side="right") - 1, index.owner(hits["start"].to_numpy())
+    hits["doc"], hits["item"] = doc, item
+    hits["doc_at"], hits["item_at"] = hits["at"] - first[doc], hits["start"] - index.first[item]
+    equal = hits[hits["run"] == hits["size"]].copy()
+    equal["diagonal"] = equal["doc_at"] - equal["item_at"]
+    equal = equal.sort_values(["doc", "item", "size", "diagonal", "doc_at"], kind="stable", ignore_index=True)
+    joined = equal[equal["size"] == WORDS]
+    step = (joined[["doc", "item", "diagonal"]].diff().fillna(1) != 0).any(axis=1) | (joined["doc_at"].diff() != 1)
+    runs = joined.groupby(step.cumsum()).agg(
+        doc=("doc", "first"), item=("item", "first"), doc_at=("doc_at", "first"), item_at=("item_at", "first"),
+        size=("size", "first"), similarity=("similarity", "max"), run=("doc_at", "size")
+    )
+    runs["run"] += WORDS - 1
+    wide = hits[(hits["size"] > WORDS) | (hits["run"] < hits["size"])].sort_values(
+        ["doc", "item", "size", "item_at", "similarity", "doc_at"], ascending=[True, True, True, True, False, True], kind="stable"
+    ).drop_duplicates(["doc", "item", "size", "item_at"])
+    names = ["doc", "item", "run", "doc_at", "item_at", "size", "similarity"]
+    out = pd.concat([runs[names], wide[names]], ignore_index=True)
     return pd.DataFrame(
         {
-            "doc_id": ids[runs["doc"]],
-            "item_id": runs["item_id"],
-            "n_words": n_words.astype(np.int32),
-            "doc_at": runs["doc_at"].astype(np.int32),
-            "item_at": runs["item_at"],
-            "similarity": runs["similarity"]
+            "doc_id": np.array(ids, dtype=np.int64)[out["doc"].to_numpy(dtype=np.int64)],
+            "item_id": index.ids[out["item"].to_numpy(dtype=np.int64)],
+            "n_words": out["run"].astype(np.int32),
+            "doc_at": out["doc_at"].astype(np.int32),
+            "item_at": out["item_at"].astype(np.int32), "size": out["size"].astype(np.int32), "similarity": out["similarity"],
         }
-    )
+    )
+
+
+def hashed_words(items: DataFrame, canon) -> DataFrame:
+    """``(item_id, words)``: word hashes of each item with an id and at least ``WORDS`` words."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher(canon.value)
+        for pdf in frames:
+            words = [hasher(t).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"item_id": pdf["item_id"], "words": words})
 
-def _item_blocks(items: DataFrame, canon: Canon) -> Iterator[ItemIndex]:
-    """Indexes over blocks of at most so many passages (one item may go beyond); rarity per block."""
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    return named.mapInPandas(run, "item_id long, words array<bigint>").where(F.size("words") >= WORDS)
 
-    def index(block: list[tuple[int, list[str]]]) -> ItemIndex:
-        return ItemIndex(block, Counter(x for _, w in block for x in set(w)), len(block))
 
+def _item_blocks(words: DataFrame) -> Iterator[ItemIndex]:
+    """Indexes over blocks of at most so many words (one item may go beyond); one table of rarity for all."""
+    rarity = Rarity.of(words)
     block, size = [], 0
-    for row in items.select("item_id", "text").where(
-        F.col("text").isNotNull() & F.col("item_id").isNotNull()
-    ).orderBy("item_id").toLocalIterator():
-        words = words_of(row["text"], canon)
-        if len(words) < WORDS:
-            continue
-        block.append((row["item_id"], words))
-        size += len(words)
-        if size >= ITEM_WINDOWS_PER_BLOCK:
-            yield index(block)
+    for row in words.toLocalIterator():
+        hashes = np.array(row["words"], dtype=np.int64).view(np.uint64)
+        block.append((row["item_id"], hashes))
+        size += len(hashes)
+        if size >= ITEM_WORDS_PER_BLOCK:
+            yield ItemIndex(block, rarity)
             block, size = [], 0
     if block:
-        yield index(block)
+        yield ItemIndex(block, rarity)
 
 
 def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, n_words, doc_at, item_at, similarity)``: runs of leaked words.
+    """``(doc_id, item_id, n_words, doc_at, item_at, size, similarity)``: leaked passages.
 
-    ``n_words`` is the length of a run of equal words (10 or more), or 0 for a window that is only
-    similar (0.8 or more).  Positions count words from 0.  Null and empty texts hold nothing; items below
-    10 words have no passage; rows without an id can't be reported and are left out.
+    A row is a run of at least 10 equal words (``size`` 10, ``n_words`` its length) or a window of
+    ``size`` words with a similarity of 0.8 or more (``n_words``: its longest run of equal words).
+    Positions count words from 0.  Null and empty texts hold nothing; items below 10 words have no
+    passage; rows without an id can't be reported and are left out.
     """
     spark = docs.sparkSession
-    canon = Canon.of(spark)
+    canon = spark.sparkContext.broadcast(Canon.of(spark))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks(hashed_words(items, canon))]
     out = None
-    for block in _item_blocks(items, canon):
-        shared = spark.sparkContext.broadcast((canon, block))
+    for k in range(0, len(blocks), BLOCKS_PER_SCAN):
+        shared = blocks[k : k + BLOCKS_PER_SCAN]
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            make, index = shared.value
-            words = _Words(index)
+            hasher = Hasher(canon.value)
             for pdf in frames:
                 ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
                 for a, b in slices(texts):
-                    found = _search(ids[a:b], texts[a:b], make, index, words)
-                    if found is not None:
-                        yield found
+                    for index in shared:
+                        found = _search(ids[a:b], texts[a:b], hasher, index.value)
+                        if found is not None:
+                            yield found
 
-        found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(run, _MATCH)
+        found = rows.mapInPandas(run, _MATCH)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], _MATCH) if out is None else out
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, n_words, n_passages, similarity)``: one row per document and item it holds.
+    """``(doc_id, item_id, n_words, n_passages, size, similarity)``: one row per document and item it holds.
 
-    ``n_words`` is the longest run of equal words; a pair that is only similar has 0.
+    ``n_words`` is the longest run of equal words; ``size`` the largest window that is similar, with its
+    best ``similarity``.
     """
-    runs = find_passages(docs, items)
-    return runs.groupBy("doc_id", "item_id").agg(
-        F.max("n_words").alias("n_words"), F.count("*").alias("n_passages"), F.round(F.max("similarity"), 6).alias("similarity")
-    )
+    best = F.max(F.struct("size", F.round("similarity", 6).alias("similarity"))).alias("best")
+    runs = find_passages(docs, items).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n_passages"), best)
+    return runs.select("doc_id", "item_id", "n_words", "n_passages", "best.size", "best.similarity")

@@ -16,10 +16,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and characters per source."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
-    sizes = p7_ids(spark, d).select("doc_id", F.size("ids").alias("tokens"))
-    return docs.join(sizes, "doc_id").groupBy("source").agg(
-        F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"), F.sum("chars").alias("n_chars")
+    docs = table(spark, d, "documents").withColumn("chars", F.length(F.coalesce("text", F.lit(""))))
+    return bpe.encode(docs, keep=["source", "chars"]).groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("chars").alias("n_chars")
     )
 
 
@@ -43,6 +42,11 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return canon.forms(table(spark, d, "documents"))
 
 
+def p9_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by the kind of their script confusion."""
+    return canon.script_report(table(spark, d, "documents"))
+
+
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of documents of one look, per document."""
     return canon.look_alike_classes(table(spark, d, "documents"))
