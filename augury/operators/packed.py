@@ -3,10 +3,12 @@
 A field is read into atoms and separators; a quoted span is one atom whatever it holds.  Where the
 separators leave more than one reading (``0,1`` is two values or one with a decimal comma), the readings
 form a lattice.  Expectation-maximisation over the whole column learns how often values occur: counts of
-hashed values and of value shapes, both of fixed size, summed by a grouped aggregate in each round.
-Viterbi decoding gives the best reading for each number of values.  Fields of one row hold equally many
-values, and all rows of a record hold the same values, so the number is settled by the row first and by
-the record's other rows next.
+hashed values and of value shapes, both of fixed size.  Viterbi decoding gives the best reading for each
+number of values.  Fields of one row hold equally many values, and all rows of a record hold the same
+values, so the number is settled by the row first and by the record's other rows next.
+
+All texts are read once; what has a single reading is kept as lists in the shared folder, and only the
+fields with several readings are looked at again.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from augury.operators.lineage import cut
+
 FIELDS = ("outcomes", "outcome_prices", "clob_token_ids")
+DECIMAL_FIELDS = ("outcome_prices",)
 # The separators, bracket pairs and letter escapes that occur in written lists.
 SEPARATORS = ",;|~\t\n"
 PAIRS = {"[": "]", "{": "}", "(": ")"}
@@ -150,7 +155,7 @@ def _decimal(atoms: list[Atom], seps: list[str], k: int) -> bool:
     return seps[k] == "," and not q1 and not q2 and right.isdigit() and bool(_DIGITS.fullmatch(left))
 
 
-def _edges(atoms: list[Atom], seps: list[str], delimiter: str) -> list[tuple[int, int, str]]:
+def _edges(atoms: list[Atom], seps: list[str], delimiter: str, decimals: bool) -> list[tuple[int, int, str]]:
     """Values that the lattice of one delimiter allows: ``(first atom, after last atom, text)``.
 
     A value of several atoms is two digit runs with a decimal comma; any other separator is quoted.
@@ -160,33 +165,34 @@ def _edges(atoms: list[Atom], seps: list[str], delimiter: str) -> list[tuple[int
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b - a == 1:
             out.append((a, b, atoms[a][0]))
-        elif b - a == 2 and _decimal(atoms, seps, a):
+        elif decimals and b - a == 2 and _decimal(atoms, seps, a):
             out.append((a, b, f"{atoms[a][0]},{atoms[a + 1][0]}"))
-    if delimiter == ",":
+    if decimals and delimiter == ",":
         out += [(k, k + 2, f"{atoms[k][0]},{atoms[k + 1][0]}") for k in range(len(seps)) if _decimal(atoms, seps, k)]
     return out
 
 
-def is_certain(atoms: list[Atom], seps: list[str]) -> bool:
+def is_certain(atoms: list[Atom], seps: list[str], decimals: bool = True) -> bool:
+    """Whether a field has one reading only; ``decimals``: whether its values may hold a decimal comma."""
     if len(set(seps)) > 1:
         return False
-    if not seps or seps[0] != ",":
+    if not seps or seps[0] != "," or not decimals:
         return True
     return not any(_decimal(atoms, seps, k) for k in range(len(seps)))
 
 
-def readings(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[Reading]:
+def readings(atoms: list[Atom], seps: list[str], model: ValueModel, decimals: bool = True) -> list[Reading]:
     """Viterbi: for each number of values the best reading ``(n, log probability, values)``.
 
     Mixed separators that allow no reading cut everywhere.
     """
-    if is_certain(atoms, seps):
+    if is_certain(atoms, seps, decimals):
         return [(len(atoms), 0.0, [a for a, _ in atoms])]
     best: dict[int, Reading] = {}
     for d in dict.fromkeys(seps):
         at: list[dict[int, tuple[float, int, str]]] = [{} for _ in range(len(atoms) + 1)]
         at[0][0] = (0.0, -1, "")
-        for a, b, text in sorted(_edges(atoms, seps, d)):
+        for a, b, text in sorted(_edges(atoms, seps, d, decimals)):
             w = model.log(text)
             for n, (score, _, _) in at[a].items():
                 if score + w > at[b].get(n + 1, (-math.inf,))[0]:
@@ -202,13 +208,13 @@ def readings(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[Read
     return sorted(best.values(), key=lambda r: (-r[1], r[0])) or [(len(atoms), 0.0, [a for a, _ in atoms])]
 
 
-def expected(atoms: list[Atom], seps: list[str], model: ValueModel) -> list[tuple[str, float]]:
+def expected(atoms: list[Atom], seps: list[str], model: ValueModel, decimals: bool = True) -> list[tuple[str, float]]:
     """E-step: every value of the lattice with its posterior, by forward and backward sums."""
-    if is_certain(atoms, seps):
+    if is_certain(atoms, seps, decimals):
         return [(a, 1.0) for a, _ in atoms]
     found, totals = [], []
     for d in dict.fromkeys(seps):
-        edges = sorted(_edges(atoms, seps, d))
+        edges = sorted(_edges(atoms, seps, d, decimals))
         weights = [model.log(t) for _, _, t in edges]
         ahead, back = [-math.inf] * (len(atoms) + 1), [-math.inf] * (len(atoms) + 1)
         ahead[0] = back[-1] = 0.0
@@ -239,83 +245,127 @@ def _parse(s: str | None) -> tuple[list[Atom], list[str]] | None:
     return (atoms, seps) if atoms else None
 
 
-def learn_values(df: DataFrame, fields: Sequence[str], rounds: int = 2) -> dict[str, ValueModel]:
-    """EM over all rows of each field; each round is one scan and a sum over a fixed number of slots."""
-    models = {f: ValueModel.flat() for f in fields}
-    for step in range(rounds):
+def _slots(item: str) -> tuple[Column, Column]:
+    """Where :func:`bucket` and :func:`shape` count an item, as columns."""
+    i = F.col(item)
+    number = lambda sep: i.rlike(rf"^[+-]?[0-9]+{sep}[0-9]+$")
+    shapes = (
+        F.when(i == "", 0)
+        .when(i.rlike("^[+-]?[0-9]+$"), F.when(F.length(i) < 20, 1).otherwise(4))
+        .when(number("[.]"), 2).when(number(","), 3)
+        .when(i.rlike(f"[{SEPARATORS}]"), 7).when(i.contains(" "), 6).otherwise(5)
+    )
+    return (F.crc32(F.encode(i, "utf-8")) % BUCKETS).cast("int"), shapes + BUCKETS
+
+
+def learn_values(lists: DataFrame, unsettled: DataFrame, fields: Sequence[str], decimals: Sequence[str], rounds: int = 2) -> dict[str, ValueModel]:
+    """EM over each field: certain values count once, values of the lattices by their posterior in each later round.
+
+    Every round sums over a fixed number of slots per field.
+    """
+    items = lists.select("field_name", F.explode("items").alias("item"))
+    certain = items.select("field_name", F.explode(F.array(*_slots("item"))).alias("slot")).groupBy("field_name", "slot").agg(
+        F.count("*").cast("double").alias("w")
+    ).toPandas()
+    base = {f: np.zeros(BUCKETS + len(SHAPES)) for f in fields}
+    for f, slot, w in certain.itertuples(index=False, name=None):
+        base[f][slot] += w
+    models = {f: ValueModel(x[:BUCKETS], x[BUCKETS:]) for f, x in base.items()}
+    for _ in range(1, rounds):
         now = models
 
-        def counts(frames: Iterator[pd.DataFrame], now: dict = now, first: bool = step == 0) -> Iterator[pd.DataFrame]:
+        def counts(frames: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
             sums = {f: np.zeros(BUCKETS + len(SHAPES)) for f in fields}
             for pdf in frames:
-                for f in fields:
-                    for s in pdf[f]:
-                        if (parsed := _parse(s)) is None or (first and not is_certain(*parsed)):
-                            continue
-                        for value, w in expected(*parsed, now[f]):
-                            sums[f][bucket(value)] += w
-                            sums[f][BUCKETS + shape(value)] += w
+                for texts in pdf["raws"]:
+                    for f, s in zip(fields, texts, strict=True):
+                        if s is not None:
+                            for value, w in expected(*_parse(s), now[f], f in decimals):
+                                sums[f][bucket(value)] += w
+                                sums[f][BUCKETS + shape(value)] += w
             for f, x in sums.items():
                 slot = np.flatnonzero(x)
                 yield pd.DataFrame({"f": f, "slot": slot.astype(np.int32), "w": x[slot]})
 
-        got = df.select(*fields).mapInPandas(
-            counts, "f string, slot int, w double"
-        ).groupBy("f", "slot").agg(F.sum("w").alias("w")).toPandas()
-        models = {}
-        for f in fields:
-            part, x = got[got["f"] == f], np.zeros(BUCKETS + len(SHAPES))
-            x[part["slot"].to_numpy(dtype=np.int64)] = part["w"].to_numpy()
-            models[f] = ValueModel(x[:BUCKETS], x[BUCKETS:])
+        got = unsettled.select("raws").mapInPandas(counts, "f string, slot int, w double").groupBy("f", "slot").agg(F.sum("w").alias("w")).toPandas()
+        now = {f: x.copy() for f, x in base.items()}
+        for f, slot, w in got.itertuples(index=False, name=None):
+            now[f][slot] += w
+        models = {f: ValueModel(x[:BUCKETS], x[BUCKETS:]) for f, x in now.items()}
     return models
 
 
-def decide(parsed: dict[str, list[Reading]]) -> tuple[dict[str, list[str]], dict[str, list[Reading]]]:
-    """Values of the fields of one row that the row itself settles, and readings of the rest."""
-    if all(len(r) == 1 for r in parsed.values()):
-        return {f: r[0][2] for f, r in parsed.items()}, {}
+def settle(parsed: dict[str, list[Reading]], row_n: int | None, record_n: int | None) -> dict[str, list[str]]:
+    """One reading per field of a row: by the row's other fields, by the record's other rows, by probability.
+
+    Where the fields share possible numbers of values, they take the same one, the most probable in
+    total; a field that shares none takes its own best reading.
+    """
     common = set.intersection(*({x[0] for x in r} for r in parsed.values()))
-    if not common:
-        sure = {f: r[0][2] for f, r in parsed.items() if len(r) == 1}
-        return sure, {f: r for f, r in parsed.items() if len(r) > 1}
-    if len(common) == 1:
-        n = common.pop()
-        return {f: next(x[2] for x in r if x[0] == n) for f, r in parsed.items()}, {}
-    return {}, {f: [x for x in r if x[0] in common] for f, r in parsed.items()}
+    for n in (row_n, record_n):
+        if n in common:
+            common = {n}
+            break
+    if common:
+        best = max(common, key=lambda n: (sum(x[1] for r in parsed.values() for x in r if x[0] == n), -n))
+        return {f: next(x[2] for x in r if x[0] == best) for f, r in parsed.items()}
+    return {f: next((x[2] for n in (row_n, record_n) for x in r if x[0] == n), r[0][2]) for f, r in parsed.items()}
 
 
-def split_packed(df: DataFrame, key: str, fields: Sequence[str] = FIELDS, rounds: int = 2) -> DataFrame:
+def split_packed(
+    df: DataFrame, key: str, fields: Sequence[str] = FIELDS, decimals: Sequence[str] = DECIMAL_FIELDS, rounds: int = 2
+) -> DataFrame:
     """Distinct ``(<key>, field_name, pos, item)`` over all rows; ``pos`` counts from 0.
 
     Null, empty and ``[]`` fields give no rows; a quoted empty value is a value; a separator at the very
     end adds none.  Items lose quotes, escapes and outer blanks and nothing else.  A null key is kept.
+    Only values of the fields in ``decimals`` may hold a bare decimal comma.
     A reading that neither its row nor the record's other rows settle is the most probable one.
     """
-    models = learn_values(df, fields, rounds)
     key_type = df.schema[key].dataType.simpleString()
+    texts_schema = f"record {key_type}, field_name string, n int, items array<string>, raws array<string>"
+    names = ["record", "field_name", "n", "items", "raws"]
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows: list[tuple] = []
             for record, *texts in pdf[[key, *fields]].itertuples(index=False, name=None):
-                parsed = {f: readings(*p, models[f]) for f, s in zip(fields, texts, strict=True) if (p := _parse(s))}
-                if not parsed:
-                    continue
-                sure, rest = decide(parsed)
-                rows += [(record, f, len(v), v, None, None) for f, v in sure.items()]
-                rows += [(record, f, n, v, score, texts[fields.index(f)]) for f, r in rest.items() for n, score, v in r]
-            yield pd.DataFrame(rows, columns=["record", "field_name", "n", "items", "score", "raw"])
-
-    parts = df.select(key, *fields).mapInPandas(
-        split, f"record {key_type}, field_name string, n int, items array<string>, score double, raw string"
-    )
-    sure = parts.where(F.col("raw").isNull())
-    seen = sure.groupBy("record").agg(F.max("n").alias("seen"))
-    rest = parts.where(F.col("raw").isNotNull()).join(seen, "record", "left")
-    best = rest.groupBy("record", "field_name", "raw").agg(
-        F.max(F.struct(F.coalesce(F.col("n") == F.col("seen"), F.lit(False)).alias("same"), "score", F.col("items"))).alias("b")
+                sizes, open_ = set(), [None] * len(fields)
+                for k, (f, s) in enumerate(zip(fields, texts, strict=True)):
+                    if (p := _parse(s)) is None:
+                        continue
+                    if is_certain(*p, f in decimals):
+                        sizes.add(len(p[0]))
+                        rows.append((record, f, len(p[0]), [a for a, _ in p[0]], None))
+                    else:
+                        open_[k] = s
+                if any(s is not None for s in open_):
+                    rows.append((record, None, sizes.pop() if len(sizes) == 1 else None, None, open_))
+            yield pd.DataFrame(rows, columns=names).astype({"n": "Int32"})
+
+    parts = cut(df.select(key, *fields).mapInPandas(read, texts_schema))
+    lists, unsettled = parts.where(F.col("raws").isNull()), parts.where(F.col("raws").isNotNull())
+    models = learn_values(lists, unsettled, fields, decimals, rounds)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = lambda x: None if x is None or pd.isna(x) else int(x)
+        for pdf in frames:
+            rows = []
+            for record, n, seen, raws in pdf[["record", "n", "seen", "raws"]].itertuples(index=False, name=None):
+                open_ = {
+                    f: readings(*_parse(s), models[f], f in decimals) for f, s in zip(fields, raws, strict=True) if s is not None
+                }
+                rows += [(record, f, v) for f, v in settle(open_, whole(n), whole(seen)).items()]
+            yield pd.DataFrame(rows, columns=["record", "field_name", "items"])
+
+    alone = unsettled.where(F.col("n").isNull()).drop("field_name", "items")
+    seen = lists.join(alone.select("record").distinct(), "record", "left_semi").groupBy("record").agg(F.max("n").alias("seen"))
+    asked = unsettled.where(F.col("n").isNotNull()).select("record", "n", F.lit(None).cast("int").alias("seen"), "raws").unionByName(
+        alone.join(seen, "record", "left").select("record", "n", "seen", "raws")
     )
-    lists = sure.select("record", "field_name", "items").unionByName(best.select("record", "field_name", F.col("b.items").alias("items")))
-    return lists.select(
-        F.col("record").alias(key), "field_name", F.posexplode("items").alias("pos", "item")
-    ).withColumn("pos", F.col("pos").cast("long")).distinct()
+    decoded = asked.mapInPandas(decode, f"record {key_type}, field_name string, items array<string>")
+    sets = lists.select("record", "field_name", "items").unionByName(decoded).groupBy("record", "field_name").agg(F.collect_set("items").alias("lists"))
+    placed = F.transform("lists", lambda v: F.transform(v, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("item"))))
+    return sets.select(
+        F.col("record").alias(key), "field_name", F.explode(F.array_distinct(F.flatten(placed))).alias("e")
+    ).select(key, "field_name", "e.pos", "e.item")
