@@ -3,8 +3,14 @@
 A unit is a power of ten to the target scale.  It comes from the first of: the name in a note or in the
 value's own text, the default of the feed or contract, a mixture fitted on the log scale.  The mixture's
 components share one shape and are offset by the known powers; expectation-maximisation runs on a
-histogram of all rows (bounded by the bins of the log scale).  Each row gets the most probable unit and
-its posterior; below ``sure`` the row is flagged.
+histogram of all rows (bounded by the bins of the log scale).  Other evidence about a row, such as two
+prices that make a dollar in one unit only, enters the likelihood of each component, beside a flat
+component for rows that no unit explains.  Each row gets the most probable unit and its posterior; below
+``SURE`` the row is flagged.
+
+Which of the unit names in a note is about the quantity is learnt from all notes: the clause around a
+name, without the name, is its context, and a context that often names a unit against the evidence in its
+rows is about something else.
 """
 
 from __future__ import annotations
@@ -18,9 +24,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that say that a clause of a note is about something else than the price or maker amount.
-OTHER_SUBJECTS = ("fee", "taker", "volume", "size", "spread", "gas")
 UNIT_TABLE_MOST = 100_000
+#: Posterior from which a unit counts as sure.
+SURE = 0.99
+#: Share of rows that no unit explains, spread evenly over so many decades, and of rows that break the evidence of their unit.
+NO_UNIT, DECADES, AGAINST = 1e-3, 10.0, 1e-6
+#: Contexts of unit names are told apart by so many slots; share of contexts that are about the quantity before any evidence,
+#: and of rows in which such a context names the right unit.
+CONTEXT_SLOTS = 4096
+ABOUT_IT, NAMES_RIGHT = 0.9, 0.99
 
 
 @dataclass(frozen=True)
@@ -54,13 +66,27 @@ class UnitTable:
             return F.lit(None).cast("int")
         return F.try_element_at(F.create_map(*(F.lit(x) for kv in sorted(of.items()) for x in kv)), name)
 
-    def named(self, note: Column) -> Column:
-        """The power of the unit that a note names for its main quantity; null if it names none.
+    def mentions(self, note: Column) -> Column:
+        """The unit names in a note as ``array<struct<power, slot>>``; ``slot`` stands for the clause around the name.
 
-        Clauses end at ``/ , ;``.  From a word for another subject on, a clause is not read.
+        Clauses end at ``/ , ;``; the first name in a clause counts.
         """
-        others = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(OTHER_SUBJECTS) + r")[^/,;]*"
-        return self.power_of(F.lower(F.regexp_extract(F.regexp_replace(note, others, ""), self.pattern(), 1)), self.names)
+        if not self.names:
+            return F.lit(None).cast("array<struct<power: int, slot: int>>")
+
+        def one(clause: Column) -> Column:
+            context = F.btrim(F.regexp_replace(clause, self.pattern(), "\x00"), F.lit(" \t"))
+            power = self.power_of(F.regexp_extract(clause, self.pattern(), 1), self.names)
+            return F.struct(power.alias("power"), F.pmod(F.xxhash64(context), F.lit(CONTEXT_SLOTS)).cast("int").alias("slot"))
+
+        return F.filter(F.transform(F.split(F.lower(note), "[/,;]"), one), lambda m: m["power"].isNotNull())
+
+    def named(self, note: Column, others: Sequence[int] = ()) -> Column:
+        """The power of the first unit that a note names in a clause that is not one of ``others``; null if it names none."""
+        found = self.mentions(note)
+        if others:
+            found = F.filter(found, lambda m: ~m["slot"].isin(*others))
+        return F.get(found, F.lit(0))["power"]
 
     def default(self, source: Column) -> Column:
         return self.power_of(source, self.defaults)
@@ -120,14 +146,15 @@ def _plus_one(digits: Column) -> Column:
 
 
 def hex_text(digits: Column) -> Column:
-    """Hexadecimal digits (no prefix, up to 64) as decimal text.
+    """Hexadecimal digits of any number (no prefix) as decimal text.
 
-    Eight digits at a time are folded into limbs of nine decimal digits, so 256-bit words stay exact.
+    Eight digits at a time are folded into limbs of nine decimal digits, so words of any size stay exact.
     """
-    padded = F.lpad(digits, F.lit(64), "0")
-    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(padded, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    n = F.ceil(F.length(digits) / 8.0).cast("int")
+    padded = F.lpad(digits, n * 8, "0")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.substring(padded, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
     base = F.lit(1_000_000_000).cast("long")
-    start = F.array_repeat(F.lit(0).cast("long"), 9)
+    start = F.array_repeat(F.lit(0).cast("long"), (n * 1.08).cast("int") + 1)  # 9.64 decimal digits to eight
 
     def fold(limbs: Column, word: Column) -> Column:
         def step(acc: Column, limb: Column) -> Column:
@@ -138,7 +165,7 @@ def hex_text(digits: Column) -> Column:
 
     limbs = F.aggregate(words, start, fold)
     text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    return F.regexp_replace(text, r"^0+(?=\d)", "")
+    return F.when(digits != "", F.regexp_replace(text, r"^0+(?=\d)", ""))
 
 
 @dataclass(frozen=True)
@@ -175,26 +202,58 @@ class Mixture:
             width = max(least_width, math.sqrt(float((r * (x[:, None] + p - centre) ** 2).sum() / n.sum())))
         return cls(tuple(powers), tuple(w.tolist()), centre, width)
 
-    def posterior(self, x: Column) -> Column:
-        """``struct(power, probability)`` of the most probable unit for a log10 value."""
+    def posterior(self, x: Column, agrees: Callable[[int], Column] | None = None) -> Column:
+        """``struct(power, probability, sure)`` of the most probable unit for a log10 value.
+
+        ``agrees(power)`` is other evidence for a unit in the row; with it a flat component stands for rows
+        that no unit explains, and the power is null where that is the most probable.
+        """
+        scale = math.log(self.width * math.sqrt(2 * math.pi))
 
         def logs(v: Column) -> Column:
             z = lambda p: (v - F.lit(self.centre - p)) / F.lit(self.width)
-            return F.array(
-                *(
-                    F.struct(
-                        (F.lit(math.log(w)) - z(p) * z(p) * 0.5).alias("v"), F.lit(p).alias("p")
-                    ) for p, w in zip(self.powers, self.weights, strict=True)
-                )
-            )
+            told = lambda p: F.when(agrees(p), math.log(1 - AGAINST)).otherwise(math.log(AGAINST)) if agrees else F.lit(0.0)
+            units = [
+                F.struct((F.lit(math.log(w) - scale) - z(p) * z(p) * 0.5 + told(p)).alias("v"), F.lit(p).alias("p"))
+                for p, w in zip(self.powers, self.weights, strict=True)
+            ]
+            none = F.struct(F.lit(math.log(NO_UNIT / DECADES)).alias("v"), F.lit(None).cast("int").alias("p"))
+            return F.array(*units, *([none] if agrees else []))
 
         def best(all_: Column) -> Column:
             total = lambda top: F.aggregate(all_, F.lit(0.0), lambda acc, y: acc + F.exp(y["v"] - top["v"]))
-            return let(F.array_max(all_), lambda top: F.struct(top["p"].alias("power"), (F.lit(1.0) / total(top)).alias("probability")))
+            probable = lambda top: F.struct(top["p"].alias("power"), (F.lit(1.0) / total(top)).alias("probability"))
+            return let(let(F.array_max(all_), probable), lambda g: F.struct(
+                g["power"].alias("power"), g["probability"].alias("probability"),
+                (g["power"].isNotNull() & (g["probability"] >= SURE)).alias("sure"),
+            ))
 
         return let(let(x, logs), best)
 
 
+def other_contexts(rows: DataFrame, mentions: Column, known: Column, agrees: Callable[[int], Column], powers: Sequence[int]) -> list[int]:
+    """Slots of the contexts in which unit names are about something else than the quantity, from all rows.
+
+    In rows with evidence (``known``), a context about the quantity names a unit that agrees with it in
+    ``NAMES_RIGHT`` of them; any other context agrees as often as that unit does over all rows.  A slot
+    belongs to the others if that is the more probable, given ``ABOUT_IT``.  At most ``CONTEXT_SLOTS`` rows
+    per power come to the driver.
+    """
+    fits = F.create_map(*(x for p in powers for x in (F.lit(p), F.coalesce(agrees(p), F.lit(False)))))
+    known = rows.where(known).select(fits.alias("fits"), mentions.alias("m"))
+    seen = known.select("fits", F.explode("m").alias("m")).select("m.*", F.try_element_at("fits", F.col("m.power")).alias("ok"))
+    counts = seen.where(F.col("ok").isNotNull()).groupBy("slot", "power", "ok").count().collect()
+    if not counts:
+        return []
+    chance = known.agg(F.count("*").alias("n"), *(F.count_if(F.col("fits")[p]).alias(f"f{k}") for k, p in enumerate(powers))).first()
+    usual = {p: min(0.98, max(0.01, chance[f"f{k}"] / chance["n"])) for k, p in enumerate(powers)}
+    odds: dict[int, float] = {}
+    for r in counts:
+        right, by_chance = (NAMES_RIGHT, usual[r["power"]]) if r["ok"] else (1 - NAMES_RIGHT, 1 - usual[r["power"]])
+        odds[r["slot"]] = odds.get(r["slot"], math.log(ABOUT_IT / (1 - ABOUT_IT))) + r["count"] * math.log(right / by_chance)
+    return sorted(s for s, x in odds.items() if x < 0)
+
+
 def log_bin(x: Column) -> Column:
     """Log10 of a positive value in steps of 1/100; null otherwise."""
     return F.when(x > 0, F.round(F.log10(x.cast("double")), 2))

@@ -12,7 +12,6 @@ from augury.operators import dedup, orphans, packed, rolling, skew, units
 from augury.sources.tables import table
 
 HOT_SHARE = 0.03
-SURE = 0.99
 
 
 # 1. A few keys holding most records
@@ -126,30 +125,44 @@ def p3_corrected(spark: SparkSession, d: str) -> DataFrame:
 # 4. Quantities recorded in different units
 
 
+_fitted: dict[tuple, tuple] = {}
+
+
+def _fit(name: str, df: DataFrame, *others: DataFrame, make: Callable[[], tuple]) -> tuple:
+    """What was fitted on these very files in this application, else ``make()``; models are a few numbers each."""
+    key = (df.sparkSession.sparkContext.applicationId, name, *(tuple(sorted(x.inputFiles())) for x in (df, *others)))
+    if key not in _fitted:
+        if len(_fitted) > 64:
+            _fitted.clear()
+        _fitted[key] = make()
+    return _fitted[key]
+
+
 def price_unit(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
-    """Adds ``unit`` to trades, stored or streamed: ``power`` of their price (to hundredths of a cent) and whether it is sure.
+    """Adds ``unit`` to trades, stored or streamed: ``power`` of their price (to hundredths of a cent), ``probability`` and ``sure``.
 
-    The mixtures are fitted on the stored trades.
+    The mixtures and the contexts of unit names are learnt from all stored trades.
     """
-    defs = units.UnitTable.load(table(spark, d, "unit_defs"), "k_trades", "yes_price")
-    tell = lambda df: df.withColumn("told", F.coalesce(defs.named(F.col("price_note")), defs.default(F.col("feed"))))
-    rows = tell(table(spark, d, "k_trades"))
+    stored, table_of = table(spark, d, "k_trades"), table(spark, d, "unit_defs")
     yes, both = F.col("yes_price"), F.col("yes_price").cast("long") + F.col("no_price")
-    untold = rows.where(F.col("told").isNull() & yes.isNotNull())
-    powers = defs.powers or [2]
-    pair = units.fit_units(untold.where(F.col("no_price").isNotNull()), both, powers, 4.0)
-    single = units.fit_units(untold.where(F.col("no_price").isNull()), yes, powers, 3.6)
     log = lambda c: F.log10(F.greatest(c, F.lit(1)).cast("double"))
-    dollars = F.create_map(*(F.lit(x) for p in powers for x in (p, 10 ** (4 - p))))  # a dollar in each unit
-    by_pair = units.let(
-        pair.posterior(log(both)), lambda g: F.struct(g["power"].alias("power"), (F.abs(both - dollars[g["power"]]) <= 1).alias("sure"))
-    )
-    by_price = units.let(
-        single.posterior(log(yes)), lambda g: F.struct(g["power"].alias("power"), (g["probability"] >= SURE).alias("sure"))
-    )
-    told = F.struct(F.col("told").alias("power"), F.lit(True).alias("sure"))
+    makes_dollar = lambda p: F.abs(both - F.lit(10 ** (4 - p))) <= 1
+
+    def learn() -> tuple:
+        defs = units.UnitTable.load(table_of, "k_trades", "yes_price")
+        powers = defs.powers or [2]
+        others = units.other_contexts(stored, defs.mentions(F.col("price_note")), both.isNotNull(), makes_dollar, powers)
+        told = F.coalesce(defs.named(F.col("price_note"), others), defs.default(F.col("feed")))
+        untold = stored.where(told.isNull() & yes.isNotNull())
+        pair = units.fit_units(untold.where(F.col("no_price").isNotNull()), both, powers, 4.0)
+        return defs, others, pair, units.fit_units(untold.where(F.col("no_price").isNull()), yes, powers, 3.6)
+
+    defs, others, pair, single = _fit("price", stored, table_of, make=learn)
+    told = F.struct(F.col("told").alias("power"), F.lit(1.0).alias("probability"), F.lit(True).alias("sure"))
+    by_pair, by_price = pair.posterior(log(both), makes_dollar), single.posterior(log(yes))
     unit = F.when(F.col("told").isNotNull(), told).when(both.isNotNull(), by_pair).when(yes.isNotNull(), by_price)
-    return lambda df: tell(df).withColumn("unit", unit)
+    tell = F.coalesce(defs.named(F.col("price_note"), others), defs.default(F.col("feed")))
+    return lambda df: df.withColumn("told", tell).withColumn("unit", unit)
 
 
 def _price_units(spark: SparkSession, d: str) -> DataFrame:
@@ -157,24 +170,40 @@ def _price_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def amount_unit(spark: SparkSession, d: str, fills: DataFrame | None = None) -> DataFrame:
-    """Fills, stored ones unless given, with ``unit``: ``power`` of their maker amount (to millionths) and whether it is sure."""
-    defs = units.UnitTable.load(table(spark, d, "unit_defs"), "p_trades", "maker_amount")
-    rows = (table(spark, d, "p_trades") if fills is None else fills).withColumn("told", F.coalesce(defs.named(F.col("amount_note")), defs.default(F.col("_contract"))))
+    """Fills, stored ones unless given, with ``unit``: ``power`` of their maker amount (to millionths), ``probability`` and ``sure``.
+
+    A share costs between half a cent and a dollar, so the amounts of both sides tell whether a unit fits.
+    """
+    stored, table_of = table(spark, d, "p_trades"), table(spark, d, "unit_defs")
     readable = (F.col("maker_amount") > 0) & (F.col("taker_amount") > 0)
-    paid = F.when(F.col("maker_asset_id") == "0", 0.35).otherwise(-0.35)  # a share costs less than a dollar
-    ratio = F.log10(F.col("maker_amount").cast("double") / F.col("taker_amount")) + paid
-    mixture = units.fit_units(rows.where(F.col("told").isNull() & readable), F.pow(F.lit(10.0), ratio), defs.powers or [0], 0.0)
-    guess = units.let(mixture.posterior(ratio), lambda g: F.struct(g["power"].alias("power"), (g["probability"] >= SURE).alias("sure")))
-    return rows.withColumn(
-        "unit", F.when(F.col("told").isNotNull(), F.struct(F.col("told").alias("power"), F.lit(True).alias("sure"))).when(readable, guess)
-    )
+    pays = F.col("maker_asset_id") == "0"
+    ratio = F.log10(F.col("maker_amount").cast("double") / F.col("taker_amount"))
+    paid = ratio + F.when(pays, 0.35).otherwise(-0.35)
+    cents = lambda p: F.when(pays, ratio + p).otherwise(-ratio - p)
+    fits = lambda p: cents(p).between(-2.4, 0.01)
+
+    def learn() -> tuple:
+        defs = units.UnitTable.load(table_of, "p_trades", "maker_amount")
+        powers = defs.powers or [0]
+        others = units.other_contexts(stored, defs.mentions(F.col("amount_note")), readable, fits, powers)
+        told = F.coalesce(defs.named(F.col("amount_note"), others), defs.default(F.col("_contract")))
+        return defs, others, units.fit_units(stored.where(told.isNull() & readable), F.pow(F.lit(10.0), paid), powers, 0.0)
+
+    defs, others, mixture = _fit("amount", stored, table_of, make=learn)
+    tell = F.coalesce(defs.named(F.col("amount_note"), others), defs.default(F.col("_contract")))
+    told = F.struct(F.col("told").alias("power"), F.lit(1.0).alias("probability"), F.lit(True).alias("sure"))
+    unit = F.when(F.col("told").isNotNull(), told).when(readable, mixture.posterior(paid))
+    return (stored if fills is None else fills).withColumn("told", tell).withColumn("unit", unit)
 
 
 def token_unit(spark: SparkSession, d: str) -> DataFrame:
-    """Legacy trades with the ``number`` of their token text and its ``power`` (to 1e-18 tokens)."""
+    """Legacy trades with the ``number`` of their token text and its ``power`` (to 1e-18 tokens).
+
+    An exponent of more than three digits counts as unreadable.
+    """
     defs = units.UnitTable.load(table(spark, d, "unit_defs"), "p_legacy", "outcome_tokens")
     text = F.btrim("outcome_tokens", F.lit(" \t"))
-    hexa = F.regexp_extract(text, r"^0[xX]0*([0-9a-fA-F]{1,64})$", 1)
+    hexa = F.regexp_extract(text, r"^0[xX]0*([0-9a-fA-F]+)$", 1)
     plain = r"[+-]?\d+(?:[, ]+\d+)*(?:\.\d+)?"
     bare = F.regexp_extract(text, rf"^({plain})$", 1)
     mantissa = F.regexp_extract(text, r"^([+-]?\d+(?:\.\d+)?)[eE][+-]?\d+$", 1)
@@ -223,8 +252,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_units(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows per table and power of ten of their unit, readable or not, with uncertain ones flagged."""
-    read = F.col("number").isNotNull() & F.col("power").isNotNull()
-    rows = _in_one_unit(spark, d).select("src", F.when(read, F.col("power")).alias("power"), (read & ~F.col("sure")).alias("uncertain"))
+    there = F.col("number").isNotNull()
+    rows = _in_one_unit(spark, d).select("src", F.when(there, F.col("power")).alias("power"), (there & ~F.col("sure")).alias("uncertain"))
     return rows.groupBy("src", "power", "uncertain").agg(F.count("*").alias("n_rows"))
 
 

@@ -102,8 +102,8 @@ UNION ALL SELECT DISTINCT 'p_legacy', rec_key, ltrim(split_part(n, '.', 1) || rp
 P4_UNITS = f"""WITH {_P4},
 kn AS (SELECT 'k_trades' AS src, v IS NOT NULL AS ok, p FROM k UNION ALL SELECT 'k_trades', false, NULL FROM k_trades WHERE yes_price IS NULL),
 pn AS (SELECT 'p_trades' AS src, true AS ok, p FROM p UNION ALL SELECT 'p_trades', false, NULL FROM p_trades WHERE maker_amount IS NULL),
-ln AS (SELECT 'p_legacy' AS src, true AS ok, CASE WHEN regexp_matches(s, '^0x[0-9a-f]+$') OR regexp_matches(s, '^[0-9.]+e[+-]?[0-9]+$') OR regexp_matches(s, '^[0-9]+([, ]+[0-9]+)*$') THEN 0 ELSE (SELECT max(l.p) FROM l WHERE l.rec_key = l0.rec_key) END AS p FROM l0)
-SELECT src, CAST(p AS INTEGER) AS power, false AS uncertain, count(*) AS n_rows FROM (SELECT * FROM kn UNION ALL SELECT * FROM pn UNION ALL SELECT * FROM ln) GROUP BY 1, 2"""
+ln AS (SELECT 'p_legacy' AS src, false AS ok, CASE WHEN regexp_matches(s, '^0x[0-9a-f]+$') OR regexp_matches(s, '^[0-9.]+e[+-]?[0-9]+$') OR regexp_matches(s, '^[0-9]+([, ]+[0-9]+)*$') THEN 0 ELSE (SELECT max(l.p) FROM l WHERE l.rec_key = l0.rec_key) END AS p FROM l0)
+SELECT src, CAST(p AS INTEGER) AS power, ok AND p IS NULL AS uncertain, count(*) AS n_rows FROM (SELECT * FROM kn UNION ALL SELECT * FROM pn UNION ALL SELECT * FROM ln) GROUP BY 1, 2, 3"""
 
 
 def _copies(name: str, key: str) -> str:

@@ -194,32 +194,49 @@ def test_shift_text(spark, number, power, want):
 
 def test_hex_text(spark):
     rng = random.Random(2)
-    values = [0, 1, 2**32, 10**9, 2**256 - 1, *(rng.getrandbits(rng.randrange(1, 257)) for _ in range(60))]
+    values = [0, 1, 2**32, 10**9, 2**256 - 1, *(rng.getrandbits(rng.randrange(1, 257)) for _ in range(60)), rng.getrandbits(3000)]
     df = spark.createDataFrame([(f"{v:x}", str(v)) for v in values], "h string, d string")
     assert df.where(units.hex_text(F.col("h")) != F.col("d")).count() == 0
 
 
 def test_notes(spark):
-    table = units.UnitTable({"cent": 2, "cents": 2, "¢": 2, "mill": 1, "tenth of a cent": 1, "bp": 0, "usd e-6": -2}, {"rest": 2})
+    """Which clauses name the unit of the price is learnt from the dollar that both prices make."""
+    names = {"cent": 2, "cents": 2, "¢": 2, "mill": 1, "tenth of a cent": 1, "bp": 0, "usd e-6": -2}
+    table = units.UnitTable(names, {"rest": 2})
+    rng = np.random.default_rng(5)
+    rows = []
+    for form in ("px:{} / fee:{}", "fee in {}", "px in {}", "[{}]", "fees: {}; px: {}", "price={};src=x"):
+        for _ in range(60):
+            unit, other = rng.choice(list(names), 2)
+            price = int(rng.integers(1, 99)) * 10 ** (2 - names[unit])
+            told = (other, unit) if form.startswith("fees") else (other,) if form.startswith("fee") else (unit, other)
+            rows.append((form.format(*told), price, 10 ** (4 - names[unit]) - price))
+    learn = spark.createDataFrame(rows, "note string, y long, n long")
+    both = F.col("y") + F.col("n")
+    dollar = lambda p: F.abs(both - 10 ** (4 - p)) <= 1
+    others = units.other_contexts(learn, table.mentions(F.col("note")), both.isNotNull(), dollar, table.powers)
+    assert len(others) == 3  # "fee:", "fee in" and "fees:"
     cases = {
-        "px in Tenth of a Cent": 1,
-        "[¢]": 2,
-        "px:bp / fee:cent": 0,
-        "fee in cent": None,
-        "fee:cent / px:mill": 1,
-        "price=USD E-6;src=x": -2,
-        "millions": None,
-        "": None,
-        "ok": None,
-        None: None,
-        "yes/no quoted in cents": 2,
-        "taker leg cent": None,
-        "px in cents after fee": 2, "taker_amount in cents": None, "fees: mill; px: bp": 0
-    }
+        "px in Tenth of a Cent": 1, "[¢]": 2, "px:bp / fee:cent": 0, "fee in cent": None, "fee:cent / px:mill": 1, "price=USD E-6;src=x": -2,
+        "millions": None, "": None, "ok": None, None: None, "yes/no quoted in cents": 2, "fees: mill; px: bp": 0,
+    }
     df = spark.createDataFrame(list(cases.items()), "note string, want int")
-    assert {r[0]: r[1] for r in df.select("note", table.named(F.col("note"))).collect()} == cases
+    assert {r[0]: r[1] for r in df.select("note", table.named(F.col("note"), others)).collect()} == cases
     empty = units.UnitTable({}, {})
     assert df.where(empty.named(F.col("note")).isNotNull() | empty.default(F.col("note")).isNotNull()).count() == 0
+    assert units.other_contexts(learn.limit(0), table.mentions(F.col("note")), both.isNotNull(), dollar, table.powers) == []
+
+
+def test_posterior_takes_evidence(spark):
+    """Two prices that make a dollar settle a unit; a pair that makes none is flagged, and so is a price between two units."""
+    m = units.Mixture((2, 1, 0, -2), (0.25,) * 4, 4.0, 0.4)
+    rows = [(60, 40, 2, True), (600, 401, 1, True), (6000, 4000, 0, True), (131900, 868100, -2, True), (60, 57, None, False), (0, 100, 2, True)]
+    df = spark.createDataFrame(rows, "y long, n long, p int, sure boolean")
+    both = F.col("y") + F.col("n")
+    got = df.select("p", "sure", m.posterior(F.log10(both.cast("double")), lambda p: F.abs(both - 10 ** (4 - p)) <= 1).alias("g")).collect()
+    assert all(r["g"]["power"] == r["p"] and r["g"]["sure"] is r["sure"] for r in got), got
+    alone = spark.range(1).select(m.posterior(F.lit(2.5)).alias("g")).first()["g"]
+    assert alone["power"] in (2, 1) and not alone["sure"]
 
 
 def test_mixture(spark):
@@ -233,7 +250,7 @@ def test_mixture(spark):
     got = df.select("p", m.posterior(F.log10("v")).alias("g")).select("p", "g.*").collect()
     assert sum(r["p"] == r["power"] for r in got) > 3990
     unsure = spark.range(1).select(m.posterior(F.lit(4 - 1.5)).alias("g")).first()["g"]
-    assert unsure["probability"] < 0.99
+    assert unsure["probability"] < 0.99 and not unsure["sure"]
     assert units.Mixture.fit([], powers, 4.0).weights == (0.25,) * 4
 
 
