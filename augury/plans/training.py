@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.keys import fill_key, hash_key, id_key, ticker_key
 from augury.operators import dedup, orphans, packed, rolling, skew, units
+from augury.operators.lineage import cut
 from augury.sources.tables import table
 
 HOT_SHARE = 0.03
@@ -88,21 +89,23 @@ def _ticker_totals(spark: SparkSession, d: str, gaps_rising: tuple[int, int] | N
     stored = table(spark, d, "k_trades")
     trades = stored.select(id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at")
     days = rolling.daily(dedup.keep_first(trades, "id", "_fetched_at"), "ticker", "created_time", "count")
-    return rolling.trailing_totals(days, (7, 30), gaps_rising, expected=rolling.entity_days(stored, ticker_key("ticker"), "created_time"))
+    return rolling.trailing_totals(days, (7, 30), gaps_rising, expected=rolling.entity_shards(stored, ticker_key("ticker"), "created_time"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Days without a trade on which the 7-day daily average is above the 30-day one."""
     rows = _ticker_totals(spark, d, gaps_rising=(7, 30))
-    return rows.select(F.col("entity").alias("ticker"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"))
+    return rows.select(F.col("entity").alias("ticker"), _day("day").alias("trade_day"))
 
 
-def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """Totals and daily averages over 7 and 30 days for every ticker and day, idle days included."""
-    rows = _ticker_totals(spark, d)
+def _day(c: str) -> Column:
+    return F.date_format(F.date_from_unix_date(c), "yyyy-MM-dd")
+
+
+def _rolled(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("entity").alias("ticker"),
-        F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"),
+        _day("day").alias("trade_day"),
         F.col("n_rows").alias("n_trades"),
         "total_7",
         "total_30",
@@ -110,16 +113,27 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and daily averages over 7 and 30 days for every ticker and day, idle days included."""
+    return _rolled(_ticker_totals(spark, d))
+
+
 def p3_corrected(spark: SparkSession, d: str) -> DataFrame:
-    """Totals per ticker and 64-day shard after the trades fetched from 2024 on corrected the trees of the earlier ones."""
+    """The totals that the trades fetched from 2024 on change: days with such a trade among their last 30.
+
+    The trees of the trades stored before are kept in the shared folder; the late ones correct the nodes
+    above their days, and the corrected trees answer.  A row without a fetch time counts as stored before.
+    """
     trades = table(spark, d, "k_trades").select(
         id_key("trade_id").alias("id"), ticker_key("ticker").alias("ticker"), "count", "created_time", "_fetched_at"
     )
     first = dedup.keep_first(trades, "id", "_fetched_at")
     late = F.coalesce(F.col("_fetched_at") >= F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
-    stored, corrections = (rolling.daily(first.where(c), "ticker", "created_time", "count") for c in (~late, late))
-    roots = rolling.correct_nodes(rolling.tree_nodes(stored), corrections).where(F.col("node") == 1)
-    return roots.select(F.col("entity").alias("ticker"), "shard", "total", F.col("n_rows").alias("n_trades"))
+    both = first.withColumn("late", late)
+    stored, corrections = (rolling.daily(both.where(c), "ticker", "created_time", "count") for c in (~F.col("late"), F.col("late")))
+    totals = rolling.answer(rolling.correct_trees(cut(rolling.tree_table(stored)), corrections))
+    changed = corrections.select("entity", F.explode(F.sequence(F.col("day"), F.col("day") + 29)).alias("day")).distinct()
+    return _rolled(totals.join(changed, ["entity", "day"], "left_semi"))
 
 
 # 4. Quantities recorded in different units

@@ -52,7 +52,7 @@ SELECT DISTINCT src, ref_month, ref_key, kind FROM kinds WHERE kind IS NOT NULL"
 P2_REPORT = f"SELECT src, ref_month, kind, count(*) AS n_keys FROM ({P2_FOUND}) GROUP BY 1, 2, 3"
 
 _DAILY = f"""
-first_copy AS (SELECT {_ticker('ticker')} AS ticker, "count" AS c, created_time FROM k_trades
+first_copy AS (SELECT {_ticker('ticker')} AS ticker, "count" AS c, created_time, _fetched_at FROM k_trades
   QUALIFY {_id('trade_id')} IS NULL OR row_number() OVER (PARTITION BY {_id('trade_id')} ORDER BY _fetched_at, "count", created_time, {_id('trade_id')}, {_ticker('ticker')}) = 1),
 daily AS (SELECT ticker, CAST(created_time AS DATE) AS day, CAST(coalesce(sum(c), 0) AS BIGINT) AS total, count(*) AS n_trades FROM first_copy
   WHERE ticker IS NOT NULL AND created_time IS NOT NULL GROUP BY 1, 2),
@@ -67,7 +67,9 @@ P3_FOUND = f"WITH {_DAILY} SELECT ticker, strftime(day, '%Y-%m-%d') AS trade_day
 P3_ROLLING = f"""WITH {_DAILY} SELECT ticker, strftime(day, '%Y-%m-%d') AS trade_day, n_trades, total_7, total_30,
 round(total_7 / 7.0, 6)::DOUBLE AS avg_7, round(total_30 / 30.0, 6)::DOUBLE AS avg_30 FROM rolled"""
 
-P3_CORRECTED = f"WITH {_DAILY} SELECT ticker, CAST(floor(date_diff('day', DATE '1970-01-01', day) / 64.0) AS INTEGER) AS shard, CAST(sum(total) AS BIGINT) AS total, CAST(sum(n_trades) AS BIGINT) AS n_trades FROM daily GROUP BY 1, 2"
+P3_CORRECTED = f"""WITH {_DAILY}, late AS (SELECT DISTINCT ticker, CAST(CAST(created_time AS DATE) + CAST(i AS INTEGER) AS DATE) AS day FROM first_copy, range(30) r(i)
+ WHERE _fetched_at >= TIMESTAMP '2024-01-01' AND ticker IS NOT NULL AND created_time IS NOT NULL)
+SELECT ticker, strftime(day, '%Y-%m-%d') AS trade_day, n_trades, total_7, total_30, round(total_7 / 7.0, 6)::DOUBLE AS avg_7, round(total_30 / 30.0, 6)::DOUBLE AS avg_30 FROM rolled JOIN late USING (ticker, day)"""
 
 
 def _note(table: str, field: str, note: str) -> str:

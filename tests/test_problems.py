@@ -128,7 +128,7 @@ def test_forest_brute_force():
         day += days.tolist()
         total += rng.integers(0, 1000, size=len(days)).tolist()
     entity, day, total = map(np.array, (entity, day, total))
-    forest = rolling.Forest(entity, day, total, np.ones(len(day), dtype=np.int64))
+    forest = rolling.Forest.of_days(entity, day, total, np.ones(len(day), dtype=np.int64))
     e, d = forest.dates()
     for w in (1, 7, 30, 64, 200):
         want = [int(total[(entity == a) & (day <= b) & (day > b - w)].sum()) for a, b in zip(e, d, strict=True)]
@@ -152,18 +152,26 @@ def test_rolling_frames(spark):
     assert whole.count() == sum(60_001 + k for k in range(40)) and whole.where("total_7 > 0").count() == 40 * 11 - 3
 
 
-def test_late_corrections(spark):
+def test_late_corrections(spark, tmp_path):
+    """Corrected trees are those of all days together, in memory and as a stored table; other nodes and shards stay."""
     schema = "entity string, day int, total long, n_rows long"
     base = spark.createDataFrame([("A", 3, 10, 1), ("A", 70, 5, 1), ("B", -1, 2, 1)], schema)
-    late = spark.createDataFrame([("A", 3, -4, 0), ("B", 200, 9, 1)], schema)
-    key = lambda df: {(r["entity"], r["shard"], r["node"]): (r["total"], r["n_rows"]) for r in df.collect()}
-    before, after = key(rolling.tree_nodes(base)), key(rolling.correct_nodes(rolling.tree_nodes(base), late))
-    assert after == key(
-        rolling.tree_nodes(
-            base.unionByName(late).groupBy("entity", "day").agg(F.sum("total").alias("total"), F.sum("n_rows").alias("n_rows"))
-        )
-    )
-    assert sum(before.get(k) != v for k, v in after.items()) == 14  # two corrections, seven nodes each
+    late = spark.createDataFrame([("A", 3, -4, 0), ("B", 200, 9, 1), ("A", 3, 1, 0)], schema)
+    key = lambda df: {(r["entity"], r["shard"]): (list(r["totals"]), list(r["rows"])) for r in df.collect()}
+    trees = rolling.tree_table(base)
+    before, after = key(trees), key(rolling.correct_trees(trees, late))
+    both = base.unionByName(late)
+    assert after == key(rolling.tree_table(both)) and len(after) == 4
+    changed = [sum(x != y for x, y in zip(a, before.get(k, ([0] * 128, 0))[0], strict=True)) for k, (a, _) in after.items()]
+    assert sorted(changed) == [0, 0, 7, 7]
+    path = str(tmp_path / "trees")
+    rolling.write_trees(trees, path)
+    untouched = {f for f in (tmp_path / "trees" / "shard=1").iterdir()}
+    rolling.correct_stored(spark, path, late)
+    stored = spark.read.parquet(path)
+    assert key(stored) == after and {f for f in (tmp_path / "trees" / "shard=1").iterdir()} == untouched
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(rolling.answer(stored)) == rows(rolling.trailing_totals(both)) and rolling.answer(stored).count() == 68 + 202
 
 
 # units

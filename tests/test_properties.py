@@ -23,7 +23,7 @@ def test_bitmap_and_not(a, b):
 def test_window_is_a_sum(days, width):
     d = np.array(sorted(days), dtype=np.int64)
     t = np.array([days[x] for x in d.tolist()], dtype=np.int64)
-    forest = rolling.Forest(np.zeros(len(d), dtype=np.int64), d, t, np.ones(len(d), dtype=np.int64))
+    forest = rolling.Forest.of_days(np.zeros(len(d), dtype=np.int64), d, t, np.ones(len(d), dtype=np.int64))
     e, day = forest.dates()
     assert forest.window(e, day, width).tolist() == [sum(v for k, v in days.items() if x - width < k <= x) for x in day.tolist()]
 
