@@ -75,10 +75,12 @@ def counterparty_price_round(spark: SparkSession, d: str) -> DataFrame:
 
 def decile_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Takers' calibration per ten cents on the order-book venue."""
-    rows = views.traded(views.k_trades(spark, d), views.k_markets(spark, d)).where(F.col("taker_price").between(1, 99))
-    low = (F.floor(F.col("taker_price") / 10.0) * 10).cast("long")
+    rows = views.traded(views.compact(views.k_trades(spark, d)), views.k_markets(spark, d)).where(F.col("taker_price").between(1, 99))
+    low, n = (F.floor(F.col("taker_price") / 10.0) * 10).cast("long"), F.col(views.ALIKE)
     return rows.groupBy(low.alias("bucket_low")).agg(
-        F.count("*").alias("n"), F.sum("taker_won").alias("wins"), r6(F.avg("taker_price")).alias("mean_predicted")
+        F.sum(n).alias("n"),
+        F.sum(n * F.col("taker_won")).alias("wins"),
+        r6(ratio(F.sum(n * F.col("taker_price")), F.sum(n))).alias("mean_predicted")
     )
 
 
@@ -113,14 +115,17 @@ def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof_latest(spark: SparkSession, d: str) -> DataFrame:
-    """For each trade of the market's status as of its fetch: trades per status, unknown before the first fetch."""
+    """For each trade the market's status as of its fetch: trades per status, unknown before the first fetch.
+
+    Trades of one ticker and fetch are one row from the start, so a hot ticker's windows run over fetches.
+    """
     key = ticker_key("ticker").alias("ticker")
-    trades = table(spark, d, "k_trades").select(
-        key, F.col("_fetched_at").alias("seen"), F.lit(None).cast("string").alias("status"), F.lit(1).alias("is_trade")
+    trades = table(spark, d, "k_trades").groupBy(key, F.col("_fetched_at").alias("seen")).agg(F.count("*").alias("is_trade")).select(
+        "ticker", "seen", F.lit(None).cast("string").alias("status"), "is_trade"
     )
     fetches = table(spark, d, "k_markets").groupBy(
         key, F.col("_fetched_at").alias("seen")
-    ).agg(F.min("status").alias("status")).withColumn("is_trade", F.lit(0))
+    ).agg(F.min("status").alias("status")).withColumn("is_trade", F.lit(0).cast("long"))
     rows = trades.unionByName(fetches).where(F.col("ticker").isNotNull())
     month = F.date_format("seen", "yyyy-MM")
     w = Window.partitionBy("ticker", "month").orderBy("seen", "is_trade").rowsBetween(Window.unboundedPreceding, 0)
@@ -130,8 +135,8 @@ def asof_latest(spark: SparkSession, d: str) -> DataFrame:
     )
     before = Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # a row per ticker and month
     carried = ends.select("ticker", "month", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    joined = within.where(F.col("is_trade") == 1).join(carried, ["ticker", "month"])
-    return joined.groupBy(F.coalesce("here", "carried", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+    joined = within.where(F.col("is_trade") > 0).join(carried, ["ticker", "month"])
+    return joined.groupBy(F.coalesce("here", "carried", F.lit("unknown")).alias("status")).agg(F.sum("is_trade").alias("n"))
 
 
 def block_time_interpolation(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,9 @@ h AS (SELECT price, yn, nn, yw::DOUBLE / yn AS y, nw::DOUBLE / nn AS n, (yw + nw
 SELECT price, {_r('y', 'yes_win_rate')}, {_r('n', 'no_win_rate')}, {_r('(n - y) * 100', 'diff_pp')}, {_r('(y * 100 - price) / price * 100', 'yes_ev')}, {_r('(n * 100 - price) / price * 100', 'no_ev')}, {_r('(n - y) * 100 / price * 100', 'ev_diff')}, {_r('CASE WHEN se > 0 THEN (n - y) / se ELSE 0 END', 'z_statistic')}, {_b('yn', 'yes_n')}, {_b('nn', 'no_n')}, n > y AS no_better FROM i"""
 
 
+TWO_PROPORTION_Z_SMALL = TWO_PROPORTION_Z.replace("yt >= 100 AND nt >= 100", "yt >= 10 AND nt >= 10")
+
+
 def _welch(a: str, b: str) -> str:
     t = f"({a}m - {b}m) / sqrt({a}v / {a}n + {b}v / {b}n)"
     df = f"power({a}v / {a}n + {b}v / {b}n, 2) / (power({a}v / {a}n, 2) / ({a}n - 1) + power({b}v / {b}n, 2) / ({b}n - 1))"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from augury.operators.lineage import cut
 from augury.plans import operators, operators_sql, statistics, training, training_sql, venue_k, venue_k_sql, venue_p, venue_p_sql, views
 from augury.sources.tables import table
 
@@ -37,6 +38,7 @@ VENUE_K = {
     "meta_stats": venue_k.meta_stats,
     "mann_whitney_u": statistics.mann_whitney_by_price,
     "two_proportion_z": statistics.two_proportion_z,
+    "two_proportion_z_small": lambda t, m: statistics.two_proportion_z(t, m, least=10),
     "welch_and_cohens_d": statistics.welch_by_group,
     "pearson_spearman": statistics.size_correlations,
     "wls_binned_regression": statistics.binned_regression,
@@ -57,8 +59,8 @@ def _venue_p() -> dict[str, Query]:
     t = lambda name: lambda s, d: table(s, d, name)
     trades, blocks, collateral = views.p_fills, t("p_blocks"), t("p_collateral")
     four = lambda s, d: (views.p_fills(s, d), views.p_markets(s, d), views.p_amm(s, d), collateral(s, d))
-    days = lambda s, d: (
-        venue_p.daily_k(views.k_trades(s, d), views.k_markets(s, d)), venue_p.daily_p(*four(s, d)[:3], blocks(s, d), collateral(s, d))
+    days = lambda s, d: (  # noqa: E731  # at most 99 prices a day: computed once, however often a plan looks at them
+        cut(venue_p.daily_k(views.k_trades(s, d), views.k_markets(s, d))), cut(venue_p.daily_p(*four(s, d)[:3], blocks(s, d), collateral(s, d)))
     )
     return {
         "polymarket_win_rate_by_price": lambda s, d: venue_p.win_rate_by_price(*four(s, d)),

@@ -1,6 +1,7 @@
 """Statistical tests on trades, from exact counts and moments.
 
 Ranks are taken over distinct values with frequencies, so nothing is sampled and no task sees all trades.
+Trades alike in ticker, prices, side and size are one row with their number before they meet the markets.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from augury.functions.classify import DEFAULT_RULES, Rule, category, classify
 from augury.functions.distributions import two_sided_normal_p, two_sided_t_p, upper_normal_p
 from augury.functions.numbers import r6, ratio, variance
-from augury.plans.views import maker_bets, traded
+from augury.operators.lineage import cut
+from augury.plans.views import ALIKE, maker_bets, sized, traded
 
 # Prices and price ranges of the tests, and the least number of trades per cell.
 TEST_PRICES = (1, 2, 3, 4, 5, 10, 15, 20, 25, 50, 75, 80, 85, 90, 95, 96, 97, 98, 99)
@@ -52,12 +54,14 @@ def tie_ranks(values: DataFrame, value: str, weight: str, by: tuple[str, ...] =
 
 def mann_whitney_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """Are makers' sizes larger than takers'?  Per tenth of the observed range of prices, at least 100 trades."""
-    rows = traded(trades, markets).where(F.col("taker_price").isNotNull() & F.col("maker_price").isNotNull() & F.col("count").isNotNull())
+    rows = traded(sized(trades), markets).where(
+        F.col("taker_price").isNotNull() & F.col("maker_price").isNotNull() & F.col("count").isNotNull()
+    )
     cells = rows.groupBy(
         F.col("taker_price").alias("price"),
         (F.col("count") * F.col("taker_price")).alias("t"),
         (F.col("count") * F.col("maker_price")).alias("m")
-    ).agg(F.count("*").alias("f"))
+    ).agg(F.sum(ALIKE).alias("f"))
     cells = with_bin(cells, "price", 10, "price_bin")
     sides = cells.select(
         "price_bin",
@@ -94,18 +98,18 @@ def mann_whitney_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
     )
 
 
-def two_proportion_z(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    """YES against NO takers at fixed prices, by contracts; at least 100 trades on each side."""
-    rows = traded(trades, markets).where(F.col("taker_side").isin("yes", "no") & F.col("taker_price").isin(*TEST_PRICES))
+def two_proportion_z(trades: DataFrame, markets: DataFrame, least: int = LEAST) -> DataFrame:
+    """YES against NO takers at fixed prices, by contracts; at least ``least`` trades on each side."""
+    rows = traded(sized(trades), markets).where(F.col("taker_side").isin("yes", "no") & F.col("taker_price").isin(*TEST_PRICES))
     aggs = []
     for s in ("yes", "no"):
         side = F.col("taker_side") == s
         aggs += [
-            F.count_if(side).alias(f"{s}_t"),
-            F.sum(F.when(side, F.col("count"))).alias(f"{s}_n"),
-            F.sum(F.when(side, F.col("count") * F.col("taker_won"))).alias(f"{s}_w")
+            F.sum(F.when(side, F.col(ALIKE))).alias(f"{s}_t"),
+            F.sum(F.when(side, F.col(ALIKE) * F.col("count"))).alias(f"{s}_n"),
+            F.sum(F.when(side, F.col(ALIKE) * F.col("count") * F.col("taker_won"))).alias(f"{s}_w")
         ]
-    df = rows.groupBy(F.col("taker_price").alias("price")).agg(*aggs).where((F.col("yes_t") >= LEAST) & (F.col("no_t") >= LEAST))
+    df = rows.groupBy(F.col("taker_price").alias("price")).agg(*aggs).where((F.col("yes_t") >= least) & (F.col("no_t") >= least))
     y, n, pooled = ratio(F.col("yes_w"), F.col("yes_n")), ratio(F.col("no_w"), F.col("no_n")), ratio(
         F.col("yes_w") + F.col("no_w"), F.col("yes_n") + F.col("no_n")
     )
@@ -139,8 +143,9 @@ def _welch(df: DataFrame, a: str, b: str) -> DataFrame:
 def welch_by_group(trades: DataFrame, markets: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, base: str = "Finance") -> DataFrame:
     """Takers' excess return of one group against each other group with at least 100 trades."""
     x = F.col("taker_won") * 100 - F.col("taker_price")
-    cats = traded(trades, markets, True, "event_ticker").groupBy(category("event_ticker").alias("name")).agg(
-        F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx")
+    f = F.col(ALIKE)
+    cats = traded(sized(trades), markets, True, "event_ticker").groupBy(category("event_ticker").alias("name")).agg(
+        F.coalesce(F.sum(F.when(x.isNotNull(), f)), F.lit(0)).alias("n"), F.sum(f * x).alias("x"), F.sum(f * x * x).alias("xx")
     )
     groups = cats.withColumn(
         "group", classify(F.col("name"), rules)["group"]
@@ -163,10 +168,10 @@ def welch_by_group(trades: DataFrame, markets: DataFrame, rules: tuple[Rule, ...
 
 def _size_cells(trades: DataFrame, markets: DataFrame) -> DataFrame:
     """``(cents, x, f)``: taker's size and excess (both in cents) with frequencies."""
-    rows = traded(trades, markets).where(F.col("count").isNotNull() & F.col("taker_price").isNotNull())
+    rows = traded(sized(trades), markets).where(F.col("count").isNotNull() & F.col("taker_price").isNotNull())
     return rows.groupBy(
         (F.col("count") * F.col("taker_price")).alias("cents"), (F.col("taker_won") * 100 - F.col("taker_price")).alias("x")
-    ).agg(F.count("*").alias("f"))
+    ).agg(F.sum(ALIKE).alias("f"))
 
 
 def _log_size() -> Column:
@@ -237,19 +242,19 @@ def maker_direction_test(trades: DataFrame, markets: DataFrame) -> DataFrame:
         hit = F.col("price").between(a, b)
         low = F.when(hit, a) if low is None else low.when(hit, a)
     names = F.create_map(*(F.lit(x) for a, b in PRICE_RANGES for x in (a, f"{a}-{b}c")))
-    x, w = F.col("won") * 100 - F.col("price"), F.least(F.col("count"), F.lit(100))
+    f, x, w = F.col(ALIKE), F.col("won") * 100 - F.col("price"), F.least(F.col("count"), F.lit(100))
     aggs = []
     for s in ("yes", "no"):
         pick = lambda c, s=s: F.sum(F.when(F.col("side") == s, c))
         aggs += [
-            F.count_if(F.col("side") == s).alias(f"{s}_t"),
-            pick(F.col("count")).alias(f"{s}_c"),
-            pick(F.col("count") * x).alias(f"{s}_cx"),
-            pick(w).alias(f"{s}_n"),
-            pick(w * x).alias(f"{s}_x"),
-            pick(w * x * x).alias(f"{s}_xx")
+            pick(f).alias(f"{s}_t"),
+            pick(f * F.col("count")).alias(f"{s}_c"),
+            pick(f * F.col("count") * x).alias(f"{s}_cx"),
+            pick(f * w).alias(f"{s}_n"),
+            pick(f * w * x).alias(f"{s}_x"),
+            pick(f * w * x * x).alias(f"{s}_xx")
         ]
-    df = maker_bets(trades, markets).withColumn("low", low).where(F.col("low").isNotNull()).groupBy("low").agg(*aggs).where(
+    df = maker_bets(sized(trades), markets).withColumn("low", low).where(F.col("low").isNotNull()).groupBy("low").agg(*aggs).where(
         (F.col("yes_t") >= LEAST) & (F.col("no_t") >= LEAST)
     )
     y, n = ratio(F.col("yes_cx"), F.col("yes_c")), ratio(F.col("no_cx"), F.col("no_c"))
@@ -277,7 +282,11 @@ def correlation_p(r: Column, n: Column) -> Column:
 
 
 def statistical_tests(trades: DataFrame, markets: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """Summary ``(test, metric, value)`` of the five tests, 20 rows; a test without data has zeros and nulls."""
+    """Summary ``(test, metric, value)`` of the five tests, 20 rows; a test without data has zeros and nulls.
+
+    All tests read one table of trades alike, kept in the shared folder, and no trade again.
+    """
+    trades, markets = cut(sized(trades)), cut(markets.select("ticker", "status", "result", "event_ticker"))
 
     def part(df: DataFrame, test: str, **metrics: Column) -> DataFrame:
         row = df.agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.classify import DEFAULT_RULES, Rule, category, classify
 from augury.functions.numbers import r6, ratio, variance
-from augury.plans.views import ALIKE, compact, maker_bets, on, positions, traded
+from augury.plans.views import ALIKE, compact, maker_bets, on, positions, sized, traded
 
 COUNT, PRICE, WON = "count", "price", "won"
 EXCESS = "__x"  # 100 * won - price, an int
@@ -207,8 +207,8 @@ def trade_size_by_role(trades: DataFrame, markets: DataFrame) -> DataFrame:
     Sizes are counted per distinct value first, and the quantiles are taken over values with frequencies,
     so a task holds the distinct sizes, not the trades.
     """
-    rows = positions(traded(trades, markets)).withColumn("cents", F.col(COUNT) * F.col(PRICE))
-    sizes = rows.groupBy("role", "cents", COUNT).agg(rows_().alias("f"))
+    rows = positions(traded(sized(trades), markets)).withColumn("cents", F.col(COUNT) * F.col(PRICE))
+    sizes = rows.groupBy("role", "cents", COUNT).agg(F.sum(ALIKE).alias("f"))
     q = lambda c, p: F.expr(f"percentile({c}, {p}, f)")
     n = F.sum("f")
     total, squares = F.sum(F.col("cents") * F.col("f")), F.sum(
@@ -234,10 +234,10 @@ def trade_size_by_role(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 def win_rate_by_trade_size(trades: DataFrame, markets: DataFrame, least: int = 10) -> DataFrame:
     """Takers' win rate in quarter-decade bins of the trade size; bins of at least ``least`` trades."""
-    rows = traded(trades, markets).select(COUNT, ALIKE, F.col("taker_price").alias(PRICE), F.col("taker_won").alias(WON))
+    rows = traded(sized(trades), markets).select(COUNT, ALIKE, F.col("taker_price").alias(PRICE), F.col("taker_won").alias(WON))
     size = F.col(COUNT) * F.col(PRICE) / 100.0
-    rows = _excess(rows).withColumn("bin", F.floor(F.log10(F.greatest(size, F.lit(0.01))) * 4.0))
-    s = rows.groupBy("bin").agg(*_sums(), F.sum(PRICE).alias("prices")).where(F.col("n") >= least)
+    rows = _excess(rows).withColumn("bin", F.floor(F.log10(F.greatest(size, F.lit(0.01))) * 4.0)).withColumn(COUNT, F.col(COUNT) * F.col(ALIKE))
+    s = rows.groupBy("bin").agg(*_sums(), F.sum(F.col(ALIKE) * F.col(PRICE)).alias("prices")).where(F.col("n") >= least)
     df = s.select(
         F.pow(F.lit(10.0), F.col("bin") / 4.0).alias("trade_size_bin"),
         ratio(F.col("wins"), F.col("n")).alias("win_rate"),
@@ -392,24 +392,29 @@ def ev_yes_vs_no(trades: DataFrame, markets: DataFrame) -> DataFrame:
 def calibration_deviation_over_time(trades: DataFrame, markets: DataFrame, least: int = 1000) -> DataFrame:
     """Mean absolute deviation of cumulative win rates from the price, at each week's end.
 
-    Weeks end on Sundays at the first trade's time of day.  Trades are summed per week and price first;
-    a running sum over at most 99 prices per week follows, never a second look at the trades.
+    Weeks end on Sundays at the first trade's time of day.  Trades become one row per ticker, prices, side
+    and week before they meet the markets (their times one span per ticker and prices); a running sum over
+    at most 99 prices per week follows.
     """
-    rows = positions(
-        traded(trades.where((F.col("yes_price") > 0) & (F.col("no_price") > 0)), markets, False), "created_time"
-    ).where(F.col(PRICE).between(1, 99) & F.col("created_time").isNotNull())
-    span = rows.agg(F.min("created_time").alias("lo"), F.max("created_time").alias("hi"))
+    at = F.col("created_time")
+    trades = trades.where((F.col("yes_price") > 0) & (F.col("no_price") > 0) & at.isNotNull())
+    priced = lambda rows, *keep: positions(traded(rows, markets, False), *keep).where(F.col(PRICE).between(1, 99))
+    spans = trades.groupBy("ticker", "yes_price", "no_price", "taker_side").agg(
+        F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias(ALIKE), F.sum(COUNT).alias(COUNT)
+    )
+    span = priced(spans, "lo", "hi").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     first = F.col("lo") + F.make_dt_interval(F.pmod(F.lit(8) - F.dayofweek("lo"), F.lit(7)))
     ends = span.where(F.col("lo").isNotNull() & (first <= F.col("hi"))).select(
         F.explode(F.sequence(first, F.col("hi"), F.expr("interval 7 days"))).alias("date")
     )
     bounds = F.broadcast(span.select(first.alias("first")))
-    late = F.col("created_time") - F.col("first")
+    late = at - F.col("first")
     seconds = F.extract(F.lit("DAY"), late) * 86_400 + F.extract(F.lit("HOUR"), late) * 3_600 + F.extract(
         F.lit("MINUTE"), late
     ) * 60 + F.extract(F.lit("SECOND"), late)
     week = F.greatest(F.ceil(seconds / 604_800), F.lit(0)).cast("int")
-    weekly = rows.crossJoin(bounds).groupBy(week.alias("week"), PRICE).agg(rows_().alias("n"), F.sum(WON).alias("w"))  # one bounding row
+    weeks = compact(trades.crossJoin(bounds).withColumn("week", week), "week")  # one bounding row
+    weekly = priced(weeks, "week").groupBy("week", PRICE).agg(F.sum(ALIKE).alias("n"), F.sum(F.col(ALIKE) * F.col(WON)).alias("w"))
     numbered = ends.crossJoin(bounds).withColumn(
         "week", (F.extract(F.lit("DAY"), F.col("date") - F.col("first")) / 7).cast("int")
     ).select("date", "week")

@@ -111,6 +111,13 @@ def compact(trades: DataFrame, *more: str) -> DataFrame:
     return trades.groupBy(*keys).agg(F.count("*").alias(ALIKE), F.sum("count").alias("count"))
 
 
+def sized(trades: DataFrame) -> DataFrame:
+    """Like :func:`compact`, but trades of one size: ``count`` stays the contracts of each, ``ALIKE`` their number."""
+    if ALIKE in trades.columns:
+        return trades
+    return trades.groupBy("ticker", "yes_price", "no_price", "taker_side", "count").agg(F.count("*").alias(ALIKE))
+
+
 def traded(trades: DataFrame, markets: DataFrame, finalized: bool = True, *more: str) -> DataFrame:
     """Trades of resolved markets, from the taker's and the maker's side in one scan.
 
