@@ -19,3 +19,9 @@ def variance(squares: Column, total: Column, n: Column, ddof: int) -> Column:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def human(n: Column) -> Column:
+    """A count in short form: ``1.2M`` from a million, ``3K`` from a thousand, ties to even; plain below."""
+    short = lambda by, digits, unit: F.format_string(f"%.{digits}f{unit}", F.bround(n / float(by), digits))
+    return F.when(n >= 1_000_000, short(10**6, 1, "M")).when(n >= 1_000, short(10**3, 0, "K")).otherwise(n.cast("string"))

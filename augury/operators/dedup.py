@@ -66,6 +66,9 @@ def admit(stored: DataFrame, batch: DataFrame, key: str, arrival: str, ties: Seq
     """Rows of ``batch`` to append: the first copy of each identifier that ``stored`` does not have.
 
     Null identifiers are always admitted.  Replaying a batch admits nothing new with an identifier.
+    Stored identifiers are first cut down to those of the batch: a batch that is small enough to be
+    broadcast, by the size checks of adaptive execution, spares the shuffle of all identifiers ever stored.
     """
-    known = stored.select(F.col(f"`{key}`").alias("__known")).where(F.col("__known").isNotNull())
+    fresh = batch.select(F.col(f"`{key}`").alias("__fresh")).where(F.col("__fresh").isNotNull()).distinct()
+    known = stored.select(F.col(f"`{key}`").alias("__known")).join(fresh, F.col("__known") == F.col("__fresh"), "left_semi").distinct()
     return keep_first(batch, key, arrival, ties).join(known, F.col(f"`{key}`") == F.col("__known"), "left_anti")

@@ -141,7 +141,7 @@ def _dense(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
     return _fill([by.get(p, dict.fromkeys(keys) | {"price": p}) for p in range(1, 100)])
 
 
-_PRICE = {"x_label": "Price (cents)", "x_unit": charts.UnitType.CENTS}
+_PRICE = {"x_label": "Price (cents)"}
 _USD = {"y_unit": charts.UnitType.DOLLARS}
 _PCT = {"y_unit": charts.UnitType.PERCENT}
 _DRAWN: dict[str, tuple[str, Drawn | None]] = {

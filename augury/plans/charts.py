@@ -29,11 +29,11 @@ class UnitType(Enum):
 
     DOLLARS = "dollars"
     PERCENT = "percent"
-    NUMBER = "number"
     BYTES = "bytes"
+    ETH = "eth"
+    BTC = "btc"
     CENTS = "cents"
-    BASIS_POINTS = "basis-points"
-    SECONDS = "seconds"
+    NUMBER = "number"
 
 
 class ScaleType(Enum):
@@ -55,22 +55,28 @@ class Series:
 class Chart:
     """What to draw; options that are not set do not appear in the output."""
 
+    # The order in which options appear in the format.
     type: ChartType
     data: list[Any]
+    series: tuple[Series, ...] | None = None
     x_key: str | None = None
     y_keys: tuple[str, ...] | None = None
-    name_key: str | None = None
-    value_key: str | None = None
+    y_key: str | None = None
     z_key: str | None = None
     title: str | None = None
-    x_label: str | None = None
-    y_label: str | None = None
-    x_unit: UnitType | None = None
-    y_unit: UnitType | None = None
+    height: int | None = None
+    stacked: bool | None = None
+    name_key: str | None = None
+    value_key: str | None = None
+    children_key: str | None = None
     x_scale: ScaleType | None = None
     y_scale: ScaleType | None = None
-    series: tuple[Series, ...] | None = None
+    y_unit: UnitType | None = None
+    stroke_dasharrays: tuple[str | None, ...] | None = None
+    caption: str | None = None
     colors: dict[str, str] | None = field(default=None)
+    x_label: str | None = None
+    y_label: str | None = None
 
     def to_dict(self) -> dict[str, Any]:
         """Keys in camel case, in the order of the fields; enums by value; unset options left out."""
@@ -103,28 +109,28 @@ def bar(rows: Rows, x: str, y: str | Sequence[str], stacked: bool = False, share
     return _xy(ChartType.STACKED_BAR_100 if share else ChartType.STACKED_BAR if stacked else ChartType.BAR, rows, x, y, options)
 
 
-def area(rows: Rows, x: str, y: str | Sequence[str], share: bool = False, **options: Any) -> Chart:
-    return _xy(ChartType.STACKED_AREA_100 if share else ChartType.AREA, rows, x, y, options)
+def area(rows: Rows, x: str, y: str | Sequence[str], stacked: bool = False, share: bool = False, **options: Any) -> Chart:
+    return _xy(ChartType.STACKED_AREA_100 if share else ChartType.AREA, rows, x, y, options | {"stacked": stacked})
 
 
-def pie(rows: Rows, name: str, value: str, **options: Any) -> Chart:
+def pie(rows: Rows, name: str = "name", value: str = "value", **options: Any) -> Chart:
     return Chart(ChartType.PIE, list(rows), name_key=name, value_key=value, **options)
 
 
 def scatter(rows: Rows, x: str, y: str, z: str | None = None, series: Sequence[Series] | None = None, **options: Any) -> Chart:
-    return Chart(ChartType.SCATTER, list(rows), x, (y,), z_key=z, series=tuple(series) if series else None, **options)
+    return Chart(ChartType.SCATTER, list(rows), tuple(series) if series else None, x, (y,), z_key=z, **options)
 
 
-def heatmap(rows: Rows, x: str, y: str, value: str, **options: Any) -> Chart:
-    return Chart(ChartType.HEATMAP, list(rows), x, (y,), value_key=value, **options)
+def heatmap(rows: Rows, x: str, y: str, value: str = "value", **options: Any) -> Chart:
+    return Chart(ChartType.HEATMAP, list(rows), x_key=x, y_key=y, value_key=value, **options)
 
 
-def treemap(tree: list[dict[str, Any]], name: str = "name", value: str = "value", **options: Any) -> Chart:
-    return Chart(ChartType.TREEMAP, tree, name_key=name, value_key=value, **options)
+def treemap(tree: list[dict[str, Any]], name: str = "name", value: str = "value", children: str = "children", **options: Any) -> Chart:
+    return Chart(ChartType.TREEMAP, tree, name_key=name, value_key=value, children_key=children, **options)
 
 
 def _xy(kind: ChartType, rows: Rows, x: str, y: str | Sequence[str], options: dict[str, Any]) -> Chart:
-    return Chart(kind, list(rows), x, (y,) if isinstance(y, str) else tuple(y), **options)
+    return Chart(kind, list(rows), x_key=x, y_keys=(y,) if isinstance(y, str) else tuple(y), **options)
 
 
 def tree_of(rows: Rows) -> list[dict[str, Any]]:

@@ -258,4 +258,4 @@ def chart_spec_json(spark: SparkSession, d: str) -> DataFrame:
     """The chart of the calibration by price, as one JSON text."""
     by_price = venue_k.win_rate_by_price(views.k_trades(spark, d), views.k_markets(spark, d)).where(F.col("price").isNotNull())
     rows = [r.asDict() for r in by_price.collect()]  # about 100 prices
-    return spark.createDataFrame([(charts.line(rows, "price", "win_rate", x_unit=charts.UnitType.CENTS).to_json(),)], "chart string")
+    return spark.createDataFrame([(charts.line(rows, "price", "win_rate", x_label="Price (cents)").to_json(),)], "chart string")

@@ -15,9 +15,9 @@ _RANGE = lambda x, k: f"CASE WHEN hi > lo THEN least(greatest(ceil(({x} - lo) /
 MANN_WHITNEY_U = f"""{_TK}, s AS (SELECT price, c * price AS t, c * ({MAKER_PRICE}) AS m FROM taker WHERE yes_price IS NOT NULL AND no_price IS NOT NULL AND c IS NOT NULL), r AS (SELECT min(price)::DOUBLE AS lo, max(price)::DOUBLE AS hi FROM s),
 b AS (SELECT CAST({_RANGE('price', 10)} AS INTEGER) AS bin, t, m FROM s, r), v AS (SELECT bin, 0 AS g, t AS v FROM b UNION ALL SELECT bin, 1, m FROM b),
 k AS (SELECT bin, g, v, rank() OVER (PARTITION BY bin ORDER BY v) + (count(*) OVER (PARTITION BY bin, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY bin, v) AS ties FROM v),
-u AS (SELECT bin, sum(rk) FILTER (g = 1)::DOUBLE AS r1, count(*) FILTER (g = 1) AS n, sum(ties::DOUBLE * ties - 1) AS tie, avg(v) FILTER (g = 0) AS ta, avg(v) FILTER (g = 1) AS ma FROM k GROUP BY 1 HAVING count(*) FILTER (g = 1) >= 100),
+u AS (SELECT bin, sum(rk) FILTER (g = 1)::DOUBLE AS r1, count(*) FILTER (g = 1) AS n, sum(ties::DOUBLE * ties - 1) AS tie, avg(v) FILTER (g = 0) AS ta, avg(v) FILTER (g = 1) AS ma, median(v) FILTER (g = 0) AS td, median(v) FILTER (g = 1) AS md FROM k GROUP BY 1 HAVING count(*) FILTER (g = 1) >= 100),
 w AS (SELECT *, r1 - n * (n + 1) / 2.0::DOUBLE AS us FROM u)
-SELECT ((bin - 1) * 10 + 1) || '-' || bin * 10 || 'c' AS price_bin, {_r('ta / 100', 'taker_mean')}, {_r('ma / 100', 'maker_mean')}, {_r('ma / ta', 'ratio')}, us AS u_statistic,
+SELECT ((bin - 1) * 10 + 1) || '-' || bin * 10 || 'c' AS price_bin, {_r('ta / 100', 'taker_mean')}, {_r('ma / 100', 'maker_mean')}, {_r('td / 100', 'taker_median')}, {_r('md / 100', 'maker_median')}, {_r('ma / ta', 'ratio')}, us AS u_statistic,
 {_r('(us - n * n / 2.0::DOUBLE - 0.5) / sqrt(n::DOUBLE * n / 12 * ((2 * n + 1) - tie / (2.0::DOUBLE * n * (2 * n - 1))))', 'z')}, {_r('1 - 2 * us / (n::DOUBLE * n)', 'effect_size_r')}, n AS n_trades, ma > ta AS maker_larger FROM w"""
 
 TWO_PROPORTION_Z = f"""{_TK}, g AS (SELECT price, count(*) FILTER (taker_side = 'yes') AS yt, count(*) FILTER (taker_side = 'no') AS nt, sum(c) FILTER (taker_side = 'yes') AS yn, sum(c) FILTER (taker_side = 'no') AS nn,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.operators.lineage import cut
-from augury.plans import operators, operators_sql, statistics, training, training_sql, venue_k, venue_k_sql, venue_p, venue_p_sql, views
+from augury.plans import operators, operators_sql, statistics, stored, stored_sql, training, training_sql, venue_k, venue_k_sql, venue_p, venue_p_sql, views
 from augury.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,11 +84,13 @@ def _venue_p() -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in vars(training).items() if n[0] == "p" and n[1:2].isdigit()}
-    single = {n: f for n, f in vars(operators).items() if getattr(f, "__module__", "") == operators.__name__}
+    single = {
+        n: f for m in (operators, stored) for n, f in vars(m).items() if getattr(f, "__module__", "") == m.__name__ and not n.startswith("_")
+    }
     return found | {
         n: _on_venue_k(f, views.k_contracts if n in UNPRICED else views.k_trades) for n, f in VENUE_K.items()
     } | _venue_p() | single
 
 
 def oracle_sql() -> dict[str, str]:
-    return training_sql.SQL | venue_k_sql.SQL | venue_p_sql.SQL | operators_sql.SQL
+    return training_sql.SQL | venue_k_sql.SQL | venue_p_sql.SQL | operators_sql.SQL | stored_sql.SQL

@@ -78,7 +78,12 @@ def mann_whitney_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
         F.sum("mk").alias("n"),
         F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("tie")
     )
-    means = cells.groupBy("price_bin").agg(F.sum(F.col("t") * F.col("f")).alias("t"), F.sum(F.col("m") * F.col("f")).alias("m"))
+    means = cells.groupBy("price_bin").agg(
+        F.sum(F.col("t") * F.col("f")).alias("t"),
+        F.sum(F.col("m") * F.col("f")).alias("m"),
+        F.expr("percentile(t, 0.5, f)").alias("t_median"),
+        F.expr("percentile(m, 0.5, f)").alias("m_median"),
+    )
     n = F.col("n").cast("double")
     df = u.join(means, "price_bin").where(F.col("n") >= LEAST).withColumn("u_statistic", F.col("r1") - n * (n + 1.0) / 2.0)
     total = 2.0 * n
@@ -89,6 +94,8 @@ def mann_whitney_by_price(trades: DataFrame, markets: DataFrame) -> DataFrame:
         label.alias("price_bin"),
         r6(F.col("t") / n / 100.0).alias("taker_mean"),
         r6(F.col("m") / n / 100.0).alias("maker_mean"),
+        r6(F.col("t_median") / 100.0).alias("taker_median"),
+        r6(F.col("m_median") / 100.0).alias("maker_median"),
         r6(ratio(F.col("m"), F.col("t"))).alias("ratio"),
         F.col("u_statistic"),
         r6(z).alias("z"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from augury.operators.units import hex_text
+
 # Fields of the venues' public JSON payloads.
 K_TRADE_JSON = "trade_id string, ticker string, count_fp string, count string, yes_price_dollars string, no_price_dollars string, yes_price int, no_price int, taker_side string, created_time string"
 K_MARKET_JSON = (
@@ -94,17 +94,6 @@ def p_markets(raw: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def words(data: str | bytes) -> list[int]:
-    """The 256-bit words of an event's data."""
-    raw = data if isinstance(data, bytes) else bytes.fromhex(data.removeprefix("0x"))
-    return [int.from_bytes(raw[i : i + 32], "big") for i in range(0, len(raw) - 31, 32)]
-
-
-def address(topic: str) -> str:
-    """The address in the low 20 bytes of a topic."""
-    return "0x" + topic.removeprefix("0x").lower()[-40:]
-
-
 LOG = T.StructType(
     [
         T.StructField(n, k) for n, k in (
@@ -136,38 +125,113 @@ FILL = T.StructType(
 )
 
 
-def fill_of(topics: Sequence[str], data: str) -> tuple[str, str, str, str, str, str, str, str]:
-    """Order hash, maker, taker from the topics; asset ids, amounts and fee from the data words, as text.
+AMM_TRADE = T.StructType(
+    [
+        *(T.StructField(n, k) for n, k in (("block_number", T.LongType()), ("transaction_hash", T.StringType()), ("log_index", T.LongType()))),
+        *(T.StructField(n, T.StringType()) for n in ("fpmm_address", "trader", "amount", "fee_amount")),
+        T.StructField("outcome_index", T.LongType()),
+        T.StructField("outcome_tokens", T.StringType()),
+        T.StructField("is_buy", T.BooleanType()),
+    ]
+)
+# Signatures of the events.
+FILL_EVENT = "OrderFilled(bytes32,address,address,uint256,uint256,uint256,uint256,uint256)"
+BUY_EVENT, SELL_EVENT = (f"FPMM{side}(address,uint256,uint256,uint256,uint256)" for side in ("Buy", "Sell"))
+
+
+def keccak256(data: bytes) -> str:
+    """The hash of event signatures, as hexadecimal digits (the original padding, not that of SHA-3)."""
+    mask, rate = (1 << 64) - 1, 136
+    turn = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & mask if n % 64 else x
+    rounds, lfsr = [], 1
+    for _ in range(24):
+        constant = 0
+        for j in range(7):
+            constant |= (lfsr & 1) << ((1 << j) - 1)
+            lfsr = (lfsr << 1) ^ (0x171 if lfsr & 0x80 else 0)
+        rounds.append(constant)
+    block = bytearray(data + bytes(rate - len(data) % rate))
+    block[len(data)] ^= 0x01
+    block[-1] ^= 0x80
+    lanes = [[0] * 5 for _ in range(5)]
+    for start in range(0, len(block), rate):
+        for k in range(rate // 8):
+            lanes[k % 5][k // 5] ^= int.from_bytes(block[start + 8 * k : start + 8 * k + 8], "little")
+        for constant in rounds:
+            parity = [a ^ b ^ c ^ d ^ e for a, b, c, d, e in lanes]
+            lanes = [[v ^ parity[x - 1] ^ turn(parity[(x + 1) % 5], 1) for v in lanes[x]] for x in range(5)]
+            moved = [[0] * 5 for _ in range(5)]
+            moved[0][0] = lanes[0][0]
+            x, y = 1, 0
+            for t in range(24):
+                moved[y][(2 * x + 3 * y) % 5] = turn(lanes[x][y], (t + 1) * (t + 2) // 2)
+                x, y = y, (2 * x + 3 * y) % 5
+            lanes = [[moved[x][y] ^ (~moved[(x + 1) % 5][y] & moved[(x + 2) % 5][y] & mask) for y in range(5)] for x in range(5)]
+            lanes[0][0] ^= constant
+    return b"".join(lanes[x][0].to_bytes(8, "little") for x in range(4)).hex()
+
+
+def topic_of(signature: str) -> str:
+    """The first topic of an event's logs."""
+    return "0x" + keccak256(signature.encode())
+
+
+def _digits(c: Column) -> Column:
+    """Hexadecimal digits in lower case without a prefix; null for anything else."""
+    plain = F.regexp_replace(F.lower(c), "^0x", "")
+    return F.when(plain.rlike("^[0-9a-f]*$"), plain)
+
+
+def _word(k: int, data: str = "data") -> Column:
+    """The k-th 256-bit word of an event's data as decimal text."""
+    return hex_text(F.substring(_digits(F.col(data)), 64 * k + 1, 64))
+
+
+def _topic_address(k: int) -> Column:
+    """The address in the low 20 bytes of a topic."""
+    return F.concat(F.lit("0x"), F.right(_digits(F.get("topics", F.lit(k))), F.lit(40)))
 
+
+def _whole_log(topics: int, words: int) -> Column:
+    """Whether a log has its place, so many full topics and data words; unreadable digits make it false."""
+    topic = lambda t: F.length(_digits(t)) == 64
+    there = F.col("block_number").isNotNull() & F.col("log_index").isNotNull() & F.col("transaction_hash").isNotNull()
+    full = (F.size("topics") >= topics) & F.forall(F.slice("topics", 1, topics), topic) & (F.length(_digits(F.col("data"))) >= 64 * words)
+    return F.coalesce(there & full, F.lit(False))
+
+
+def fills(logs: DataFrame) -> DataFrame:
+    """Order-book fills from whole raw logs; :func:`undecodable` gives the others.
+
+    Order hash, maker and taker come from the topics; asset ids, amounts and fee from the data words.
     Amounts are 256-bit on chain, so they stay text until a column is known to fit.
     """
-    w = words(data)
-    return topics[1], address(topics[2]), address(topics[3]), *(str(w[k]) for k in range(5))
+    names = FILL.names
+    return logs.where(_whole_log(4, 5)).select(
+        "block_number", "transaction_hash", "log_index",
+        F.lower(F.get("topics", F.lit(1))).alias(names[3]), _topic_address(2).alias(names[4]), _topic_address(3).alias(names[5]),
+        *(_word(k).alias(names[6 + k]) for k in range(5)),
+    )
 
 
-def amm_trade_of(topics: Sequence[str], data: str, is_buy: bool) -> tuple[str, str, str, int, str, bool]:
-    """Trader, amount, fee, outcome index, outcome tokens and direction of an AMM trade."""
-    amount, fee, tokens = words(data)[:3]
-    return address(topics[1]), str(amount), str(fee), int(topics[2], 16), str(tokens), is_buy
+def amm_trades(logs: DataFrame) -> DataFrame:
+    """Buys and sells of market makers from whole raw logs; the first topic tells them apart, other events are not read.
 
+    The outcome index stands in a topic; amount, fee and outcome tokens are data words and stay text.
+    """
+    event = F.lower(F.get("topics", F.lit(0)))
+    rows = logs.where(event.isin(topic_of(BUY_EVENT), topic_of(SELL_EVENT)) & _whole_log(3, 3))
+    return rows.select(
+        "block_number", "transaction_hash", "log_index",
+        F.lower("address").alias("fpmm_address"), _topic_address(1).alias("trader"), _word(0).alias("amount"), _word(1).alias("fee_amount"),
+        hex_text(_digits(F.get("topics", F.lit(2)))).cast("bigint").alias("outcome_index"),
+        _word(2).alias("outcome_tokens"), (event == topic_of(BUY_EVENT)).alias("is_buy"),
+    )
 
-def fills(logs: DataFrame) -> DataFrame:
-    """Order-book fills from raw logs; rows whose data is too short are left out."""
-    import pandas as pd
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for b, h, i, t, x in zip(
-                pdf["block_number"], pdf["transaction_hash"], pdf["log_index"], pdf["topics"], pdf["data"], strict=True
-            ):
-                try:
-                    out.append((b, h, i, *fill_of(list(t), x)))
-                except (IndexError, ValueError, TypeError, AttributeError):
-                    continue
-            yield pd.DataFrame(out, columns=FILL.names)
-
-    return logs.select("block_number", "transaction_hash", "log_index", "topics", "data").mapInPandas(run, FILL)
+
+def undecodable(logs: DataFrame, topics: int = 4, words: int = 5) -> DataFrame:
+    """Logs that lack their place, a topic or a data word, or hold no hexadecimal digits: to be counted, never lost."""
+    return logs.where(~_whole_log(topics, words))
 
 
 def asset_hex(asset_id: str | None) -> str | None:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.operators.dedup import admit
+from augury.operators.lineage import cut
 from augury.sources.tables import exists
 
-# Blocks per stored part; least volume of a market whose trades are fetched.
+# Blocks per stored part; rows per chunk; least volume of a market whose trades are fetched.
 BLOCKS_PER_PART = 100_000
+ROWS_PER_CHUNK = 10_000
 LEAST_VOLUME = 100
 
 
@@ -28,6 +30,53 @@ def append_new(
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
+def append_batch(batch: DataFrame, batch_id: int, path: str, key: str, arrival: str = "_fetched_at") -> None:
+    """Appends the new rows of a numbered batch in a directory of its own.
+
+    A batch that comes again replaces that directory, so rows with and without a key are stored once,
+    however often it is run.
+    """
+    spark, folder = batch.sparkSession, f"{path}/batch={batch_id}"
+    stored = spark.read.parquet(path).where(F.col("batch") != batch_id).drop("batch") if exists(spark, path) else spark.createDataFrame([], batch.schema)
+    admit(stored, batch, key, arrival).write.mode("overwrite").parquet(folder)
+
+
+def next_chunk(spark: SparkSession, path: str, rows: int = ROWS_PER_CHUNK) -> int:
+    """The number of the first row of the chunk after the last stored one; 0 for a new table."""
+    if not exists(spark, path):
+        return 0
+    top = spark.read.parquet(path).agg(F.max("chunk")).first()[0]
+    return 0 if top is None else int(top) + rows
+
+
+def append_chunks(batch: DataFrame, path: str, key: str, arrival: str = "_fetched_at", rows: int = ROWS_PER_CHUNK) -> None:
+    """Appends new rows to a table in chunks of ``rows`` rows, named by the number of their first row.
+
+    The last chunk is filled up and rewritten, the rest starts new ones; full chunks stay untouched.
+    Rows are numbered within tasks and shifted by the tasks before, so none passes through one task.
+    """
+    spark = batch.sparkSession
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        last = next_chunk(spark, path, rows) - rows
+        tail = stored.where(F.col("chunk") == last).drop("chunk") if last >= 0 else None
+        fresh = admit(stored.drop("chunk"), batch, key, arrival)
+    else:
+        last, tail, fresh = 0, None, admit(spark.createDataFrame([], batch.schema), batch, key, arrival)
+    merged = fresh if tail is None else tail.select(*batch.columns).withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1))).drop("__new")
+    numbered = cut(merged.withColumn("__task", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before, offsets = max(last, 0), {}
+    for r in numbered.groupBy("__task").count().orderBy("__task").collect():  # a row per task
+        offsets[r["__task"]] = before
+        before += r["count"]
+    if not offsets:
+        return
+    shift = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("__task"))
+    at = F.col("__n") + shift
+    placed = numbered.withColumn("chunk", at - at % rows).drop("__task", "__n")
+    placed.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+
+
 def write_blocks(blocks: DataFrame, path: str, size: int = BLOCKS_PER_PART) -> None:
     """Writes block times in one directory per ``size`` blocks, sorted by number within a file."""
     part = F.expr(f"block_number div {size}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -14,9 +12,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system its scheme names."""
-    if "://" not in path:
-        return os.path.exists(path)
+    """Whether a path exists on the file system its scheme names, else the session's default one."""
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from augury.sources.sinks import append_new
+from augury.sources.sinks import append_batch
 
 
 def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -17,9 +17,13 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
 
 
 def append_stream(stream: DataFrame, path: str, key: str, checkpoint: str, arrival: str = "_fetched_at") -> StreamingQuery:
-    """Appends each batch's new keys to a table.  A batch that runs again after a failure adds nothing twice."""
+    """Appends each batch's new rows to a table.
+
+    A batch that runs again after a failure replaces what it wrote, so it adds nothing twice, rows without
+    a key included.
+    """
     return stream.writeStream.foreachBatch(
-        lambda batch, _: append_new(batch, path, key, arrival)
+        lambda batch, number: append_batch(batch, number, path, key, arrival)
     ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.blocks import interpolate, iso_z
 from augury.functions.distributions import incomplete_beta, normal_upper, t_two_sided
-from augury.sources import archive, decode, paged, schemas, sinks, tables
+from augury.sources import archive, clients, decode, ingest, paged, schemas, sinks, tables
 from augury.streaming import incremental
 
 FILLS = "block_number long, transaction_hash string, log_index long, maker_amount long, _fetched_at timestamp_ntz"
@@ -123,18 +123,166 @@ def test_decoders(spark):
 
 def test_log_decoders(spark):
     word = lambda n: f"{n:064x}"
-    topics = ["0xsig", "0xhash", "0x" + word(0xAB), "0x" + word(0xCD)]
+    topics = ["0x" + word(k) for k in (1, 2, 0xAB, 0xCD)]
     data = "0x" + "".join(map(word, (0, 2**255, 5, 7, 1)))
-    logs = spark.createDataFrame([(1, "0xt", 2, "0xc", topics, data), (2, "0xt", 3, "0xc", topics[:2], "0x")], decode.LOG)
+    rows = [
+        (1, "0xt", 2, "0xc", topics, data), (2, "0xt", 3, "0xc", topics[:2], "0x"), (2, "0xt", 4, "0xc", topics, data[:-1]),
+        (2, "0xt", 5, "0xc", topics, data.replace("0x", "zz")), (2, "0xt", 6, "0xc", None, None), (2, None, 7, "0xc", topics, data),
+    ]
+    logs = spark.createDataFrame(rows, decode.LOG)
     [row] = decode.fills(logs).collect()
     assert (
         row["order_hash"], row["maker"], row["taker_asset_id"], row["maker_amount"], row["fee"]
-    ) == ("0xhash", "0x" + f"{0xAB:040x}", str(2**255), "5", "1")
-    buy = decode.amm_trade_of(["0xs", "0x" + word(9), "0x" + word(1)], "0x" + "".join(map(word, (10, 2, 30))), True)
-    assert buy == ("0x" + f"{9:040x}", "10", "2", 1, "30", True)
+    ) == (topics[1], "0x" + f"{0xAB:040x}", str(2**255), "5", "1")
+    assert decode.undecodable(logs).count() == 5 and decode.undecodable(logs.limit(0)).count() == 0
+    amm = [decode.topic_of(decode.BUY_EVENT), decode.topic_of(decode.SELL_EVENT), "0x" + word(77)]
+    rows = [(k, "0xt", k, "0xFF", [t, "0x" + word(9), "0x" + word(1)], "0x" + "".join(map(word, (10, 2, 2**200)))) for k, t in enumerate(amm)]
+    got = sorted(map(tuple, decode.amm_trades(spark.createDataFrame(rows, decode.LOG)).collect()))
+    assert got == [(k, "0xt", k, "0xff", "0x" + f"{9:040x}", "10", "2", 1, str(2**200), k == 0) for k in (0, 1)]
     assert decode.asset_hex("255") == word(255) and decode.asset_hex("x") is None and decode.asset_hex(str(2**256)) is None
 
 
+def test_event_topics():
+    """Known hashes: of nothing, and of the transfer event."""
+    assert decode.keccak256(b"") == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert decode.topic_of("Transfer(address,address,uint256)") == "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
+    assert len(decode.keccak256(b"x" * 1000)) == 64
+
+
+class Chain:
+    """A node with blocks of two seconds and a fill every hundredth block."""
+
+    def __init__(self, head: int, broken: int | None = None):
+        self.top, self.broken = head, broken
+
+    def head(self):
+        return self.top
+
+    def block_time(self, block):
+        return 1_700_000_000 + 2 * block
+
+    def logs(self, low, high, topics, address=None):
+        if self.broken is not None and low <= self.broken <= high:
+            raise RuntimeError("interrupted")
+        word = lambda n: f"{n:064x}"
+        amm = isinstance(topics[0], list)
+        out = []
+        for b in range(-(-low // 100) * 100, high + 1, 100):
+            full = ["0x" + word(k) for k in (1, 2, 3, 4)]
+            full[0] = topics[0][b // 100 % 2] if amm else topics[0]
+            out.append((b, f"0x{b:064x}", 0, "0xC", full, "0x" + "".join(map(word, (b, 1, 2, 3, 4)))))
+        return out
+
+
+def test_ingest_jobs(spark, tmp_path):
+    """An interrupted job leaves what was stored; started again it goes on and stores nothing twice."""
+    folder, jobs = str(tmp_path), ingest.jobs()
+    assert {"fills", "amm_trades", "blocks", "k_markets", "k_trades", "p_markets"} == set(jobs)
+    jobs["fills"].run(spark, Chain(2999), folder)
+    with pytest.raises(Exception, match="interrupted"):
+        jobs["fills"].run(spark, Chain(5000, broken=4000), folder)
+    assert spark.read.parquet(f"{folder}/fills.parquet").count() == 30
+    for _ in range(2):
+        jobs["fills"].run(spark, Chain(5000), folder)
+    rows = spark.read.parquet(f"{folder}/fills.parquet")
+    assert rows.count() == 51 and rows.select("fill_key").distinct().count() == 51 and rows.agg(F.max("block_number")).first()[0] == 5000
+    jobs["amm_trades"].run(spark, Chain(999), folder)
+    assert {r["is_buy"]: r["count"] for r in spark.read.parquet(f"{folder}/amm_trades.parquet").groupBy("is_buy").count().collect()} == {True: 5, False: 5}
+    jobs["blocks"].run(spark, Chain(250_123), folder)
+    jobs["blocks"].run(spark, Chain(250_400), folder)
+    times = spark.read.parquet(f"{folder}/blocks.parquet")
+    assert times.count() == times.select("block_number").distinct().count() == 250_401
+    assert times.where("block_number = 250123").first()["timestamp"] == "2023-11-20T17:10:46Z"
+    assert ingest.first_block(spark, f"{folder}/none", 2_345_678) == 1_300_000
+    with pytest.raises(ValueError, match="1 logs"):
+        ingest.complete_or_fail(spark.createDataFrame([(1, "0x", 1, "0xc", [], "0x")], decode.LOG), 4, 5)
+
+
+def test_sampled_blocks():
+    assert list(ingest.sampled_blocks(95, 412, 100, 200)) == [95, 195, 199, 200, 300, 399, 400, 412]
+    assert list(ingest.sampled_blocks(7, 7)) == [7] and list(ingest.sampled_blocks(8, 7)) == []
+
+
+class Venue:
+    def markets(self, cursor=None, **_):
+        yield ([{"ticker": "A", "volume": 500}, {"ticker": "B", "volume": 5}], "next") if cursor is None else ([{"ticker": "C", "volume": 200}], None)
+
+    def cursor_pages(self, path, field, limit, cursor=None, ticker=None):
+        yield [{"trade_id": f"{ticker}{k}", "ticker": ticker, "count": 1, "yes_price": 40, "no_price": 60} for k in range(3)], None
+
+    def offset_page(self, path, offset, limit):
+        return [{"id": str(k), "outcomePrices": "[]"} for k in range(offset, min(offset + limit, 700))]
+
+
+def test_ingest_of_payloads(spark, tmp_path):
+    folder, jobs = str(tmp_path), ingest.jobs()
+    for _ in range(2):
+        for name in ("k_markets", "k_trades", "p_markets"):
+            jobs[name].run(spark, Venue(), folder)
+    count = lambda n: spark.read.parquet(f"{folder}/{n}.parquet").count()
+    assert (count("k_markets"), count("k_trades"), count("p_markets")) == (3, 6, 700)
+
+
+def test_clients(monkeypatch):
+    """Retries on busy replies and broken connections, cursors, time bounds, lists in objects, ranges that are too large."""
+    import io
+    import urllib.error
+    from urllib.parse import parse_qs, urlparse
+
+    asked, busy = [], [urllib.error.HTTPError("u", 503, "busy", {}, None), urllib.error.URLError("down")]
+
+    def urlopen(call, timeout):
+        if busy:
+            raise busy.pop()
+        q = parse_qs(urlparse(call.full_url).query)
+        asked.append(q)
+        if call.data:
+            body = json.loads(call.data)
+            reply = {"result": hex(77)} if body["method"] == "eth_blockNumber" else {"error": {"message": "query returned more than 10000 results"}}
+        elif "offset" in q:
+            reply = {"data": [{"id": 1}]}
+        else:
+            reply = {"trades": [{"trade_id": len(asked)}], "cursor": "c" if "cursor" not in q else ""}
+        return io.BytesIO(json.dumps(reply).encode())
+
+    monkeypatch.setattr("urllib.request.urlopen", urlopen)
+    monkeypatch.setattr("augury.sources.paged.time.sleep", lambda _: None)
+    monkeypatch.setattr(paged.with_retries, "__defaults__", (5, 0.0, 0.0, lambda _: None))
+    rest = clients.Rest("http://venue")
+    assert len(list(rest.trades("A B", since=5))) == 2 and asked[0] == {"limit": ["1000"], "ticker": ["A B"], "min_ts": ["5"]}
+    assert asked[1]["cursor"] == ["c"] and rest.offset_page("markets", 500) == [{"id": 1}]
+    rpc = clients.Rpc("http://node")
+    assert rpc.head() == 77
+    with pytest.raises(paged.TooLarge):
+        rpc.logs(1, 2, [])
+    busy.append(urllib.error.HTTPError("u", 404, "no", {}, None))
+    with pytest.raises(paged.Retry):
+        rest.get("markets/x")
+
+
+def test_chunks(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    df = lambda *ids: spark.createDataFrame([(i, i * 2, datetime(2024, 1, 1)) for i in ids], "id long, v long, _fetched_at timestamp_ntz")
+    assert sinks.next_chunk(spark, path, 10) == 0
+    sinks.append_chunks(df(*range(14)), path, "id", rows=10)
+    full = sorted(p.name for p in (tmp_path / "chunks" / "chunk=0").glob("*.parquet"))
+    sinks.append_chunks(df(*range(5, 37), 36), path, "id", rows=10)
+    sinks.append_chunks(df(3, 4), path, "id", rows=10)
+    stored = spark.read.parquet(path)
+    assert {r["chunk"]: r["count"] for r in stored.groupBy("chunk").count().collect()} == {0: 10, 10: 10, 20: 10, 30: 7}
+    assert stored.select("id").distinct().count() == 37 and sinks.next_chunk(spark, path, 10) == 40
+    assert sorted(p.name for p in (tmp_path / "chunks" / "chunk=0").glob("*.parquet")) == full
+
+
+def test_batches_come_again(spark, tmp_path):
+    """A batch that runs twice stores its rows once, with and without a key."""
+    path = str(tmp_path / "t")
+    df = lambda *r: spark.createDataFrame([(k, v, datetime(2024, 1, 1)) for k, v in r], "id string, v int, _fetched_at timestamp_ntz")
+    for n, batch in ((0, df(("a", 1), (None, 2))), (1, df(("a", 3), ("b", 4), (None, 5))), (1, df(("a", 3), ("b", 4), (None, 5)))):
+        sinks.append_batch(batch, n, path, "id")
+    assert sorted((r["id"] or "", r["v"]) for r in spark.read.parquet(path).collect()) == [("", 2), ("", 5), ("a", 1), ("b", 4)]
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     df = lambda *r: spark.createDataFrame([(k, v, datetime(2024, 1, v)) for k, v in r], "id string, v int, _fetched_at timestamp_ntz")
