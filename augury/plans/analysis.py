@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from augury.functions.classify import group_colors
 from augury.plans import charts, registry
 
 log = logging.getLogger(__name__)
@@ -30,6 +31,10 @@ ALIASES = {
 Drawn = Callable[[list[dict[str, Any]]], charts.Chart]
 
 
+class TooManyRows(ValueError):
+    """A result is too large to be held in one place."""
+
+
 @dataclass
 class Result:
     """A lazy table, with a chart of its rows where the analysis has one."""
@@ -41,7 +46,7 @@ class Result:
         """The table's rows, which must be few: results are aggregates.  Larger ones raise."""
         got = self.data.limit(MOST_ROWS + 1).collect()
         if len(got) > MOST_ROWS:
-            raise ValueError(f"more than {MOST_ROWS} rows: write the table with Spark instead")
+            raise TooManyRows(f"more than {MOST_ROWS} rows: write the table with Spark instead")
         return [r.asDict(recursive=True) for r in got]
 
 
@@ -77,8 +82,9 @@ class Analysis:
     ) -> dict[str, Path]:
         """Writes ``<out>/<name>.<format>``; formats that do not fit the result are skipped.
 
-        csv and json come from the collected aggregate, parquet is written by Spark.  Figures need
-        matplotlib and a chart.
+        csv and json come from the collected aggregate, parquet is written by Spark.  A result of more than
+        ``MOST_ROWS`` rows is no aggregate: Spark writes its csv as a folder, and it has no chart.  Figures
+        need matplotlib and a chart.
         """
         out = Path(out)
         out.mkdir(parents=True, exist_ok=True)
@@ -90,7 +96,13 @@ class Analysis:
         if not set(formats) - {"parquet"}:
             return saved
         with self.progress("collecting"):
-            rows = result.rows()
+            try:
+                rows = result.rows()
+            except TooManyRows:
+                if "csv" in formats:
+                    result.data.write.mode("overwrite").option("header", True).csv(str(path("csv")))
+                    saved["csv"] = path("csv")
+                return saved
         if "csv" in formats:
             import csv
 
@@ -188,7 +200,7 @@ _DRAWN: dict[str, tuple[str, Drawn | None]] = {
     "calibration_deviation_weekly": (
         "Calibration deviation over time", lambda r: charts.line(r, "date", "mean_absolute_deviation", **_PCT)
     ),
-    "market_types": ("Volume by type of market", lambda r: charts.pie(r, "group", "total_volume")),
+    "market_types": ("Volume by type of market", lambda r: charts.pie(r, "group", "total_volume", colors=group_colors(x["group"] for x in r))),
     "market_types_rollup": ("Volume by type of market, three levels", lambda r: charts.treemap(charts.tree_of(r))),
     "meta_stats": ("Size of the data", None),
     "statistical_tests": ("Statistical tests", None),

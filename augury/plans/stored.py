@@ -13,10 +13,11 @@ from augury.operators.lineage import shared_folder
 from augury.plans import venue_k, venue_p, views
 from augury.plans.training import first_trades, price_unit
 from augury.sources import decode, sinks
-from augury.sources.tables import table
+from augury.sources.tables import exists, table
 
-# Rows per chunk of the query below; small, so that small tables fill several.
+# Rows per chunk and blocks per part of the queries below.
 CHUNK = 100
+BLOCKS = 1_000_000
 
 
 def _word(c: str) -> Column:
@@ -71,24 +72,26 @@ def chunked_store(spark: SparkSession, d: str) -> DataFrame:
     early = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
     for batch in (markets.where(early), markets):
         sinks.append_chunks(batch, path, "id", rows=CHUNK)
-    return spark.read.parquet(path).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
+    stored = spark.read.parquet(path) if exists(spark, path) else markets.limit(0).withColumn("chunk", F.lit(0))
+    return stored.groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
         F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids")
     )
 
 
 def block_store(spark: SparkSession, d: str) -> DataFrame:
-    """Block times stored in parts of 100,000 blocks and read back, with the block to go on with."""
+    """Block times stored in parts of a million blocks and read back, with the block to go on with."""
     path = f"{shared_folder(spark)}/blocks_{uuid.uuid4().hex}"
-    sinks.write_blocks(venue_p.block_times(table(spark, d, "p_blocks")), path)
-    parts = spark.read.parquet(path).groupBy(F.col("part").cast("long").alias("part")).agg(
+    sinks.write_blocks(venue_p.block_times(table(spark, d, "p_blocks")), path, BLOCKS)
+    parts = spark.read.schema("block_number long, timestamp string, part long").parquet(path).groupBy(F.col("part").cast("long").alias("part")).agg(
         F.count("*").alias("n_blocks"), F.min("block_number").alias("first"), F.max("block_number").alias("last")
     )
     return parts.withColumn("next_block", F.lit(sinks.next_block(spark, path)))
 
 
 def wanted_tickers(spark: SparkSession, d: str) -> DataFrame:
-    """Tickers with a volume of 100 or more that have no stored trade."""
-    stored = table(spark, d, "k_trades").select(ticker_key("ticker").alias("ticker"))
+    """Tickers with a volume of 100 or more that had no stored trade at the start of 2023-04."""
+    early = table(spark, d, "k_trades").where(F.col("_fetched_at") < F.lit("2023-04-01").cast("timestamp_ntz"))
+    stored = early.select(ticker_key("ticker").alias("ticker"))
     return sinks.tickers_to_fetch(views.k_markets(spark, d), stored)
 
 

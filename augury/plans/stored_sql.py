@@ -13,8 +13,8 @@ UNDECODABLE_LOGS = f"SELECT count(*) FILTER (NOT ({_WHOLE})) AS n_undecodable, c
 AMM_LOG_ROUND_TRIP = f"""SELECT {FILL} AS msg_key, {_id('fpmm_address')} AS fpmm_address, {_id('trader')} AS trader, CAST(CAST(amount AS BIGINT) AS VARCHAR) AS amount, CAST(CAST(fee_amount AS BIGINT) AS VARCHAR) AS fee_amount,
  outcome_index, CAST(log_index AS VARCHAR) AS outcome_tokens, is_buy FROM p_legacy WHERE is_buy IS NOT NULL AND trader IS NOT NULL AND outcome_index IS NOT NULL AND amount IS NOT NULL AND fee_amount IS NOT NULL AND log_index IS NOT NULL AND block_number IS NOT NULL AND transaction_hash IS NOT NULL"""
 CHUNKED_STORE = f"WITH n AS (SELECT count(DISTINCT id) AS n FROM p_markets) SELECT i * {CHUNK} AS chunk, least({CHUNK}, n - i * {CHUNK}) AS n_rows, least({CHUNK}, n - i * {CHUNK}) AS n_ids FROM n, range(0, 1000000) r(i) WHERE i * {CHUNK} < n"
-BLOCK_STORE = """SELECT block_number // 100000 AS part, count(DISTINCT block_number) AS n_blocks, min(block_number) AS first, max(block_number) AS last, (SELECT max(block_number) + 1 FROM p_blocks) AS next_block FROM p_blocks GROUP BY 1"""
-WANTED_TICKERS = f"WITH {MARKETS} SELECT DISTINCT ticker FROM markets WHERE volume >= 100 AND ticker NOT IN (SELECT {_ticker('ticker')} FROM k_trades WHERE {_ticker('ticker')} IS NOT NULL)"
+BLOCK_STORE = """SELECT block_number // 1000000 AS part, count(DISTINCT block_number) AS n_blocks, min(block_number) AS first, max(block_number) AS last, (SELECT max(block_number) + 1 FROM p_blocks) AS next_block FROM p_blocks GROUP BY 1"""
+WANTED_TICKERS = f"WITH {MARKETS} SELECT DISTINCT ticker FROM markets WHERE volume >= 100 AND ticker NOT IN (SELECT {_ticker('ticker')} FROM k_trades WHERE {_ticker('ticker')} IS NOT NULL AND _fetched_at < TIMESTAMP '2023-04-01')"
 LAST_ROW_FLAG = f"WITH {TRADES}, q AS (SELECT CAST(date_trunc('quarter', created_time) AS TIMESTAMP) AS quarter, CAST(sum(c) AS BIGINT) AS volume_usd FROM trades WHERE created_time IS NOT NULL GROUP BY 1) SELECT quarter, volume_usd, quarter = (SELECT max(quarter) FROM q) AS is_last FROM q"
 _HUMAN = lambda x: f"CASE WHEN {x} >= 1000000 THEN printf('%.1fM', {x} / 1000000.0::DOUBLE) WHEN {x} >= 1000 THEN printf('%.0fK', {x} / 1000.0::DOUBLE) ELSE CAST({x} AS VARCHAR) END"
 TRADE_COUNT_LABELS = f"""WITH g AS (SELECT {_ticker('ticker')} AS ticker, count(*) AS n, CAST(sum("count") AS BIGINT) AS c FROM k_trades GROUP BY 1) SELECT ticker, {_HUMAN('n')} AS trades, {_HUMAN('(c * 1000)')} AS thousandths FROM g WHERE ticker IS NOT NULL"""

@@ -45,7 +45,7 @@ def next_chunk(spark: SparkSession, path: str, rows: int = ROWS_PER_CHUNK) -> in
     """The number of the first row of the chunk after the last stored one; 0 for a new table."""
     if not exists(spark, path):
         return 0
-    top = spark.read.parquet(path).agg(F.max("chunk")).first()[0]
+    top = spark.read.schema("chunk long").parquet(path).agg(F.max("chunk")).first()[0]
     return 0 if top is None else int(top) + rows
 
 
@@ -88,7 +88,7 @@ def next_block(spark: SparkSession, path: str, first: int = 0) -> int:
     """The block to go on with: after the largest stored one, or ``first`` for a new table."""
     if not exists(spark, path):
         return first
-    top = spark.read.parquet(path).agg(F.max("block_number")).first()[0]
+    top = spark.read.schema("block_number long").parquet(path).agg(F.max("block_number")).first()[0]
     return first if top is None else top + 1
 
 
