@@ -53,6 +53,28 @@ MAKER_DIRECTION_TEST = f"""{BETS}, k AS (SELECT side, c::DOUBLE AS c, least(c, 1
 {_SIDE('yes')}, {_SIDE('no')}, j AS (SELECT r, yes.t AS yt, no.t AS nt, yes.e AS ye, no.e AS ne, no.n AS an, no.m AS am, no.v AS av, yes.n AS bn, yes.m AS bm, yes.v AS bv FROM yes JOIN no USING (r))
 SELECT r AS price_range, {_r('ye', 'yes_excess_pp')}, {_r('ne', 'no_excess_pp')}, {_r('ne - ye', 'diff_pp')}, {_welch('a', 'b')}, yt AS yes_n, nt AS no_n, ne > ye AS no_better FROM j"""
 
+# Two-sided p of a normal z, by the series of the error function whose terms are all positive.
+_P = lambda z: f"""(1 - CASE WHEN {z} = 0 THEN 0 ELSE least(1, 2 / sqrt(pi()) * list_sum(list_transform(range(0, 250), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2.0::DOUBLE)) + 2 * n * ln(2.0::DOUBLE) - lgamma(2.0::DOUBLE * n + 2) + lgamma(n + 1.0::DOUBLE) - {z} * {z} / 2)))) END)"""
+P_VALUES = f"SELECT *, round({_P('taker_z')}, 9) AS taker_p, round({_P('maker_z')}, 9) AS maker_p FROM ({MAKER_VS_TAKER_RETURNS})"
+# |t| from which p is below 0.05, by its expansion around the normal quantile.
+_Z = 1.959963984540054
+_T = f"({_Z} + {(_Z**3 + _Z) / 4} / df + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / (df * df) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / (df * df * df))"
+_METRIC = lambda test, metric, value, src: f"SELECT '{test}' AS test, '{metric}' AS metric, {_r(value, 'value')} FROM {src}"
+_CORR_P = lambda r: _P(f"({r} * sqrt((n - 2) / (1 - {r} * {r})) * (1 - 0.25 / (n - 2)) / sqrt(1 + {r} * {r} / (1 - {r} * {r}) / 2))")
+STATISTICAL_TESTS = f"""WITH s AS ({MANN_WHITNEY_U}), y AS ({TWO_PROPORTION_Z}), g AS ({WELCH_AND_COHENS_D}), c AS (SELECT * FROM ({PEARSON_SPEARMAN}), ({WLS_BINNED_REGRESSION})), m AS ({MAKER_DIRECTION_TEST})
+{' UNION ALL '.join((
+    _METRIC('trade_size_consistency', 'bins_maker_larger', 'count(*) FILTER (maker_larger)', 's'), _METRIC('trade_size_consistency', 'bins_total', 'count(*)', 's'),
+    _METRIC('trade_size_consistency', 'bins_significant_p05', 'count(*) FILTER (z > 1.6448536269514722)', 's'), _METRIC('trade_size_consistency', 'overall_ratio', 'avg(ratio)', 's'),
+    _METRIC('yes_no_asymmetry', 'prices_no_better', 'count(*) FILTER (no_better)', 'y'), _METRIC('yes_no_asymmetry', 'prices_total', 'count(*)', 'y'),
+    _METRIC('yes_no_asymmetry', 'prices_significant', f'count(*) FILTER (abs(z_statistic) > {_Z})', 'y'), _METRIC('yes_no_asymmetry', 'avg_ev_diff', 'avg(ev_diff)', 'y'),
+    _METRIC('category_comparisons', 'all_significant_vs_finance', f'count(*) FILTER (abs(t_statistic) > {_T})', 'g'), _METRIC('category_comparisons', 'total_comparisons', 'count(*)', 'g'),
+    _METRIC('category_comparisons', 'max_cohens_d', 'max(abs(cohens_d))', 'g'),
+    *(_METRIC('trade_size_regression', x, x, 'c') for x in ('pearson_r', 'spearman_r', 'slope_pp_per_log10', 'r_squared')),
+    _METRIC('trade_size_regression', 'pearson_p', _CORR_P('pearson_r'), 'c'), _METRIC('trade_size_regression', 'spearman_p', _CORR_P('spearman_r'), 'c'),
+    _METRIC('maker_direction', 'ranges_no_better', 'count(*) FILTER (no_better)', 'm'), _METRIC('maker_direction', 'ranges_total', 'count(*)', 'm'),
+    _METRIC('maker_direction', 'ranges_significant', f'count(*) FILTER (abs(t_statistic) > {_T})', 'm'),
+))}"""
+
 MAKER_COUNTERPARTY_LOOKUP = f"WITH r AS ({MAKER_VS_TAKER_RETURNS}) SELECT a.price, a.taker_excess, coalesce(b.maker_excess, 0) AS counterparty_excess FROM r a LEFT JOIN r b ON b.price = 100 - a.price"
 CATEGORY_EXTRACT = f"WITH {MARKETS} SELECT {CAT} AS category, CASE WHEN event_ticker IS NULL OR event_ticker = '' THEN 'independent' ELSE regexp_extract(event_ticker, '^([A-Z0-9]+)', 1) END AS unguarded, count(*) AS n FROM markets GROUP BY 1, 2"
 CLASSIFIER_FIRST_MATCH = f"""WITH {MARKETS}, c AS (SELECT DISTINCT {CAT} AS cat FROM markets) SELECT cat AS name, {WHICH('group')} AS "group", {WHICH('category')} AS category, {WHICH('subcategory')} AS subcategory FROM c"""

@@ -44,7 +44,9 @@ VENUE_K = {
     "wls_binned_regression": statistics.binned_regression,
     "maker_direction_test": statistics.maker_direction_test,
     "statistical_tests": statistics.statistical_tests,
-    "p_values": lambda t, m: statistics.maker_taker_p_values(venue_k.maker_vs_taker_returns(t, m)),
+    "p_values": lambda t, m: statistics.maker_taker_p_values(venue_k.maker_vs_taker_returns(t, m)).withColumns(
+        {c: F.round(c, 9) for c in ("taker_p", "maker_p")}
+    ),
 }
 
 #: Analyses that look at no price of a trade.

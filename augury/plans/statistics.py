@@ -306,7 +306,7 @@ def statistical_tests(trades: DataFrame, markets: DataFrame, rules: tuple[Rule,
         return row.select(
             F.lit(test).alias("test"),
             F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("r")
-        ).select("test", "r.*")
+        ).select("test", "r.metric", r6("r.value").alias("value"))
 
     significant = F.count_if(F.col("p") < 0.05)
     sizes = mann_whitney_by_price(trades, markets).withColumn("p", upper_normal_p(F.col("z")))
