@@ -54,7 +54,7 @@ MAKER_DIRECTION_TEST = f"""{BETS}, k AS (SELECT side, c::DOUBLE AS c, least(c, 1
 SELECT r AS price_range, {_r('ye', 'yes_excess_pp')}, {_r('ne', 'no_excess_pp')}, {_r('ne - ye', 'diff_pp')}, {_welch('a', 'b')}, yt AS yes_n, nt AS no_n, ne > ye AS no_better FROM j"""
 
 # Two-sided p of a normal z, by the series of the error function whose terms are all positive.
-_P = lambda z: f"""(1 - CASE WHEN {z} = 0 THEN 0 WHEN abs({z}) > 8 THEN 1 ELSE least(1, 2 / sqrt(pi()) * list_sum(list_transform(range(0, 250), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2.0::DOUBLE)) + 2 * n * ln(2.0::DOUBLE) - lgamma(2.0::DOUBLE * n + 2) + lgamma(n + 1.0::DOUBLE) - {z} * {z} / 2)))) END)"""
+_P = lambda z: f"""(1 - CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 0 WHEN abs({z}) > 8 THEN 1 ELSE least(1, 2 / sqrt(pi()) * list_sum(list_transform(range(0, 250), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2.0::DOUBLE)) + 2 * n * ln(2.0::DOUBLE) - lgamma(2.0::DOUBLE * n + 2) + lgamma(n + 1.0::DOUBLE) - {z} * {z} / 2)))) END)"""
 P_VALUES = f"SELECT *, round({_P('taker_z')}, 9) AS taker_p, round({_P('maker_z')}, 9) AS maker_p FROM ({MAKER_VS_TAKER_RETURNS})"
 # |t| from which p is below 0.05, by its expansion around the normal quantile.
 _Z = 1.959963984540054
