@@ -220,12 +220,17 @@ class Canon:
         letters = self.spellings.get(script, {}) if script not in (None, LATIN) else {}
         return "".join(letters.get(twin, twin) for twin in map(self.look, token))
 
+    @cached_property
+    def _spelled(self) -> _Chunks:
+        def spelled(token: str) -> str:
+            apart = unicodedata.normalize("NFD", token)
+            return unicodedata.normalize("NFC", self.spell(apart, self.resolve(apart)[1]))
+
+        return _Chunks(spelled)
+
     def _token(self, m: regex.Match) -> str:
         token = m[0]
-        if token.isascii() or not self.by_script:
-            return token
-        apart = unicodedata.normalize("NFD", token)
-        return unicodedata.normalize("NFC", self.spell(apart, self.resolve(apart)[1]))
+        return token if token.isascii() or not self.by_script else self._spelled[token]
 
     def chunk(self, text: str) -> str:
         """The form of a text, piece by piece; pieces between blanks never touch each other."""

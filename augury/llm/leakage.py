@@ -60,8 +60,8 @@ class Hasher:
     """Word hashes of whole texts; pieces between blanks are looked up, so a repeated piece is read once."""
 
     def __init__(self, canon: Canon):
-        self.canon = canon
-        self.pieces = _Chunks(lambda piece: tuple(map(word_hash, _WORD.findall(canon.chunk(piece).lower()))))
+        self.canon, words = canon, _Chunks(word_hash)
+        self.pieces = _Chunks(lambda piece: tuple(map(words.__getitem__, _WORD.findall(canon.chunk(piece).lower()))))
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -166,7 +166,7 @@ class SizeIndex:
             key = (self.block(prints, k)[:, None] ^ np.array(flips)).ravel()
             order = np.argsort(key, kind="stable")
             ends = np.searchsorted(key[order], np.arange((1 << 16) + 1)).astype(np.int32)
-            self.tables.append((ends, (order // len(flips)).astype(np.int32)))
+            self.tables.append((ends[:-1], np.diff(ends), (order // len(flips)).astype(np.int32)))
 
     @staticmethod
     def block(prints: np.ndarray, k: int) -> np.ndarray:
@@ -175,16 +175,16 @@ class SizeIndex:
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(window, passage)`` of all pairs within the radius, each once."""
         found = [np.zeros(0, dtype=np.int64)]
-        for k, (ends, passages) in enumerate(self.tables):
+        for k, (starts, counts, passages) in enumerate(self.tables):
             key = self.block(prints, k)
-            n = ends[key + 1] - ends[key]
+            n = counts[key]
             has = np.flatnonzero(n)
             n = n[has]
+            ends = np.cumsum(n)
             window = np.repeat(has, n)
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            passage = passages[np.repeat(ends[key[has]], n) + offset]
-            ok = np.bitwise_count(prints[window] ^ self.prints[passage]) <= self.radius
-            found.append(window[ok] * len(self.prints) + passage[ok])
+            passage = passages[np.arange(len(window)) + np.repeat(starts[key[has]] - ends + n, n)]
+            near = np.flatnonzero(np.bitwise_count(prints[window] ^ self.prints[passage]) <= self.radius)
+            found.append(window[near] * len(self.prints) + passage[near])
         pairs = np.unique(np.concatenate(found))
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
