@@ -148,8 +148,17 @@ def _plus_one(digits: Column) -> Column:
 def hex_text(digits: Column) -> Column:
     """Hexadecimal digits of any number (no prefix) as decimal text.
 
-    Eight digits at a time are folded into limbs of nine decimal digits, so words of any size stay exact.
+    Up to 16 digits fit a machine word.  Of longer ones, eight digits at a time are folded into limbs of
+    nine decimal digits, so words of any size stay exact.
     """
+
+    def text(d: Column) -> Column:
+        return F.when(d == "", F.lit(None)).when(F.length(d) <= 16, F.conv(d, 16, 10)).otherwise(_long_hex_text(d))
+
+    return let(F.regexp_replace(digits, r"^0+(?=[0-9a-fA-F])", ""), text)
+
+
+def _long_hex_text(digits: Column) -> Column:
     n = F.ceil(F.length(digits) / 8.0).cast("int")
     padded = F.lpad(digits, n * 8, "0")
     words = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.substring(padded, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
@@ -165,7 +174,7 @@ def hex_text(digits: Column) -> Column:
 
     limbs = F.aggregate(words, start, fold)
     text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    return F.when(digits != "", F.regexp_replace(text, r"^0+(?=\d)", ""))
+    return F.regexp_replace(text, r"^0+(?=\d)", "")
 
 
 @dataclass(frozen=True)

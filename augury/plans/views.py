@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from augury.functions.keys import id_key, ticker_key
+from augury.functions.keys import fill_key, id_key, ticker_key
+from augury.operators.dedup import keep_first
 from augury.operators.units import shift_text
-from augury.plans.training import amount_unit, first_fills, first_trades, price_unit, token_unit
+from augury.plans.training import amount_unit, first_trades, price_unit, token_unit
 from augury.sources.tables import table
 
 #: Column with the number of trades that a row stands for.
@@ -39,9 +40,14 @@ def in_cents(price: str) -> Column:
 
 
 def k_trades(spark: SparkSession, d: str) -> DataFrame:
-    """All trades, each delivered once, each price in whole cents by the unit of problem 4 and rounded on its own."""
-    return price_unit(spark, d)(first_trades(spark, d)).select(
-        ticker_key("ticker").alias("ticker"), "count", in_cents("yes_price"), in_cents("no_price"), "taker_side", "created_time"
+    """All trades, each delivered once, each price in whole cents by the unit of problem 4 and rounded on its own.
+
+    Prices are brought to cents ahead of the shuffle by identifier, so filters on them repeat no unit's rules.
+    """
+    rows = price_unit(spark, d)(table(spark, d, "k_trades").withColumn("msg_key", id_key("trade_id")))
+    cents = rows.select("*", in_cents("yes_price").alias("__yes"), in_cents("no_price").alias("__no")).drop("told", "unit")
+    return keep_first(cents, "msg_key", "_fetched_at").select(
+        ticker_key("ticker").alias("ticker"), "count", F.col("__yes").alias("yes_price"), F.col("__no").alias("no_price"), "taker_side", "created_time"
     )
 
 
@@ -77,16 +83,21 @@ def p_fills(spark: SparkSession, d: str) -> DataFrame:
     scaled = F.when(power < 0, F.col("maker_amount") / F.pow(F.lit(10.0), -power)).otherwise(
         F.col("maker_amount") * F.pow(F.lit(10.0), power)
     )
-    return amount_unit(spark, d, first_fills(spark, d)).select(
-        "block_number", "maker_asset_id", "taker_asset_id", scaled.alias("maker_amount"), "taker_amount"
+    stored = table(spark, d, "p_trades").withColumn("msg_key", fill_key("transaction_hash", "log_index"))
+    rows = amount_unit(spark, d, stored).withColumn("__amount", scaled).drop("told", "unit")
+    return keep_first(rows, "msg_key", "_fetched_at").select(
+        "block_number", "maker_asset_id", "taker_asset_id", F.col("__amount").alias("maker_amount"), "taker_amount"
     )
 
 
 def p_amm(spark: SparkSession, d: str) -> DataFrame:
-    """AMM trades with amount and outcome tokens in millionths, the tokens by the unit of problem 4; null if unreadable."""
+    """AMM trades with amount and outcome tokens in millionths, the tokens by the unit of problem 4; null if unreadable.
+
+    The number comes out of a generator, which filters do not pass, so the text is read once.
+    """
     tokens = shift_text(F.col("read.number"), F.col("read.power")).cast("double") / 1e12
     return token_unit(spark, d).select(
-        "block_number", id_key("fpmm_address").alias("fpmm_address"), "amount", "outcome_index", tokens.alias("outcome_tokens")
+        "block_number", id_key("fpmm_address").alias("fpmm_address"), "amount", "outcome_index", F.explode(F.array(tokens)).alias("outcome_tokens")
     )
 
 
